@@ -211,12 +211,14 @@ def min_edge_reducer(alpha: float = 1.0, metric: str = "euclidean", use_core: bo
 
     Weight = mutual reachability max(core_a, core_b, d / alpha) (or d when
     ``use_core`` is false). Ties are broken by (weight, min id, max id) so the
-    minimum spanning forest is unique. Output: ``comp, w, lo, hi``.
+    minimum spanning forest is unique. Output: ``comp, w, lo, hi, other`` (the
+    component on the far side of the edge).
     """
 
     def red(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
         empty = pd.DataFrame({"comp": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
-                              "lo": pd.Series([], dtype="int64"), "hi": pd.Series([], dtype="int64")})
+                              "lo": pd.Series([], dtype="int64"), "hi": pd.Series([], dtype="int64"),
+                              "other": pd.Series([], dtype="int64")})
         if len(l) == 0:
             return empty
         li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
@@ -229,7 +231,7 @@ def min_edge_reducer(alpha: float = 1.0, metric: str = "euclidean", use_core: bo
         lo = np.minimum(li[:, None], ri[None, :])
         hi = np.maximum(li[:, None], ri[None, :])
         frames = []
-        for dm, comps, lom, him in ((d, lc, lo, hi), (d.T, rc, lo.T, hi.T)):
+        for dm, comps, others, lom, him in ((d, lc, rc, lo, hi), (d.T, rc, lc, lo.T, hi.T)):
             if dm.shape[1] == 0:
                 continue
             best = dm.min(axis=1)
@@ -241,7 +243,8 @@ def min_edge_reducer(alpha: float = 1.0, metric: str = "euclidean", use_core: bo
                 j[i] = cand[np.lexsort((him[i, cand], lom[i, cand]))[0]]
             rows = np.flatnonzero(ok)
             frames.append(pd.DataFrame({"comp": comps[rows], "w": best[rows],
-                                        "lo": lom[rows, j[rows]], "hi": him[rows, j[rows]]}))
+                                        "lo": lom[rows, j[rows]], "hi": him[rows, j[rows]],
+                                        "other": others[j[rows]]}))
             if diag:
                 break
         if not frames:
@@ -249,6 +252,6 @@ def min_edge_reducer(alpha: float = 1.0, metric: str = "euclidean", use_core: bo
         o = pd.concat(frames, ignore_index=True)
         # keep the cheapest per component already inside the task
         o = o.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
-        return o.astype({"comp": "int64", "w": "float64", "lo": "int64", "hi": "int64"})
+        return o.astype({"comp": "int64", "w": "float64", "lo": "int64", "hi": "int64", "other": "int64"})
 
     return red

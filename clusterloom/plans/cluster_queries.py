@@ -78,3 +78,83 @@ def q_label_quality(spark, sf):
     truth = TD.items(spark, sf).select("item_id", "truth_label")
     q = M.label_quality(asg.join(truth, "item_id"))
     return q.select(*[r6(c).alias(c) for c in ("precision", "recall", "purity", "coverage")])
+
+
+# --------------------------------------------------------------------------- graph: C4 single, C5, C6a-c
+
+from clusterloom.operators import graph as G  # noqa: E402
+
+CC_SQL = ITEMS + """,
+edges AS (
+  SELECT a.pos AS a, b.pos AS b FROM items a JOIN items b ON a.pos <> b.pos
+  WHERE list_distance(a.embedding, b.embedding) <= {t}),
+cc AS (SELECT id, min(comp) AS component FROM (
+  WITH RECURSIVE walk(id, comp) AS (
+    SELECT pos, pos FROM items
+    UNION
+    SELECT e.b, w.comp FROM walk w JOIN edges e ON w.id = e.a)
+  SELECT * FROM walk) GROUP BY id)
+"""
+
+
+@register("threshold_components", CC_SQL.format(t=1.15) + """
+SELECT id, component FROM cc
+""")
+def q_threshold_components(spark, sf):
+    """Connected components of the graph of pairs within 1.15 (star rounds)."""
+    return G.threshold_components(TD.items(spark, sf), 1.15)
+
+
+@register("single_linkage_threshold", CC_SQL.format(t=1.15) + """,
+sizes AS (SELECT component, count(*) AS n, min(id) AS min_id FROM cc GROUP BY component),
+ranked AS (SELECT component, CAST(row_number() OVER (ORDER BY n DESC, min_id) - 1 AS INTEGER) AS label FROM sizes)
+SELECT cc.id AS pos, ranked.label FROM cc JOIN ranked USING (component)
+""")
+def q_single_linkage_threshold(spark, sf):
+    """C4 single linkage, distance_threshold 1.15: Boruvka MST cut at the threshold."""
+    return G.single_linkage(TD.items(spark, sf), distance_threshold=1.15).select("pos", "label")
+
+
+@register("single_linkage_k")
+def q_single_linkage_k(spark, sf):
+    """C4 single linkage with n_clusters = 10: the 9 heaviest MST edges removed."""
+    return G.single_linkage(TD.items(spark, sf), n_clusters=10).select("pos", "label")
+
+
+@register("core_distances", ITEMS + """
+SELECT pos, round(dist, 6) AS core_distance FROM (
+  SELECT a.pos, list_distance(a.embedding, b.embedding) AS dist,
+         row_number() OVER (PARTITION BY a.pos ORDER BY list_distance(a.embedding, b.embedding), b.pos) AS r
+  FROM items a JOIN items b ON a.pos <> b.pos) WHERE r = 3
+""")
+def q_core_distances(spark, sf):
+    """Distance to the 3rd nearest other point (min_samples = 3)."""
+    return G.core_distances(TD.items(spark, sf), 3).select("pos", r6("core_distance").alias("core_distance"))
+
+
+@register("mutual_reachability", ITEMS + """,
+core AS (SELECT pos, dist AS core FROM (
+  SELECT a.pos, list_distance(a.embedding, b.embedding) AS dist,
+         row_number() OVER (PARTITION BY a.pos ORDER BY list_distance(a.embedding, b.embedding), b.pos) AS r
+  FROM items a JOIN items b ON a.pos <> b.pos) WHERE r = 3)
+SELECT a.pos AS id_a, b.pos AS id_b,
+       round(greatest(ca.core, cb.core, list_distance(a.embedding, b.embedding)), 6) AS mreach
+FROM items a JOIN items b ON a.pos < b.pos
+JOIN core ca ON ca.pos = a.pos JOIN core cb ON cb.pos = b.pos
+WHERE list_distance(a.embedding, b.embedding) <= 1.15
+""")
+def q_mutual_reachability(spark, sf):
+    """Mutual reachability max(core_a, core_b, d / alpha) on the pairs within 1.15."""
+    it = TD.items(spark, sf)
+    from clusterloom.operators.neighbors import pairs_within
+
+    mr = G.mutual_reachability(pairs_within(it, 1.15), G.core_distances(it, 3))
+    return mr.select("id_a", "id_b", r6("mreach").alias("mreach"))
+
+
+@register("minimum_spanning_tree")
+def q_minimum_spanning_tree(spark, sf):
+    """Boruvka MST of the mutual-reachability graph (min_samples = 3)."""
+    it = TD.items(spark, sf)
+    mst = G.minimum_spanning_forest(it, cores=G.core_distances(it, 3))
+    return mst.select("lo", "hi", r6("w").alias("w"))
