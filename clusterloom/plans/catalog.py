@@ -404,3 +404,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     """Import the modules that register further queries."""
     import clusterloom.plans.cluster_queries  # noqa: F401
+    import clusterloom.plans.job_queries  # noqa: F401

@@ -79,3 +79,73 @@ items AS (
   JOIN events v ON e.vec_id = v.event_id
   LEFT JOIN documents d ON d.doc_id = e.vec_id
 )"""
+
+
+# --------------------------------------------------------------------------- job and stream stand-ins
+# Fixed values used to shape stand-in rows (not rules of any operator).
+_STATUS_BY_ORDER = """CASE
+  WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'failed'
+  WHEN o_orderstatus = 'F' THEN 'completed'
+  WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'canceled'
+  WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'paused'
+  WHEN o_orderstatus = 'O' THEN 'queued'
+  ELSE 'running' END"""
+_TYPES = "element_at(array('document', 'event', 'entity', 'storyline'), CAST(pmod(o_custkey, 4) AS INT) + 1)"
+_ALGOS = "element_at(array('hdbscan', 'kmeans', 'agglomerative'), CAST(pmod(o_custkey, 3) AS INT) + 1)"
+
+
+def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job records: one per order (status, type, algorithm, priority, created_at)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("job_"), F.col("o_orderkey").cast("string")).alias("job_id"),
+        F.expr(_STATUS_BY_ORDER).alias("status"),
+        F.expr(_TYPES).alias("embedding_type"),
+        F.expr(_ALGOS).alias("algorithm"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(9)).otherwise(F.lit(5)).alias("priority"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress events: one per line item (cumulative processed = line number)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("job_"), F.col("l_orderkey").cast("string")).alias("job_id"),
+        F.col("l_shipdate").alias("ts"),
+        F.col("l_linenumber").cast("long").alias("processed_items"),
+        F.col("l_linestatus").alias("line_status"),
+        F.col("l_returnflag").alias("return_flag"),
+        F.concat(F.lit("item_"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                 F.col("l_linenumber").cast("string")).alias("item_id"),
+    )
+
+
+def upstream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upstream (embedding stage) events in their wire shape, one per driver event.
+
+    All fields are strings / JSON text as they arrive on the stream; F10
+    parses and validates them.
+    """
+    ev = table(spark, sf_dir, "events")
+    etype = F.expr("""CASE event_type WHEN 'purchase' THEN 'embedding.job.completed'
+        WHEN 'click' THEN 'embedding.job.completed' WHEN 'signup' THEN 'embedding.job.started'
+        WHEN 'view' THEN 'embedding.job.progress' ELSE 'embedding.job.failed' END""")
+    k = F.get_json_object("props", "$.k")
+    emb_type = F.element_at(F.array(*[F.lit(x) for x in ("document", "event", "entity", "storyline", "image")]),
+                            (F.pmod(k.cast("int"), F.lit(5)) + 1).cast("int"))
+    payload = F.to_json(F.struct(
+        etype.alias("event_type"),
+        F.concat(F.lit("up_"), F.col("user_id").cast("string")).alias("job_id"),
+        emb_type.alias("embedding_type"),
+        k.cast("int").alias("total_embeddings"),
+        F.when(F.col("value") < 400, (F.col("value") / 100.0 - 0.5)).alias("quality_score"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.when(F.col("event_type") == "error", F.create_map(F.lit("error_type"), F.concat(
+            F.lit("E"), F.pmod(k.cast("int"), F.lit(3)).cast("string")))).alias("metadata"),
+    ))
+    # an event whose payload lost a required field (the 'view' events drop total_embeddings)
+    payload = F.when(F.col("event_type") == "view", F.regexp_replace(payload, r'"total_embeddings":\d+,', "")) \
+        .otherwise(payload)
+    return ev.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+                     payload.alias("payload"))
