@@ -15,6 +15,7 @@ construction; nothing else is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -92,14 +93,17 @@ def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, to
     k = max(1, min(int(k), n))
     feats = df.withColumn("_features", array_to_vector(F.col(vec))).persist(StorageLevel.MEMORY_AND_DISK)
     best = None
-    for i in range(max(1, n_init)):
-        if k == 1:
-            break
-        model = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, featuresCol="_features",
-                       predictionCol="_pred").fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
+    if k > 1:
+        def fit(i):
+            model = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, featuresCol="_features",
+                           predictionCol="_pred").fit(feats)
+            return model.summary.trainingCost, i, model
+
+        # restarts are independent: submit them concurrently, keep the lowest cost (ties: lowest seed)
+        with ThreadPoolExecutor(max_workers=min(max(1, n_init), 8)) as pool:
+            fits = list(pool.map(fit, range(max(1, n_init))))
+        cost, _, model = min(fits, key=lambda f: (f[0], f[1]))
+        best = (cost, model)
     if best is None:  # k == 1: the centre is the mean
         from pyspark.ml.stat import Summarizer
         mean = feats.agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"]

@@ -63,3 +63,49 @@ def separation(cents: DataFrame, label: str = "label") -> DataFrame:
 
     g = knn_graph(cents, 1, id_col=label, vec="centroid")
     return g.select(F.col("id").cast("int").alias(label), F.col("dist").alias("separation"))
+
+
+def temporal_order(assign: DataFrame, label: str = "label", id_col: str = "item_id",
+                   days: str = "date_days") -> DataFrame:
+    """Members ordered by (date, id) inside each cluster: ``position`` from 1.
+
+    One distributed sort over (label, date, id) numbers all rows globally; a
+    member's position in its cluster is its global position minus the
+    cluster's first global position (a partial ``min``). No window is
+    partitioned by cluster, so a hot cluster is sorted across many tasks.
+    """
+    from clusterloom.operators.jobs import global_rank
+
+    rows = assign.where((F.col(label) >= 0) & F.col(days).isNotNull()).select(label, id_col, days)
+    ranked = global_rank(rows, [F.asc(label), F.asc(days), F.asc(id_col)], "_g")
+    first = ranked.groupBy(label).agg(F.min("_g").alias("_g0"))
+    return (ranked.join(first, label).withColumn("position", F.col("_g") - F.col("_g0") + 1)
+            .drop("_g0"))
+
+
+def temporal_gaps(ordered: DataFrame, label: str = "label", id_col: str = "item_id",
+                  days: str = "date_days") -> tuple[DataFrame, DataFrame]:
+    """Gap to the previous member and per-cluster gap statistics with a pattern class.
+
+    The previous member is found by an equi-join on (label, position - 1).
+    Pattern (on the mean gap in days): burst < 1, daily < 2, weekly 5-9,
+    otherwise sporadic; a cluster with one dated member has no pattern.
+    """
+    prev = ordered.select(label, (F.col("position") + 1).alias("position"), F.col(days).alias("_prev"))
+    gaps = (ordered.join(prev, [label, "position"], "left")
+            .withColumn("gap_days", F.col(days) - F.col("_prev")).drop("_prev"))
+    mean_gap = F.avg("gap_days")
+    stats = gaps.groupBy(label).agg(
+        F.count("*").alias("n_dated"), F.max("gap_days").alias("max_gap_days"), mean_gap.alias("mean_gap_days"))
+    pattern = (F.when(F.col("mean_gap_days").isNull(), F.lit(None))
+               .when(F.col("mean_gap_days") < 1, F.lit("burst"))
+               .when(F.col("mean_gap_days") < 2, F.lit("daily"))
+               .when(F.col("mean_gap_days").between(5, 9), F.lit("weekly"))
+               .otherwise(F.lit("sporadic")))
+    return gaps.drop("_g"), stats.withColumn("temporal_pattern", pattern.cast("string"))
+
+
+def quality_gate(profile: DataFrame, outlier_share: DataFrame | None = None, min_size: int = 3,
+                 min_similarity: float = 0.7, max_outlier_share: float = 0.1) -> DataFrame:
+    """clusters passing size >= 3 and average similarity >= 0.7 (``passes`` flag)."""
+    return profile.withColumn("passes", (F.col("size") >= min_size) & (F.col("cohesion") >= min_similarity))

@@ -158,3 +158,39 @@ def q_minimum_spanning_tree(spark, sf):
     it = TD.items(spark, sf)
     mst = G.minimum_spanning_forest(it, cores=G.core_distances(it, 3))
     return mst.select("lo", "hi", r6("w").alias("w"))
+
+
+# --------------------------------------------------------------------------- W3, W4
+
+from clusterloom.operators import profiles as P  # noqa: E402
+
+ORDER_SQL = ITEMS + """,
+o AS (SELECT truth_label AS label, item_id, date_days,
+             row_number() OVER (PARTITION BY truth_label ORDER BY date_days, item_id) AS position FROM items),
+g AS (SELECT label, item_id, position, date_days - lag(date_days) OVER (PARTITION BY label ORDER BY position)
+             AS gap_days FROM o)
+"""
+
+
+@register("temporal_order", ORDER_SQL + """
+SELECT label, item_id, position, round(gap_days, 6) AS gap_days FROM g
+""")
+def q_temporal_order(spark, sf):
+    """W3 + W4: members in date order per cluster and the gap to the previous member."""
+    gaps, _ = P.temporal_gaps(P.temporal_order(truth_assign(spark, sf)))
+    return gaps.select("label", "item_id", "position", r6("gap_days").alias("gap_days"))
+
+
+@register("temporal_patterns", ORDER_SQL + """
+SELECT label, count(*) AS n_dated, round(max(gap_days), 6) AS max_gap_days,
+       round(avg(gap_days), 6) AS mean_gap_days,
+       CASE WHEN avg(gap_days) IS NULL THEN NULL WHEN avg(gap_days) < 1 THEN 'burst'
+            WHEN avg(gap_days) < 2 THEN 'daily' WHEN avg(gap_days) BETWEEN 5 AND 9 THEN 'weekly'
+            ELSE 'sporadic' END AS temporal_pattern
+FROM g GROUP BY label
+""")
+def q_temporal_patterns(spark, sf):
+    """Per-cluster max / mean gap and pattern class."""
+    _, st = P.temporal_gaps(P.temporal_order(truth_assign(spark, sf)))
+    return st.select("label", "n_dated", r6("max_gap_days").alias("max_gap_days"),
+                     r6("mean_gap_days").alias("mean_gap_days"), "temporal_pattern")
