@@ -111,38 +111,74 @@ def pair_distances(df: DataFrame, id_col: str = "pos", vec: str = "embedding",
 
 def pairs_within_days(df: DataFrame, window_days: float, threshold: float | None = None,
                       id_col: str = "pos", vec: str = "embedding", days: str = "date_days",
-                      decay_days: float | None = None) -> DataFrame:
-    """Interval join, pairs whose dates differ by at most ``window_days``.
-
-    Rows are bucketed by floor(day / w); a row meets its own bucket and the next
-    one through an equi-join on the bucket number, and the exact residual
-    |d1 - d2| <= w (plus an optional distance threshold) is checked on the pair.
-    Hot buckets are split by AQE's skew-join handling. With ``decay_days`` the
-    pair also gets the temporally decayed cosine similarity (V8).
+                      decay_days: float | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Interval join, pairs whose dates differ by at most ``window_days`` (and optionally
+    whose distance is at most ``threshold``): ``id_a < id_b, gap_days, dist[, temporal_similarity]``.
+
+    Rows are bucketed by floor(day / w), so a pair can only join its own or the
+    next bucket. A bucket is further split into hash sub-blocks of at most
+    ``block_rows`` rows (a hot day holding a third of all rows becomes many
+    bounded groups). Each group (bucket, sub-block) x (same or next bucket,
+    sub-block) is one cogroup task: a numpy distance block masked by the date
+    gap. With ``decay_days`` the pair also gets the decayed cosine similarity (V8).
     """
-    from clusterloom.functions.vector import cosine_similarity, l2_distance, temporal_similarity
-
     w = float(window_days)
     base = df.where(F.col(days).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"), F.col(days).alias("day"),
-        F.floor(F.col(days) / F.lit(w)).cast("long").alias("bucket"))
-    a = base.select(*[F.col(c).alias(f"{c}_a") for c in base.columns])
-    b = base.select(*[F.col(c).alias(f"{c}_b") for c in base.columns])
-    # a gap <= w puts the two buckets at most one apart; each copy of b is a distinct
-    # bucket, so each pair (id_a < id_b) matches exactly once
-    b2 = b.withColumn("bucket_b", F.explode(F.array(F.col("bucket_b") - 1, F.col("bucket_b"),
-                                                     F.col("bucket_b") + 1)))
-    cond = ((F.col("bucket_a") == F.col("bucket_b")) & (F.col("id_a") < F.col("id_b"))
-            & (F.abs(F.col("day_a") - F.col("day_b")) <= F.lit(w)))
-    pairs = a.join(b2, cond, "inner")
-    out = pairs.select("id_a", "id_b", F.abs(F.col("day_a") - F.col("day_b")).alias("gap_days"),
-                       l2_distance("vec_a", "vec_b").alias("dist"),
-                       *([temporal_similarity(cosine_similarity("vec_a", "vec_b"), "day_a", "day_b",
-                                              decay_days).alias("temporal_similarity")]
-                         if decay_days else []))
-    if threshold is not None:
-        out = out.where(F.col("dist") <= F.lit(float(threshold)))
-    return out
+        F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"), F.col(days).alias("_day"),
+        F.floor(F.col(days) / F.lit(w)).cast("long").alias("_bucket"))
+    subs = base.groupBy("_bucket").agg(
+        F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_rows))).cast("int").alias("_nsub"))
+    base = base.join(subs, "_bucket").withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_nsub")).cast("int"))
+    nxt = subs.select((F.col("_bucket") - 1).alias("_bucket"), F.col("_nsub").alias("_nsub_next"))
+    prv = subs.select((F.col("_bucket") + 1).alias("_bucket"), F.col("_nsub").alias("_nsub_prev"))
+    base = base.join(nxt, "_bucket", "left").join(prv, "_bucket", "left")
+    # left copy -> (own bucket, own sub) x (own bucket, sub >= own) and (next bucket, every sub)
+    same_l = F.transform(F.sequence(F.col("_sub"), F.col("_nsub") - 1),
+                         lambda j: F.struct(F.col("_bucket").alias("rb"), j.alias("rs")))
+    next_l = F.when(F.col("_nsub_next").isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.col("_nsub_next") - 1),
+        lambda j: F.struct((F.col("_bucket") + 1).alias("rb"), j.alias("rs")))).otherwise(F.array())
+    left = (base.withColumn("_t", F.explode(F.concat(same_l, next_l)))
+            .select(F.col("_bucket").alias("_lb"), F.col("_sub").alias("_ls"), F.col("_t.rb").alias("_rb"),
+                    F.col("_t.rs").alias("_rs"), "_id", "_vec", "_day"))
+    # right copy -> (own bucket, sub <= own) and (previous bucket, every sub)
+    same_r = F.transform(F.sequence(F.lit(0), F.col("_sub")),
+                         lambda i: F.struct(F.col("_bucket").alias("lb"), i.alias("ls")))
+    prev_r = F.when(F.col("_nsub_prev").isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.col("_nsub_prev") - 1),
+        lambda i: F.struct((F.col("_bucket") - 1).alias("lb"), i.alias("ls")))).otherwise(F.array())
+    right = (base.withColumn("_t", F.explode(F.concat(same_r, prev_r)))
+             .select(F.col("_t.lb").alias("_lb"), F.col("_t.ls").alias("_ls"), F.col("_bucket").alias("_rb"),
+                     F.col("_sub").alias("_rs"), F.col("_id").alias("r__id"), F.col("_vec").alias("r__vec"),
+                     F.col("_day").alias("r__day")))
+    keys = ["_lb", "_ls", "_rb", "_rs"]
+    thr = float("inf") if threshold is None else float(threshold)
+    decay = None if decay_days is None else float(decay_days)
+    cols = ["id_a", "id_b", "gap_days", "dist"] + (["temporal_similarity"] if decay else [])
+    schema = "id_a long, id_b long, gap_days double, dist double" + (
+        ", temporal_similarity double" if decay else "")
+
+    def red(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(l) == 0 or len(r) == 0:
+            return pd.DataFrame({c: pd.Series([], dtype="int64" if c.startswith("id") else "float64")
+                                 for c in cols})
+        diag = (l["_lb"].iloc[0] == l["_rb"].iloc[0]) and (l["_ls"].iloc[0] == l["_rs"].iloc[0])
+        li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
+        xl, xr = _stack(l["_vec"]), _stack(r["r__vec"])
+        d = pair_matrix(xl, xr)
+        gap = np.abs(l["_day"].to_numpy(np.float64)[:, None] - r["r__day"].to_numpy(np.float64)[None, :])
+        mask = (gap <= w) & (d <= thr) & (li[:, None] != ri[None, :])
+        if diag:
+            mask &= li[:, None] < ri[None, :]
+        a, b = np.nonzero(mask)
+        out = {"id_a": np.minimum(li[a], ri[b]), "id_b": np.maximum(li[a], ri[b]), "gap_days": gap[a, b],
+               "dist": d[a, b]}
+        if decay:
+            cos = 1.0 - pair_matrix(xl, xr, "cosine")
+            out["temporal_similarity"] = cos[a, b] * np.exp(-gap[a, b] / decay)
+        return pd.DataFrame(out)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(red, schema)
 
 
 def search_clusters(profiles: DataFrame, query_vector: Column | None = None, filters: dict | None = None,

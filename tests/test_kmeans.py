@@ -19,11 +19,17 @@ def test_kmeans_planted(spark):
 
 
 def test_kmeans_clamps_k_and_tops_up(spark):
+    x, y = planted(n_per=3, k=2, dim=4, noise=0.01)  # 6 distinct rows
+    asg, info = KM.kmeans(to_df(spark, x, y), k=10, n_init=1)
+    assert info["k"] == 6
+    assert asg.select("label").distinct().count() == 6
+
+
+def test_kmeans_duplicates_use_distinct_points_only(spark):
     x, y = planted(n_per=2, k=2, dim=4, noise=0.0)  # 4 rows, 2 distinct points
-    df = to_df(spark, x, y)
-    asg, info = KM.kmeans(df, k=10, n_init=1)
-    assert info["k"] == 4
-    assert asg.select("label").distinct().count() == 4
+    asg, info = KM.kmeans(to_df(spark, x, y), k=4, n_init=1)
+    assert info["k"] == 4 and asg.count() == 4
+    assert asg.select("label").distinct().count() == 2
 
 
 def test_kmeans_empty_raises(spark):
