@@ -194,3 +194,30 @@ def q_temporal_patterns(spark, sf):
     _, st = P.temporal_gaps(P.temporal_order(truth_assign(spark, sf)))
     return st.select("label", "n_dated", r6("max_gap_days").alias("max_gap_days"),
                      r6("mean_gap_days").alias("mean_gap_days"), "temporal_pattern")
+
+
+# --------------------------------------------------------------------------- C4 ward / average / complete
+
+from clusterloom.operators import agglomerative as AG  # noqa: E402
+
+
+@register("agglomerative_ward")
+def q_agglomerative_ward(spark, sf):
+    """C4: ward linkage, n_clusters = 10 (reciprocal-nearest-neighbour rounds on centroids)."""
+    labels, _ = AG.agglomerative(TD.items(spark, sf), n_clusters=10, linkage="ward")
+    return labels.select("pos", "label")
+
+
+@register("agglomerative_average")
+def q_agglomerative_average(spark, sf):
+    """C4: average linkage, cosine metric, n_clusters = 10 (pair-table rounds)."""
+    labels, _ = AG.agglomerative(TD.items(spark, sf), n_clusters=10, linkage="average", metric="cosine")
+    return labels.select("pos", "label")
+
+
+@register("agglomerative_complete")
+def q_agglomerative_complete(spark, sf):
+    """C4: complete linkage, manhattan metric, distance_threshold = 9.0."""
+    labels, _ = AG.agglomerative(TD.items(spark, sf), distance_threshold=9.0, linkage="complete",
+                                 metric="manhattan")
+    return labels.select("pos", "label")
