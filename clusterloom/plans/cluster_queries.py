@@ -221,3 +221,106 @@ def q_agglomerative_complete(spark, sf):
     labels, _ = AG.agglomerative(TD.items(spark, sf), distance_threshold=9.0, linkage="complete",
                                  metric="manhattan")
     return labels.select("pos", "label")
+
+
+# --------------------------------------------------------------------------- A10, S7-S9, J2
+
+from clusterloom.sources import sinks as SK  # noqa: E402
+
+PROFILE_SQL = ITEMS + CENT + """,
+m AS (SELECT i.*, c.centroid, list_distance(i.embedding, c.centroid) AS d,
+             list_cosine_similarity(i.embedding, c.centroid) AS cos
+      FROM items i JOIN cent c ON c.label = i.truth_label),
+sep AS (SELECT a.label, min(list_distance(a.centroid, b.centroid)) AS separation
+        FROM cent a JOIN cent b ON a.label <> b.label GROUP BY a.label),
+et AS (SELECT truth_label, event_type, count(*) AS n FROM items WHERE event_type IS NOT NULL GROUP BY ALL),
+dom_et AS (SELECT truth_label, arg_min(event_type, (-n, event_type)) AS dominant_event_type FROM et GROUP BY ALL),
+topm AS (SELECT truth_label, string_agg(item_id, ',' ORDER BY r) AS top_members FROM (
+           SELECT truth_label, item_id, row_number() OVER (PARTITION BY truth_label ORDER BY d, item_id) AS r FROM m)
+         WHERE r <= 5 GROUP BY ALL)
+"""
+
+
+@register("cluster_profile", PROFILE_SQL + """
+SELECT m.truth_label AS label, count(*) AS size, arg_min(item_id, (d, item_id)) AS exemplar_id,
+       round(avg(d), 6) AS mean_distance, round(avg(cos), 6) AS cohesion, round(max(sep.separation), 6) AS separation,
+       round(min(date_days), 6) AS min_date_days, round(max(date_days) - min(date_days), 6) AS temporal_span_days,
+       array_to_string(list_sort(list_distinct(list(domain) FILTER (WHERE domain IS NOT NULL))), ',') AS domains,
+       array_to_string(list_sort(list_distinct(list(entity_type) FILTER (WHERE entity_type IS NOT NULL))), ',')
+         AS entity_types,
+       max(dom_et.dominant_event_type) AS dominant_event_type, max(topm.top_members) AS top_members
+FROM m JOIN sep ON sep.label = m.truth_label JOIN dom_et USING (truth_label) JOIN topm USING (truth_label)
+GROUP BY m.truth_label
+""")
+def q_cluster_profile(spark, sf):
+    """A10: profile per cluster of the given labelling."""
+    p = P.cluster_profile(truth_assign(spark, sf))
+    return p.select(
+        "label", "size", "exemplar_id", r6("mean_distance").alias("mean_distance"), r6("cohesion").alias("cohesion"),
+        r6("separation").alias("separation"), r6("min_date_days").alias("min_date_days"),
+        r6("temporal_span_days").alias("temporal_span_days"), F.array_join("domains", ",").alias("domains"),
+        F.array_join("entity_types", ",").alias("entity_types"), "dominant_event_type",
+        F.array_join("top_members", ",").alias("top_members"))
+
+
+MEMB_SQL = ITEMS + """,
+lab AS (SELECT *, CASE WHEN domain = 'en' THEN truth_label ELSE -1 END AS label FROM items),
+cen AS (SELECT label, list(v ORDER BY i) AS centroid FROM (
+          SELECT label, i, avg(x) AS v FROM (
+            SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM lab WHERE label >= 0)
+          GROUP BY ALL) GROUP BY ALL),
+memb AS (SELECT CASE WHEN l.label = -1 THEN 'outlier' ELSE 'event_cluster_' || CAST(l.label AS VARCHAR) END
+                  AS cluster_id, l.item_id AS member_id,
+                CASE WHEN l.label >= 0 THEN list_distance(l.embedding, c.centroid) END AS distance_to_centroid
+         FROM lab l LEFT JOIN cen c ON c.label = l.label)
+"""
+
+
+def _memberships(spark, sf):
+    from clusterloom.operators import filters as FL2
+
+    it = TD.items(spark, sf)
+    kept = FL2.apply_metadata_filters(it, {"domain": "en"}).select("item_id", F.col("truth_label").alias("label"))
+    return SK.memberships(FL2.map_back_labels(it, kept, prob_col=None), "truth", "event", "given")
+
+
+@register("memberships", MEMB_SQL + """
+SELECT cluster_id, member_id, round(distance_to_centroid, 6) AS distance_to_centroid,
+       'truth' AS job_id, 'given' AS algorithm FROM memb
+""")
+def q_memberships(spark, sf):
+    """Membership rows (filtered-out items are outliers without a distance)."""
+    m = _memberships(spark, sf)
+    return m.select("cluster_id", "member_id", r6("distance_to_centroid").alias("distance_to_centroid"),
+                    "job_id", "algorithm")
+
+
+@register("jobs_clusters_members", MEMB_SQL + """
+SELECT 'truth' AS job_id, cluster_id, count(*) AS n_members,
+       round(avg(1.0 / (1.0 + distance_to_centroid)), 6) AS avg_similarity
+FROM memb WHERE cluster_id <> 'outlier' GROUP BY cluster_id
+""")
+def q_jobs_clusters_members(spark, sf):
+    """J2 over S9 tables: job -> clusters -> members, members per cluster."""
+    memb = SK.members_table(_memberships(spark, sf))
+    jobs = spark.createDataFrame([("truth", "completed")], "job_id string, status string")
+    clusters = memb.where(F.col("cluster_id") != "outlier").select("cluster_id", "job_id", "embedding_type") \
+        .distinct()
+    j = SK.jobs_clusters_members(jobs, clusters, memb)
+    return j.groupBy("job_id", "cluster_id").agg(F.count("member_id").alias("n_members"),
+                                                 r6(F.avg("similarity_score")).alias("avg_similarity"))
+
+
+@register("clusters_jsonl", ITEMS + CENT + """
+SELECT 'truth_event_cluster_' || CAST(label AS VARCHAR) AS cluster_id, size FROM cent
+""")
+def q_clusters_jsonl(spark, sf):
+    """S8 + S9: write the cluster table as partitioned JSON lines, read it back by type."""
+    import uuid
+
+    from clusterloom.session import ensure_checkpoint_dir
+
+    prof = P.cluster_profile(truth_assign(spark, sf))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusters-jsonl/{uuid.uuid4().hex}"
+    SK.write_clusters_jsonl(SK.clusters_table(prof, "truth", "event"), root)
+    return SK.read_clusters_jsonl(spark, root, "event").select("cluster_id", "size")
