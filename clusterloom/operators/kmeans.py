@@ -252,3 +252,35 @@ def estimate_k(df: DataFrame, min_k: int = 2, max_k: int = 100, sample_size: int
     c = np.asarray([x[1] for x in costs])
     second = np.diff(c, 2)
     return costs[int(np.argmax(second)) + 1][0], costs
+
+
+def incremental_assign(new: DataFrame, centroids: DataFrame, max_distance: float | None = None,
+                       vec: str = "embedding", label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Add new items to existing clusters and update sizes and centroids.
+
+    ``centroids``: ``label, centroid, size`` (k rows, broadcast as a bounded
+    matrix). A new item joins its nearest centroid unless it is farther than
+    ``max_distance`` (then -1). Updated centroid = (n c + sum of new) / (n + m),
+    from one partial aggregate of the new rows per label.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = centroids.orderBy(label).select(label, "centroid", "size").collect()
+    labels = [int(r[0]) for r in rows]
+    centers = np.asarray([r[1] for r in rows], dtype=np.float64)
+    idx = assign_nearest(new, centers, vec, label="_idx")
+    mapping = new.sparkSession.createDataFrame([(i, l) for i, l in enumerate(labels)], f"_idx int, {label} int")
+    assigned = idx.join(F.broadcast(mapping), "_idx").drop("_idx")
+    if max_distance is not None:
+        assigned = assigned.withColumn(label, F.when(F.col("distance") <= F.lit(float(max_distance)),
+                                                     F.col(label)).otherwise(F.lit(-1)))
+    add = assigned.where(F.col(label) >= 0).groupBy(label).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("_s"), F.count("*").alias("_m"))
+    upd = (centroids.join(add, label, "left")
+           .withColumn("_m", F.coalesce("_m", F.lit(0)))
+           .withColumn("centroid", F.when(F.col("_m") > 0, F.zip_with(
+               "centroid", "_s", lambda c, s: (c * F.col("size") + s) / (F.col("size") + F.col("_m"))))
+               .otherwise(F.col("centroid")))
+           .withColumn("size", F.col("size") + F.col("_m")).drop("_s", "_m"))
+    return assigned, upd

@@ -109,3 +109,38 @@ def quality_gate(profile: DataFrame, outlier_share: DataFrame | None = None, min
                  min_similarity: float = 0.7, max_outlier_share: float = 0.1) -> DataFrame:
     """clusters passing size >= 3 and average similarity >= 0.7 (``passes`` flag)."""
     return profile.withColumn("passes", (F.col("size") >= min_size) & (F.col("cohesion") >= min_similarity))
+
+
+def top_values(assign: DataFrame, col: str, n: int = 3, label: str = "label") -> DataFrame:
+    """A11-A14 'primary / dominant X': the n most frequent values of ``col`` per cluster.
+
+    Counts per (cluster, value) are partial aggregates; the ranking keeps n per
+    cluster with the salted two-stage top-n (ties by value).
+    """
+    counts = assign.where((F.col(label) >= 0) & F.col(col).isNotNull()).groupBy(label, col).agg(
+        F.count("*").alias("n"))
+    ranked = top_n_per_group(counts, [label], [F.desc("n"), F.asc(col)], n, [col], rank_col="rank")
+    return ranked.select(label, "rank", F.col(col).alias("value"), "n")
+
+
+def event_profile(assign: DataFrame, label: str = "label", id_col: str = "item_id", n: int = 3) -> DataFrame:
+    """Dominant event type and domain, primary entity types, first events in time order,
+    and the temporal pattern of each cluster."""
+    dom = cluster_profile_min(assign, label)
+    ents = (top_values(assign, "entity_type", n, label).groupBy(label)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
+                 .alias("primary_entities")))
+    first = (top_n_per_group(assign.where(F.col(label) >= 0).select(label, id_col, "date_days"), [label],
+                             [F.asc_nulls_last("date_days"), F.asc(id_col)], n, [id_col], rank_col="_r")
+             .groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", id_col))),
+                                             lambda s: s[id_col]).alias("first_events")))
+    _, pattern = temporal_gaps(temporal_order(assign, label, id_col), label, id_col)
+    return (dom.join(ents, label, "left").join(first, label, "left")
+            .join(pattern.select(label, "temporal_pattern"), label, "left"))
+
+
+def cluster_profile_min(assign: DataFrame, label: str = "label") -> DataFrame:
+    return assign.where(F.col(label) >= 0).groupBy(label).agg(
+        F.count("*").alias("size"),
+        F.mode("event_type", deterministic=True).alias("dominant_event_type"),
+        F.mode("domain", deterministic=True).alias("dominant_domain"))

@@ -324,3 +324,71 @@ def q_clusters_jsonl(spark, sf):
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusters-jsonl/{uuid.uuid4().hex}"
     SK.write_clusters_jsonl(SK.clusters_table(prof, "truth", "event"), root)
     return SK.read_clusters_jsonl(spark, root, "event").select("cluster_id", "size")
+
+
+# --------------------------------------------------------------------------- C13, A11-A14
+
+INC_SQL = ITEMS + """,
+old AS (SELECT truth_label AS label, list(v ORDER BY i) AS centroid, CAST(max(n) AS BIGINT) AS size FROM (
+          SELECT truth_label, i, avg(x) AS v, count(*) AS n FROM (
+            SELECT truth_label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM items
+            WHERE domain = 'en') GROUP BY ALL) GROUP BY ALL),
+nw AS (SELECT * FROM items WHERE domain IS DISTINCT FROM 'en'),
+asg AS (SELECT pos, embedding, CASE WHEN d <= 1.3 THEN label ELSE -1 END AS label FROM (
+          SELECT n.pos, n.embedding, o.label, list_distance(n.embedding, o.centroid) AS d,
+                 row_number() OVER (PARTITION BY n.pos ORDER BY list_distance(n.embedding, o.centroid), o.label) AS r
+          FROM nw n, old o) WHERE r = 1)
+"""
+
+
+@register("incremental_assign", INC_SQL + """
+SELECT pos, label FROM asg
+""")
+def q_incremental_assign(spark, sf):
+    """Items outside the 'en' domain join the clusters built from 'en' items (cut-off 1.3)."""
+    it = TD.items(spark, sf)
+    base = it.where(F.col("domain") == "en").withColumn("label", F.col("truth_label"))
+    cents = M.centroids(base)
+    asg, _ = KM.incremental_assign(it.where(~F.coalesce(F.col("domain") == "en", F.lit(False))), cents, 1.3)
+    return asg.select("pos", "label")
+
+
+@register("incremental_centroids", INC_SQL + """,
+upd AS (SELECT o.label, o.size + coalesce(a.m, 0) AS size, o.centroid, a.s, coalesce(a.m, 0) AS m FROM old o LEFT JOIN (
+          SELECT label, max(c) AS m, list(v ORDER BY i) AS s FROM (
+            SELECT label, i, sum(x) AS v, count(*) AS c FROM (
+              SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM asg WHERE label >= 0)
+            GROUP BY ALL) GROUP BY label) a USING (label))
+SELECT label, CAST(size AS BIGINT) AS size, CAST(generate_subscripts(centroid, 1) - 1 AS INTEGER) AS pos,
+       round(unnest(CASE WHEN m > 0 THEN list_transform(list_zip(centroid, s),
+               lambda p: (p[1] * (size - m) + p[2]) / size) ELSE centroid END), 6) AS value
+FROM upd
+""")
+def q_incremental_centroids(spark, sf):
+    """Updated sizes and centroids after the incremental assignment."""
+    it = TD.items(spark, sf)
+    base = it.where(F.col("domain") == "en").withColumn("label", F.col("truth_label"))
+    _, upd = KM.incremental_assign(it.where(~F.coalesce(F.col("domain") == "en", F.lit(False))),
+                                   M.centroids(base), 1.3)
+    return upd.select("label", "size", F.posexplode("centroid").alias("pos", "v")).select(
+        "label", "size", "pos", r6("v").alias("value"))
+
+
+@register("cluster_top_entities", ITEMS + """
+SELECT label, CAST(rank AS INTEGER) AS rank, value, n FROM (
+  SELECT label, value, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, value) AS rank FROM (
+    SELECT truth_label AS label, entity_type AS value, count(*) AS n
+    FROM items WHERE entity_type IS NOT NULL GROUP BY truth_label, entity_type)) WHERE rank <= 3
+""")
+def q_cluster_top_entities(spark, sf):
+    """A11-A14 'primary entities': top 3 entity types per cluster."""
+    return P.top_values(truth_assign(spark, sf), "entity_type", 3).select("label", "rank", "value", "n")
+
+
+@register("event_profile")
+def q_event_profile(spark, sf):
+    """Dominant types, primary entities, first events and temporal pattern per cluster."""
+    e = P.event_profile(truth_assign(spark, sf))
+    return e.select("label", "size", "dominant_event_type", "dominant_domain",
+                    F.array_join("primary_entities", ",").alias("primary_entities"),
+                    F.array_join("first_events", ",").alias("first_events"), "temporal_pattern")

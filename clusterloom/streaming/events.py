@@ -186,3 +186,23 @@ def retry_or_dead_letter(failures: DataFrame, max_attempts: int = 3) -> DataFram
     a = failures.groupBy("event_id").agg(F.count("*").alias("attempts"), F.max("ts").alias("last_failure"))
     return a.withColumn("route", F.when(F.col("attempts") >= max_attempts, F.lit("dead_letter"))
                         .otherwise(F.lit("retry")))
+
+
+def incremental_assign_stream(new_vectors: DataFrame, centroid_path: str, checkpoint: str,
+                              max_distance: float | None = None, label: str = "label"):
+    """C13 for arriving vectors; every micro-batch reads the latest centroid
+    version, assigns, and appends a new version (``version`` = batch id).
+    """
+    from clusterloom.operators.kmeans import incremental_assign
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cents = spark.read.parquet(centroid_path)
+        latest = cents.select(F.max("version")).first()[0]
+        current = cents.where(F.col("version") == latest).drop("version")
+        _, upd = incremental_assign(batch, current, max_distance, label=label)
+        upd.withColumn("version", F.lit(int(batch_id) + 1 + int(latest))).write.mode("append").parquet(
+            centroid_path)
+
+    return (new_vectors.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
