@@ -67,6 +67,100 @@ def _nn_reducer_ward():
     return red
 
 
+def nn_chain(val: np.ndarray, ids: np.ndarray, linkage: str, sizes: np.ndarray | None = None,
+             counts: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Sequential dendrogram of k clusters (k bounded by one block) by the nearest-neighbour chain.
+
+    ward: ``val`` = ward distances, ``sizes`` the cluster sizes (Lance-Williams on
+    squared distances); average: ``val`` = sums of point distances and
+    ``counts`` = point-pair counts (linkage = val / counts; a merge adds rows);
+    complete: ``val`` = maxima. The merged cluster keeps the smaller id; ties
+    break by (distance, id). Same dendrogram as the RNN rounds.
+    """
+    k = len(ids)
+    v = val.astype(np.float64).copy()
+    c = counts.astype(np.float64).copy() if counts is not None else None
+    if linkage == "ward":
+        v = v * v
+        size = sizes.astype(np.float64).copy()
+    alive = np.ones(k, bool)
+    ident = ids.astype(np.int64)
+    out: list[tuple[int, int, float]] = []
+    chain: list[int] = []
+
+    def row_of(a: int) -> np.ndarray:
+        r = v[a] / c[a] if linkage == "average" else v[a].copy()
+        r = np.where(alive, r, np.inf)
+        r[a] = np.inf
+        return r
+
+    while alive.sum() > 1:
+        if not chain:
+            live = np.flatnonzero(alive)
+            chain.append(int(live[np.argmin(ident[live])]))
+        a = chain[-1]
+        row = row_of(a)
+        best = row.min()
+        cand = np.flatnonzero(row == best)
+        b = int(cand[np.argmin(ident[cand])])
+        if len(chain) > 1 and chain[-2] == b:
+            chain.pop()
+            chain.pop()
+            lo, hi = (a, b) if ident[a] < ident[b] else (b, a)
+            out.append((int(ident[lo]), int(ident[hi]), float(np.sqrt(best) if linkage == "ward" else best)))
+            if linkage == "ward":
+                na, nb, nk = size[lo], size[hi], size
+                new = ((na + nk) * v[lo] + (nb + nk) * v[hi] - nk * v[lo, hi]) / (na + nb + nk)
+                size[lo] = na + nb
+            elif linkage == "average":
+                new = v[lo] + v[hi]
+                newc = c[lo] + c[hi]
+                c[lo, :] = newc
+                c[:, lo] = newc
+            else:
+                new = np.maximum(v[lo], v[hi])
+            v[lo, :] = new
+            v[:, lo] = new
+            alive[hi] = False
+        else:
+            chain.append(b)
+    return out
+
+
+MERGE_SCHEMA = "a long, b long, height double"
+
+
+def _ward_tail(cl: DataFrame) -> DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _stack(pdf["_vec"])
+        n = pdf["_size"].to_numpy(np.float64)
+        d = np.sqrt(2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * pair_matrix(x, x)
+        merges = nn_chain(d, pdf["_id"].to_numpy(np.int64), "ward", sizes=n)
+        return pd.DataFrame(merges, columns=["a", "b", "height"])
+
+    return cl.groupBy(F.lit(0).alias("_one")).applyInPandas(run, MERGE_SCHEMA)
+
+
+def _table_tail(table: DataFrame, linkage: str) -> DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([pdf["c1"].to_numpy(np.int64), pdf["c2"].to_numpy(np.int64)]))
+        i = np.searchsorted(ids, pdf["c1"].to_numpy(np.int64))
+        j = np.searchsorted(ids, pdf["c2"].to_numpy(np.int64))
+        k = len(ids)
+        val = np.full((k, k), np.inf)
+        col = pdf["s"].to_numpy() if linkage == "average" else pdf["mx"].to_numpy()
+        val[i, j] = col
+        val[j, i] = col
+        cnt = None
+        if linkage == "average":
+            cnt = np.ones((k, k))
+            cnt[i, j] = pdf["cnt"].to_numpy()
+            cnt[j, i] = pdf["cnt"].to_numpy()
+        return pd.DataFrame(nn_chain(val, ids, linkage, counts=cnt), columns=["a", "b", "height"])
+
+    return table.groupBy(F.lit(0).alias("_one")).applyInPandas(run, MERGE_SCHEMA)
+
+
 def _nearest(nn_rows: DataFrame) -> DataFrame:
     return (nn_rows.groupBy("c").agg(F.min(F.struct("d", "nn")).alias("b"))
             .select("c", F.col("b.nn").alias("nn"), F.col("b.d").alias("d")))
@@ -87,6 +181,9 @@ def _ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int, max_roun
         k = cl.count()
         if k < 2:
             break
+        if k <= block_rows:  # the rest fits one block: finish in one task
+            merges.append(cut_lineage(_ward_tail(cl)))
+            break
         B = max(1, -(-k // block_rows))
         nn = _nearest(self_block_cogroup(cl, _nn_reducer_ward(), NN_SCHEMA, B))
         pairs = cut_lineage(_reciprocal(nn))
@@ -127,9 +224,13 @@ def _table_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: st
                   max_rounds: int) -> DataFrame:
     table = cut_lineage(_pair_table(df, id_col, vec, metric, block_rows))
     merges = []
+    k = df.count()
     for _ in range(max_rounds):
         if table.isEmpty():
             break
+        if k <= block_rows:  # at most block_rows clusters left: finish in one task
+            merges.append(cut_lineage(_table_tail(table, linkage)))
+            break
         # cnt = n1 * n2 point pairs behind a cluster pair, so average = s / cnt
         link = (F.col("s") / F.col("cnt")) if linkage == "average" else F.col("mx")
         both = table.select(F.col("c1").alias("c"), F.col("c2").alias("nn"), link.alias("d")).unionByName(
@@ -148,6 +249,7 @@ def _table_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: st
              .where(F.col("c1") != F.col("c2"))
              .groupBy("c1", "c2").agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("cnt").alias("cnt")))
         table = cut_lineage(t)
+        k -= pairs.count()
     else:
         raise RuntimeError("agglomerative rounds did not converge")
     return _union(merges)

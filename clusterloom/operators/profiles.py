@@ -102,7 +102,7 @@ def temporal_gaps(ordered: DataFrame, label: str = "label", id_col: str = "item_
                .when(F.col("mean_gap_days") < 2, F.lit("daily"))
                .when(F.col("mean_gap_days").between(5, 9), F.lit("weekly"))
                .otherwise(F.lit("sporadic")))
-    return gaps.drop("_g"), stats.withColumn("temporal_pattern", pattern.cast("string"))
+    return gaps.drop("_g"), stats.withColumn("temporal_pattern", pattern.cast("string"))  # noqa: E501
 
 
 def quality_gate(profile: DataFrame, outlier_share: DataFrame | None = None, min_size: int = 3,
@@ -144,3 +144,42 @@ def cluster_profile_min(assign: DataFrame, label: str = "label") -> DataFrame:
         F.count("*").alias("size"),
         F.mode("event_type", deterministic=True).alias("dominant_event_type"),
         F.mode("domain", deterministic=True).alias("dominant_domain"))
+
+
+PREFIX_CHUNK = 1 << 20
+
+
+def prefix_count(df: DataFrame, pos: str, flag: str, out: str, chunk: int = PREFIX_CHUNK) -> DataFrame:
+    """Running count of ``flag`` over the global order ``pos`` (1..n), distributed.
+
+    Chunk totals (n / chunk rows) are accumulated by a window over the chunk
+    table only; inside a chunk a window partitioned by chunk adds the local
+    running count. No partition ever holds more than ``chunk`` rows.
+    """
+    from pyspark.sql import Window
+
+    c = df.withColumn("_chunk", F.floor((F.col(pos) - 1) / F.lit(chunk)))
+    totals = c.groupBy("_chunk").agg(F.sum(F.col(flag).cast("long")).alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    local = F.sum(F.col(flag).cast("long")).over(
+        Window.partitionBy("_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return (c.withColumn("_local", local).join(offsets, "_chunk")
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_chunk", "_off", "_local"))
+
+
+def split_on_gap(assign: DataFrame, max_gap_days: float = 30.0, label: str = "label",
+                 id_col: str = "item_id", days: str = "date_days") -> DataFrame:
+    """Break a cluster wherever consecutive member dates differ by more than the gap.
+
+    Output: ``label, item_id, position, segment`` (segment numbered from 0 inside
+    each cluster). Undated members keep no segment.
+    """
+    ordered = temporal_order(assign, label, id_col, days)
+    gaps, _ = temporal_gaps(ordered, label, id_col, days)
+    flagged = gaps.withColumn("_brk", F.coalesce(F.col("gap_days") > F.lit(float(max_gap_days)), F.lit(False)))
+    pre = prefix_count(flagged.join(ordered.select(label, "position", "_g"), [label, "position"]), "_g", "_brk",
+                       "_pre")
+    first = pre.groupBy(label).agg(F.min_by("_pre", "_g").alias("_pre0"))
+    return (pre.join(first, label).withColumn("segment", F.col("_pre") - F.col("_pre0"))
+            .select(label, id_col, "position", "segment"))

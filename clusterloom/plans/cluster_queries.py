@@ -392,3 +392,44 @@ def q_event_profile(spark, sf):
     return e.select("label", "size", "dominant_event_type", "dominant_domain",
                     F.array_join("primary_entities", ",").alias("primary_entities"),
                     F.array_join("first_events", ",").alias("first_events"), "temporal_pattern")
+
+
+@register("split_on_gap", ORDER_SQL + """
+SELECT label, item_id, position,
+       CAST(sum(CASE WHEN gap_days > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY position
+            ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
+FROM g
+""")
+def q_split_on_gap(spark, sf):
+    """Clusters split where consecutive members are more than 1 day apart."""
+    return P.split_on_gap(truth_assign(spark, sf), 1.0).select("label", "item_id", "position", "segment")
+
+
+# --------------------------------------------------------------------------- C7-C9, C14, C15
+
+from clusterloom.plans import clustering as CL  # noqa: E402
+
+
+@register("cluster_by_domain")
+def q_cluster_by_domain(spark, sf):
+    """K-Means (k = 3) separately inside each domain, labels made globally unique."""
+    out = CL.cluster_by_group(TD.items(spark, sf), ["domain"], "kmeans", {"n_clusters": 3, "n_init": 3})
+    return out.select("item_id", "domain", "label")
+
+
+@register("compare_algorithms")
+def q_compare_algorithms(spark, sf):
+    """C14 (through C7): purchases clustered by K-Means, ward and single linkage, metrics side by side."""
+    f = {"event_type": "purchase"}
+    it = TD.items(spark, sf)
+    runs = {"kmeans": ("kmeans", {"n_clusters": 5, "n_init": 3}),
+            "ward": ("agglomerative", {"n_clusters": 5, "linkage": "ward"}),
+            "single": ("agglomerative", {"n_clusters": 5, "linkage": "single"})}
+    return CL.compare_algorithms(FL.apply_metadata_filters(it, f), runs)
+
+
+@register("resolve_entities")
+def q_resolve_entities(spark, sf):
+    """Clicks resolved to canonical groups by average cosine linkage at 0.9, within each source."""
+    it = FL.filter_event_type(TD.items(spark, sf), "click")
+    return CL.resolve_entities(it, threshold=0.9).select("item_id", "entity_type", "label")

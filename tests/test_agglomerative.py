@@ -33,12 +33,13 @@ def naive(x, linkage, k):
     return sorted(heights), sorted(snapshot)
 
 
-@pytest.mark.parametrize("linkage", ["ward", "average", "complete"])
-def test_linkage_matches_naive(spark, linkage):
+@pytest.mark.parametrize("linkage,block_rows", [("ward", 8), ("average", 8), ("complete", 8), ("ward", 2048),
+                                                ("average", 2048)])
+def test_linkage_matches_naive(spark, linkage, block_rows):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(30, 4))
     df = to_df(spark, x)
-    labels, merges = A.agglomerative(df, n_clusters=4, linkage=linkage, block_rows=8)
+    labels, merges = A.agglomerative(df, n_clusters=4, linkage=linkage, block_rows=block_rows)
     want_h, want_parts = naive(x, linkage, 4)
     got_h = sorted(r["height"] for r in merges.collect())
     assert np.allclose(got_h, want_h)

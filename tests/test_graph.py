@@ -59,3 +59,15 @@ def test_single_linkage_recovers_planted(spark):
     for pos, lbl in lab.items():
         groups.setdefault(lbl, set()).add(y[pos])
     assert len(groups) == 3 and all(len(g) == 1 for g in groups.values())
+
+
+def test_prefix_count_multi_chunk(spark):
+    from clusterloom.operators.profiles import prefix_count
+
+    rows = [(i, i % 3 == 0) for i in range(1, 51)]
+    df = spark.createDataFrame(rows, "g long, f boolean")
+    got = {r["g"]: r["c"] for r in prefix_count(df, "g", "f", "c", chunk=7).collect()}
+    run = 0
+    for i, f in rows:
+        run += int(f)
+        assert got[i] == run
