@@ -87,11 +87,12 @@ def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, to
     Returns (assignments with ``label, distance``, info dict with k, inertia,
     iterations and centres as a k x D array).
     """
-    n = df.count()
+    feats = df.withColumn("_features", array_to_vector(F.col(vec))).persist(StorageLevel.MEMORY_AND_DISK)
+    n = feats.count()  # also fills the cache before the concurrent fits read it
     if n == 0:
+        feats.unpersist()
         raise ValueError("cannot cluster an empty vector set")
     k = max(1, min(int(k), n))
-    feats = df.withColumn("_features", array_to_vector(F.col(vec))).persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     if k > 1:
         def fit(i):
