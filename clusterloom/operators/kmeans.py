@@ -177,7 +177,7 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
     if n == 0:
         raise ValueError("cannot cluster an empty vector set")
     k = max(1, min(int(k), n))
-    base = df.select(id_col, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)
     # initial centres: k points with the smallest seeded hash (deterministic)
     init = (base.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(k)
             .select(vec).collect())
@@ -187,7 +187,8 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
     n_batches = max(1, int(np.ceil(n / batch_size)))
     for it in range(max_iter):
         bucket = (seed * 7919 + it) % n_batches
-        batch = base.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + it)), F.lit(n_batches)) == bucket)
+        batch = base.select(id_col, vec).where(
+            F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + it)), F.lit(n_batches)) == bucket)
         stats = (assign_nearest(batch, centers, vec).groupBy("label")
                  .agg(F.count("*").alias("n"),
                       vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"),

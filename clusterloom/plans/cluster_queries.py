@@ -433,3 +433,33 @@ def q_resolve_entities(spark, sf):
     """Clicks resolved to canonical groups by average cosine linkage at 0.9, within each source."""
     it = FL.filter_event_type(TD.items(spark, sf), "click")
     return CL.resolve_entities(it, threshold=0.9).select("item_id", "entity_type", "label")
+
+
+@register("minibatch_kmeans")
+def q_minibatch_kmeans(spark, sf):
+    """Mini-batch K-Means (k = 10, batches of 128 chosen by seeded hash)."""
+    out, _ = KM.minibatch_kmeans(TD.items(spark, sf), k=10, batch_size=128, max_iter=20)
+    return out.select("pos", "label")
+
+
+@register("estimate_k")
+def q_estimate_k(spark, sf):
+    """Elbow choice of k over k = 2..10 on a seeded sample of at most 10,000 items."""
+    k, costs = KM.estimate_k(TD.items(spark, sf), 2, 10)
+    return spark.createDataFrame([(int(kk), float(c), int(kk) == int(k)) for kk, c in costs],
+                                 "k int, inertia double, chosen boolean")
+
+
+@register("two_stage_cluster")
+def q_two_stage_cluster(spark, sf):
+    """K-Means pre-clusters (k = 3), average-linkage refinement inside each at cosine 0.95."""
+    out = CL.two_stage_cluster(TD.items(spark, sf), 3, "agglomerative",
+                               {"distance_threshold": 0.95, "linkage": "average", "metric": "cosine"})
+    return out.select("item_id", "pre_cluster", "label")
+
+
+@register("cluster_temporal_windows")
+def q_cluster_temporal_windows(spark, sf):
+    """C11: K-Means (k = 3) inside 14-day windows sliding by 7 days."""
+    out = CL.cluster_temporal_windows(TD.items(spark, sf), 14.0, 7.0, "kmeans", {"n_clusters": 3, "n_init": 3})
+    return out.select("item_id", "window_start_days", "label")

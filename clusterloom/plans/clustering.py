@@ -166,3 +166,28 @@ def resolve_entities(mentions: DataFrame, threshold: float = 0.3, metric: str =
     """Mentions -> canonical entity by average linkage at a threshold, within each type."""
     return cluster_by_group(mentions, [group], "agglomerative",
                             {"distance_threshold": threshold, "linkage": "average", "metric": metric})
+
+
+def two_stage_cluster(df: DataFrame, pre_k: int, refine_algorithm: str, refine_params: dict,
+                      seed: int = 42) -> DataFrame:
+    """K-Means pre-clusters, then a finer algorithm inside each pre-cluster (C9 keyed by it)."""
+    from clusterloom.operators.kmeans import kmeans
+
+    pre, _ = kmeans(df, pre_k, n_init=3, seed=seed)
+    keyed = df.join(pre.select("item_id", F.col("label").alias("pre_cluster")), "item_id")
+    return cluster_by_group(keyed, ["pre_cluster"], refine_algorithm, refine_params)
+
+
+def cluster_temporal_windows(df: DataFrame, size_days: float, step_days: float, algorithm: str,
+                             params: dict, days: str = "date_days") -> DataFrame:
+    """C11: cluster only within sliding time windows; an item appears in every window covering it.
+
+    Window starts are multiples of ``step_days``; each item is exploded to the
+    ceil(size / step) windows that contain its date, then C9 keyed by window.
+    """
+    n_win = int(-(-size_days // step_days))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(n_win - 1)),
+                         lambda j: (F.floor(F.col(days) / F.lit(step_days)) - j) * F.lit(step_days))
+    win = (df.where(F.col(days).isNotNull()).withColumn("window_start_days", F.explode(starts))
+           .where(F.col(days) < F.col("window_start_days") + F.lit(size_days)))
+    return cluster_by_group(win, ["window_start_days"], algorithm, params)

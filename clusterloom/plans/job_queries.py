@@ -281,3 +281,80 @@ def q_cluster_keys(spark, sf):
     return m.select("item_id", R.member_cluster_key(F.col("embedding_type"), F.col("label")).alias("member_cluster"),
                     F.when(F.col("label") >= 0, R.cluster_id(F.lit("truth"), F.col("embedding_type"), F.col("label")))
                     .alias("cluster_id"))
+
+
+# --------------------------------------------------------------------------- F13, T10, T11, W2, W6
+
+from clusterloom.operators import metrics as M  # noqa: E402
+from clusterloom.operators import profiles as P  # noqa: E402
+from clusterloom.plans.catalog import CENT, truth_assign  # noqa: E402
+
+
+@register("quality_gate", ITEMS + CENT + """
+SELECT i.truth_label AS label, count(*) AS size,
+       count(*) >= 3 AND avg(list_cosine_similarity(i.embedding, c.centroid)) >= 0.7 AS passes
+FROM items i JOIN cent c ON c.label = i.truth_label GROUP BY i.truth_label
+""")
+def q_quality_gate(spark, sf):
+    """clusters with size >= 3 and average similarity >= 0.7 pass."""
+    a = truth_assign(spark, sf)
+    per, _ = M.intra_similarity(a)
+    prof = M.centroids(a).select("label", "size").join(per.withColumnRenamed("intra_similarity", "cohesion"),
+                                                       "label")
+    return P.quality_gate(prof).select("label", "size", "passes")
+
+
+@register("event_payload", JOBS_SQL + """
+SELECT 'clustering.job.completed' AS event_type, job_id AS key,
+       json_object('job_id', job_id, 'status', status, 'priority', priority) AS payload
+FROM jobs WHERE status = 'completed'
+""")
+def q_event_payload(spark, sf):
+    """Completion events of finished jobs with a JSON payload."""
+    jobs = TD.jobs_table(spark, sf).where(F.col("status") == "completed")
+    return SE.event_payload(jobs, "clustering.job.completed", ["job_id", "status", "priority"])
+
+
+@register("retry_or_dead_letter", UP_SQL.format(min_k=10) + """
+SELECT 'up_' || CAST(user_id AS VARCHAR) AS event_id, count(*) AS attempts,
+       CASE WHEN count(*) >= 3 THEN 'dead_letter' ELSE 'retry' END AS route
+FROM dec WHERE decision = 'invalid' GROUP BY user_id
+""")
+def q_retry_or_dead_letter(spark, sf):
+    """Failed (invalid) deliveries per upstream job: retry until 3 attempts, then dead letter."""
+    d = R.trigger_decision(R.validate_events(TD.upstream_events(spark, sf)))
+    fails = d.where(F.col("decision") == "invalid").select(
+        F.concat(F.lit("up_"), F.regexp_extract("payload", r'"job_id":"up_(\d+)"', 1)).alias("event_id"), "ts")
+    return SE.retry_or_dead_letter(fails, 3).select("event_id", "attempts", "route")
+
+
+CLUSTERS_SQL = ITEMS + """,
+cl AS (SELECT 'truth_event_cluster_' || CAST(truth_label AS VARCHAR) AS cluster_id, count(*) AS size,
+              'truth' AS job_id FROM items GROUP BY truth_label)
+"""
+
+
+def _clusters(spark, sf):
+    from clusterloom.operators.rules import cluster_id
+
+    c = M.centroids(truth_assign(spark, sf))
+    return c.select(cluster_id(F.lit("truth"), F.lit("event"), F.col("label")).alias("cluster_id"),
+                    "size", F.lit("truth").alias("job_id"), F.lit("event").alias("embedding_type"))
+
+
+@register("list_clusters", CLUSTERS_SQL + """
+SELECT cluster_id, size FROM cl ORDER BY size DESC, cluster_id LIMIT 3 OFFSET 3
+""")
+def q_list_clusters(spark, sf):
+    """Second page (3 per page) of a job's clusters, largest first."""
+    page, _ = J.list_clusters(_clusters(spark, sf), "event", "truth", limit=3, offset=3)
+    return page.select("cluster_id", "size")
+
+
+@register("sample_clusters", CLUSTERS_SQL + """
+SELECT job_id, cluster_id, size, CAST(row_number() OVER (PARTITION BY job_id ORDER BY size DESC, cluster_id)
+       AS INTEGER) AS sample_rank FROM cl QUALIFY sample_rank <= 5
+""")
+def q_sample_clusters(spark, sf):
+    """Five largest clusters per job for the completion payload."""
+    return J.sample_clusters(_clusters(spark, sf), 5).select("job_id", "cluster_id", "size", "sample_rank")

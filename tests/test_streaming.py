@@ -67,3 +67,51 @@ def test_error_alerts_window(spark):
     df = spark.createDataFrame(rows, "ts string, error_type string").withColumn("ts", F.to_timestamp("ts"))
     a = SE.error_alerts(df, "300 seconds", "60 seconds", 10).collect()
     assert a and max(r["n_errors"] for r in a) == 15
+
+
+def test_stream_dedupe_once_per_upstream_job(spark):
+    raw = TD.upstream_events(spark, SF_SMALL)
+    folder = tempfile.mkdtemp(prefix="cl-stream-in-")
+    raw.write.mode("overwrite").json(folder)
+    req = SE.stream_triggers(SE.read_event_stream(spark, folder))
+    q = (SE.dedupe_requests_stream(req, "30 days").writeStream.format("memory").queryName("t2_out")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.table("t2_out")
+    assert got.count() == got.select("upstream_job_id", "embedding_type").distinct().count()
+    batch = SE.dedupe_requests_batch(SE.stream_triggers(raw))
+    assert got.count() == batch.count()
+
+
+def test_stream_lifecycle_state_across_batches(spark):
+    folder = tempfile.mkdtemp(prefix="cl-cmd-")
+    schema = "job_id string, ts long, seq long, command string"
+    spark.createDataFrame([("j1", 1, 1, "start"), ("j2", 1, 1, "pause")], schema).write.json(folder + "/a")
+    spark.createDataFrame([("j1", 2, 2, "pause"), ("j1", 3, 3, "resume"), ("j2", 2, 2, "start")],
+                          schema).write.json(folder + "/b")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder + "/*")
+    q = (SE.job_lifecycle_stream(stream).writeStream.format("memory").queryName("t4_out").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    out = {(r["job_id"], r["seq"]): (r["to_status"], r["legal"]) for r in spark.table("t4_out").collect()}
+    assert out[("j1", 3)] == ("queued", True) and out[("j2", 1)] == ("queued", False)
+    assert out[("j2", 2)] == ("running", True)
+
+
+def test_incremental_assign_stream_versions(spark):
+    from pyspark.sql import functions as F2
+
+    root = tempfile.mkdtemp(prefix="cl-cent-")
+    spark.createDataFrame([(0, [0.0, 0.0], 2, 0), (1, [10.0, 10.0], 1, 0)],
+                          "label int, centroid array<double>, size long, version long").write.parquet(root + "/c")
+    newdir = tempfile.mkdtemp(prefix="cl-new-")
+    spark.createDataFrame([("a", [1.0, 1.0]), ("b", [9.0, 9.0]), ("c", [50.0, 50.0])],
+                          "item_id string, embedding array<double>").write.mode("overwrite").json(newdir)
+    stream = spark.readStream.schema("item_id string, embedding array<double>").json(newdir)
+    q = SE.incremental_assign_stream(stream, root + "/c", tempfile.mkdtemp(prefix="cl-ckpt-"), max_distance=5.0)
+    q.awaitTermination(180)
+    cents = spark.read.parquet(root + "/c")
+    latest = cents.where(F2.col("version") == cents.select(F2.max("version")).first()[0])
+    got = {r["label"]: (r["size"], [round(v, 6) for v in r["centroid"]]) for r in latest.collect()}
+    assert got[0] == (3, [1 / 3, 1 / 3]) or got[0] == (3, [round(1 / 3, 6)] * 2)
+    assert got[1][0] == 2
