@@ -116,8 +116,9 @@ def job_lifecycle_batch(commands: DataFrame) -> DataFrame:
     return commands.groupBy("job_id").applyInPandas(run, LIFECYCLE_OUT)
 
 
-def job_lifecycle_stream(commands: DataFrame, timeout: str = "7 days") -> DataFrame:
-    """T4: lifecycle state per job in the state store; idle jobs expire after ``timeout``.
+def job_lifecycle_stream(commands: DataFrame, timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """T4: lifecycle state per job in the state store; idle jobs expire after ``timeout_ms``
+    (7 days by default, the reference's job expiry).
 
     Within a micro-batch commands are applied in (ts, seq) order; illegal
     moves are reported with ``legal = false`` and leave the state unchanged.
@@ -133,7 +134,7 @@ def job_lifecycle_stream(commands: DataFrame, timeout: str = "7 days") -> DataFr
             out, status = _fold_lifecycle(key[0], rows, status)
             yield out
         state.update((status,))
-        state.setTimeoutDuration(timeout)
+        state.setTimeoutDuration(int(timeout_ms))
 
     return commands.groupBy("job_id").applyInPandasWithState(
         fn, LIFECYCLE_OUT, LIFECYCLE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

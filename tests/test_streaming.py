@@ -22,6 +22,7 @@ def test_stream_triggers_equal_batch(spark):
     q = (SE.stream_triggers(stream).writeStream.format("memory").queryName("t1_out")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
     q.awaitTermination(120)
+    q.stop()
     cols = ["request_id", "upstream_job_id", "embedding_type", "algorithm"]
     assert _rows(spark.table("t1_out"), cols) == _rows(SE.stream_triggers(raw), cols)
 
@@ -35,6 +36,7 @@ def test_stream_consumer_stats_equal_batch(spark):
     q = (stats.writeStream.format("memory").queryName("t3_out").outputMode("complete")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
     q.awaitTermination(120)
+    q.stop()
     batch = SE.consumer_stats(R.trigger_decision(R.validate_events(raw))).first()
     got = spark.table("t3_out").first()
     assert (got["events_processed"], got["jobs_triggered"], got["errors"]) == (
@@ -77,6 +79,7 @@ def test_stream_dedupe_once_per_upstream_job(spark):
     q = (SE.dedupe_requests_stream(req, "30 days").writeStream.format("memory").queryName("t2_out")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
     q.awaitTermination(120)
+    q.stop()
     got = spark.table("t2_out")
     assert got.count() == got.select("upstream_job_id", "embedding_type").distinct().count()
     batch = SE.dedupe_requests_batch(SE.stream_triggers(raw))
@@ -86,13 +89,16 @@ def test_stream_dedupe_once_per_upstream_job(spark):
 def test_stream_lifecycle_state_across_batches(spark):
     folder = tempfile.mkdtemp(prefix="cl-cmd-")
     schema = "job_id string, ts long, seq long, command string"
-    spark.createDataFrame([("j1", 1, 1, "start"), ("j2", 1, 1, "pause")], schema).write.json(folder + "/a")
+    # one file per command batch, written in order: the stream sees batch a, then batch b
+    spark.createDataFrame([("j1", 1, 1, "start"), ("j2", 1, 1, "pause")], schema).coalesce(1).write.json(
+        folder + "/a")
     spark.createDataFrame([("j1", 2, 2, "pause"), ("j1", 3, 3, "resume"), ("j2", 2, 2, "start")],
-                          schema).write.json(folder + "/b")
+                          schema).coalesce(1).write.json(folder + "/b")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder + "/*")
     q = (SE.job_lifecycle_stream(stream).writeStream.format("memory").queryName("t4_out").outputMode("append")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="cl-ckpt-")).trigger(availableNow=True).start())
-    q.awaitTermination(180)
+    q.awaitTermination(120)
+    q.stop()
     out = {(r["job_id"], r["seq"]): (r["to_status"], r["legal"]) for r in spark.table("t4_out").collect()}
     assert out[("j1", 3)] == ("queued", True) and out[("j2", 1)] == ("queued", False)
     assert out[("j2", 2)] == ("running", True)
@@ -109,7 +115,8 @@ def test_incremental_assign_stream_versions(spark):
                           "item_id string, embedding array<double>").write.mode("overwrite").json(newdir)
     stream = spark.readStream.schema("item_id string, embedding array<double>").json(newdir)
     q = SE.incremental_assign_stream(stream, root + "/c", tempfile.mkdtemp(prefix="cl-ckpt-"), max_distance=5.0)
-    q.awaitTermination(180)
+    q.awaitTermination(120)
+    q.stop()
     cents = spark.read.parquet(root + "/c")
     latest = cents.where(F2.col("version") == cents.select(F2.max("version")).first()[0])
     got = {r["label"]: (r["size"], [round(v, 6) for v in r["centroid"]]) for r in latest.collect()}
