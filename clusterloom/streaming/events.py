@@ -202,8 +202,10 @@ def incremental_assign_stream(new_vectors: DataFrame, centroid_path: str, checkp
         latest = cents.select(F.max("version")).first()[0]
         current = cents.where(F.col("version") == latest).drop("version")
         _, upd = incremental_assign(batch, current, max_distance, label=label)
-        upd.withColumn("version", F.lit(int(batch_id) + 1 + int(latest))).write.mode("append").parquet(
-            centroid_path)
+        new_version = upd.withColumn("version", F.lit(int(batch_id) + 1 + int(latest)))
+        # keep the table's own column types (a version written as int next to long files cannot be read)
+        new_version.select(*[F.col(f.name).cast(f.dataType) for f in cents.schema.fields]).write.mode(
+            "append").parquet(centroid_path)
 
     return (new_vectors.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
