@@ -55,7 +55,7 @@ def job_progress(events: DataFrame, as_of: Column, totals: DataFrame | None = No
     seen = events.where(F.col("ts") <= as_of).groupBy("job_id").agg(
         F.max_by("processed_items", F.struct("ts", "processed_items")).alias("processed_items"),
         F.min("ts").alias("first_ts"))
-    secs = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6
+    secs = F.timestamp_diff("MICROSECOND", F.col("first_ts"), as_of) / 1e6  # no time-zone shift
     rate = F.try_divide(F.col("processed_items").cast("double"), secs)
     return (seen.join(tot, "job_id").select(
         "job_id", "processed_items", "total_items",

@@ -247,7 +247,7 @@ FROM g GROUP BY user_id, sid
 """)
 def q_activity_sessions(spark, sf):
     """Activity sessions per user, idle after a 6-hour gap (session windows)."""
-    ev = TD.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    ev = TD.table(spark, sf, "events").select("user_id", TD.ntz_as_utc("ts").alias("ts"))
     s = SE.activity_sessions(ev, "6 hours", key="user_id")
     return s.select("user_id", F.unix_micros("session_start").alias("session_start_us"),
                     F.unix_micros("session_end").alias("session_end_us"), "n_events")

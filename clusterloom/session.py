@@ -68,3 +68,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``clusterloom`` importable in every Python worker (like ``--py-files``).
+
+    Arrow/pandas tasks reference functions of this package, so executors need
+    it on their path. The package is zipped once per SparkContext on the driver
+    and handed to ``addPyFile``, which serves it to every executor.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="clusterloom-code-")) / "clusterloom.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, str(f.relative_to(pkg.parent)))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(key)

@@ -147,5 +147,12 @@ def upstream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # an event whose payload lost a required field (the 'view' events drop total_embeddings)
     payload = F.when(F.col("event_type") == "view", F.regexp_replace(payload, r'"total_embeddings":\d+,', "")) \
         .otherwise(payload)
-    return ev.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+    return ev.select(F.col("event_id").cast("string").alias("event_id"), ntz_as_utc("ts").alias("ts"),
                      payload.alias("payload"))
+
+
+def ntz_as_utc(col: str):
+    """Wall-clock (timestamp_ntz) value read as a UTC instant, whatever the session time zone."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              F.col(col).cast("timestamp_ntz"))
+    return F.timestamp_micros(micros)
