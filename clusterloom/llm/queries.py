@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clusterloom.llm import licenses
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,6 +38,31 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, T.train(docs, table(spark, sf_dir, "labels")))
 
 
+@register("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: fixed patterns, and segments that a semi-Markov CRF adds."""
+    from clusterloom.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs)).drop("pii")
+
+
+@register("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash of every whole text and of its text edited with the next document's."""
+    from clusterloom.llm.fingerprints import with_next
+
+    return with_next(table(spark, sf_dir, "documents"))
+
+
+@register("op4_sorted_projections")
+def op4_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding near-duplicates at cosine 0.9 by sorted projection passes."""
+    from clusterloom.llm.sorted_projections import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register("op5_vector_packing")
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens by the dot-product heuristic of vector bin packing."""
@@ -54,9 +81,35 @@ def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to indexed WARC archives and read back by coalesced byte ranges."""
+    from clusterloom.llm import warc
+
+    root = warc.archive_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(index, root).drop("url", "payload")
+
+
+@register("op8_bpe_automaton")
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the tokenization automaton and decoded again."""
+    import public_tokenizers
+
+    from clusterloom.llm.bpe_automaton import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text: fixed patterns, and decoded candidates that parse as keys or tokens."""
     from clusterloom.llm.secrets_scan import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents")).drop("secrets")
+
+
+@register("op10_licenses", licenses.oracle())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every whole text by Dice coefficient over word bigrams; built-in functions only."""
+    return licenses.scan(table(spark, sf_dir, "documents"))

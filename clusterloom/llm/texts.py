@@ -8,7 +8,7 @@ slice and not the Arrow batch. Longer single documents are hashed piece by piece
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,12 +72,13 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive rows with about ``limit`` bytes."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 2000
+           ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of at most ``rows`` consecutive rows with about ``limit`` bytes."""
     data, offsets = as_bytes(column)
     row, n = 0, len(offsets) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        end = min(row + rows, n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
         yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 
@@ -155,3 +156,27 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code points of each document."""
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     return np.diff(heads[offsets])
+
+
+class Kept(dict):
+    """Results of ``make`` by key, in two generations of at most ``limit`` entries each.
+
+    A full generation replaces the older one; what is used again moves to the new
+    one. Keys longer than ``longest`` aren't kept.
+    """
+
+    def __init__(self, make: Callable, limit: int = 800_000, longest: int = 128):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
