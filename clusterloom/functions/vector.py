@@ -75,10 +75,6 @@ def scale(a, w) -> Column:
     return F.transform(_c(a), lambda x: x.cast("double") * w)
 
 
-def vector_sum(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
-
-
 def epoch_days(ts) -> Column:
     """Days since 1970-01-01 as double, for timestamp or timestamp_ntz columns."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
@@ -86,11 +82,22 @@ def epoch_days(ts) -> Column:
     return micros.cast("double") / F.lit(MICROS_PER_DAY)
 
 
+def iso_micros(s) -> Column:
+    """ISO-8601 text to microseconds since the epoch; bad text -> null.
+
+    Text with ``Z`` or an offset is an instant; naive text is UTC, whatever the
+    session's time zone.
+    """
+    text = F.nullif(F.trim(_c(s)), F.lit(""))
+    naive = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(r"([Zz]|[+-]\d{1,2}(:?\d{2})?)$") & text.contains(":"),
+                  F.unix_micros(text.try_cast("timestamp"))).otherwise(naive)
+
+
 def parse_iso_days(s) -> Column:
-    """ISO-8601 text (``Z`` or offset allowed, naive = UTC) to days since epoch; bad text -> null."""
-    s = _c(s)
-    ts = F.try_to_timestamp(F.nullif(F.trim(s), F.lit("")))
-    return (F.unix_micros(ts).cast("double") / F.lit(MICROS_PER_DAY))
+    """ISO-8601 text to days since the epoch (see ``iso_micros``)."""
+    return iso_micros(s).cast("double") / F.lit(MICROS_PER_DAY)
 
 
 def temporal_weight(days, ref_days, decay_days) -> Column:
@@ -110,7 +117,7 @@ def distance_to_similarity(d) -> Column:
 
 
 def apply_temporal_weighting(df: DataFrame, vec: str = "embedding", days: str = "date_days",
-                             decay_days: float = 30.0, out: str | None = None) -> DataFrame:
+                             decay_days: float = 7.0, out: str | None = None) -> DataFrame:
     """V7 over a set: reference = latest non-null date of *this* (filtered) set.
 
     The reference date is a scalar subquery (one partial max per partition, one

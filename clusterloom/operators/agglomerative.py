@@ -31,12 +31,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, n_blocks_for, pair_matrix,  # noqa: F401
-                                          self_block_cogroup, within_reducer)
+from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, n_blocks_for, pair_matrix, self_block_cogroup,
+                                          within_reducer)
 from clusterloom.session import cut_lineage
 
 LINKAGES = ("ward", "average", "complete", "single")
-MAX_ROUNDS = 500
 NN_SCHEMA = "c long, nn long, d double"
 
 
@@ -67,100 +66,6 @@ def _nn_reducer_ward():
     return red
 
 
-def nn_chain(val: np.ndarray, ids: np.ndarray, linkage: str, sizes: np.ndarray | None = None,
-             counts: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """Sequential dendrogram of k clusters (k bounded by one block) by the nearest-neighbour chain.
-
-    ward: ``val`` = ward distances, ``sizes`` the cluster sizes (Lance-Williams on
-    squared distances); average: ``val`` = sums of point distances and
-    ``counts`` = point-pair counts (linkage = val / counts; a merge adds rows);
-    complete: ``val`` = maxima. The merged cluster keeps the smaller id; ties
-    break by (distance, id). Same dendrogram as the RNN rounds.
-    """
-    k = len(ids)
-    v = val.astype(np.float64).copy()
-    c = counts.astype(np.float64).copy() if counts is not None else None
-    if linkage == "ward":
-        v = v * v
-        size = sizes.astype(np.float64).copy()
-    alive = np.ones(k, bool)
-    ident = ids.astype(np.int64)
-    out: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-
-    def row_of(a: int) -> np.ndarray:
-        r = v[a] / c[a] if linkage == "average" else v[a].copy()
-        r = np.where(alive, r, np.inf)
-        r[a] = np.inf
-        return r
-
-    while alive.sum() > 1:
-        if not chain:
-            live = np.flatnonzero(alive)
-            chain.append(int(live[np.argmin(ident[live])]))
-        a = chain[-1]
-        row = row_of(a)
-        best = row.min()
-        cand = np.flatnonzero(row == best)
-        b = int(cand[np.argmin(ident[cand])])
-        if len(chain) > 1 and chain[-2] == b:
-            chain.pop()
-            chain.pop()
-            lo, hi = (a, b) if ident[a] < ident[b] else (b, a)
-            out.append((int(ident[lo]), int(ident[hi]), float(np.sqrt(best) if linkage == "ward" else best)))
-            if linkage == "ward":
-                na, nb, nk = size[lo], size[hi], size
-                new = ((na + nk) * v[lo] + (nb + nk) * v[hi] - nk * v[lo, hi]) / (na + nb + nk)
-                size[lo] = na + nb
-            elif linkage == "average":
-                new = v[lo] + v[hi]
-                newc = c[lo] + c[hi]
-                c[lo, :] = newc
-                c[:, lo] = newc
-            else:
-                new = np.maximum(v[lo], v[hi])
-            v[lo, :] = new
-            v[:, lo] = new
-            alive[hi] = False
-        else:
-            chain.append(b)
-    return out
-
-
-MERGE_SCHEMA = "a long, b long, height double"
-
-
-def _ward_tail(cl: DataFrame) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _stack(pdf["_vec"])
-        n = pdf["_size"].to_numpy(np.float64)
-        d = np.sqrt(2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * pair_matrix(x, x)
-        merges = nn_chain(d, pdf["_id"].to_numpy(np.int64), "ward", sizes=n)
-        return pd.DataFrame(merges, columns=["a", "b", "height"])
-
-    return cl.groupBy(F.lit(0).alias("_one")).applyInPandas(run, MERGE_SCHEMA)
-
-
-def _table_tail(table: DataFrame, linkage: str) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["c1"].to_numpy(np.int64), pdf["c2"].to_numpy(np.int64)]))
-        i = np.searchsorted(ids, pdf["c1"].to_numpy(np.int64))
-        j = np.searchsorted(ids, pdf["c2"].to_numpy(np.int64))
-        k = len(ids)
-        val = np.full((k, k), np.inf)
-        col = pdf["s"].to_numpy() if linkage == "average" else pdf["mx"].to_numpy()
-        val[i, j] = col
-        val[j, i] = col
-        cnt = None
-        if linkage == "average":
-            cnt = np.ones((k, k))
-            cnt[i, j] = pdf["cnt"].to_numpy()
-            cnt[j, i] = pdf["cnt"].to_numpy()
-        return pd.DataFrame(nn_chain(val, ids, linkage, counts=cnt), columns=["a", "b", "height"])
-
-    return table.groupBy(F.lit(0).alias("_one")).applyInPandas(run, MERGE_SCHEMA)
-
-
 def _nearest(nn_rows: DataFrame) -> DataFrame:
     return (nn_rows.groupBy("c").agg(F.min(F.struct("d", "nn")).alias("b"))
             .select("c", F.col("b.nn").alias("nn"), F.col("b.d").alias("d")))
@@ -173,28 +78,25 @@ def _reciprocal(nn: DataFrame) -> DataFrame:
             .select(F.col("c").alias("a"), F.col("nn").alias("b"), F.col("d").alias("height")))
 
 
-def _ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int, max_rounds: int) -> DataFrame:
+def _ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int, group: str | None) -> DataFrame | None:
+    extra = [F.col(group).alias("_grp")] if group else []
     cl = cut_lineage(df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"),
-                               F.lit(1.0).alias("_size")))
-    merges = []
-    for _ in range(max_rounds):
-        k = cl.count()
-        if k < 2:
-            break
-        if k <= block_rows:  # the rest fits one block: finish in one task
-            merges.append(cut_lineage(_ward_tail(cl)))
-            break
+                               F.lit(1.0).alias("_size"), *extra))
+    k, merges = cl.count(), []
+    while True:
         B = max(1, -(-k // block_rows))
-        nn = _nearest(self_block_cogroup(cl, _nn_reducer_ward(), NN_SCHEMA, B))
+        nn = _nearest(self_block_cogroup(cl, _nn_reducer_ward(), NN_SCHEMA, B, group="_grp" if group else None,
+                                         block_rows=block_rows))
         pairs = cut_lineage(_reciprocal(nn))
+        merged = pairs.count()
+        if not merged:
+            return _union(merges)
         merges.append(pairs)
+        k -= merged
         remap = pairs.select(F.col("b").alias("_id"), F.col("a").alias("_new"))
         moved = cl.join(remap, "_id", "left").withColumn("_new", F.coalesce("_new", "_id"))
-        cl = cut_lineage(moved.groupBy(F.col("_new").alias("_id")).agg(
+        cl = cut_lineage(moved.groupBy(F.col("_new").alias("_id"), *(["_grp"] if group else [])).agg(
             vector_to_array(_weighted_mean("_vec", "_size")).alias("_vec"), F.sum("_size").alias("_size")))
-    else:
-        raise RuntimeError("agglomerative rounds did not converge")
-    return _union(merges)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame | None:
@@ -212,30 +114,28 @@ def _weighted_mean(vec: str, w: str):
     return Summarizer.mean(array_to_vector(F.col(vec)), F.col(w))
 
 
-def _pair_table(df: DataFrame, id_col: str, vec: str, metric: str, block_rows: int) -> DataFrame:
-    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"))
-    B = n_blocks_for(pts, block_rows)
-    p = self_block_cogroup(pts, within_reducer(float("inf"), metric), "id_a long, id_b long, dist double", B)
+def _pair_table(df: DataFrame, id_col: str, vec: str, metric: str, block_rows: int, group: str | None) -> DataFrame:
+    extra = [F.col(group).alias("_grp")] if group else []
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"), *extra)
+    B = 0 if group else n_blocks_for(pts, block_rows)
+    p = self_block_cogroup(pts, within_reducer(float("inf"), metric), "id_a long, id_b long, dist double", B,
+                           group="_grp" if group else None, block_rows=block_rows)
     return p.select(F.col("id_a").alias("c1"), F.col("id_b").alias("c2"), F.col("dist").alias("s"),
                     F.col("dist").alias("mx"), F.lit(1.0).alias("cnt"))
 
 
 def _table_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: str, block_rows: int,
-                  max_rounds: int) -> DataFrame:
-    table = cut_lineage(_pair_table(df, id_col, vec, metric, block_rows))
+                  group: str | None) -> DataFrame | None:
+    table = cut_lineage(_pair_table(df, id_col, vec, metric, block_rows, group))
     merges = []
-    k = df.count()
-    for _ in range(max_rounds):
-        if table.isEmpty():
-            break
-        if k <= block_rows:  # at most block_rows clusters left: finish in one task
-            merges.append(cut_lineage(_table_tail(table, linkage)))
-            break
+    while True:
         # cnt = n1 * n2 point pairs behind a cluster pair, so average = s / cnt
         link = (F.col("s") / F.col("cnt")) if linkage == "average" else F.col("mx")
         both = table.select(F.col("c1").alias("c"), F.col("c2").alias("nn"), link.alias("d")).unionByName(
             table.select(F.col("c2").alias("c"), F.col("c1").alias("nn"), link.alias("d")))
         pairs = cut_lineage(_reciprocal(_nearest(both)))
+        if pairs.isEmpty():
+            return _union(merges)
         merges.append(pairs)
         remap = pairs.select(F.col("b").alias("old"), F.col("a").alias("new"))
 
@@ -249,16 +149,11 @@ def _table_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: st
              .where(F.col("c1") != F.col("c2"))
              .groupBy("c1", "c2").agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("cnt").alias("cnt")))
         table = cut_lineage(t)
-        k -= pairs.count()
-    else:
-        raise RuntimeError("agglomerative rounds did not converge")
-    return _union(merges)
 
 
 def dendrogram(df: DataFrame, linkage: str = "ward", metric: str = "euclidean", id_col: str = "pos",
-               vec: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS,
-               max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Full merge list ``a, b, height`` (n - 1 rows) for the given linkage."""
+               vec: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS, group: str | None = None) -> DataFrame:
+    """Full merge list ``a, b, height`` for the given linkage: n - 1 rows, or one less for each group."""
     linkage = linkage.lower()
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage {linkage!r}")
@@ -267,12 +162,12 @@ def dendrogram(df: DataFrame, linkage: str = "ward", metric: str = "euclidean",
     if linkage == "single":
         from clusterloom.operators.graph import minimum_spanning_forest
 
-        mst = minimum_spanning_forest(df, id_col, vec, metric=metric, block_rows=block_rows)
+        mst = minimum_spanning_forest(df, id_col, vec, metric=metric, block_rows=block_rows, group=group)
         return mst.select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("w").alias("height"))
     if linkage == "ward":
-        m = _ward_merges(df, id_col, vec, block_rows, max_rounds)
+        m = _ward_merges(df, id_col, vec, block_rows, group)
     else:
-        m = _table_merges(df, linkage, id_col, vec, metric, block_rows, max_rounds)
+        m = _table_merges(df, linkage, id_col, vec, metric, block_rows, group)
     if m is None:
         return df.sparkSession.createDataFrame([], "a long, b long, height double")
     return m
@@ -280,29 +175,35 @@ def dendrogram(df: DataFrame, linkage: str = "ward", metric: str = "euclidean",
 
 def agglomerative(df: DataFrame, n_clusters: int | None = None, distance_threshold: float | None = None,
                   linkage: str = "ward", metric: str = "euclidean", id_col: str = "pos",
-                  vec: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                  vec: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS, group: str | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
     """C4: labels (``<id_col>, label``, canonical numbering) and the merge list.
 
     Both parameters given -> the threshold wins; neither -> error; k is clamped
-    to the row count.
+    to the row count. With ``group`` every group is clustered on its own, in the
+    same rounds; labels are unique over all groups.
     """
     from clusterloom.operators.graph import connected_components
     from clusterloom.operators.kmeans import canonical_labels
+    from clusterloom.operators.topn import top_n_per_group
 
     if n_clusters is None and distance_threshold is None:
         raise ValueError("agglomerative clustering needs n_clusters or distance_threshold")
-    n = df.count()
-    if n == 0:
+    if df.isEmpty():
         raise ValueError("cannot cluster an empty vector set")
-    merges = dendrogram(df, linkage, metric, id_col, vec, block_rows)
+    merges = dendrogram(df, linkage, metric, id_col, vec, block_rows, group)
     if distance_threshold is not None:
         keep = merges.where(F.col("height") <= F.lit(float(distance_threshold)))
-    else:
-        cut = max(0, min(int(n_clusters), n) - 1)
-        top = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(cut)
+    elif group is None:
+        top = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(max(0, int(n_clusters) - 1))
         keep = merges.join(top, ["a", "b"], "left_anti")
+    else:
+        of = merges.join(df.select(F.col(id_col).cast("long").alias("a"), F.col(group).alias("_grp")), "a")
+        top = top_n_per_group(of, ["_grp"], [F.desc("height"), F.desc("a"), F.desc("b")], max(0, int(n_clusters) - 1),
+                              ["a", "b"])
+        keep = merges.join(top.select("a", "b"), ["a", "b"], "left_anti")
     comps = connected_components(df.select(F.col(id_col).alias("id")), keep, "id", "a", "b")
-    lab = comps.select(F.col("id").alias(id_col), F.col("component").cast("int").alias("label"))
+    lab = comps.select(F.col("id").alias(id_col), F.col("component").alias("label"))
     return canonical_labels(lab.withColumn("_k", F.col(id_col)), "_k").drop("_k"), merges
 
 

@@ -38,6 +38,12 @@ def pair_matrix(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.n
     """Dense distance block between row sets x (m x D) and y (n x D)."""
     if metric in ("euclidean", "l2", "sqeuclidean"):
         d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+        # the expansion cancels for near rows: take their differences instead
+        scale = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+        a, b = np.nonzero(d2 <= 1e-6 * scale)
+        for at in range(0, len(a), 1 << 16):
+            i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+            d2[i, j] = ((x[i] - y[j]) ** 2).sum(1)
         np.maximum(d2, 0.0, out=d2)
         return d2 if metric == "sqeuclidean" else np.sqrt(d2)
     if metric == "cosine":
@@ -62,20 +68,27 @@ def _stack(col: pd.Series) -> np.ndarray:
 
 
 def self_block_cogroup(pts: DataFrame, reducer: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
-                       schema: str, n_blocks: int, id_col: str = "_id") -> DataFrame:
+                       schema: str, n_blocks: int, id_col: str = "_id", group: str | None = None,
+                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Run ``reducer(left, right, is_diagonal)`` on every unordered block pair of ``pts``.
 
     Right-side columns are prefixed ``r_`` (a self-cogroup with equal names is
-    ambiguous). ``pts`` should carry only the columns the reducer needs.
+    ambiguous). ``pts`` should carry only the columns the reducer needs. With
+    ``group`` only rows of the same group meet, each group in blocks of its own
+    (``block_rows`` each; ``n_blocks`` isn't used).
     """
-    B = int(n_blocks)
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(B)).cast("int")
-    base = pts.withColumn("_blk", blk)
-    left = (base.withColumn("_gh", F.explode(F.sequence(F.col("_blk"), F.lit(B - 1))))
-            .withColumnRenamed("_blk", "_gl"))
+    if group is None:
+        base = pts.withColumn("_nb", F.lit(int(n_blocks)))
+    else:
+        sizes = pts.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_nb"))
+        base = pts.join(sizes, group)
+    base = base.withColumn("_blk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nb")).cast("int"))
+    left = (base.withColumn("_gh", F.explode(F.sequence(F.col("_blk"), F.col("_nb") - 1)))
+            .withColumnRenamed("_blk", "_gl").drop("_nb"))
     right = base.withColumn("_gl", F.explode(F.sequence(F.lit(0), F.col("_blk")))).withColumnRenamed(
-        "_blk", "_gh")
-    right = right.select(*[F.col(c).alias(c if c in ("_gl", "_gh") else f"r_{c}") for c in right.columns])
+        "_blk", "_gh").drop("_nb")
+    keys = ["_gl", "_gh"] + ([group] if group else [])
+    right = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns])
 
     def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
@@ -83,7 +96,7 @@ def self_block_cogroup(pts: DataFrame, reducer: Callable[[pd.DataFrame, pd.DataF
         diag = int(lpdf["_gl"].iloc[0]) == int(lpdf["_gh"].iloc[0])
         return reducer(lpdf, rpdf, diag)
 
-    return left.groupBy("_gl", "_gh").cogroup(right.groupBy("_gl", "_gh")).applyInPandas(run, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def cross_block_cogroup(left: DataFrame, right: DataFrame,
@@ -163,7 +176,11 @@ def within_reducer(threshold: float, metric: str = "euclidean"):
             return pd.DataFrame({"id_a": pd.Series([], dtype="int64"), "id_b": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
         li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
-        d = pair_matrix(_stack(l["_vec"]), _stack(r["r__vec"]), metric)
+        xl, xr = _stack(l["_vec"]), _stack(r["r__vec"])
+        d = pair_matrix(xl, xr, metric)
+        if np.isfinite(threshold) and metric in ("euclidean", "l2"):  # rounding must not decide at the threshold
+            a, b = np.nonzero(np.abs(d - threshold) <= 1e-9 * (1.0 + threshold))
+            d[a, b] = np.sqrt(((xl[a] - xr[b]) ** 2).sum(1))
         mask = (d <= threshold) & (li[:, None] != ri[None, :])
         if diag:
             mask &= li[:, None] < ri[None, :]

@@ -20,10 +20,10 @@ from clusterloom.functions.vector import l2_norm, parse_iso_days
 
 
 def _meta_field(df: DataFrame, meta: str, name: str) -> Column:
-    fields = df.schema[meta].dataType.fieldNames() if meta in df.columns else []
-    if name in fields:
+    """The field of the nested metadata, or the record's own where it isn't nested."""
+    if meta in df.columns and name in getattr(df.schema[meta].dataType, "names", []):
         return F.col(f"{meta}.{name}")
-    return F.lit(None).cast("string")
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
 def extract_clustering_metadata(df: DataFrame, meta: str = "metadata") -> DataFrame:
@@ -37,10 +37,9 @@ def extract_clustering_metadata(df: DataFrame, meta: str = "metadata") -> DataFr
         return F.nullif(F.trim(_meta_field(df, meta, name).cast("string")), F.lit(""))
 
     first_date = F.coalesce(text("temporal_reference"), text("publication_date"), text("date"))
-    return (df.withColumn("domain", _meta_field(df, meta, "domain"))
-              .withColumn("event_type", _meta_field(df, meta, "event_type"))
-              .withColumn("entity_type", _meta_field(df, meta, "entity_type"))
-              .withColumn("date_days", parse_iso_days(first_date)))
+    return df.withColumns({"domain": _meta_field(df, meta, "domain"), "event_type": _meta_field(df, meta, "event_type"),
+                           "entity_type": _meta_field(df, meta, "entity_type"),
+                           "date_days": parse_iso_days(first_date)})
 
 
 def _days_literal(v) -> Column:
@@ -110,7 +109,11 @@ def matches_filters(df: DataFrame, filters: dict | None) -> DataFrame:
 
 def map_back_labels(all_items: DataFrame, labelled: DataFrame, id_col: str = "item_id",
                     label_col: str = "label", prob_col: str | None = "probability") -> DataFrame:
-    """F8: every input row keeps a label; rows removed by the filters get -1 (probability 0)."""
+    """F8: every input row keeps a label; rows removed by the filters get -1 (probability 0).
+
+    ``id_col`` must identify a row: several vectors may share an ``item_id``, a
+    position (``pos``) is one vector's.
+    """
     cols = [id_col, label_col] + ([prob_col] if prob_col and prob_col in labelled.columns else [])
     out = all_items.join(labelled.select(*cols), id_col, "left")
     out = out.withColumn(label_col, F.coalesce(F.col(label_col), F.lit(-1)).cast("int"))

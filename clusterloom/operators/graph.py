@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 from clusterloom.operators.blocks import DEFAULT_BLOCK_ROWS, min_edge_reducer, n_blocks_for, self_block_cogroup
 from clusterloom.session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
 def _large_star(e: DataFrame) -> DataFrame:
     sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     m = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -55,21 +52,18 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id", src: str = "src",
-                         dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                         dst: str = "dst") -> DataFrame:
     """``vid, component`` where component = smallest vertex id of the component.
 
-    Isolated vertices are their own component. Raises if not converged in
-    ``max_rounds`` rounds.
+    Isolated vertices are their own component. O(log^2 n) rounds.
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where(
         F.col("u") != F.col("v")).distinct()
     e = cut_lineage(e)
-    for _ in range(max_rounds):
+    while True:
         e = cut_lineage(_small_star(_large_star(e)))
         if _is_star_forest(e):
             break
-    else:
-        raise RuntimeError("connected components did not converge")
     comp = (e.union(e.select(F.col("v").alias("u"), F.col("v")))
             .groupBy("u").agg(F.min("v").alias("component")))
     return (vertices.select(F.col(vid).cast("long").alias(vid)).distinct()
@@ -87,14 +81,14 @@ def threshold_components(df: DataFrame, threshold: float, id_col: str = "pos", v
 
 
 def core_distances(df: DataFrame, min_samples: int = 3, id_col: str = "pos", vec: str = "embedding",
-                   metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Distance to the ``min_samples``-th nearest other point (clamped to n - 1)."""
+                   metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS,
+                   group: str | None = None) -> DataFrame:
+    """Distance to the ``min_samples``-th nearest other point (of its group), or to the last
+    where there are fewer; a lone point has none."""
     from clusterloom.operators.neighbors import knn_graph
 
-    n = df.count()
-    k = max(1, min(int(min_samples), n - 1))
-    g = knn_graph(df, k, id_col, vec, metric, block_rows)
-    return g.where(F.col("rank") == k).select(F.col("id").alias(id_col), F.col("dist").alias("core_distance"))
+    g = knn_graph(df, int(min_samples), id_col, vec, metric, block_rows, group)
+    return g.groupBy(F.col("id").alias(id_col)).agg(F.max("dist").alias("core_distance"))
 
 
 def mutual_reachability(pairs: DataFrame, cores: DataFrame, alpha: float = 1.0, id_col: str = "pos") -> DataFrame:
@@ -105,7 +99,7 @@ def mutual_reachability(pairs: DataFrame, cores: DataFrame, alpha: float = 1.0,
             .withColumn("mreach", F.greatest("core_a", "core_b", F.col("dist") / F.lit(float(alpha)))))
 
 
-def _hook_and_jump(parent: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _hook_and_jump(parent: DataFrame) -> DataFrame:
     """Roots of the functional graph c -> p chosen by Boruvka (``c, root`` rows).
 
     Every component points at the component across its cheapest edge; the only
@@ -116,34 +110,36 @@ def _hook_and_jump(parent: DataFrame, max_rounds: int = 64) -> DataFrame:
     p = pp.select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c"))
                   .otherwise(F.col("p")).alias("p"))
     p = cut_lineage(p)
-    for _ in range(max_rounds):
+    while True:
         step = p.join(p.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left").select(
             "c", "p", F.coalesce(F.col("pp"), F.col("p")).alias("pp"))
         step = cut_lineage(step)
         if step.where(F.col("pp") != F.col("p")).isEmpty():
             return step.select("c", F.col("p").alias("root"))
         p = step.select("c", F.col("pp").alias("p"))
-    raise RuntimeError("pointer jumping did not converge")
 
 
 def minimum_spanning_forest(df: DataFrame, id_col: str = "pos", vec: str = "embedding",
                             cores: DataFrame | None = None, alpha: float = 1.0, metric: str = "euclidean",
-                            block_rows: int = DEFAULT_BLOCK_ROWS, max_rounds: int = 64) -> DataFrame:
+                            block_rows: int = DEFAULT_BLOCK_ROWS, group: str | None = None) -> DataFrame:
     """Boruvka MST of the complete graph (mutual reachability when ``cores`` given).
 
-    Returns ``lo, hi, w`` edges (n - 1 for a connected input).
+    Returns ``lo, hi, w`` edges: n - 1, or n minus the number of groups where ``group`` is
+    given and only rows of a group are joined.
     """
-    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"))
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"),
+                    *([F.col(group).alias("_grp")] if group else []))
     use_core = cores is not None
     if use_core:
         pts = pts.join(cores.select(F.col(id_col).cast("long").alias("_id"),
                                     F.col("core_distance").alias("_core")), "_id")
     pts = cut_lineage(pts.withColumn("_comp", F.col("_id")))
-    B = n_blocks_for(pts, block_rows)
+    B = 0 if group else n_blocks_for(pts, block_rows)
     forest = None
     schema = "comp long, w double, lo long, hi long, other long"
-    for _ in range(max_rounds):
-        cand = self_block_cogroup(pts, min_edge_reducer(alpha, metric, use_core), schema, B)
+    while True:  # the number of components at least halves each round
+        cand = self_block_cogroup(pts, min_edge_reducer(alpha, metric, use_core), schema, B,
+                                  group="_grp" if group else None, block_rows=block_rows)
         best = cut_lineage(cand.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
                            .select("comp", "e.w", "e.lo", "e.hi", "e.other"))
         if best.isEmpty():
@@ -153,8 +149,6 @@ def minimum_spanning_forest(df: DataFrame, id_col: str = "pos", vec: str = "embe
         roots = _hook_and_jump(best.select(F.col("comp").alias("c"), F.col("other").alias("p")))
         pts = cut_lineage(pts.join(roots.withColumnRenamed("c", "_comp"), "_comp", "left")
                           .withColumn("_comp", F.coalesce(F.col("root"), F.col("_comp"))).drop("root"))
-    else:
-        raise RuntimeError("Boruvka did not converge")
     if forest is None:
         return df.sparkSession.createDataFrame([], "lo long, hi long, w double")
     return forest
@@ -183,5 +177,5 @@ def single_linkage(df: DataFrame, n_clusters: int | None = None, distance_thresh
         heaviest = mst.orderBy(F.desc("w"), F.desc("lo"), F.desc("hi")).limit(cut)
         keep = mst.join(heaviest, ["lo", "hi"], "left_anti")
     comps = connected_components(df.select(F.col(id_col).alias("id")), keep, "id", "lo", "hi")
-    lab = comps.select(F.col("id").alias(id_col), F.col("component").cast("int").alias("label"))
+    lab = comps.select(F.col("id").alias(id_col), F.col("component").alias("label"))
     return canonical_labels(lab.withColumn("item_key", F.col(id_col)), "item_key").drop("item_key")

@@ -2,16 +2,16 @@
 
 Listings that are top-k reports (W1, W2, W6, W7, W9) keep their limit: the
 limit is the feature. Global positions (queue order) use a distributed sort
-followed by ``zipWithIndex`` (per-partition counts, no single-partition window).
+with offsets from the partitions' counts (no single-partition window).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clusterloom.operators.topn import top_n_per_group
+from clusterloom.session import cut_lineage
 
 # The six job states (the reference spells the last one "canceled").
 JOB_STATUSES = ("queued", "running", "paused", "completed", "failed", "canceled")
@@ -23,12 +23,22 @@ def normalise_status(col: Column) -> Column:
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """1-based position in a total order, computed without a single-partition window."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1] + 1))
-    return spark.createDataFrame(rdd, schema)
+    """1-based position in a total order, without a single-partition window.
+
+    Rows are range-partitioned and sorted, numbered inside their partition and
+    written once; the counts of the partitions (one number each) give the offsets.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = cut_lineage(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = dict(numbered.groupBy("_part").count().collect())
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    offset = F.element_at(F.array(*map(F.lit, before)), F.col("_part") + 1)
+    return numbered.withColumn(name, offset + F.col("_at") + 1).drop("_part", "_at")
 
 
 def list_jobs(jobs: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
@@ -67,7 +77,8 @@ def job_progress(events: DataFrame, as_of: Column, totals: DataFrame | None = No
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "item_id") -> DataFrame:
     """Seeded sample without replacement: the n smallest seeded hashes (deterministic)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")),
+                      F.col(id_col)).limit(n)
 
 
 def latest_events(df: DataFrame, n: int = 10_000, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
@@ -94,8 +105,22 @@ def add_processed(processed: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return processed.select(*keys).union(new.select(*keys)).dropDuplicates(keys)
 
 
+def cluster_statistics(clusters: DataFrame) -> DataFrame:
+    """A16, cluster half: clusters, items and average size by embedding type, and the outliers.
+
+    Input: the clusters table (S9) with its outlier rows; the row of type null is
+    the total over all types.
+    """
+    own = ~F.col("is_outlier")
+    return clusters.rollup("embedding_type").agg(
+        F.count_if(own).alias("total_clusters"),
+        F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)).alias("clustered_items"),
+        F.avg(F.when(own, F.col("size"))).alias("avg_cluster_size"),
+        F.coalesce(F.sum(F.when(~own, F.col("size"))), F.lit(0)).alias("total_outliers"))
+
+
 def service_statistics(jobs: DataFrame) -> DataFrame:
-    """Jobs by status with all six states present (zeros kept)."""
+    """A16, job half: jobs by status with all six states present (zeros kept)."""
     spark = jobs.sparkSession
     dim = spark.createDataFrame([(s,) for s in JOB_STATUSES], "status string")
     counts = jobs.groupBy(normalise_status(F.col("status")).alias("status")).agg(F.count("*").alias("n_jobs"))
@@ -110,14 +135,19 @@ def success_rate(jobs: DataFrame) -> DataFrame:
                     .alias("success_rate"))
 
 
-def job_result(assign: DataFrame, label: str = "label") -> DataFrame:
-    """Clusters created, outliers, total, and clustered items per cluster (trap D6)."""
+def job_result(assign: DataFrame, label: str = "label", quality: dict[str, float | None] | None = None,
+               processing_time_ms: int | None = None) -> DataFrame:
+    """Clusters created, outliers, total, clustered items per cluster (trap D6), quality metrics and time."""
+    metrics = F.create_map(*[x for k, v in (quality or {}).items() for x in (F.lit(k), F.lit(v).cast("double"))]) \
+        if quality else F.create_map().cast("map<string,double>")
     return assign.agg(
         F.count_distinct(F.when(F.col(label) != -1, F.col(label))).alias("clusters_created"),
         F.count_if(F.col(label) == -1).alias("outliers"),
         F.count("*").alias("total_items"),
     ).withColumn("avg_cluster_size",
-                 F.try_divide((F.col("total_items") - F.col("outliers")).cast("double"), F.col("clusters_created")))
+                 F.try_divide((F.col("total_items") - F.col("outliers")).cast("double"), F.col("clusters_created"))
+                 ).withColumn("quality_metrics", metrics
+                              ).withColumn("processing_time_ms", F.lit(processing_time_ms).cast("long"))
 
 
 def list_clusters(clusters: DataFrame, embedding_type: str | None = None, job_id: str | None = None,
@@ -133,14 +163,14 @@ def list_clusters(clusters: DataFrame, embedding_type: str | None = None, job_id
 
 
 def get_cluster(clusters: DataFrame, members: DataFrame, cluster_id: str, include_members: bool = True,
-                member_limit: int = 1000, member_offset: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """One cluster and a page of its members (members never collected whole)."""
+                member_limit: int | None = None, member_offset: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """One cluster and its members, all of them or the page that is asked for."""
     c = clusters.where(F.col("cluster_id") == cluster_id)
     if not include_members:
         return c, None
     m = (members.where(F.col("cluster_id") == cluster_id)
-         .orderBy(F.asc("distance_to_centroid"), F.asc("member_id")).offset(member_offset).limit(member_limit))
-    return c, m
+         .orderBy(F.asc("distance_to_centroid"), F.asc("member_id")).offset(member_offset))
+    return c, m if member_limit is None else m.limit(member_limit)
 
 
 def sample_clusters(clusters: DataFrame, n: int = 5) -> DataFrame:

@@ -1,126 +1,240 @@
 """K-Means family (C1-C3), nearest-centroid join (J3) and canonical labels.
 
-Spark's MLlib K-Means does the distributed Lloyd iterations (tree aggregation of
-per-partition sums, k-means|| initialisation). Around it:
+Lloyd iterations return partial sums by (group, restart, label), so that one Spark job
+advances all ``n_init`` restarts, and all groups where each is clustered on its own:
 
-* ``n_init`` restarts keep the run with the lowest training cost;
-* k is clamped to the row count and topped up with the farthest points when
-  MLlib returns fewer than k centres (duplicate points), so exactly k labels exist;
+* the restart with the lowest cost wins;
+* k is clamped to the row count, and a centre that loses its rows moves to the farthest one;
 * labels are canonical: numbered by (size desc, min item id).
 
-Centroids are k x D and k is a parameter, so broadcasting them is bounded by
-construction; nothing else is broadcast.
+Centroids are k x D for each group and restart, and k is a parameter; they are shipped
+to the tasks, and nothing else is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clusterloom.session import cut_lineage
+from clusterloom.session import cut_lineage, table_path
 
-MAX_BROADCAST_CENTROID_VALUES = 64_000_000  # k * D doubles ~ 512 MB: refuse beyond
-
-
-def _check_centroid_size(centers: np.ndarray) -> None:
-    if centers.size > MAX_BROADCAST_CENTROID_VALUES:
-        raise ValueError(f"{centers.shape[0]} x {centers.shape[1]} centroids exceed the broadcast bound")
+MAX_BROADCAST_VALUES = 64_000_000  # doubles shipped at once, 512 MB
+CANDIDATES_PER_CENTRE = 50
 
 
 def assign_nearest(df: DataFrame, centers: np.ndarray, vec: str = "embedding",
                    label: str = "label", dist: str = "distance") -> DataFrame:
     """Nearest centroid of every row by Euclidean distance (ties -> lowest index).
 
-    One Arrow batch at a time: |x|^2 + |c|^2 - 2 x.c with a single matrix product,
-    the centroid matrix shipped once per executor as a broadcast variable.
+    The centroid matrix is shipped in pieces of at most ``MAX_BROADCAST_VALUES``
+    numbers, one after the other (one piece for any usual k), and each row keeps
+    its best so far. Distances come from one matrix product per Arrow batch; the
+    winner's is recomputed by difference.
     """
     centers = np.asarray(centers, dtype=np.float64)
-    _check_centroid_size(centers)
+    step = max(1, MAX_BROADCAST_VALUES // max(1, centers.shape[1]))
+    for at in range(0, len(centers), step):
+        df = _assign_piece(df, centers[at:at + step], at, vec, label, dist)
+    return df
+
+
+def _assign_piece(df: DataFrame, centers: np.ndarray, first: int, vec: str, label: str, dist: str) -> DataFrame:
     bc = df.sparkSession.sparkContext.broadcast(centers)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(label, T.IntegerType()),
-                                                   T.StructField(dist, T.DoubleType())])
+    fields = [f for f in df.schema.fields if not first or f.name not in (label, dist)]
+    schema = T.StructType(fields + [T.StructField(label, T.IntegerType()), T.StructField(dist, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = bc.value
-        c2 = (c * c).sum(axis=1)
         for pdf in batches:
             if len(pdf) == 0:
                 yield pdf.assign(**{label: pd.Series([], dtype="int32"), dist: pd.Series([], dtype="float64")})
                 continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            d2 = (x * x).sum(axis=1)[:, None] + c2[None, :] - 2.0 * (x @ c.T)
-            idx = d2.argmin(axis=1)
-            best = np.sqrt(np.maximum(d2[np.arange(len(x)), idx], 0.0))
+            idx, best = nearest(np.stack(pdf[vec].to_numpy()).astype(np.float64), bc.value)
+            idx = idx.astype(np.int32) + np.int32(first)
+            if first:
+                kept = pdf[dist].to_numpy() <= best
+                idx, best = np.where(kept, pdf[label].to_numpy(), idx), np.where(kept, pdf[dist].to_numpy(), best)
             yield pdf.assign(**{label: idx.astype(np.int32), dist: best})
 
-    return df.mapInPandas(run, out_schema)
+    return df.mapInPandas(run, schema).select(*schema.names)
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and distance to the nearest row of ``c`` for each row of ``x``."""
+    d2 = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)
+    idx = d2.argmin(axis=1)
+    return idx, np.sqrt(((x - c[idx]) ** 2).sum(axis=1))
 
 
 def canonical_labels(assigned: DataFrame, id_col: str = "item_id", label: str = "label") -> DataFrame:
     """Renumber non-negative labels by (size desc, min item id); -1 stays -1.
 
-    The ranking runs over the per-label summary (one row per cluster), and the
-    mapping goes back by a join on the label. AQE broadcasts it when small and
-    otherwise splits the skewed label partitions.
+    The ranking is a distributed sort of the per-label summary (a clustering may
+    have as many labels as rows); the mapping goes back by a join on the label.
     """
+    from clusterloom.operators.jobs import global_rank
+
     summary = (assigned.where(F.col(label) >= 0).groupBy(label)
                .agg(F.count("*").alias("_n"), F.min(id_col).alias("_min_id")))
-    ranked = summary.withColumn(
-        "_new", (F.row_number().over(Window.orderBy(F.desc("_n"), F.asc("_min_id"))) - 1).cast("int"))
-    return (assigned.join(ranked.select(label, "_new"), label, "left")
+    ranked = global_rank(summary, [F.desc("_n"), F.asc("_min_id")], "_new")
+    return (assigned.join(ranked.select(label, (F.col("_new") - 1).cast("int").alias("_new")), label, "left")
             .withColumn(label, F.coalesce(F.col("_new"), F.lit(-1)).cast("int")).drop("_new"))
 
 
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over candidate rows; fewer than k where the candidates are fewer."""
+    chosen = [int(rng.integers(len(x)))]
+    d2 = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(x)):
+        nxt = int(rng.choice(len(x), p=d2 / d2.sum())) if d2.sum() > 0 else next(
+            i for i in range(len(x)) if i not in chosen)
+        chosen.append(nxt)
+        d2 = np.minimum(d2, ((x - x[nxt]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _sums(batches: Iterator[pa.RecordBatch], centers: dict[int, list[np.ndarray | None]]
+          ) -> Iterator[pa.RecordBatch]:
+    """Per group, restart and label: rows, vector sum, squared distances, and the farthest row."""
+    total: dict[tuple[int, int, int], list] = {}
+    for batch in batches:
+        groups = batch.column(0).to_numpy()
+        x = np.stack(batch.column(1).to_pandas().to_numpy()).astype(np.float64) if len(batch) else None
+        for g in np.unique(groups).tolist():
+            own = x[groups == g]
+            for r, c in enumerate(centers[g]):
+                if c is None:
+                    continue
+                idx, d = nearest(own, c)
+                for j in np.unique(idx).tolist():
+                    at = idx == j
+                    far = int(np.argmax(np.where(at, d, -1.0)))
+                    row = [int(at.sum()), own[at].sum(axis=0), float((d[at] ** 2).sum()), float(d[far]), own[far]]
+                    old = total.get((g, r, j))
+                    if old:
+                        far_of = row if row[3] > old[3] else old
+                        row = [row[0] + old[0], row[1] + old[1], row[2] + old[2], far_of[3], far_of[4]]
+                    total[g, r, j] = row
+    keys = list(total)
+    vectors = pa.list_(pa.float64())
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([total[k][0] for k in keys], pa.int64()),
+         pa.array([total[k][1].tolist() for k in keys], vectors), *(pa.array([total[k][i] for k in keys], pa.float64()) for i in (2, 3)),
+         pa.array([total[k][4].tolist() for k in keys], vectors)], ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
+
+
+def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed: int) -> tuple[dict[int, np.ndarray], dict]:
+    """Lloyd iterations for every group and restart at once: the best centres of each group.
+
+    ``pts``: ``_g int, _id, _vec``. One job per iteration, whatever the number of
+    groups and restarts: tasks return partial sums by (group, restart, label), which
+    are combined in Spark and come to the driver (groups x restarts x k rows). A
+    restart stops once none of its centres moves by ``tol`` or more. A centre
+    without rows moves to the farthest row.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from clusterloom.operators.topn import top_n_per_group
+
+    # candidates for the first centres only: the rows with the smallest seeded hashes of each group
+    order = F.xxhash64("_id", F.lit(seed))
+    first = top_n_per_group(pts.withColumn("_h", order), ["_g"], [F.asc("_h"), F.asc("_id")],
+                            max(k * CANDIDATES_PER_CENTRE, k), ["_id"]).select("_g", "_h", "_id", "_vec").toPandas()
+    centers: dict[int, list] = {}
+    for g, own in first.sort_values(["_g", "_h", "_id"]).groupby("_g"):
+        x = np.stack(own["_vec"].to_numpy()).astype(np.float64)
+        centers[int(g)] = [_plus_plus(x, k, np.random.default_rng([seed, r])) for r in range(max(1, n_init))]
+    cost = {(g, r): np.inf for g in centers for r in range(len(centers[g]))}
+    going, iterations = set(cost), {key: 0 for key in cost}
+    for _ in range(max_iter):
+        if not going:
+            break
+        live = {g: [c if (g, r) in going else None for r, c in enumerate(rs)] for g, rs in centers.items()}
+        bc = pts.sparkSession.sparkContext.broadcast(live)
+        rows = (pts.select("_g", "_vec").mapInArrow(
+            lambda batches, bc=bc: _sums(batches, bc.value),
+            "g int, r int, j int, n long, s array<double>, cost double, far_d double, far array<double>")
+            .groupBy("g", "r", "j").agg(
+                F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("s")))).alias("s"),
+                F.sum("cost").alias("cost"), F.max("far_d").alias("far_d"), F.max_by("far", "far_d").alias("far"))
+            .collect())
+        by: dict[tuple[int, int], list] = {}
+        for row in rows:
+            by.setdefault((row.g, row.r), []).append(row)
+        for (g, r), found in by.items():
+            old = centers[g][r]
+            new = old.copy()
+            for row in found:
+                new[row.j] = np.asarray(row.s) / row.n
+            empty = sorted(set(range(len(old))) - {row.j for row in found})
+            for j, row in zip(empty, sorted(found, key=lambda x: -x.far_d)):
+                new[j] = row.far
+            centers[g][r], cost[g, r] = new, sum(row.cost for row in found)
+            iterations[g, r] += 1
+            if np.sqrt(((new - old) ** 2).sum(axis=1)).max() < max(tol, 1e-12):
+                going.discard((g, r))
+        bc.unpersist()
+    best = {g: min(range(len(rs)), key=lambda r, g=g: (cost[g, r], r)) for g, rs in centers.items()}
+    return ({g: centers[g][best[g]] for g in centers},
+            {g: {"iterations": iterations[g, best[g]], "cost": cost[g, best[g]]} for g in centers})
+
+
+def assign_groups(df: DataFrame, centers: dict[int, np.ndarray], vec: str = "embedding", group: str = "_g") -> DataFrame:
+    """J3 inside each group: ``label`` counts through the groups' centres, ``distance`` to the nearest own one."""
+    offsets, at = {}, 0
+    for g in sorted(centers):
+        offsets[g], at = at, at + len(centers[g])
+    bc = df.sparkSession.sparkContext.broadcast((centers, offsets))
+    schema = T.StructType(df.schema.fields + [T.StructField("label", T.IntegerType()),
+                                               T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_centers, first = bc.value
+        for pdf in batches:
+            label, distance = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+            for g in pdf[group].unique().tolist():
+                at = (pdf[group] == g).to_numpy()
+                x = np.stack(pdf[vec][at].to_numpy()).astype(np.float64)
+                idx, distance[at] = nearest(x, all_centers[g])
+                label[at] = idx + first[g]
+            yield pdf.assign(label=label, distance=distance)
+
+    return df.mapInPandas(run, schema)
+
+
 def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
-           seed: int = 42, vec: str = "embedding", id_col: str = "item_id") -> tuple[DataFrame, dict]:
+           seed: int = 42, vec: str = "embedding", id_col: str = "item_id", group: str | None = None
+           ) -> tuple[DataFrame, dict]:
     """Lloyd K-Means, best of ``n_init`` seeds by inertia, exactly min(k, n) labels.
 
     Returns (assignments with ``label, distance``, info dict with k, inertia,
-    iterations and centres as a k x D array).
+    iterations and n). With ``group`` (an int column) every group is clustered on
+    its own, in the same jobs; labels are unique over all groups.
     """
-    feats = df.withColumn("_features", array_to_vector(F.col(vec))).persist(StorageLevel.MEMORY_AND_DISK)
-    n = feats.count()  # also fills the cache before the concurrent fits read it
+    base = cut_lineage(df if group else df.withColumn("_g", F.lit(0)))
+    g = group or "_g"
+    n = base.count()
     if n == 0:
-        feats.unpersist()
         raise ValueError("cannot cluster an empty vector set")
-    k = max(1, min(int(k), n))
-    best = None
-    if k > 1:
-        def fit(i):
-            model = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, featuresCol="_features",
-                           predictionCol="_pred").fit(feats)
-            return model.summary.trainingCost, i, model
-
-        # restarts are independent: submit them concurrently, keep the lowest cost (ties: lowest seed)
-        with ThreadPoolExecutor(max_workers=min(max(1, n_init), 8)) as pool:
-            fits = list(pool.map(fit, range(max(1, n_init))))
-        cost, _, model = min(fits, key=lambda f: (f[0], f[1]))
-        best = (cost, model)
-    if best is None:  # k == 1: the centre is the mean
-        from pyspark.ml.stat import Summarizer
-        mean = feats.agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"]
-        centers = np.asarray(mean.toArray())[None, :]
-        iterations = 0
-    else:
-        centers = np.asarray([c for c in best[1].clusterCenters()])
-        iterations = best[1].summary.numIter
-    if len(centers) < k:
-        centers = _top_up(feats.drop("_features"), centers, k, vec)
-    assigned = assign_nearest(feats.drop("_features"), centers, vec)
-    assigned = cut_lineage(assigned)
-    feats.unpersist()
+    pts = base.select(F.col(g).alias("_g"), F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
+    pts.persist(StorageLevel.MEMORY_AND_DISK)
+    centers, runs = lloyd(pts, max(1, min(int(k), n)), n_init, max_iter, tol, seed)
+    pts.unpersist()
+    assigned = cut_lineage(assign_groups(base, centers, vec, g))
+    if group is None:
+        assigned = assigned.drop("_g")
     inertia = assigned.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
-    relabelled = canonical_labels(assigned, id_col)
-    return relabelled, {"k": k, "inertia": float(inertia), "iterations": iterations, "n": n}
+    info = {"k": sum(map(len, centers.values())), "inertia": float(inertia), "n": n,
+            "iterations": max(r["iterations"] for r in runs.values())}
+    return canonical_labels(assigned, id_col), info
 
 
 def _top_up(df: DataFrame, centers: np.ndarray, k: int, vec: str) -> np.ndarray:
@@ -151,7 +265,7 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
     idx = assign_nearest(df.select(id_col, vec), centers, vec, label="_idx")
     mapping = df.sparkSession.createDataFrame(
         [(int(i), int(l)) for i, l in enumerate(labels)], "_idx int, " + label + " int")
-    assigned = idx.join(F.broadcast(mapping), "_idx").drop("_idx")
+    assigned = idx.join(mapping, "_idx").drop("_idx")
     new = assigned.groupBy(label).agg(
         vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("centroid"),
         F.count("*").alias("size"))
@@ -163,8 +277,8 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
                      id_col: str = "item_id", tol: float = 0.0) -> tuple[DataFrame, dict]:
     """Mini-batch K-Means (Sculley 2010) on hash-selected batches.
 
-    Each step: choose a batch by a seeded hash of the id (no sampling of the
-    driver), assign it to the broadcast centres, aggregate per-label sums and
+    Each step takes the next batch (rows are dealt to batches by a seeded hash of the
+    id; after the last batch the first comes again), assigns it to the broadcast centres, aggregate per-label sums and
     counts in Spark, and apply the per-centre learning-rate update
     c <- c + (sum - n c) / N_c on the driver (k x D values). Centres whose total
     count stays below ``reassignment_ratio`` x the largest count are moved to
@@ -184,11 +298,14 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
     centers = np.asarray([r[0] for r in init], dtype=np.float64)
     centers = _top_up(base, centers, k, vec) if len(centers) < k else centers
     counts = np.zeros(k)
+    # batches by a seeded hash, written once by batch: a step reads its own files only
     n_batches = max(1, int(np.ceil(n / batch_size)))
+    root = table_path(df.sparkSession)
+    (base.select(id_col, vec, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_batches)).cast("int").alias("_batch"))
+     .where(F.col("_batch") < max_iter).repartition("_batch").write.partitionBy("_batch").parquet(root))
+    batches = df.sparkSession.read.parquet(root)
     for it in range(max_iter):
-        bucket = (seed * 7919 + it) % n_batches
-        batch = base.select(id_col, vec).where(
-            F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + it)), F.lit(n_batches)) == bucket)
+        batch = batches.where(F.col("_batch") == it % n_batches).drop("_batch")
         stats = (assign_nearest(batch, centers, vec).groupBy("label")
                  .agg(F.count("*").alias("n"),
                       vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"),
@@ -217,27 +334,13 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
                                                 "iterations": it + 1, "n": n}
 
 
-def elbow_k(costs: DataFrame) -> DataFrame:
-    """C3 arithmetic: ``k, cost`` rows -> the k at the largest second difference + 1 position.
-
-    With at most two points the middle k is chosen. A window over the k grid
-    (a handful of rows), never over data rows.
-    """
-    w = Window.orderBy("k")
-    d = (costs.withColumn("d1", F.col("cost") - F.lag("cost").over(w))
-         .withColumn("d2", F.col("d1") - F.lag("d1").over(w))
-         .withColumn("idx", F.row_number().over(w) - 1)
-         .withColumn("n_points", F.count("*").over(Window.partitionBy()))
-         .withColumn("middle", F.floor(F.col("n_points") / 2)))
-    return d
-
-
-def estimate_k(df: DataFrame, min_k: int = 2, max_k: int = 100, sample_size: int = 10_000,
+def estimate_k(df: DataFrame, min_k: int = 2, max_k: int = 100, sample_size: int | None = None,
                seed: int = 42, vec: str = "embedding", id_col: str = "item_id") -> tuple[int, list]:
-    """Elbow method on a seeded hash sample (W9) of at most ``sample_size`` rows."""
+    """Elbow method on all rows, or on a seeded hash sample (W9) where ``sample_size`` is given."""
     from clusterloom.operators.jobs import sample_rows
 
-    sample = sample_rows(df, sample_size, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    sample = (df if sample_size is None else sample_rows(df, sample_size, seed, id_col)).persist(
+        StorageLevel.MEMORY_AND_DISK)
     n = sample.count()
     max_k = min(max_k, n - 1)
     if max_k < min_k:
@@ -273,7 +376,7 @@ def incremental_assign(new: DataFrame, centroids: DataFrame, max_distance: float
     centers = np.asarray([r[1] for r in rows], dtype=np.float64)
     idx = assign_nearest(new, centers, vec, label="_idx")
     mapping = new.sparkSession.createDataFrame([(i, l) for i, l in enumerate(labels)], f"_idx int, {label} int")
-    assigned = idx.join(F.broadcast(mapping), "_idx").drop("_idx")
+    assigned = idx.join(mapping, "_idx").drop("_idx")
     if max_distance is not None:
         assigned = assigned.withColumn(label, F.when(F.col("distance") <= F.lit(float(max_distance)),
                                                      F.col(label)).otherwise(F.lit(-1)))

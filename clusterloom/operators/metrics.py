@@ -131,8 +131,8 @@ def davies_bouldin(assign: DataFrame, vec: str = "embedding", label: str = "labe
         li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
         num = l["_scat"].to_numpy()[:, None] + r["r__scat"].to_numpy()[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(li[:, None] == ri[None, :], -np.inf, num / d)
-        ratio = np.where(np.isnan(ratio), -np.inf, ratio)
+            ratio = np.where(d > 0, num / d, 0.0)  # coinciding centroids count as 0
+        ratio = np.where(li[:, None] == ri[None, :], -np.inf, ratio)
         out = [pd.DataFrame({"id": li, "ratio": ratio.max(axis=1)})]
         if not diag:
             out.append(pd.DataFrame({"id": ri, "ratio": ratio.max(axis=0)}))

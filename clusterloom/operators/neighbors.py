@@ -6,36 +6,39 @@ back to string item ids when they need them.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, cross_block_cogroup, knn_reducer,
+from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, _topk_rows, cross_block_cogroup, knn_reducer,
                                           n_blocks_for, pair_matrix, self_block_cogroup, within_reducer)
 from clusterloom.operators.filters import search_predicate
 
 KNN_SCHEMA = "id long, nbr_id long, dist double"
+MAX_SHIPPED_VALUES = 8_000_000  # numbers in the query vectors that go to every task, 64 MB
 
 
 def _points(df: DataFrame, id_col: str, vec: str, **extra: str) -> DataFrame:
     cols = [F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec")]
-    cols += [F.col(src).alias(f"_{dst}") for dst, src in extra.items()]
+    cols += [F.col(src).alias(f"_{dst}") for src, dst in extra.items()]
     return df.select(*cols)
 
 
 def knn_graph(df: DataFrame, k: int, id_col: str = "pos", vec: str = "embedding",
-              metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Q6: the k nearest other items of every item: ``id, nbr_id, dist, rank``.
+              metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS,
+              group: str | None = None) -> DataFrame:
+    """Q6: the k nearest other items of every item (of its group): ``id, nbr_id, dist, rank``.
 
     Each block pair returns at most k candidates per row; the final top-k per
     id ranks at most (B + 1) k candidates, a bounded group per id.
     """
-    pts = _points(df, id_col, vec)
-    B = n_blocks_for(pts, block_rows)
-    cand = self_block_cogroup(pts, knn_reducer(k, metric), KNN_SCHEMA, B)
+    pts = _points(df, id_col, vec, **({group: "grp"} if group else {}))
+    B = 0 if group else n_blocks_for(pts, block_rows)
+    cand = self_block_cogroup(pts, knn_reducer(k, metric), KNN_SCHEMA, B, group="_grp" if group else None,
+                              block_rows=block_rows)
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -56,19 +59,53 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, id_col: str = "pos",
             raise ValueError(f"query dimension {bad[0][0]} does not match the vector set")
     left = queries.select(F.col(query_id).cast("long").alias("_id"), F.col(query_vec).alias("_vec"))
     right = base.select(F.col(id_col).cast("long").alias("r__id"), F.col(vec).alias("r__vec"))
-    Bl = n_blocks_for(left, block_rows)
-    Br = n_blocks_for(right, block_rows)
-    red = knn_reducer(k, metric, exclude_self=False)
-
-    def one_sided(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
-        return red(l, r, True)  # 'diagonal' = only the query direction
-
-    cand = cross_block_cogroup(left, right, one_sided, KNN_SCHEMA, Bl, Br)
+    n_queries = left.count()
+    width = left.select(F.max(F.size("_vec"))).first()[0] or 0
+    if n_queries * width <= MAX_SHIPPED_VALUES:
+        cand = _scan_base(left, right, k, metric)
+    else:
+        red = knn_reducer(k, metric, exclude_self=False)
+
+        def one_sided(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
+            return red(l, r, True)  # 'diagonal' = only the query direction
+
+        cand = cross_block_cogroup(left, right, one_sided, KNN_SCHEMA, max(1, -(-n_queries // block_rows)),
+                                   n_blocks_for(right, block_rows))
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("id").alias(query_id), "rank", F.col("nbr_id").alias("id"), "dist"))
 
 
+def _scan_base(queries: DataFrame, base: DataFrame, k: int, metric: str) -> DataFrame:
+    """Each partition's k nearest rows of every query: the queries, of a checked size, go to the base."""
+    rows = queries.orderBy("_id").collect()
+    ids = np.array([r[0] for r in rows], np.int64)
+    bc = base.sparkSession.sparkContext.broadcast(
+        (ids, np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q = bc.value
+        own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, id, distance
+        for pdf in batches:
+            if len(pdf) == 0 or len(qid) == 0:
+                continue
+            found = [own]
+            x, nbr = _stack(pdf["r__vec"]), pdf["r__id"].to_numpy(np.int64)
+            for at in range(0, len(x), DEFAULT_BLOCK_ROWS):
+                d = pair_matrix(q, x[at:at + DEFAULT_BLOCK_ROWS], metric)
+                a, b = _topk_rows(d, nbr[at:at + DEFAULT_BLOCK_ROWS], k)
+                found.append((a, nbr[at + b], d[a, b]))
+            a, n, d = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((n, d, a))
+            a, n, d = a[order], n[order], d[order]
+            starts = np.searchsorted(a, a)  # first of the same query
+            keep = np.arange(len(a)) - starts < k
+            own = a[keep], n[keep], d[keep]
+        yield pd.DataFrame({"id": qid[own[0]] if len(qid) else own[0], "nbr_id": own[1], "dist": own[2]})
+
+    return base.mapInPandas(run, KNN_SCHEMA)
+
+
 def pad_results(hits: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
     """Q3: exactly k slots per query; empty slots have id -1 and distance +inf."""
     slots = queries.select(query_id).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
@@ -78,10 +115,13 @@ def pad_results(hits: DataFrame, queries: DataFrame, k: int, query_id: str = "qu
 
 
 def knn_search_postfilter(base: DataFrame, queries: DataFrame, k: int, filters: dict,
-                          id_col: str = "pos", vec: str = "embedding", over_fetch: int = 10_000,
+                          id_col: str = "pos", vec: str = "embedding", over_fetch: int = 10,
                           **kw) -> DataFrame:
-    """Q2: over-fetch min(10k, n) candidates, apply the search filter (F7), keep the first k."""
-    cand = knn_search(base, queries, over_fetch, id_col, vec, **kw)
+    """Q2: the nearest ``over_fetch * k`` candidates, the search filter (F7) on them, the first k of the rest.
+
+    A query may get fewer than k hits (pad with Q3); Q4 filters first.
+    """
+    cand = knn_search(base, queries, over_fetch * k, id_col, vec, **kw)
     meta = base.drop(vec, "id").withColumnRenamed(id_col, "id")
     kept = cand.join(meta, "id", "inner").where(search_predicate(meta, filters))
     w = Window.partitionBy(kw.get("query_id", "query_id")).orderBy("rank")
@@ -191,23 +231,14 @@ def search_clusters(profiles: DataFrame, query_vector: Column | None = None, fil
     """
     from clusterloom.functions.vector import cosine_similarity
 
-    p = profiles.where((F.col("size") >= F.lit(min_size)) & search_predicate(profiles, filters))
+    keep = F.col("size") >= F.lit(min_size)
+    for key, want in (filters or {}).items():
+        if f"{key}s" in profiles.columns and key not in profiles.columns:  # a profile's sets: domains, event_types, ...
+            wanted = list(want) if isinstance(want, (list, tuple, set)) else [want]
+            keep = keep & F.coalesce(F.arrays_overlap(f"{key}s", F.array(*map(F.lit, wanted))), F.lit(False))
+        else:
+            keep = keep & search_predicate(profiles, {key: want})
+    p = profiles.where(keep)
     sim = cosine_similarity(centroid, query_vector) if query_vector is not None else F.lit(None).cast("double")
     return (p.withColumn("similarity", sim)
             .orderBy(F.desc_nulls_last("similarity"), F.desc("size"), F.asc(id_col)).limit(top_k))
-
-
-def brute_force_knn(x: np.ndarray, ids: np.ndarray, k: int) -> dict:
-    """Small numpy reference used by the tests."""
-    d = pair_matrix(x, x)
-    np.fill_diagonal(d, np.inf)
-    out = {}
-    for i in range(len(x)):
-        order = np.lexsort((ids, d[i]))[:k]
-        out[int(ids[i])] = [(int(ids[j]), float(d[i, j])) for j in order]
-    return out
-
-
-__all__ = ["knn_graph", "knn_search", "pad_results", "knn_search_postfilter", "knn_search_prefilter",
-           "pairs_within", "pair_distances", "pairs_within_days", "search_clusters", "brute_force_knn",
-           "_stack", "math"]

@@ -28,7 +28,9 @@ def cluster_profile(assign: DataFrame, vec: str = "embedding", label: str = "lab
     * exemplar: the member closest to the centroid (``min_by``), ties by id;
     * mean_distance / cohesion: mean L2 distance / mean cosine to the centroid;
     * separation: distance to the nearest other centroid (k-row pair step);
+    * density: members per unit of mean distance (size / (mean distance + 1));
     * min/max date, span in days; sorted distinct domains, event and entity types;
+    * the source documents are the rows of ``cluster_documents``;
     * top_members: the ``top_n`` members nearest the centroid (a bounded report).
     """
     cents = centroids_of(assign, vec, label) if cents is None else cents
@@ -46,7 +48,7 @@ def cluster_profile(assign: DataFrame, vec: str = "embedding", label: str = "lab
         F.array_sort(F.collect_set("entity_type")).alias("entity_types"),
         F.mode("event_type", deterministic=True).alias("dominant_event_type"),
         F.mode("domain", deterministic=True).alias("dominant_domain"),
-    ).withColumn("temporal_span_days", F.col("max_date_days") - F.col("min_date_days"))
+    ).withColumn("density", F.col("size") / (F.col("mean_distance") + 1.0)).withColumn("temporal_span_days", F.col("max_date_days") - F.col("min_date_days"))
     # nearest-member report: rank inside each cluster, keep top_n (a top-k feature)
     top = (top_n_per_group(m.select(label, id_col, "_d"), [label], [F.col("_d"), F.col(id_col)], top_n,
                            [id_col], rank_col="_r")
@@ -105,12 +107,28 @@ def temporal_gaps(ordered: DataFrame, label: str = "label", id_col: str = "item_
     return gaps.drop("_g"), stats.withColumn("temporal_pattern", pattern.cast("string"))  # noqa: E501
 
 
-def quality_gate(profile: DataFrame, outlier_share: DataFrame | None = None, min_size: int = 3,
-                 min_similarity: float = 0.7, max_outlier_share: float = 0.1) -> DataFrame:
-    """clusters passing size >= 3 and average similarity >= 0.7 (``passes`` flag)."""
+def quality_gate(profile: DataFrame, min_size: int = 3, min_similarity: float = 0.7) -> DataFrame:
+    """F13, cluster half: ``passes`` where size >= 3 and average similarity >= 0.7."""
     return profile.withColumn("passes", (F.col("size") >= min_size) & (F.col("cohesion") >= min_similarity))
 
 
+def outlier_gate(assign: DataFrame, max_outlier_share: float = 0.1, keys: tuple[str, ...] = (),
+                 label: str = "label") -> DataFrame:
+    """F13, job half: share of outliers (of each of ``keys``, as a job) and whether it is above the limit."""
+    share = F.count_if(F.col(label) == -1) / F.count("*")
+    return assign.groupBy(*keys).agg(F.count("*").alias("total"), share.alias("outlier_share")).withColumn(
+        "flagged", F.col("outlier_share") > max_outlier_share)
+
+
+def cluster_documents(assign: DataFrame, document: str = "item_id", label: str = "label") -> DataFrame:
+    """A10 / A12 document ids: one row per cluster and source document with its number of members.
+
+    Rows, not an array in the profile: a cluster may hold any share of all documents.
+    """
+    return (assign.where((F.col(label) >= 0) & F.col(document).isNotNull())
+            .groupBy(label, F.col(document).alias("document_id")).agg(F.count("*").alias("n_members")))
+
+
 def top_values(assign: DataFrame, col: str, n: int = 3, label: str = "label") -> DataFrame:
     """A11-A14 'primary / dominant X': the n most frequent values of ``col`` per cluster.
 
@@ -124,8 +142,12 @@ def top_values(assign: DataFrame, col: str, n: int = 3, label: str = "label") ->
 
 
 def event_profile(assign: DataFrame, label: str = "label", id_col: str = "item_id", n: int = 3) -> DataFrame:
-    """Dominant event type and domain, primary entity types, first events in time order,
-    and the temporal pattern of each cluster."""
+    """Dominant event type and domain, primary entity types, the first ``n`` events in time
+    order (a top-n report), and the temporal pattern of each cluster.
+
+    All events in time order are the rows of ``temporal_order``, all documents those
+    of ``cluster_documents``.
+    """
     dom = cluster_profile_min(assign, label)
     ents = (top_values(assign, "entity_type", n, label).groupBy(label)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
@@ -139,6 +161,71 @@ def event_profile(assign: DataFrame, label: str = "label", id_col: str = "item_i
             .join(pattern.select(label, "temporal_pattern"), label, "left"))
 
 
+def entity_profile(assign: DataFrame, text: str = "item_id", entity: str = "entity_type",
+                   document: str = "document_id", label: str = "label", n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(profile, co-occurring entity clusters).
+
+    profile: size, entity type (the most frequent), canonical form (the most frequent
+    text, ties by text), number of distinct forms and the ``n`` most frequent ones as
+    aliases. Co-occurrence: the ``n`` other clusters that share most documents, by a
+    join on the document of (cluster, document) rows.
+    """
+    own = assign.where(F.col(label) >= 0)
+    kinds = own.groupBy(label).agg(F.count("*").alias("size"), F.mode(entity, deterministic=True).alias("entity_type"))
+    forms = own.where(F.col(text).isNotNull()).groupBy(label, F.col(text).alias("form")).agg(F.count("*").alias("n"))
+    best = forms.groupBy(label).agg(F.min_by("form", F.struct(-F.col("n"), F.col("form"))).alias("canonical_form"),
+                                    F.count("*").alias("n_forms"))
+    top = top_n_per_group(forms, [label], [F.desc("n"), F.asc("form")], n, ["form"], rank_col="rank")
+    aliases = top.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "form"))),
+                                                 lambda s: s["form"]).alias("aliases"))
+    profile = kinds.join(best, label, "left").join(aliases, label, "left")
+    return profile, related_clusters(own, document, label, n)
+
+
+def related_clusters(assign: DataFrame, shared: str, label: str = "label", n: int = 10) -> DataFrame:
+    """For each cluster the ``n`` others that share most values of ``shared``, with the overlap.
+
+    ``label, rank, related, n_shared, jaccard``. A value's clusters meet through an
+    equi-join on the value, pre-aggregated to one row per cluster and value.
+    """
+    sets = assign.where((F.col(label) >= 0) & F.col(shared).isNotNull()).select(label, F.col(shared).alias("v")).distinct()
+    sizes = sets.groupBy(label).agg(F.count("*").alias("m"))
+    other = sets.select(F.col(label).alias("related"), "v")
+    pairs = (sets.join(other, "v").where(F.col(label) != F.col("related")).groupBy(label, "related")
+             .agg(F.count("*").alias("n_shared")))
+    scored = (pairs.join(sizes, label).join(sizes.select(F.col(label).alias("related"), F.col("m").alias("m2")), "related")
+              .withColumn("jaccard", F.col("n_shared") / (F.col("m") + F.col("m2") - F.col("n_shared"))).drop("m", "m2"))
+    ranked = top_n_per_group(scored, [label], [F.desc("n_shared"), F.desc("jaccard"), F.asc("related")], n, ["related"])
+    return ranked.select(label, "rank", "related", "n_shared", "jaccard")
+
+
+def document_profile(assign: DataFrame, topics: str = "domain", words: str = "n_words", label: str = "label",
+                     days: str = "date_days", n: int = 3) -> DataFrame:
+    """Size, primary topics (the ``n`` most frequent), date range, and average word count of each cluster."""
+    own = assign.where(F.col(label) >= 0)
+    base = own.groupBy(label).agg(F.count("*").alias("size"), F.avg(words).alias("avg_words"),
+                                  F.min(days).alias("min_date_days"), F.max(days).alias("max_date_days"))
+    top = top_values(own, topics, n, label).groupBy(label).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("primary_topics"))
+    return base.join(top, label, "left")
+
+
+def storyline_profile(assign: DataFrame, event: str = "event_type", entity: str = "entity_type", label: str = "label",
+                      days: str = "date_days", n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(profile, related storylines).
+
+    profile: size, key events and primary entities (the ``n`` most frequent), span in
+    days; related: clusters that share entities (``related_clusters``).
+    """
+    own = assign.where(F.col(label) >= 0)
+    out = own.groupBy(label).agg(F.count("*").alias("size"), (F.max(days) - F.min(days)).alias("span_days"))
+    for col, name in ((event, "key_events"), (entity, "primary_entities")):
+        top = top_values(own, col, n, label).groupBy(label).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias(name))
+        out = out.join(top, label, "left")
+    return out, related_clusters(own, entity, label, n)
+
+
 def cluster_profile_min(assign: DataFrame, label: str = "label") -> DataFrame:
     return assign.where(F.col(label) >= 0).groupBy(label).agg(
         F.count("*").alias("size"),

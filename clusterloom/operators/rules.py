@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clusterloom.functions.vector import iso_micros
+
 UPSTREAM_EVENT_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType()),
     T.StructField("job_id", T.StringType()),
@@ -33,9 +35,9 @@ DEFAULT_RULES = {
 # Per-algorithm default parameters and the manual / automatic priorities.
 ALGORITHM_DEFAULTS = {
     "hdbscan": {"min_cluster_size": "5", "min_samples": "3", "cluster_selection_epsilon": "0.0",
-                "metric": "euclidean", "cluster_selection_method": "eom"},
+                "metric": "euclidean", "cluster_selection_method": "eom", "allow_single_cluster": "false"},
     "kmeans": {"n_clusters": "50", "n_init": "10", "max_iter": "300", "random_state": "42"},
-    "agglomerative": {"n_clusters": "10", "linkage": "ward", "metric": "euclidean"},
+    "agglomerative": {"distance_threshold": "0.5", "linkage": "ward", "metric": "euclidean"},
 }
 MANUAL_PRIORITY, AUTO_PRIORITY = 9, 5
 REQUIRED_FIELDS = ("event_type", "job_id", "embedding_type", "total_embeddings", "timestamp")
@@ -52,7 +54,7 @@ def validate_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     reason = F.when(F.col("event").isNull(), F.lit("unparseable"))
     for f in REQUIRED_FIELDS:
         reason = reason.when(F.col(f"event.{f}").isNull(), F.lit(f"missing_{f}"))
-    ts = F.try_to_timestamp(F.col("event.timestamp"))
+    ts = F.timestamp_micros(iso_micros(F.col("event.timestamp")))
     reason = reason.when(ts.isNull(), F.lit("bad_timestamp"))
     return df.withColumn("event_ts", ts).withColumn("invalid_reason", reason)
 
@@ -73,18 +75,37 @@ def trigger_decision(ev: DataFrame, rules: dict | None = None) -> DataFrame:
 
 
 def receiver_decision(ev: DataFrame, rules: dict | None = None) -> DataFrame:
-    """the webhook variant: same checks (minimum defaults to 0), reject with a code."""
-    r = {**DEFAULT_RULES, "min_embeddings": 0, **(rules or {})}
-    d = trigger_decision(ev, r)
-    code = (F.when(F.col("decision") == "triggered", F.lit(202))
-            .when(F.col("decision") == "invalid", F.lit(422))
-            .when(F.col("decision") == "auto_trigger_disabled", F.lit(503))
-            .otherwise(F.lit(400)))
-    return d.withColumn("accepted", F.col("decision") == "triggered").withColumn("status_code", code)
-
-
-def job_requests(decided: DataFrame, rules: dict | None = None, triggered_by: str = "stage3_stream") -> DataFrame:
-    """T1 output: one complete clustering-job request per triggered event (trap D8)."""
+    """the webhook variant, with a status code for each reason.
+
+    Order: malformed (422), wrong token (401, only where a token is set), automation
+    or receiver disabled (503), type, minimum (0 by default) and quality (400). The
+    event type isn't tested here.
+    """
+    r = {**DEFAULT_RULES, "min_embeddings": 0, "receiver_enabled": True, "auth_token": None, **(rules or {})}
+    e = lambda f: F.col(f"event.{f}")
+    token = F.col("auth_token") if "auth_token" in ev.columns else F.lit(None).cast("string")
+    wrong = F.lit(False) if not r["auth_token"] else ~F.coalesce(token == F.lit(r["auth_token"]), F.lit(False))
+    checks = [(F.col("invalid_reason").isNotNull(), "invalid", 422),
+              (wrong, "unauthorized", 401),
+              (F.lit(not r["auto_trigger"]), "auto_trigger_disabled", 503),
+              (F.lit(not r["receiver_enabled"]), "receiver_disabled", 503),
+              (~e("embedding_type").isin(r["embedding_types"]), "embedding_type_not_allowed", 400),
+              (e("total_embeddings") < F.lit(r["min_embeddings"]), "insufficient_embeddings", 400),
+              (F.coalesce(e("quality_score") < F.lit(r["quality_threshold"]), F.lit(False)),
+               "embedding_quality_too_low", 400)]
+    decision, code = F, F
+    for failed, name, status in checks:
+        decision, code = decision.when(failed, F.lit(name)), code.when(failed, F.lit(status))
+    decision, code = decision.otherwise(F.lit("triggered")), code.otherwise(F.lit(202))
+    return (ev.withColumn("decision", decision).withColumn("status_code", code)
+            .withColumn("accepted", F.col("decision") == "triggered"))
+
+
+def job_requests(decided: DataFrame, rules: dict | None = None, triggered_by: str = "stage3_event") -> DataFrame:
+    """T1 output: one complete clustering-job request per triggered event (trap D8).
+
+    ``triggered_by``: ``stage3_event`` from the stream, ``stage3_webhook`` from the receiver.
+    """
     r = {**DEFAULT_RULES, **(rules or {})}
     t = decided.where(F.col("decision") == "triggered")
     return t.select(
@@ -100,18 +121,27 @@ def job_requests(decided: DataFrame, rules: dict | None = None, triggered_by: st
 
 
 def validate_job_requests(req: DataFrame) -> DataFrame:
-    """``errors`` map per request (empty when valid, trap D11)."""
-    alg = F.lower(F.col("algorithm"))
-    p = lambda k: F.col("params")[k].cast("int")
+    """``errors`` map per request (empty when valid, trap D11).
+
+    A missing algorithm is the default one (F15). A parameter that isn't a number
+    is an error of that parameter.
+    """
+    alg = F.coalesce(F.lower(F.col("algorithm")), F.lit(DEFAULT_RULES["default_algorithm"]))
+
+    def at_least(key: str, low: int, *algorithms: str) -> list[Column]:
+        raw, number = F.col("params")[key], F.col("params")[key].try_cast("int")
+        return [F.lit(key), F.when(alg.isin(*algorithms) & raw.isNotNull() & number.isNull(), F.lit("must be a number"))
+                .when(alg.isin(*algorithms) & (number < low), F.lit(f"must be >= {low}"))]
+
+    threshold = F.col("params")["distance_threshold"]
     checks = F.create_map(
         F.lit("algorithm"), F.when(~alg.isin(*ALGORITHM_DEFAULTS), F.lit("unknown algorithm")),
-        F.lit("min_cluster_size"), F.when((alg == "hdbscan") & (p("min_cluster_size") < 2), F.lit("must be >= 2")),
-        F.lit("min_samples"), F.when((alg == "hdbscan") & (p("min_samples") < 1), F.lit("must be >= 1")),
-        F.lit("n_clusters"), F.when(alg.isin("kmeans", "agglomerative") & (p("n_clusters") < 2),
-                                    F.lit("must be >= 2")),
-        F.lit("distance_threshold"), F.when(
-            (alg == "agglomerative") & F.col("params")["n_clusters"].isNull()
-            & F.col("params")["distance_threshold"].isNull(), F.lit("n_clusters or distance_threshold required")),
+        *at_least("min_cluster_size", 2, "hdbscan"), *at_least("min_samples", 1, "hdbscan"),
+        *at_least("n_clusters", 2, "kmeans", "agglomerative"),
+        F.lit("distance_threshold"), F.when((alg == "agglomerative") & F.col("params")["n_clusters"].isNull()
+                                            & threshold.isNull(), F.lit("n_clusters or distance_threshold required"))
+        .when((alg == "agglomerative") & threshold.isNotNull() & threshold.try_cast("double").isNull(),
+              F.lit("must be a number")),
     )
     return req.withColumn("errors", F.map_filter(checks, lambda k, v: v.isNotNull()))
 
@@ -122,11 +152,11 @@ def merge_params(requests: DataFrame) -> DataFrame:
     alg = F.coalesce(F.lower(F.col("algorithm")), F.lit(DEFAULT_RULES["default_algorithm"]))
     defaults = spark.createDataFrame([(a, p) for a, p in ALGORITHM_DEFAULTS.items()],
                                      "algorithm string, defaults map<string,string>")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    r = requests.withColumn("algorithm", alg)
-    return (r.join(F.broadcast(defaults), "algorithm", "left")
-            .withColumn("params", F.map_concat(F.coalesce("defaults", F.create_map().cast("map<string,string>")),
-                                               F.coalesce("params", F.create_map().cast("map<string,string>"))))
+    none = F.create_map().cast("map<string,string>")
+    r = requests.withColumn("algorithm", alg).withColumn("params", F.coalesce("params", none))
+    return (r.join(F.broadcast(defaults), "algorithm", "left")  # one row per algorithm
+            .withColumn("params", F.map_concat(
+                F.map_filter(F.coalesce("defaults", none), lambda k, v: ~F.map_contains_key("params", k)), "params"))
             .drop("defaults"))
 
 

@@ -81,12 +81,12 @@ def q_clustering_metadata(spark, sf):
 @register("metadata_filters", ITEMS + """
 SELECT item_id, round(date_days, 6) AS date_days FROM items
 WHERE domain = 'en'
-  AND date_days BETWEEN CAST(epoch_us(TIMESTAMP '2024-01-05 00:00:00') AS DOUBLE) / 86400000000.0
-                    AND CAST(epoch_us(TIMESTAMP '2024-01-20 00:00:00') AS DOUBLE) / 86400000000.0
+  AND date_days BETWEEN CAST(epoch_us(TIMESTAMP '2024-01-01 12:00:00') AS DOUBLE) / 86400000000.0
+                    AND CAST(epoch_us(TIMESTAMP '2024-01-02 02:30:00') AS DOUBLE) / 86400000000.0
 """)
 def q_metadata_filters(spark, sf):
     """F2 + F5 via F6: domain equality and an inclusive temporal window."""
-    f = {"domain": "en", "temporal_window": {"start": "2024-01-05T00:00:00Z", "end": "2024-01-20T00:00:00Z"}}
+    f = {"domain": "en", "temporal_window": {"start": "2024-01-01T12:00:00Z", "end": "2024-01-02T02:30:00"}}
     return FL.apply_metadata_filters(TD.items(spark, sf), f).select("item_id", r6("date_days").alias("date_days"))
 
 
@@ -116,8 +116,8 @@ FROM (SELECT CASE WHEN domain = 'en' THEN truth_label ELSE -1 END AS label FROM
 def q_result_counts(spark, sf):
     """F8 + A1: rows removed by a filter are mapped back as -1, then counted."""
     it = TD.items(spark, sf)
-    kept = FL.apply_metadata_filters(it, {"domain": "en"}).select("item_id", F.col("truth_label").alias("label"))
-    return M.result_counts(FL.map_back_labels(it, kept, prob_col=None))
+    kept = FL.apply_metadata_filters(it, {"domain": "en"}).select("pos", F.col("truth_label").alias("label"))
+    return M.result_counts(FL.map_back_labels(it, kept, id_col="pos", prob_col=None))
 
 
 # --------------------------------------------------------------------------- V
@@ -362,11 +362,24 @@ def q_knn_search_prefilter(spark, sf):
     return h.select("query_id", "rank", "id", r6("dist").alias("dist"))
 
 
-@register("knn_search_postfilter", KNN_SQL.format(where="WHERE event_type = 'click'", k=5))
+@register("knn_search_postfilter", ITEMS + CENT + """,
+cand AS (SELECT * FROM (
+  SELECT CAST(c.label AS BIGINT) AS query_id, b.pos AS id, b.event_type,
+         list_distance(b.embedding, c.centroid) * list_distance(b.embedding, c.centroid) AS dist,
+         row_number() OVER (PARTITION BY c.label ORDER BY list_distance(b.embedding, c.centroid), b.pos) AS r
+  FROM cent c, items b) WHERE r <= 30),
+kept AS (SELECT query_id, id, dist, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM cand
+         WHERE event_type = 'click'),
+slots AS (SELECT CAST(label AS BIGINT) AS query_id, unnest(range(1, 4)) AS rank FROM cent)
+SELECT s.query_id, CAST(s.rank AS INTEGER) AS rank, coalesce(k.id, -1) AS id,
+       coalesce(round(k.dist, 6), CAST('inf' AS DOUBLE)) AS dist
+FROM slots s LEFT JOIN kept k ON k.query_id = s.query_id AND k.rank = s.rank
+""")
 def q_knn_search_postfilter(spark, sf):
-    """Q2: over-fetch min(10k, n) candidates, post-filter, keep 5."""
-    h = N.knn_search_postfilter(TD.items(spark, sf), _label_queries(spark, sf), 5, {"event_type": "click"})
-    return h.select("query_id", "rank", "id", r6("dist").alias("dist"))
+    """Q2 + Q3: the nearest 10 x 3 candidates, those of a type, the first 3, empty slots padded."""
+    qs = _label_queries(spark, sf)
+    h = N.knn_search_postfilter(TD.items(spark, sf), qs, 3, {"event_type": "click"})
+    return N.pad_results(h, qs, 3).select("query_id", "rank", "id", r6("dist").alias("dist"))
 
 
 @register("pairs_within", ITEMS + """
@@ -405,3 +418,4 @@ def _load_all() -> None:
     """Import the modules that register further queries."""
     import clusterloom.plans.cluster_queries  # noqa: F401
     import clusterloom.plans.job_queries  # noqa: F401
+    import clusterloom.plans.result_queries  # noqa: F401

@@ -17,14 +17,13 @@ def flagship(spark, sf, event_type: str = "purchase", k: int = 10, decay_days: f
              n_init: int = 10):
     """Slice query: filter one event type, weight by recency, K-Means, map back, profile.
 
-    items -> F3 -> V7 (7-day decay against the latest purchase) -> C1 (k=10,
-    best of n_init) -> F8 (other event types become -1) -> A10 per cluster.
+    items -> C7 with F3, V7 (7-day decay against the latest purchase), C1 (k=10, best of
+    n_init) and F8 onto all items (other event types become -1) -> A10 per cluster.
     """
-    it = TD.items(spark, sf)
-    kept = FL.filter_event_type(it, event_type)
-    weighted = V.apply_temporal_weighting(kept, decay_days=decay_days)
-    assign, _ = KM.kmeans(weighted.select("item_id", "pos", "embedding"), k=k, n_init=n_init, seed=42)
-    full = FL.map_back_labels(weighted, assign.select("item_id", "label"), prob_col=None)
+    from clusterloom.plans.clustering import cluster
+
+    full, _ = cluster(TD.items(spark, sf), "kmeans", {"n_clusters": k, "n_init": n_init},
+                      filters={"event_type": event_type}, temporal_decay_days=decay_days, metrics=False)
     prof = cluster_profile(full)
     return prof.select(
         "label", "size", "exemplar_id", r6("mean_distance").alias("mean_distance"),
@@ -263,7 +262,7 @@ def q_cluster_profile(spark, sf):
         F.array_join("top_members", ",").alias("top_members"))
 
 
-MEMB_SQL = ITEMS + """,
+MEMB_SQL = ITEMS + CENT + """,
 lab AS (SELECT *, CASE WHEN domain = 'en' THEN truth_label ELSE -1 END AS label FROM items),
 cen AS (SELECT label, list(v ORDER BY i) AS centroid FROM (
           SELECT label, i, avg(x) AS v FROM (
@@ -280,8 +279,8 @@ def _memberships(spark, sf):
     from clusterloom.operators import filters as FL2
 
     it = TD.items(spark, sf)
-    kept = FL2.apply_metadata_filters(it, {"domain": "en"}).select("item_id", F.col("truth_label").alias("label"))
-    return SK.memberships(FL2.map_back_labels(it, kept, prob_col=None), "truth", "event", "given")
+    kept = FL2.apply_metadata_filters(it, {"domain": "en"}).select("pos", F.col("truth_label").alias("label"))
+    return SK.memberships(FL2.map_back_labels(it, kept, id_col="pos", prob_col=None), "truth", "event", "given")
 
 
 @register("memberships", MEMB_SQL + """
@@ -296,23 +295,42 @@ def q_memberships(spark, sf):
 
 
 @register("jobs_clusters_members", MEMB_SQL + """
-SELECT 'truth' AS job_id, cluster_id, count(*) AS n_members,
+SELECT 'truth' AS job_id, 'truth_' || replace(cluster_id, 'outlier', 'event_outlier') AS cluster_id,
+       cluster_id = 'outlier' AS is_outlier, count(*) AS n_members,
        round(avg(1.0 / (1.0 + distance_to_centroid)), 6) AS avg_similarity
-FROM memb WHERE cluster_id <> 'outlier' GROUP BY cluster_id
+FROM memb GROUP BY cluster_id
+UNION ALL
+SELECT 'all', 'all_event_cluster_' || CAST(i.truth_label AS VARCHAR), false, count(*),
+       round(avg(1.0 / (1.0 + list_distance(i.embedding, c.centroid))), 6)
+FROM items i JOIN cent c ON c.label = i.truth_label GROUP BY i.truth_label
 """)
 def q_jobs_clusters_members(spark, sf):
-    """J2 over S9 tables: job -> clusters -> members, members per cluster."""
-    memb = SK.members_table(_memberships(spark, sf))
-    jobs = spark.createDataFrame([("truth", "completed")], "job_id string, status string")
-    clusters = memb.where(F.col("cluster_id") != "outlier").select("cluster_id", "job_id", "embedding_type") \
-        .distinct()
-    j = SK.jobs_clusters_members(jobs, clusters, memb)
-    return j.groupBy("job_id", "cluster_id").agg(F.count("member_id").alias("n_members"),
-                                                 r6(F.avg("similarity_score")).alias("avg_similarity"))
-
-
-@register("clusters_jsonl", ITEMS + CENT + """
-SELECT 'truth_event_cluster_' || CAST(label AS VARCHAR) AS cluster_id, size FROM cent
+    """S9 + J2: the tables of two jobs saved, read back, and joined job -> clusters -> members."""
+    from clusterloom.operators import filters as FL2
+    from clusterloom.session import table_path
+
+    it = TD.items(spark, sf)
+    root = table_path(spark)
+    kept = FL2.apply_metadata_filters(it, {"domain": "en"}).select("pos", F.col("truth_label").alias("label"))
+    runs = {"truth": FL2.map_back_labels(it, kept, id_col="pos", prob_col=None), "all": truth_assign(spark, sf)}
+    for job, assign in runs.items():
+        outliers = assign.where(F.col("label") == -1).count()
+        SK.save_tables(root, assign.select(F.lit(job).alias("job_id"), F.lit("completed").alias("status")).limit(1),
+                       SK.clusters_table(P.cluster_profile(assign), job, "event", outliers=outliers),
+                       SK.members_table(SK.memberships(assign, job, "event", "given")))
+    j = SK.jobs_clusters_members(*SK.read_tables(spark, root))
+    return j.groupBy("job_id", "cluster_id", "is_outlier").agg(F.count("member_id").alias("n_members"),
+                                                               r6(F.avg("similarity_score")).alias("avg_similarity"))
+
+
+@register("clusters_jsonl", PROFILE_SQL + """
+SELECT 'truth_event_cluster_' || CAST(m.truth_label AS VARCHAR) AS cluster_id, 'truth' AS job_id,
+       m.truth_label AS cluster_label, count(*) AS size, false AS is_outlier, 'event' AS embedding_type,
+       len(any_value(m.centroid)) AS dimension, round(avg(cos), 6) AS cohesion, round(max(sep.separation), 6) AS separation,
+       round(max(date_days) - min(date_days), 6) AS temporal_span_days,
+       array_to_string(list_sort(list_distinct(list(domain) FILTER (WHERE domain IS NOT NULL))), ',') AS domains,
+       array_to_string(list_sort(list_distinct(list(event_type) FILTER (WHERE event_type IS NOT NULL))), ',') AS event_types
+FROM m JOIN sep ON sep.label = m.truth_label GROUP BY m.truth_label
 """)
 def q_clusters_jsonl(spark, sf):
     """S8 + S9: write the cluster table as partitioned JSON lines, read it back by type."""
@@ -323,7 +341,11 @@ def q_clusters_jsonl(spark, sf):
     prof = P.cluster_profile(truth_assign(spark, sf))
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusters-jsonl/{uuid.uuid4().hex}"
     SK.write_clusters_jsonl(SK.clusters_table(prof, "truth", "event"), root)
-    return SK.read_clusters_jsonl(spark, root, "event").select("cluster_id", "size")
+    back = SK.read_clusters_jsonl(spark, root, "event")
+    return back.select("cluster_id", "job_id", "cluster_label", "size", "is_outlier", "embedding_type",
+                       F.size("centroid").cast("long").alias("dimension"), r6("cohesion").alias("cohesion"),
+                       r6("separation").alias("separation"), r6("temporal_span_days").alias("temporal_span_days"),
+                       F.array_join("domains", ",").alias("domains"), F.array_join("event_types", ",").alias("event_types"))
 
 
 # --------------------------------------------------------------------------- C13, A11-A14
@@ -334,7 +356,7 @@ old AS (SELECT truth_label AS label, list(v ORDER BY i) AS centroid, CAST(max(n)
             SELECT truth_label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM items
             WHERE domain = 'en') GROUP BY ALL) GROUP BY ALL),
 nw AS (SELECT * FROM items WHERE domain IS DISTINCT FROM 'en'),
-asg AS (SELECT pos, embedding, CASE WHEN d <= 1.3 THEN label ELSE -1 END AS label FROM (
+asg AS (SELECT pos, embedding, CASE WHEN d <= 0.97 THEN label ELSE -1 END AS label FROM (
           SELECT n.pos, n.embedding, o.label, list_distance(n.embedding, o.centroid) AS d,
                  row_number() OVER (PARTITION BY n.pos ORDER BY list_distance(n.embedding, o.centroid), o.label) AS r
           FROM nw n, old o) WHERE r = 1)
@@ -345,11 +367,11 @@ asg AS (SELECT pos, embedding, CASE WHEN d <= 1.3 THEN label ELSE -1 END AS labe
 SELECT pos, label FROM asg
 """)
 def q_incremental_assign(spark, sf):
-    """Items outside the 'en' domain join the clusters built from 'en' items (cut-off 1.3)."""
+    """Items outside the 'en' domain join the clusters built from 'en' items (cut-off 0.97)."""
     it = TD.items(spark, sf)
     base = it.where(F.col("domain") == "en").withColumn("label", F.col("truth_label"))
     cents = M.centroids(base)
-    asg, _ = KM.incremental_assign(it.where(~F.coalesce(F.col("domain") == "en", F.lit(False))), cents, 1.3)
+    asg, _ = KM.incremental_assign(it.where(~F.coalesce(F.col("domain") == "en", F.lit(False))), cents, 0.97)
     return asg.select("pos", "label")
 
 
@@ -369,7 +391,7 @@ def q_incremental_centroids(spark, sf):
     it = TD.items(spark, sf)
     base = it.where(F.col("domain") == "en").withColumn("label", F.col("truth_label"))
     _, upd = KM.incremental_assign(it.where(~F.coalesce(F.col("domain") == "en", F.lit(False))),
-                                   M.centroids(base), 1.3)
+                                   M.centroids(base), 0.97)
     return upd.select("label", "size", F.posexplode("centroid").alias("pos", "v")).select(
         "label", "size", "pos", r6("v").alias("value"))
 
@@ -385,7 +407,23 @@ def q_cluster_top_entities(spark, sf):
     return P.top_values(truth_assign(spark, sf), "entity_type", 3).select("label", "rank", "value", "n")
 
 
-@register("event_profile")
+@register("event_profile", ORDER_SQL + """,
+cnt AS (SELECT truth_label AS label, count(*) AS size FROM items GROUP BY ALL),
+et AS (SELECT truth_label AS label, arg_min(event_type, (-n, event_type)) AS dominant_event_type FROM (
+         SELECT truth_label, event_type, count(*) AS n FROM items WHERE event_type IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+dm AS (SELECT truth_label AS label, arg_min(domain, (-n, domain)) AS dominant_domain FROM (
+         SELECT truth_label, domain, count(*) AS n FROM items WHERE domain IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+en AS (SELECT label, string_agg(entity_type, ',' ORDER BY r) AS primary_entities FROM (
+         SELECT label, entity_type, row_number() OVER (PARTITION BY label ORDER BY n DESC, entity_type) AS r FROM (
+           SELECT truth_label AS label, entity_type, count(*) AS n FROM items WHERE entity_type IS NOT NULL GROUP BY ALL))
+       WHERE r <= 3 GROUP BY label),
+fe AS (SELECT label, string_agg(item_id, ',' ORDER BY position) AS first_events FROM o WHERE position <= 3 GROUP BY label),
+pt AS (SELECT label, CASE WHEN avg(gap_days) IS NULL THEN NULL WHEN avg(gap_days) < 1 THEN 'burst'
+            WHEN avg(gap_days) < 2 THEN 'daily' WHEN avg(gap_days) BETWEEN 5 AND 9 THEN 'weekly'
+            ELSE 'sporadic' END AS temporal_pattern FROM g GROUP BY label)
+SELECT label, size, dominant_event_type, dominant_domain, primary_entities, first_events, temporal_pattern
+FROM cnt JOIN et USING (label) LEFT JOIN dm USING (label) LEFT JOIN en USING (label) JOIN fe USING (label) JOIN pt USING (label)
+""")
 def q_event_profile(spark, sf):
     """Dominant types, primary entities, first events and temporal pattern per cluster."""
     e = P.event_profile(truth_assign(spark, sf))
@@ -396,13 +434,13 @@ def q_event_profile(spark, sf):
 
 @register("split_on_gap", ORDER_SQL + """
 SELECT label, item_id, position,
-       CAST(sum(CASE WHEN gap_days > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY position
+       CAST(sum(CASE WHEN gap_days > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY position
             ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
 FROM g
 """)
 def q_split_on_gap(spark, sf):
-    """Clusters split where consecutive members are more than 1 day apart."""
-    return P.split_on_gap(truth_assign(spark, sf), 1.0).select("label", "item_id", "position", "segment")
+    """Clusters split where consecutive members are more than 0.05 days apart."""
+    return P.split_on_gap(truth_assign(spark, sf), 0.05).select("label", "item_id", "position", "segment")
 
 
 # --------------------------------------------------------------------------- C7-C9, C14, C15
@@ -410,29 +448,37 @@ def q_split_on_gap(spark, sf):
 from clusterloom.plans import clustering as CL  # noqa: E402
 
 
-@register("cluster_by_domain")
+@register("cluster_by_domain", ITEMS + """
+SELECT domain, count(*) AS n_items, CASE WHEN domain IS NULL THEN 0 ELSE 3 END AS n_labels,
+       CASE WHEN domain IS NULL THEN count(*) ELSE 0 END AS unlabelled, true AS labels_are_its_own
+FROM items GROUP BY domain
+""")
 def q_cluster_by_domain(spark, sf):
     """K-Means (k = 3) separately inside each domain, labels made globally unique."""
     out = CL.cluster_by_group(TD.items(spark, sf), ["domain"], "kmeans", {"n_clusters": 3, "n_init": 3})
-    return out.select("item_id", "domain", "label")
+    labels = out.where(F.col("label") >= 0).groupBy("label").agg(F.count_distinct("domain").alias("n_domains"))
+    j = out.join(labels, "label", "left")
+    return j.groupBy("domain").agg(
+        F.count("*").alias("n_items"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).cast("int").alias(
+            "n_labels"), F.count_if(F.col("label") == -1).alias("unlabelled"),
+        F.max(F.coalesce("n_domains", F.lit(1))).alias("_m")).select(
+        "domain", "n_items", "n_labels", "unlabelled", (F.col("_m") == 1).alias("labels_are_its_own"))
 
 
 @register("compare_algorithms")
 def q_compare_algorithms(spark, sf):
-    """C14 (through C7): purchases clustered by K-Means, ward and single linkage, metrics side by side."""
-    f = {"event_type": "purchase"}
-    it = TD.items(spark, sf)
+    """C14 (through C7): all items by K-Means, single linkage and HDBSCAN, metrics side by side."""
     runs = {"kmeans": ("kmeans", {"n_clusters": 5, "n_init": 3}),
-            "ward": ("agglomerative", {"n_clusters": 5, "linkage": "ward"}),
-            "single": ("agglomerative", {"n_clusters": 5, "linkage": "single"})}
-    return CL.compare_algorithms(FL.apply_metadata_filters(it, f), runs)
+            "single": ("agglomerative", {"n_clusters": 5, "linkage": "single"}),
+            "hdbscan": ("hdbscan", {"min_cluster_size": 5})}
+    return CL.compare_algorithms(TD.items(spark, sf), runs)
 
 
 @register("resolve_entities")
 def q_resolve_entities(spark, sf):
-    """Clicks resolved to canonical groups by average cosine linkage at 0.9, within each source."""
-    it = FL.filter_event_type(TD.items(spark, sf), "click")
-    return CL.resolve_entities(it, threshold=0.9).select("item_id", "entity_type", "label")
+    """All items resolved to canonical entities by average cosine linkage at 0.9, within each source."""
+    return CL.resolve_entities(TD.items(spark, sf), threshold=0.9).select(
+        "item_id", "entity_type", "label", "canonical_form")
 
 
 @register("minibatch_kmeans")
@@ -444,7 +490,7 @@ def q_minibatch_kmeans(spark, sf):
 
 @register("estimate_k")
 def q_estimate_k(spark, sf):
-    """Elbow choice of k over k = 2..10 on a seeded sample of at most 10,000 items."""
+    """Elbow choice of k over k = 2..10 over all items."""
     k, costs = KM.estimate_k(TD.items(spark, sf), 2, 10)
     return spark.createDataFrame([(int(kk), float(c), int(kk) == int(k)) for kk, c in costs],
                                  "k int, inertia double, chosen boolean")

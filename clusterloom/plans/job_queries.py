@@ -131,9 +131,11 @@ def q_processed_set(spark, sf):
     return s.groupBy("job_id").agg(F.count("*").alias("processed"))
 
 
-@register("sample_rows")
+@register("sample_rows", ITEMS + """
+SELECT item_id FROM items ORDER BY md5(item_id || ':42'), item_id LIMIT 100
+""")
 def q_sample_rows(spark, sf):
-    """Seeded deterministic sample of 100 items (hash order differs from DuckDB's: rows-only)."""
+    """Seeded deterministic sample of 100 items."""
     return J.sample_rows(TD.items(spark, sf), 100, 42).select("item_id")
 
 
@@ -174,38 +176,59 @@ def q_trigger_decisions(spark, sf):
     return d.select("event_id", "decision")
 
 
-@register("receiver_decisions", UP_SQL.format(min_k=0) + """
-SELECT event_id, decision, CASE WHEN decision = 'triggered' THEN 202 WHEN decision = 'invalid' THEN 422
-  ELSE 400 END AS status_code FROM dec
+@register("receiver_decisions", UP_SQL.format(min_k=0) + """,
+tok AS (SELECT event_id, raw_type = 'view' AS invalid, user_id % 4 = 0 AS wrong, embedding_type, quality FROM up),
+rec AS (
+  SELECT event_id, CASE WHEN invalid THEN 'invalid' WHEN wrong THEN 'unauthorized'
+           WHEN embedding_type NOT IN ('document', 'event', 'entity', 'storyline') THEN 'embedding_type_not_allowed'
+           WHEN quality < 0.0 THEN 'embedding_quality_too_low' ELSE 'triggered' END AS decision FROM tok)
+SELECT event_id, decision, CASE decision WHEN 'triggered' THEN 202 WHEN 'invalid' THEN 422 WHEN 'unauthorized' THEN 401
+  ELSE 400 END AS status_code, 'receiver_disabled' AS when_disabled, 503 AS disabled_code
+FROM rec WHERE decision NOT IN ('invalid', 'unauthorized')
+UNION ALL
+SELECT event_id, decision, CASE decision WHEN 'invalid' THEN 422 ELSE 401 END, decision,
+       CASE decision WHEN 'invalid' THEN 422 ELSE 401 END FROM rec WHERE decision IN ('invalid', 'unauthorized')
 """)
 def q_receiver_decisions(spark, sf):
-    """webhook receiver rules (minimum 0) with reject codes."""
-    d = R.receiver_decision(R.validate_events(TD.upstream_events(spark, sf)))
-    return d.select("event_id", "decision", "status_code")
+    """webhook receiver rules (minimum 0, a token) with status codes, with the receiver on and off."""
+    ev = R.validate_events(TD.upstream_events(spark, sf)).withColumn(
+        "auth_token", F.when(F.regexp_extract("payload", r'"job_id":"up_(\d+)"', 1).cast("long") % 4 != 0, F.lit("s")))
+    on = R.receiver_decision(ev, {"auth_token": "s"}).select("event_id", "decision", "status_code")
+    off = R.receiver_decision(ev, {"auth_token": "s", "receiver_enabled": False}).select(
+        "event_id", F.col("decision").alias("when_disabled"), F.col("status_code").alias("disabled_code"))
+    return on.join(off, "event_id")
 
 
 @register("stream_job_requests", UP_SQL.format(min_k=10) + """
 SELECT 'auto_up_' || CAST(user_id AS VARCHAR) || '_' || embedding_type AS request_id,
        'up_' || CAST(user_id AS VARCHAR) AS upstream_job_id, embedding_type, 'hdbscan' AS algorithm,
-       5 AS priority, CAST(epoch_us(ts) AS BIGINT) AS requested_us
+       5 AS priority, 'stage3_event' AS triggered_by, true AS auto_triggered,
+       CAST(epoch_us(ts) AS BIGINT) AS requested_us
 FROM dec WHERE decision = 'triggered'
 """)
 def q_stream_job_requests(spark, sf):
     """T1 (batch twin): job requests with provenance for every triggered event."""
     req = R.job_requests(R.trigger_decision(R.validate_events(TD.upstream_events(spark, sf))))
     return req.select("request_id", "upstream_job_id", "embedding_type", "algorithm", "priority",
-                      F.unix_micros("requested_at").alias("requested_us"))
-
-
-@register("dedupe_triggers", UP_SQL.format(min_k=10) + """
-SELECT 'auto_up_' || CAST(user_id AS VARCHAR) || '_' || embedding_type AS request_id,
-       CAST(min(epoch_us(ts)) AS BIGINT) AS requested_us, count(*) AS duplicates
-FROM dec WHERE decision = 'triggered' GROUP BY ALL
+                      "triggered_by", "auto_triggered", F.unix_micros("requested_at").alias("requested_us"))
+
+
+@register("dedupe_triggers", UP_SQL.format(min_k=10).replace("WITH up", "WITH RECURSIVE up") + """,
+req AS (SELECT 'auto_up_' || CAST(user_id AS VARCHAR) || '_' || embedding_type AS request_id, epoch_us(ts) AS t
+        FROM dec WHERE decision = 'triggered'),
+kept AS (
+  SELECT request_id, min(t) AS t FROM req GROUP BY request_id
+  UNION
+  SELECT k.request_id, (SELECT min(r.t) FROM req r WHERE r.request_id = k.request_id AND r.t >= k.t + 259200000000) AS t
+  FROM kept k WHERE k.t IS NOT NULL),
+spans AS (SELECT request_id, t, lead(t) OVER (PARTITION BY request_id ORDER BY t) AS nxt FROM kept WHERE t IS NOT NULL)
+SELECT s.request_id, CAST(s.t AS BIGINT) AS requested_us, count(*) AS duplicates
+FROM spans s JOIN req r ON r.request_id = s.request_id AND r.t >= s.t AND (s.nxt IS NULL OR r.t < s.nxt) GROUP BY ALL
 """)
 def q_dedupe_triggers(spark, sf):
-    """T2 (batch twin): one request per (upstream job, type): first arrival wins."""
+    """T2 (batch twin): a request counts unless one of its (upstream job, type) was kept within 3 days before."""
     req = R.job_requests(R.trigger_decision(R.validate_events(TD.upstream_events(spark, sf))))
-    return SE.dedupe_requests_batch(req).select("request_id", F.unix_micros("requested_at").alias("requested_us"),
+    return SE.dedupe_requests_batch(req, 3 * 86400.0).select("request_id", F.unix_micros("requested_at").alias("requested_us"),
                                                 "duplicates")
 
 
@@ -276,8 +299,8 @@ def q_cluster_keys(spark, sf):
     from clusterloom.operators import filters as FL
 
     it = TD.items(spark, sf)
-    kept = FL.apply_metadata_filters(it, {"domain": "en"}).select("item_id", F.col("truth_label").alias("label"))
-    m = FL.map_back_labels(it, kept, prob_col=None)
+    kept = FL.apply_metadata_filters(it, {"domain": "en"}).select("pos", F.col("truth_label").alias("label"))
+    m = FL.map_back_labels(it, kept, id_col="pos", prob_col=None)
     return m.select("item_id", R.member_cluster_key(F.col("embedding_type"), F.col("label")).alias("member_cluster"),
                     F.when(F.col("label") >= 0, R.cluster_id(F.lit("truth"), F.col("embedding_type"), F.col("label")))
                     .alias("cluster_id"))
@@ -292,16 +315,16 @@ from clusterloom.plans.catalog import CENT, truth_assign  # noqa: E402
 
 @register("quality_gate", ITEMS + CENT + """
 SELECT i.truth_label AS label, count(*) AS size,
-       count(*) >= 3 AND avg(list_cosine_similarity(i.embedding, c.centroid)) >= 0.7 AS passes
+       count(*) >= 47 AND avg(list_cosine_similarity(i.embedding, c.centroid)) >= 0.14 AS passes
 FROM items i JOIN cent c ON c.label = i.truth_label GROUP BY i.truth_label
 """)
 def q_quality_gate(spark, sf):
-    """clusters with size >= 3 and average similarity >= 0.7 pass."""
+    """clusters with size >= 47 and average similarity >= 0.14 pass (limits that part these clusters)."""
     a = truth_assign(spark, sf)
     per, _ = M.intra_similarity(a)
     prof = M.centroids(a).select("label", "size").join(per.withColumnRenamed("intra_similarity", "cohesion"),
                                                        "label")
-    return P.quality_gate(prof).select("label", "size", "passes")
+    return P.quality_gate(prof, 47, 0.14).select("label", "size", "passes")
 
 
 @register("event_payload", JOBS_SQL + """

@@ -1,10 +1,10 @@
 """Session construction and lineage cutting.
 
 Iterative operators (connected components, Boruvka MST, mini-batch K-Means,
-agglomerative rounds) cut their lineage with reliable ``checkpoint()`` into the
-shared folder the cluster names in ``spark.checkpoint.dir``. A private folder
-is only created when the session runs in local mode and no folder is
-configured (tests, the bench).
+agglomerative rounds) cut their lineage with tables written to the shared folder
+the cluster names in ``spark.checkpoint.dir``. A private folder is only created
+when the session runs in local mode and no folder is configured (tests, the
+bench). The tables of a finished job are removed with ``drop_tables``.
 """
 
 from __future__ import annotations
@@ -56,6 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new path for a table of this application under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
@@ -64,12 +69,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the data survives executor loss, and later reads get column pruning.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` wrote for this application; call it when their readers are done."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set[int] = set()
 
 

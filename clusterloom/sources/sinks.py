@@ -7,7 +7,7 @@ readers prune to one job or type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,24 +52,38 @@ def write_memberships_jsonl(df: DataFrame, root: str) -> None:
        .partitionBy("embedding_type", "job_id").json(root))
 
 
+def table_cluster_id(job_id: Column, embedding_type: Column, label: Column) -> Column:
+    """The key that cluster and member rows share: F17's cluster id, or the job's outlier cluster."""
+    return F.when(label >= 0, cluster_id(job_id, embedding_type, label)).otherwise(
+        F.format_string("%s_%s_outlier", job_id, embedding_type))
+
+
 def clusters_table(profile: DataFrame, job_id: str, embedding_type: str, silhouette: DataFrame | None = None,
-                   outliers: int | None = None, label: str = "label") -> DataFrame:
-    """S9 cluster rows from an A10 profile (plus the outlier pseudo-cluster when counted)."""
+                   outliers: int = 0, label: str = "label") -> DataFrame:
+    """S9 cluster rows from an A10 profile, and one for the ``outliers`` where there are any."""
     p = profile if silhouette is None else profile.join(silhouette, label, "left")
     sil = F.col("silhouette") if silhouette is not None else F.lit(None).cast("double")
     rows = p.select(
-        cluster_id(F.lit(job_id), F.lit(embedding_type), F.col(label)).alias("cluster_id"),
+        table_cluster_id(F.lit(job_id), F.lit(embedding_type), F.col(label)).alias("cluster_id"),
         F.lit(job_id).alias("job_id"), F.col(label).cast("int").alias("cluster_label"),
         F.col("size").cast("long").alias("size"), F.lit(False).alias("is_outlier"),
         F.lit(embedding_type).alias("embedding_type"), F.col("centroid"), F.col("cohesion"),
         F.col("separation"), sil.alias("silhouette"), "min_date_days", "max_date_days", "temporal_span_days",
         "domains", "event_types", "entity_types")
+    if outliers:
+        none = [(f"{job_id}_{embedding_type}_outlier", job_id, -1, int(outliers), True, embedding_type)]
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in CLUSTER_SCHEMA.fields[6:]]
+        only = profile.sparkSession.createDataFrame(none, T.StructType(CLUSTER_SCHEMA.fields[:6]))
+        rows = rows.unionByName(only.select("*", *empty))
     return rows
 
 
 def members_table(memb: DataFrame) -> DataFrame:
-    """S9 member rows keyed to the cluster (outliers keyed 'outlier')."""
-    return memb.select("cluster_id", "member_id", "distance_to_centroid", "job_id", "embedding_type",
+    """S9 member rows from S7 rows, keyed as the cluster rows are (``table_cluster_id``)."""
+    key = F.format_string("%s_%s", F.col("job_id"), F.when(
+        F.col("cluster_id") == "outlier", F.format_string("%s_outlier", F.col("embedding_type")))
+        .otherwise(F.col("cluster_id")))
+    return memb.select(key.alias("cluster_id"), "member_id", "distance_to_centroid", "job_id", "embedding_type",
                        F.when(F.col("distance_to_centroid").isNotNull(),
                               F.lit(1.0) / (F.lit(1.0) + F.col("distance_to_centroid"))).alias("similarity_score"))
 
@@ -98,9 +112,14 @@ def read_clusters_jsonl(spark: SparkSession, root: str, embedding_type: str | No
 
 
 def jobs_clusters_members(jobs: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """Jobs -> clusters -> members as flat rows (FK equi-joins; pages come from W2)."""
-    return (jobs.join(clusters.drop("embedding_type"), "job_id")
-            .join(members.drop("job_id", "embedding_type"), "cluster_id", "left"))
+    """Jobs -> clusters -> members as flat rows: equi-joins on the job and on (job, cluster)."""
+    return (jobs.drop("embedding_type").join(clusters, "job_id")
+            .join(members.drop("embedding_type"), ["job_id", "cluster_id"], "left"))
+
+
+def read_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S9 read back: jobs, clusters, members."""
+    return tuple(spark.read.parquet(f"{root}/{name}") for name in ("jobs", "clusters", "members"))
 
 
 def write_event_stream(events: DataFrame, path: str, checkpoint: str):

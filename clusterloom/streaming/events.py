@@ -41,10 +41,12 @@ def dedupe_requests_stream(requests: DataFrame, delay: str = "1 hour") -> DataFr
             .dropDuplicatesWithinWatermark(["upstream_job_id", "embedding_type"]))
 
 
-def dedupe_requests_batch(requests: DataFrame) -> DataFrame:
-    """T2 batch twin: first arrival per (upstream job, type) and the number of duplicates."""
-    return requests.groupBy("request_id", "upstream_job_id", "embedding_type").agg(
-        F.min("requested_at").alias("requested_at"), F.count("*").alias("duplicates"))
+def dedupe_requests_batch(requests: DataFrame, delay_seconds: float = 3600.0) -> DataFrame:
+    """T2 batch twin: per (upstream job, type) a request counts unless one was kept less than the
+    delay before; ``duplicates`` is how many requests each kept one stands for, itself included."""
+    kept = throttle_batch(requests.withColumnRenamed("requested_at", "ts"),
+                          ["upstream_job_id", "embedding_type", "request_id"], [], delay_seconds)
+    return kept.withColumnRenamed("ts", "requested_at").withColumnRenamed("n_events", "duplicates")
 
 
 def consumer_stats(decided: DataFrame) -> DataFrame:
@@ -81,6 +83,34 @@ def event_payload(df: DataFrame, event_type: str, fields: list[str], key: str =
                      F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("payload"))
 
 
+# The eight lifecycle events and the fields each carries besides event_type and timestamp.
+LIFECYCLE_EVENTS = {
+    "job.created": ("job_id", "embedding_type", "algorithm"),
+    "job.started": ("job_id", "total_items"),
+    "job.progress": ("job_id", "processed_items", "total_items", "clusters_created", "progress_percent"),
+    "job.completed": ("job_id", "clusters_created", "outliers", "quality_metrics", "processing_time_ms"),
+    "job.failed": ("job_id", "error_message"),
+    "job.paused": ("job_id", "processed_items"),
+    "job.resumed": ("job_id",),
+    "job.canceled": ("job_id",),
+}
+
+
+def lifecycle_payload(df: DataFrame, event_type: str, at: str = "timestamp", more: tuple[str, ...] = ()) -> DataFrame:
+    """Events of one of the eight types; fields that ``df`` lacks are null and left out of the payload.
+
+    ``progress_percent`` is derived (0 without items); ``more`` adds columns, as the
+    statistics, sample clusters and output paths of a completion.
+    """
+    fields = LIFECYCLE_EVENTS[event_type]
+    if "progress_percent" in fields:
+        df = df.withColumn("progress_percent", F.when(F.col("total_items") > 0, F.round(
+            F.col("processed_items") * 100.0 / F.col("total_items"), 2)).otherwise(F.lit(0.0)))
+    have = [f for f in (*fields, *more) if f in df.columns]
+    stamped = df.withColumn("event_type", F.lit(event_type)).withColumn("timestamp", F.col(at))
+    return event_payload(stamped, event_type, ["event_type", *have, "timestamp"])
+
+
 # ----------------------------------------------------------------------------- stateful: T4, T5
 
 # Legal lifecycle moves (command -> allowed from-states, next state).
@@ -94,6 +124,8 @@ TRANSITIONS = {
 }
 LIFECYCLE_OUT = "job_id string, seq long, command string, from_status string, to_status string, legal boolean"
 LIFECYCLE_STATE = "status string"
+STATES = ("queued", "running", "paused", "completed", "failed", "canceled")
+LOG_CHUNK = 100_000
 
 
 def _fold_lifecycle(job_id: str, rows: pd.DataFrame, status: str) -> tuple[pd.DataFrame, str]:
@@ -107,13 +139,38 @@ def _fold_lifecycle(job_id: str, rows: pd.DataFrame, status: str) -> tuple[pd.Da
     return pd.DataFrame(out, columns=["job_id", "seq", "command", "from_status", "to_status", "legal"]), status
 
 
-def job_lifecycle_batch(commands: DataFrame) -> DataFrame:
-    """T4 batch twin: ordered fold of commands per job (a job's command log is small)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _fold_lifecycle(pdf["job_id"].iloc[0], pdf, "queued")
-        return out
+def job_lifecycle_batch(commands: DataFrame, chunk: int = LOG_CHUNK) -> DataFrame:
+    """T4 batch twin: commands of each job applied in (ts, seq) order from ``queued``.
+
+    A log of any length is split: logs are ordered by one distributed sort and cut
+    into chunks; a chunk is summarised as the map from each state to the state
+    after it, the maps are composed per job (a row for each chunk), and every
+    chunk is folded from its own first state.
+    """
+    from clusterloom.operators.jobs import global_rank
+
+    cols = ["job_id", "ts", "seq", "command"]
+    ranked = global_rank(commands.select(*cols), [F.asc("job_id"), F.asc("ts"), F.asc("seq")], "_g").withColumn(
+        "_chunk", F.floor((F.col("_g") - 1) / F.lit(chunk)).cast("long"))
+
+    def summary(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        after = [_fold_lifecycle(key[0], pdf, s)[1] for s in STATES]
+        return pd.DataFrame({"job_id": [key[0]], "_chunk": [key[1]], "_after": [after]})
+
+    def first_states(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        status, first = "queued", []
+        for row in pdf.sort_values("_chunk").itertuples(index=False):
+            first.append((key[0], row[1], status))
+            status = row[2][STATES.index(status)]
+        return pd.DataFrame(first, columns=["job_id", "_chunk", "_first"])
+
+    maps = ranked.groupBy("job_id", "_chunk").applyInPandas(summary, "job_id string, _chunk long, _after array<string>")
+    starts = maps.groupBy("job_id").applyInPandas(first_states, "job_id string, _chunk long, _first string")
+
+    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _fold_lifecycle(key[0], pdf, pdf["_first"].iloc[0])[0]
 
-    return commands.groupBy("job_id").applyInPandas(run, LIFECYCLE_OUT)
+    return ranked.join(starts, ["job_id", "_chunk"]).groupBy("job_id", "_chunk").applyInPandas(fold, LIFECYCLE_OUT)
 
 
 def job_lifecycle_stream(commands: DataFrame, timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
@@ -153,22 +210,62 @@ def _throttle(rows: pd.DataFrame, last_us: int | None, every_us: int) -> tuple[l
     return keep, last_us
 
 
-def throttle_progress_batch(progress: DataFrame, every_seconds: float = 5.0) -> DataFrame:
-    """T5 batch twin: at most one progress event per job per ``every_seconds``."""
+def throttle_batch(rows: DataFrame, keys: list[str], carry: list[str], every_seconds: float) -> DataFrame:
+    """Of each key's rows, in time order, those at least ``every_seconds`` after the last one kept.
+
+    Output: keys, ts, carry, and ``n_events`` (rows a kept one stands for). A row that far
+    after its predecessor is always kept, so logs are cut there into stretches
+    that are throttled on their own; a key's whole log is never one group.
+    """
+    from clusterloom.operators.jobs import global_rank
+    from clusterloom.operators.profiles import prefix_count
+
     every = int(every_seconds * 1e6)
+    order = [*keys, "ts", *carry]
+    ranked = global_rank(rows.select(*order), [F.asc(c) for c in order], "_g")
+    before = ranked.select((F.col("_g") + 1).alias("_g"), *[F.col(c).alias(f"_b_{c}") for c in (*keys, "ts")])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    gap = F.unix_micros("ts") - F.unix_micros("_b_ts")
+    cut = (ranked.join(before, "_g", "left")
+           .withColumn("_cut", F.col("_b_ts").isNull() | ~same | (gap >= every)).select(*order, "_g", "_cut"))
+    stretches = prefix_count(cut, "_g", "_cut", "_stretch").select(*order, "_g", "_stretch")
+    schema = stretches.select(*order).schema.add("n_events", "long")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, _ = _throttle(pdf, None, every)
-        return pd.DataFrame(keep, columns=["job_id", "ts", "processed_items"])
+        pdf = pdf.sort_values("_g")
+        times, last, kept, counts = pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), None, [], []
+        for i, t in enumerate(times):
+            if last is None or t - last >= every:
+                kept.append(i)
+                counts.append(0)
+                last = t
+            counts[-1] += 1
+        return pdf.iloc[kept][order].assign(n_events=counts)
+
+    return stretches.groupBy("_stretch").applyInPandas(run, schema)
 
-    return progress.select("job_id", "ts", "processed_items").groupBy("job_id").applyInPandas(run, THROTTLE_OUT)
 
+def throttle_progress_batch(progress: DataFrame, every_seconds: float = 5.0) -> DataFrame:
+    """T5 batch twin: at most one progress event per job per ``every_seconds``."""
+    return throttle_batch(progress.select("job_id", "ts", "processed_items"), ["job_id"], ["processed_items"],
+                          every_seconds).select("job_id", "ts", "processed_items")
 
-def throttle_progress_stream(progress: DataFrame, every_seconds: float = 5.0) -> DataFrame:
-    """T5: the throttle with the last emitted time kept in the state store."""
+
+def throttle_progress_stream(progress: DataFrame, every_seconds: float = 5.0,
+                             idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """T5: the throttle with the last emitted time kept in the state store.
+
+    The state of a job without events for ``idle_ms`` (a day by default) is removed;
+    its next event counts as a first one.
+    """
     every = int(every_seconds * 1e6)
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         frames = list(pdfs)
         if frames:
@@ -177,9 +274,10 @@ def throttle_progress_stream(progress: DataFrame, every_seconds: float = 5.0) ->
                 yield pd.DataFrame(keep, columns=["job_id", "ts", "processed_items"])
         if last is not None:
             state.update((int(last),))
+            state.setTimeoutDuration(int(idle_ms))
 
     return progress.select("job_id", "ts", "processed_items").groupBy("job_id").applyInPandasWithState(
-        fn, THROTTLE_OUT, "last_us long", "append", GroupStateTimeout.NoTimeout)
+        fn, THROTTLE_OUT, "last_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def retry_or_dead_letter(failures: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -190,22 +288,34 @@ def retry_or_dead_letter(failures: DataFrame, max_attempts: int = 3) -> DataFram
 
 
 def incremental_assign_stream(new_vectors: DataFrame, centroid_path: str, checkpoint: str,
-                              max_distance: float | None = None, label: str = "label"):
-    """C13 for arriving vectors; every micro-batch reads the latest centroid
-    version, assigns, and appends a new version (``version`` = batch id).
+                              max_distance: float | None = None, label: str = "label",
+                              assignment_path: str | None = None):
+    """C13 for arriving vectors.
+
+    Every micro-batch reads the latest centroid version before its own, assigns,
+    writes the assignments of the batch (``batch=<id>`` under ``assignment_path``,
+    replaced if the batch runs again) and a new version (the batch id after the
+    version the table began with). A batch whose version is there already, after a
+    restart, isn't counted twice.
     """
     from clusterloom.operators.kmeans import incremental_assign
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cents = spark.read.parquet(centroid_path)
-        latest = cents.select(F.max("version")).first()[0]
+        base = cents.select(F.min("version")).first()[0]
+        version = int(base) + 1 + int(batch_id)
+        known = {r[0] for r in cents.where(F.col("version") >= version - 1).select("version").distinct().collect()}
+        latest = cents.where(F.col("version") < version).select(F.max("version")).first()[0]
         current = cents.where(F.col("version") == latest).drop("version")
-        _, upd = incremental_assign(batch, current, max_distance, label=label)
-        new_version = upd.withColumn("version", F.lit(int(batch_id) + 1 + int(latest)))
+        assigned, upd = incremental_assign(batch, current, max_distance, label=label)
+        if assignment_path:
+            assigned.write.mode("overwrite").parquet(f"{assignment_path}/batch={int(batch_id)}")
+        if version in known:
+            return
         # keep the table's own column types (a version written as int next to long files cannot be read)
-        new_version.select(*[F.col(f.name).cast(f.dataType) for f in cents.schema.fields]).write.mode(
-            "append").parquet(centroid_path)
+        upd.withColumn("version", F.lit(version)).select(
+            *[F.col(f.name).cast(f.dataType) for f in cents.schema.fields]).write.mode("append").parquet(centroid_path)
 
     return (new_vectors.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -17,10 +17,16 @@ def data(spark):
     return x, y, to_df(spark, x, y)
 
 
+def brute_force_knn(x, k):
+    d = pair_matrix(x, x)
+    np.fill_diagonal(d, np.inf)
+    return {i: [(int(j), float(d[i, j])) for j in np.lexsort((np.arange(len(x)), d[i]))[:k]] for i in range(len(x))}
+
+
 def test_knn_graph_multi_block(data):
     x, _, df = data
     got = N.knn_graph(df, 4, block_rows=16).collect()
-    ref = N.brute_force_knn(x, np.arange(len(x)), 4)
+    ref = brute_force_knn(x, 4)
     assert len(got) == 4 * len(x)
     for r in got:
         nbrs = ref[r["id"]]
@@ -80,3 +86,24 @@ def test_pairwise_similarity_closed_form(spark):
         s = u[y == c] @ u[y == c].T
         n = (y == c).sum()
         assert abs(got[c] - (s.sum() - n) / (n * (n - 1))) < 1e-9
+
+
+def test_exact_duplicates_are_at_distance_zero(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 48)) * 100
+    x[30:] = x[:30]
+    got = N.pairs_within(to_df(spark, x), 0.0, block_rows=16).collect()
+    assert sorted((r["id_a"], r["id_b"], r["dist"]) for r in got) == [(i, i + 30, 0.0) for i in range(30)]
+
+
+def test_search_ships_small_queries_and_blocks_large_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(90, 6)), rng.normal(size=(7, 6))
+    base = to_df(spark, x).repartition(4)
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id long, query_vector array<double>")
+    d = pair_matrix(q, x, "sqeuclidean")
+    want = {(i, r + 1): int(j) for i in range(7) for r, j in enumerate(np.argsort(d[i])[:5])}
+    for limit in (N.MAX_SHIPPED_VALUES, 0):
+        monkeypatch.setattr(N, "MAX_SHIPPED_VALUES", limit)
+        got = {(r["query_id"], r["rank"]): r["id"] for r in N.knn_search(base, queries, 5, block_rows=32).collect()}
+        assert got == want

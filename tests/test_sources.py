@@ -27,3 +27,32 @@ def test_type_aliases():
     assert SV.canonical_type("Entities") == "entity" and SV.canonical_type("eventss") == "event"
     with pytest.raises(ValueError):
         SV.canonical_type("image")
+
+
+def test_flat_records_and_repeated_ids(spark):
+    from clusterloom.operators import filters as FL
+
+    flat = spark.createDataFrame([("a", "en", "click", "2024-01-02T00:00:00"), ("b", None, "view", "bad")],
+                                 "item_id string, domain string, event_type string, publication_date string")
+    rows = {r["item_id"]: r for r in FL.extract_clustering_metadata(flat).collect()}
+    assert rows["a"]["domain"] == "en" and rows["a"]["date_days"] == 19724.0
+    assert rows["b"]["date_days"] is None and rows["b"]["entity_type"] is None
+    items = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "pos long, item_id string")
+    kept = spark.createDataFrame([(0, 4), (2, 5)], "pos long, label int")
+    out = FL.map_back_labels(items, kept, id_col="pos", prob_col=None).collect()
+    assert sorted((r["pos"], r["label"]) for r in out) == [(0, 4), (1, -1), (2, 5)]
+
+
+def test_naive_dates_are_utc_in_any_zone(spark):
+    from clusterloom.functions.vector import parse_iso_days
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("2024-01-01T00:00:00",), ("2024-01-01T00:00:00Z",), ("2024-01-01T05:00:00+05:00",),
+                                ("2024-01-01",), ("x",), ("",)], "t string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in df.select(parse_iso_days(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [19723.0, 19723.0, 19723.0, 19723.0, None, None]

@@ -82,7 +82,7 @@ def test_stream_dedupe_once_per_upstream_job(spark):
     q.stop()
     got = spark.table("t2_out")
     assert got.count() == got.select("upstream_job_id", "embedding_type").distinct().count()
-    batch = SE.dedupe_requests_batch(SE.stream_triggers(raw))
+    batch = SE.dedupe_requests_batch(SE.stream_triggers(raw), 30 * 86400.0)
     assert got.count() == batch.count()
 
 
@@ -122,3 +122,22 @@ def test_incremental_assign_stream_versions(spark):
     got = {r["label"]: (r["size"], [round(v, 6) for v in r["centroid"]]) for r in latest.collect()}
     assert got[0] == (3, [1 / 3, 1 / 3]) or got[0] == (3, [round(1 / 3, 6)] * 2)
     assert got[1][0] == 2
+
+
+def test_long_logs_are_split(spark):
+    """A log in chunks of two commands, and stretches cut at long gaps, give what one pass gives."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"j{rng.randint(0, 1)}", i // 2, i, rng.choice(list(SE.TRANSITIONS))) for i in range(40)]
+    cmds = spark.createDataFrame(rows, "job_id string, ts long, seq long, command string")
+    want = {}
+    for job in ("j0", "j1"):
+        status = "queued"
+        for r in sorted((r for r in rows if r[0] == job), key=lambda r: (r[1], r[2])):
+            allowed, nxt = SE.TRANSITIONS[r[3]]
+            legal = status in allowed
+            want[r[2]] = (status, nxt if legal else status, legal)
+            status = want[r[2]][1]
+    got = {r["seq"]: (r["from_status"], r["to_status"], r["legal"]) for r in SE.job_lifecycle_batch(cmds, chunk=2).collect()}
+    assert got == want
