@@ -1,16 +1,16 @@
 """License scans: normalised passages against licence templates by Dice coefficient.
 
 DataFrame and SQL functions only. A passage is a line of a text, and the whole text
-if it has several lines. Normalised: lower case, everything but letters and digits
-parts words; a passage is the set of its word bigrams (a lone word is its own).
+if it has several lines. Normalised: A-Z folded, everything but ASCII letters and
+digits parts words; a passage is the set of its word bigrams (a lone word is its own).
 Dice(a, b) = 2 |a and b| / (|a| + |b|).
 
 Pruning, exact: Dice of at least t needs the smaller set to have t / (2 - t) of the
 larger one's size, which bounds the templates worth comparing by their size; and at
 least that share of the template's bigrams must be in the passage. So of any
-m - ceil(m t / (2 - t)) + 1 bigrams of a template of m, one is there. The longest word of
-each of so many bigrams is an anchor; a text without any anchor has no licence and is
-never split.
+m - ceil(m t / (2 - t)) + 1 bigrams of a template of m, one is there. The longest so many
+bigrams are anchors; a text without any anchor, by one regular expression, has no
+licence and is never split.
 
 Templates are a mapping of a checked size: at most ``MAX_TEMPLATE_BYTES`` of text, held
 in the plan as literals. Nothing is shuffled.
@@ -23,6 +23,7 @@ is found.
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +59,16 @@ def least_common(size: int, threshold: float) -> int:
     return max(1, math.ceil(size * threshold / (2 - threshold) - _ROUNDING))
 
 
-def anchors(grams: list[str], threshold: float) -> set[str]:
-    """Words of which a passage near the template has one."""
-    longest = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
-    return set(longest[:len(grams) - least_common(len(grams), threshold) + 1])
+def anchors(grams: list[str], threshold: float) -> list[str]:
+    """Bigrams of which a passage near the template has one, the longest."""
+    longest = sorted(grams, key=lambda g: (-len(g), g))
+    return longest[:len(grams) - least_common(len(grams), threshold) + 1]
 
 
 def passage_bigrams(passage: Column) -> Column:
-    """The distinct bigrams of a passage in lower case."""
-    w = F.filter(F.split(passage, "[^a-z0-9]+"), lambda x: x != "")
+    """The distinct bigrams of a passage."""
+    folded = F.translate(passage, ascii_uppercase, ascii_lowercase)
+    w = F.filter(F.split(folded, "[^a-z0-9]+"), lambda x: x != "")
     # as a one-element array, so that the words are computed once
     return F.flatten(F.transform(F.array(w), lambda ws: F.when(F.size(ws) >= 2, F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.size(ws) - 1),
@@ -83,17 +85,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         raise ValueError("templates are larger than the stated bound")
     sets = {name: grams for name, text in sorted(templates.items()) if (grams := bigrams(text))}
     rows = docs.select(F.col(id_col).alias("_id"),
-                       F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     if not sets:
         return rows.select(F.col("_id").alias(id_col), F.lit(None).cast("string").alias("license"),
                            F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("n_passages"))
-    words = sorted(set().union(*(anchors(g, threshold) for g in sets.values())))
+    near_one = sorted({a for g in sets.values() for a in anchors(g, threshold)})
+    pattern = "(?i)(?:" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in near_one) + ")"
 
     def anchored(text: Column) -> Column:
-        found = F.contains(text, F.lit(words[0]))
-        for w in words[1:]:
-            found = found | F.contains(text, F.lit(w))
-        return found
+        return F.rlike(text, F.lit(pattern))
 
     def best(grams: Column) -> Column:
         """The best template: struct(minus the score, name), or null."""
@@ -118,7 +118,8 @@ def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD)
     """The same in DuckDB's SQL over ``documents``, without pruning."""
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(templates.items()))
     grams = "unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) ELSE w END)"
-    split = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '')"
+    split = ("list_filter(string_split(regexp_replace(translate({}, '" + ascii_uppercase + "', '" + ascii_lowercase
+             + "'), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '')")
     return f"""
 WITH tg AS (SELECT DISTINCT name, {grams} AS gram FROM (
        SELECT name, {split.format("body")} AS w FROM (VALUES {rows}) AS t(name, body))),

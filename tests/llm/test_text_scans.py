@@ -337,7 +337,7 @@ def test_secrets_query(spark, awkward, no_docs, documents):
 
 def plain_license(text, templates, threshold):
     def grams(t):
-        w = re.findall("[a-z0-9]+", t.lower())
+        w = [x.lower() for x in re.findall("[a-zA-Z0-9]+", t)]
         return {f"{a} {b}" for a, b in zip(w, w[1:])} or set(w)
     sets = {n: grams(t) for n, t in templates.items()}
     lines = (text or "").split("\n")
