@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.topn import top_n_per_group
-from clusterloom.session import cut_lineage
+from clusterloom.session import number_rows
 
 # The six job states (the reference spells the last one "canceled").
 JOB_STATUSES = ("queued", "running", "paused", "completed", "failed", "canceled")
@@ -23,22 +23,9 @@ def normalise_status(col: Column) -> Column:
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """1-based position in a total order, without a single-partition window.
-
-    Rows are range-partitioned and sorted, numbered inside their partition and
-    written once; the counts of the partitions (one number each) give the offsets.
-    """
+    """1-based position in a total order, without a single-partition window."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = cut_lineage(
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = dict(numbered.groupBy("_part").count().collect())
-    before = [0]
-    for p in range(max(sizes, default=0)):
-        before.append(before[-1] + sizes.get(p, 0))
-    offset = F.element_at(F.array(*map(F.lit, before)), F.col("_part") + 1)
-    return numbered.withColumn(name, offset + F.col("_at") + 1).drop("_part", "_at")
+    return number_rows(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), name)
 
 
 def list_jobs(jobs: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:

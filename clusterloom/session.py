@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "clusterloom", cpus: int | str | None = None,
@@ -74,6 +75,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
+    """1-based position of every row in the order of the partitions and of the rows in them.
+
+    Rows are numbered inside their partition and written once; the counts of the
+    partitions (one number each) give the offsets.
+    """
+    numbered = cut_lineage(
+        df.withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = dict(numbered.groupBy("_part").count().collect())
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    offset = F.element_at(F.lit(before).cast("array<long>"), F.col("_part") + 1)
+    return numbered.withColumn(name, offset + F.col("_at") + 1).drop("_part", "_at")
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables that ``cut_lineage`` wrote for this application; call it when their readers are done."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"

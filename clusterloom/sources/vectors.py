@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clusterloom.session import number_rows
+
 # Accepted spellings of the four embedding types (singular is canonical).
 TYPE_ALIASES = {
     "document": "document", "documents": "document",
@@ -85,10 +87,14 @@ def write_vectors(df: DataFrame, root: str, mode: str = "append") -> None:
 def read_vectors(spark: SparkSession, root: str, embedding_type: str) -> DataFrame:
     """One vector set by type; partition pruning reads only that folder.
 
-    A missing root raises (AnalysisException), matching 'missing file = error'.
+    A missing root raises (AnalysisException), and so does a type without vectors
+    (FileNotFoundError), matching 'missing file = error'.
     """
     t = canonical_type(embedding_type)
-    return spark.read.parquet(root).where(F.col("embedding_type") == F.lit(t))
+    found = spark.read.parquet(root).where(F.col("embedding_type") == F.lit(t))
+    if found.isEmpty():
+        raise FileNotFoundError(f"no vectors of type {t!r} under {root}")
+    return found
 
 
 def read_metadata_json(spark: SparkSession, path: str, shape: str = "lines") -> DataFrame:
@@ -111,23 +117,14 @@ def read_metadata_json(spark: SparkSession, path: str, shape: str = "lines") ->
         if shape != "lines":
             reader = reader.option("multiLine", True)
         raw = reader.json(path)
-        # Position of a record = its order in the input. zipWithIndex numbers rows
-        # densely across partitions with one small counting job, without moving them.
-        indexed = raw.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-        raw = spark.createDataFrame(indexed, T.StructType(RECORD_SCHEMA.fields + [T.StructField("meta_pos", T.LongType())]))
+        # position of a record = its order in the input, from 0
+        raw = number_rows(raw, "meta_pos").withColumn("meta_pos", F.col("meta_pos") - 1)
         return raw.select(
             F.coalesce("id", "source_id", F.col("meta_pos").cast("string")).alias("meta_key"),
             "meta_pos", "id", "source_id", F.col("embedding_type").alias("meta_type"), "metadata")
     raise ValueError(f"unknown metadata shape {shape!r}")
 
 
-def read_reverse_id_map(spark: SparkSession, path: str) -> DataFrame:
-    """``reverse_id_map`` of a store file as ``pos long, meta_key string`` rows."""
-    raw = spark.read.schema(STORE_SCHEMA).option("multiLine", True).json(path)
-    return raw.select(F.explode("reverse_id_map").alias("pos", "meta_key")).select(
-        F.col("pos").cast("long").alias("pos"), "meta_key")
-
-
 def attach_metadata(vectors: DataFrame, meta: DataFrame, reverse_map: DataFrame | None = None,
                     fallback: str = "null") -> DataFrame:
     """Vector position -> key -> metadata record (left equi-joins).

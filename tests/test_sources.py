@@ -56,3 +56,20 @@ def test_naive_dates_are_utc_in_any_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [19723.0, 19723.0, 19723.0, 19723.0, None, None]
+
+
+def test_metadata_files_and_missing_types(spark, tmp_path):
+    import json
+
+    records = [{"id": f"m{i}", "source_id": f"s{i}", "embedding_type": "event", "metadata": {"domain": "en"}} for i in range(7)]
+    (tmp_path / "list.json").write_text(json.dumps(records))
+    (tmp_path / "one.json").write_text(json.dumps(records[3], indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, records)))
+    for name, shape, want in (("list", "list", records), ("one", "object", records[3:4]), ("lines", "lines", records)):
+        got = SV.read_metadata_json(spark, str(tmp_path / f"{name}.json"), shape).orderBy("meta_pos").collect()
+        assert [(r["meta_pos"], r["meta_key"]) for r in got] == [(i, r["id"]) for i, r in enumerate(want)]
+    vec = spark.createDataFrame([(0, "event", [1.0])], "pos long, embedding_type string, embedding array<double>")
+    SV.write_vectors(vec, str(tmp_path / "v"))
+    assert SV.read_vectors(spark, str(tmp_path / "v"), "events").count() == 1
+    with pytest.raises(FileNotFoundError):
+        SV.read_vectors(spark, str(tmp_path / "v"), "entity")
