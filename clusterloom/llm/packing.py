@@ -34,63 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.llm.texts import Kept
+
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 128, 4096
 END_ID = 2
 CHUNK_TOKENS = 1 << 20
-CACHED_RUNS = 400_000
 
 
 # ------------------------------------------------------------------ token ids
 
-class RunIds(dict):
+@lru_cache(maxsize=2)
+def run_ids(path: str) -> Kept:
     """Ids, as little-endian 32-bit bytes, of runs without ASCII white space."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    def ids(run: bytes) -> bytes:
+        return np.array(tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the runs that aren't kept yet; the store starts anew when it is full."""
-        missing = list(set().union(*texts).difference(self))
-        if len(self) + len(missing) > CACHED_RUNS:
-            self.clear()
-            missing = list(set().union(*texts))
-        encoded = self.tokenizer.encode_batch([m.decode("utf-8", "replace") for m in missing],
-                                              add_special_tokens=False)
-        for m, e in zip(missing, encoded):
-            self[m] = np.array(e.ids, "<u4").tobytes()
+    return Kept(ids)
 
 
-@lru_cache(maxsize=2)
-def run_ids(path: str) -> RunIds:
-    return RunIds(path)
-
-
-def encode_texts(column: pa.Array, path: str, end_id: int | None, slice_bytes: int = 1 << 20
-                 ) -> Iterator[np.ndarray]:
+def encode_texts(column: pa.Array, path: str, end_id: int | None) -> Iterator[np.ndarray]:
     """Ids of each text in turn, with ``end_id`` after them."""
     kept = run_ids(path)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    texts, size = [], 0
-
-    def done():
-        kept.learn(texts)
-        for runs in texts:
-            yield np.frombuffer(b"".join(map(kept.__getitem__, runs)) + tail, "<u4")
-
     for value in column.cast(pa.large_binary()):
-        text = value.as_py() or b""
-        texts.append(text.split())
-        size += len(text)
-        if size >= slice_bytes:
-            yield from done()
-            texts, size = [], 0
-    yield from done()
+        yield np.frombuffer(b"".join(map(kept.__getitem__, (value.as_py() or b"").split())) + tail, "<u4")
 
 
 # ------------------------------------------------------------------ packing
