@@ -1,11 +1,11 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Writing: each task streams its pages into WARC/1.1 files of bounded size under the
-shared folder, through Arrow's file systems (local, HDFS or an object store by URI).
+Writing: each task streams its pages into WARC/1.1 files of bounded size, a gzip member
+for each record, under the shared folder, through Arrow's file systems (local, HDFS or an object store by URI).
 A file has a fresh name for each attempt and only the index rows of the attempt that
 succeeds are kept, so a lost executor leaves at most a file that no index names. The
-index holds file, offset, length, URL, digest and the rest of what a selection needs
-for each record, and is a Parquet table.
+index holds file, offset and length (of the member), URL, digest and the rest of what a
+selection needs for each record, and is a Parquet table.
 
 Of records with equal payloads the one with the largest id carries the payload
 (response); the others are revisit records that refer to it and carry headers
@@ -25,6 +25,7 @@ response.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 from clusterloom.session import cut_lineage, ensure_checkpoint_dir
 
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
+GZIP_LEVEL = 1
 GAP, RANGE = 64 << 10, 8 << 20
 LEAST = 0
 
@@ -113,12 +115,13 @@ def _writer(root: str, file_bytes: int):
                 rows = []
                 for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in range(4))):
                     if out is None:
-                        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
-                        out, at = system.open_output_stream(f"{folder}/{name}"), 0
+                        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                        out, at = system.open_output_stream(f"{folder}/{name}", compression=None), 0
                     body = (payload or "").encode("utf-8", "replace")
                     sha = digest(body)
                     revisit = first is not None and first != page_id
-                    data = record(page_id, url, None if revisit else body, len(body), sha, first if revisit else None)
+                    data = gzip.compress(record(page_id, url, None if revisit else body, len(body), sha,
+                                                first if revisit else None), GZIP_LEVEL, mtime=0)
                     out.write(data)
                     rows.append((name, at, len(data), page_id, url, sha, len(body),
                                  "revisit" if revisit else "response", first if revisit else None))
@@ -171,7 +174,7 @@ def _reader(root: str, with_payload: bool):
             for start, end, rows in ranges(index):
                 data = source.read_at(end - start, start)
                 for r in rows.itertuples():
-                    headers, body = parse(data[r.offset - start:r.offset - start + r.length])
+                    headers, body = parse(gzip.decompress(data[r.offset - start:r.offset - start + r.length]))
                     sha, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                     if sha != r.digest or kind != r.record_type or kind == "response" and digest(body) != sha:
                         raise ValueError(f"record at {key[0]}:{r.offset} differs from its index row")
