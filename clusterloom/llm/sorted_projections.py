@@ -161,8 +161,10 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
              .withColumn("_sub", F.pmod(F.xxhash64("_rep"), F.col("_subs")).cast("int"))
              .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
              .withColumn("_low", F.least("_sub", "_other")).withColumn("_high", F.greatest("_sub", "_other")))
-    counted = dealt.select("_component", "_low", "_high", "_sub", "_rep", "_vec", "_copies").groupBy(
-        "_component", "_low", "_high").applyInPandas(_counts(threshold), "_rep long, _n long")
+    # dealt anew by block pair, or the join's partitioning by component would keep a large one in one task
+    pairs = dealt.select("_component", "_low", "_high", "_sub", "_rep", "_vec", "_copies").repartition(
+        "_component", "_low", "_high")
+    counted = pairs.groupBy("_component", "_low", "_high").applyInPandas(_counts(threshold), "_rep long, _n long")
     return counted.groupBy("_rep").agg(F.sum("_n").alias("_links"))
 
 
