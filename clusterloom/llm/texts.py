@@ -165,7 +165,7 @@ class Kept(dict):
     one. Keys longer than ``longest`` aren't kept.
     """
 
-    def __init__(self, make: Callable, limit: int = 800_000, longest: int = 128):
+    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 128):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
         self.older: dict = {}
