@@ -1,21 +1,15 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates: every pair at the threshold, exactly.
 
-Each pass hashes every vector to the signs of ``BITS`` random projections, orders
-the vectors by these bits as one word, and compares each with its ``window``
-neighbours in that order. Pairs whose cosine, computed from the vectors in double
-precision, reaches the threshold are united across passes. A pass that separates
-two near vectors early is made up for by the others.
+Vectors are dealt to blocks by a hash of their id, and each pair of blocks is one dense
+matrix product in double precision, so that every two vectors meet once, whatever
+their number or density. (Passes sorted by random projections compare neighbours of
+an order only and lose pairs as a table or a neighbourhood grows.) A pair of blocks
+returns a number of links per vector and a spanning forest of its links, fewer edges
+than rows, never pairs. Equal vectors are one row throughout.
 
-All passes are one distributed sort. Ranks come from the counts of the sorted
-partitions; ranks are cut into blocks, and the first ``window`` rows of a block also
-go to the block before, so that windows reach over the cuts. A block returns a
-spanning forest of its verified pairs, fewer edges than rows, whatever the size of a
-group. Equal vectors are one row throughout.
-
-The number of links of a vector is counted exactly inside its component, also
-between vectors that no window held together: the component is dealt to
-sub-blocks of bounded size, and each pair of sub-blocks adds counts per vector,
-never pairs.
+Work grows with the square of the number of different vectors, divided among the pairs
+of blocks; a block has a bounded number of rows and of values, so the memory of a task is
+constant, and a vector is sent to as many tasks as there are blocks.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or with null or non-finite components link with nothing; rows that repeat a vec_id
@@ -25,19 +19,18 @@ component and isn't kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.graph import connected_components
 from clusterloom.session import cut_lineage
 
-PASSES, WINDOW, BITS = 24, 48, 63
-BLOCK, SUB_BLOCK = 4096, 2048
+# Rows and values of a block at most; small tables are cut into up to SPREAD blocks of SUB_BLOCK rows or more.
+BLOCK, BLOCK_VALUES = 16384, 1 << 21
+SUB_BLOCK, SPREAD = 512, 8
+BAND = 256
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -50,133 +43,92 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def projection(p: int, dim: int) -> np.ndarray:
-    """The random directions of pass ``p``: the same in every task."""
-    return np.random.default_rng([20_11, p, dim]).standard_normal((dim, BITS))
-
-
-def _keyed(passes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                x = unit(_matrix(part.column(1).to_pandas()))
-                for p in range(passes):
-                    bits = (x @ projection(p, x.shape[1])) > 0
-                    key = (bits << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), p, np.int32)), pa.array(key), part.column(0), part.column(1)],
-                        ["_pass", "_key", "_rep", "_vec"])
-    return run
+def blocks_of(count: int, dim: int) -> int:
+    """How many blocks ``count`` vectors of ``dim`` values are dealt to."""
+    rows = max(1, min(BLOCK, BLOCK_VALUES // max(dim, 1)))
+    return max(1, -(-count // rows), min(SPREAD, count // SUB_BLOCK))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the pairs (a, b) of 0..n-1 make a spanning forest, in the order given."""
-    parent = list(range(n))
+def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) join trees, in the order given; ``parent`` holds roots, before and after."""
+    ra, rb = parent[a], parent[b]
+    apart = np.flatnonzero(ra != rb)
+    _, first = np.unique(ra[apart] * len(parent) + rb[apart], return_index=True)
+    apart, kept, trees = apart[np.sort(first)], [], {}
 
     def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (up := trees.get(i, i)) != i:
+            trees[i] = trees.get(up, up)
+            i = up
         return i
 
-    keep = np.zeros(len(a), bool)
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+    for k, i, j in zip(apart.tolist(), ra[apart].tolist(), rb[apart].tolist()):
         i, j = root(i), root(j)
         if i != j:
-            parent[max(i, j)] = min(i, j)
-            keep[k] = True
-    return keep
-
-
-def _windows(threshold: float, window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank", kind="stable")
-        x, passes, reps = unit(_matrix(pdf["_vec"])), pdf["_pass"].to_numpy(), pdf["_rep"].to_numpy()
-        first, second = [], []
-        for at in range(0, len(x), window):  # a band of the order against itself and the next band
-            near = x[at:at + window] @ x[at:at + 2 * window].T
-            i, j = np.nonzero(near >= threshold - 1e-9)
-            ok = (j > i) & (j - i <= window)
-            first.append(at + i[ok])
-            second.append(at + j[ok])
-        a, b = np.concatenate(first), np.concatenate(second)
-        ok = (passes[a] == passes[b]) & ((x[a] * x[b]).sum(axis=1) >= threshold)
-        a, b = a[ok], b[ok]
-        keep = _forest(a, b, len(x))
-        return pd.DataFrame({"src": reps[a[keep]], "dst": reps[b[keep]]})
-    return run
+            trees[max(i, j)] = min(i, j)
+            kept.append(k)
+    if trees:
+        to = np.arange(len(parent))
+        for i in trees:
+            to[i] = root(i)
+        parent[:] = to[parent]
+    return np.array(kept, np.int64)
 
 
-def window_edges(vectors: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
-    """Spanning forests of the pairs at ``threshold`` that share a window: ``src, dst``. Input: ``_rep, _vec``."""
-    spark = vectors.sparkSession
-    kind = vectors.schema["_vec"].dataType.simpleString()
-    count = vectors.count()
-    parts = max(1, min(count * passes // BLOCK + 1, 100_000))
-    keyed = vectors.select("_rep", "_vec").mapInArrow(_keyed(passes), f"_pass int, _key long, _rep long, _vec {kind}")
-    ordered = cut_lineage(
-        keyed.repartitionByRange(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_pass", "_key", "_rep")
-        .sortWithinPartitions("_pass", "_key", "_rep")
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = dict(ordered.groupBy("_part").count().collect())  # a number per partition
-    before = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])]).tolist()
-    offsets = F.element_at(F.lit(before), F.col("_part") + 1) if len(before) > 1 else F.lit(0)
-    ranked = ordered.withColumn("_rank", offsets.cast("long") + F.col("_at"))
-    block = (F.col("_rank") / BLOCK).cast("long")
-    dealt = ranked.withColumn("_block", F.explode(
-        F.when((F.col("_rank") % BLOCK < window) & (F.col("_rank") >= BLOCK), F.array(block, block - 1))
-        .otherwise(F.array(block))))
-    return dealt.select("_block", "_rank", "_pass", "_rep", "_vec").groupBy("_block").applyInPandas(
-        _windows(threshold, window), "src long, dst long")
-
-
-def _counts(threshold: float):
+def _pairs(threshold: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x, mine = unit(_matrix(pdf["_vec"])), pdf["_sub"].to_numpy()
-        copies, total = pdf["_copies"].to_numpy(), np.zeros(len(pdf), np.int64)
-        a = np.flatnonzero(mine == key[1])
-        b = np.flatnonzero(mine == key[2])
-        for at in range(0, len(a), 256):
-            rows = a[at:at + 256]
-            near = x[rows] @ x[b].T
-            sure, close = near >= threshold + 1e-9, np.abs(near - threshold) < 1e-9
-            for i, j in zip(*np.nonzero(close)):
-                sure[i, j] = (x[rows[i]] * x[b[j]]).sum() >= threshold
-            total[rows] += sure @ copies[b]
-            if key[1] != key[2]:
-                total[b] += copies[rows] @ sure
-        return pd.DataFrame({"_rep": pdf["_rep"], "_n": total})
+        reps, copies = pdf["_rep"].to_numpy(), pdf["_copies"].to_numpy()
+        low, high = key[-2:]
+        a, b = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        others, total, parent, edges = x[b].T, np.zeros(len(pdf)), np.arange(len(pdf)), []
+        if low == high:
+            total += copies
+        for at in range(0, len(a), BAND):
+            rows = a[at:at + BAND]
+            near = x[rows] @ others
+            i, j = np.nonzero(near >= threshold - 1e-9)
+            near = near[i, j]
+            i, j = rows[i], b[j]
+            sure = near >= threshold + 1e-9
+            close = np.flatnonzero(~sure)
+            sure[close] = (x[i[close]] * x[j[close]]).sum(axis=1) >= threshold
+            sure &= i != j
+            i, j = i[sure], j[sure]
+            total += np.bincount(i, copies[j], len(pdf))
+            if low != high:
+                total += np.bincount(j, copies[i], len(pdf))
+            kept = _forest(parent, i, j)
+            edges.append((reps[i[kept]], reps[j[kept]]))
+        linked = np.flatnonzero(total)
+        src, dst = (np.concatenate([e[side] for e in edges] or [reps[:0]]) for side in (0, 1))
+        return pd.DataFrame({"src": np.concatenate([reps[linked], src]),
+                             "dst": pd.array([pd.NA] * len(linked) + dst.tolist(), "Int64"),
+                             "_n": np.concatenate([total[linked], np.zeros(len(src))]).astype(np.int64)})
     return run
 
 
-def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """``_rep, _links``: copies of vectors at ``threshold`` in the same component, itself included.
+def all_links(vectors: DataFrame, threshold: float, blocks: int) -> DataFrame:
+    """``src, dst, _n``: with a null dst, ``_n`` copies (its own included) linked to src; else an edge of a forest.
 
-    Input: ``_rep, _vec, _copies, _component``, components of two or more only.
+    Input: ``_rep, _vec, _copies``.
     """
-    size = members.groupBy("_component").agg(F.ceil(F.count("*") / SUB_BLOCK).cast("int").alias("_subs"))
-    dealt = (members.join(size, "_component")
-             .withColumn("_sub", F.pmod(F.xxhash64("_rep"), F.col("_subs")).cast("int"))
-             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+    dealt = (vectors.withColumn("_sub", F.pmod(F.xxhash64("_rep"), F.lit(blocks)).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
              .withColumn("_low", F.least("_sub", "_other")).withColumn("_high", F.greatest("_sub", "_other")))
-    # dealt anew by block pair, or the join's partitioning by component would keep a large one in one task
-    pairs = dealt.select("_component", "_low", "_high", "_sub", "_rep", "_vec", "_copies").repartition(
-        "_component", "_low", "_high")
-    counted = pairs.groupBy("_component", "_low", "_high").applyInPandas(_counts(threshold), "_rep long, _n long")
-    return counted.groupBy("_rep").agg(F.sum("_n").alias("_links"))
+    return dealt.select("_low", "_high", "_sub", "_rep", "_vec", "_copies").groupBy("_low", "_high").applyInPandas(
+        _pairs(threshold), "src long, dst long, _n long")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, passes: int = PASSES, window: int = WINDOW,
-                    id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
+                    vec_col: str = "embedding") -> DataFrame:
     """``id_col, n_links, component_id, kept`` per row.
 
     n_links: other vectors linked directly; component_id: the smallest id reachable;
     kept: the id is its component's.
     """
-    if not -1 <= threshold <= 1 or not 1 <= window <= BLOCK:
-        raise ValueError("threshold must be a cosine, window at least 1 and at most a block")
+    if not -1 <= threshold <= 1:
+        raise ValueError("threshold must be a cosine")
     vectors = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
     sound = (F.col("_vec").isNotNull() & (F.size("_vec") > 0)
              & F.forall("_vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -187,11 +139,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, passes: int = PASSE
         usual = (0, 0)
     good = good.where(F.size("_vec") == usual[0])
     classes = cut_lineage(good.groupBy("_vec").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")))
-    edges = cut_lineage(window_edges(classes, threshold, passes, window).distinct())
+    links = cut_lineage(all_links(classes, threshold, blocks_of(classes.count(), usual[0])))
+    edges = cut_lineage(links.where("dst is not null").select("src", "dst").distinct())
     linked = edges.select(F.col("src").alias("_rep")).union(edges.select("dst")).distinct()
     component = cut_lineage(connected_components(linked, edges, "_rep").withColumnRenamed("component", "_component"))
-    counts = link_counts(classes.join(component, "_rep"), threshold)
-    known = (classes.join(component, "_rep", "left").join(counts, "_rep", "left")
+    counts = links.where("dst is null").groupBy(F.col("src").alias("_rep")).agg(F.sum("_n").alias("_links"))
+    counts = component.join(counts, "_rep")
+    known = (classes.join(counts, "_rep", "left")
              .select("_vec", F.coalesce("_component", "_rep").alias("_component"),
                      (F.coalesce("_links", "_copies") - 1).alias("_links")))
     found = good.join(known, "_vec").select("_id", "_links", "_component")

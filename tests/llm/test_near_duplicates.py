@@ -224,3 +224,41 @@ def test_sorted_projections_awkward(spark):
     assert by[None].n_links == 0 and by[None].component_id is None and not by[None].kept
     assert sp.near_duplicates(df.limit(0)).count() == 0
     assert sp.near_duplicates(df.where(F.col("vec_id") < 3)).count() == 3
+
+
+def crowded_vectors(n=3000, dim=64, seed=5):
+    """Vectors at cosine 0.8 of each other, every tenth with a partner at cosine 0.9 to 0.93."""
+    rng = np.random.default_rng(seed)
+    x = np.sqrt(0.8) * np.eye(dim)[0] + np.sqrt(0.2 / (dim - 1)) * rng.normal(size=(n, dim)) * (np.arange(dim) > 0)
+    for k in range(0, n, 10):
+        u, v = x[k] / np.linalg.norm(x[k]), rng.normal(size=dim)
+        v -= (v @ u) * u
+        c = rng.uniform(0.9001, 0.93)
+        x[k + 1] = c * u + np.sqrt(1 - c * c) * v / np.linalg.norm(v)
+    return x
+
+
+def test_every_link_of_a_crowded_neighbourhood(spark):
+    x = crowded_vectors()
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in sp.near_duplicates(df).collect()}
+    want = {i: (n, c, i == c) for i, (n, c) in plain_links(ids, x, 0.9).items()}
+    assert got == want and sum(n > 0 for n, _, _ in want.values()) >= 600
+
+
+def test_blocks_are_bounded():
+    assert sp.blocks_of(0, 64) == 1 and sp.blocks_of(5000, 64) == sp.SPREAD
+    for n, dim in ((10 ** 6, 64), (10 ** 6, 4096)):
+        assert n / sp.blocks_of(n, dim) <= min(sp.BLOCK, sp.BLOCK_VALUES / dim)
+
+
+def test_forest_keeps_the_components():
+    rng = np.random.default_rng(2)
+    parent, kept = np.arange(300), []
+    pairs = rng.integers(0, 300, (240, 2))
+    for at in range(0, 240, 60):
+        a, b = pairs[at:at + 60].T
+        kept += [(a[k], b[k]) for k in sp._forest(parent, a, b)]
+    assert components(300, kept) == components(300, pairs.tolist()) == parent.tolist()
+    assert len(kept) == 300 - len(set(parent.tolist()))
