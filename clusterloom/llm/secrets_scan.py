@@ -2,8 +2,8 @@
 
 Base spans come from three fixed patterns: assignments to password-like names,
 access key ids and long hexadecimal runs. Beyond them, runs of base64 or
-hexadecimal characters are candidates that are decoded and parsed before they
-are reported:
+hexadecimal characters (of either case) are candidates that are decoded and parsed
+before they are reported:
 
 * ``jwt``: three dot-separated base64url parts whose first is a JSON object with an
   ``alg`` string and whose second is a JSON object;
@@ -12,10 +12,10 @@ are reported:
   subject public key);
 * ``ssh``: length-prefixed strings that start with a known SSH key type, or the magic
   of an OpenSSH private key;
-* ``pem``: a block between BEGIN and END lines of a key whose body decodes to ``der``
-  or ``ssh``, or carries an encryption header.
+* ``pem``: a block between BEGIN and END lines of a key whose body, without line breaks
+  (escaped ones too), decodes to ``der`` or ``ssh``, or carries an encryption header.
 
-Runs are found in one linear pass, so that no text makes the scan quadratic.
+Runs and blocks are found in one linear pass, so that no text makes the scan quadratic.
 Offsets are code points, ends exclusive. Null texts are empty. Rows are scanned one
 by one where they lie; nothing is shuffled.
 """
@@ -51,10 +51,12 @@ _VALUE = re.compile("[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _RUN = re.compile("[A-Za-z0-9+/_=.-]{20,}")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
+_HEX_BYTES = re.compile("[0-9A-Fa-f]{24,}")
 _WORD = re.compile("[A-Za-z0-9+/_-]{24,}={0,2}")
 _TOKEN = re.compile("[A-Za-z0-9_-]+")
-_PEM = re.compile("-----BEGIN ([A-Z0-9 ]{0,40}(?:PRIVATE|PUBLIC) KEY)-----")
-_LONGEST_PEM = 1 << 16
+_PEM = re.compile("-----(BEGIN|END) ([A-Z0-9 ]{0,40}(?:PRIVATE|PUBLIC) KEY)-----")
+# line breaks and tabs, as they are or escaped (once or more), and the backslash of an escaped slash
+_BREAKS = re.compile(r"\\+(?:[nrt]|u000[9adAD])|[\s\\]+")
 
 
 def assignments(text: str) -> Iterator[Span]:
@@ -144,6 +146,10 @@ def is_ssh_key(data: bytes) -> bool:
     return len(strings) == want if want else at == len(data) and len(strings) >= 2
 
 
+def _kind(data: bytes) -> str | None:
+    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
 def _decoded(text: str) -> bytes:
     body = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -163,7 +169,7 @@ def _json_object(part: str) -> dict | None:
 def _tokens(run: str, at: int) -> Iterator[Span]:
     parts = list(_TOKEN.finditer(run))
     for a, b, c in zip(parts, parts[1:], parts[2:]):
-        if (run.startswith("eyJ", a.start()) and a.end() + 1 == b.start() and run[a.end()] == "."
+        if (a.end() + 1 == b.start() and run[a.end()] == "."
                 and b.end() + 1 == c.start() and run[b.end()] == "."):
             head = _json_object(a.group())
             if head and isinstance(head.get("alg"), str) and _json_object(b.group()) is not None:
@@ -171,15 +177,17 @@ def _tokens(run: str, at: int) -> Iterator[Span]:
 
 
 def _blocks(text: str) -> Iterator[Span]:
-    for begin in _PEM.finditer(text):
-        close = f"-----END {begin[1]}-----"
-        end = text.find(close, begin.end(), begin.end() + _LONGEST_PEM)
-        if end >= 0:
-            body = text[begin.end():end]
-            data = _decoded("".join(body.split()))
+    begin = None  # the last BEGIN line not closed: bodies don't overlap
+    for line in _PEM.finditer(text):
+        if line[1] == "BEGIN":
+            begin = line
+        elif begin and line[2] == begin[2]:
+            body = text[begin.end():line.start()]
+            data = _decoded(_BREAKS.sub("", body))
             if is_der_key(data) or is_ssh_key(data) or "Proc-Type: 4,ENCRYPTED" in body or (
-                    begin[1].startswith("ENCRYPTED") and _der_items(data, 0, len(data))):
-                yield "pem", begin.start(), end + len(close)
+                    begin[2].startswith("ENCRYPTED") and _der_items(data, 0, len(data))):
+                yield "pem", begin.start(), line.end()
+            begin = None
 
 
 def scan(text: str) -> list[Span]:
@@ -190,16 +198,18 @@ def scan(text: str) -> list[Span]:
         spans += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(run) if len(m.group()) >= 20]
         for m in _HEX.finditer(run):
             spans.append(("hex", at + m.start(), at + m.end()))
-            if m.group().startswith("30") and len(m.group()) % 2 == 0 and is_der_key(bytes.fromhex(m.group())):
-                spans.append(("der", at + m.start(), at + m.end()))
+        for m in _HEX_BYTES.finditer(run):
+            if len(m.group()) % 2 == 0:
+                kind = _kind(bytes.fromhex(m.group()))
+                if kind:
+                    spans.append((kind, at + m.start(), at + m.end()))
         for m in _WORD.finditer(run):
-            # the first bytes of a SEQUENCE, an SSH string length and the SSH magic, in base64
-            if m.group().startswith(("MI", "MC", "MD", "ME", "MF", "MG", "MH", "AAAA", "b3BlbnNzaC1rZXktdjE")):
-                data = _decoded(m.group())
-                kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+            # the first bytes of a SEQUENCE of 16 bytes or more, an SSH string length and the SSH magic, in base64
+            if m.group().startswith(("MI", "MB", "MC", "MD", "ME", "MF", "MG", "MH", "AAAA", "b3BlbnNzaC1rZXktdjE")):
+                kind = _kind(_decoded(m.group()))
                 if kind:
                     spans.append((kind, at + m.start(), at + m.end()))
-        if "eyJ" in run and "." in run:
+        if run.count(".") >= 2:
             spans += _tokens(run, at)
     if "-----BEGIN" in text:
         spans += _blocks(text)

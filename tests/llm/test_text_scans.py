@@ -304,6 +304,37 @@ def test_structures_are_confirmed():
     assert kinds("Donaudampfschifffahrtsgesellschaft" * 3) == set()
 
 
+def test_other_writings_of_the_structures():
+    def kinds(text):
+        return {k for k, _, _ in secrets_scan.scan(text)} - set(secrets_scan.BASE_KINDS)
+    assert kinds(f"0x{PKCS8.hex().upper()}") == {"der"} and kinds(PKCS1.hex().upper()) == {"der"}
+    assert kinds(SSH.hex()) == kinds(SSH.hex().upper()) == {"ssh"} and kinds("AB" * 40) == set()
+    small = der(0x30, der(2, b"\1"), der(4, bytes(range(16))))
+    assert kinds(b64(small)) == {"der"}
+    for head in ('{ "alg": "HS256"}', '{\n "alg": "none"}', '\t{"alg":"x"}', '{"typ":"JWT","alg":"RS256"}'):
+        token = ".".join(b64(x, True).rstrip("=") for x in (head.encode(), b' {"sub": "1"}', bytes(range(32))))
+        assert [s for s in secrets_scan.scan(f"a {token}.") if s[0] == "jwt"] == [("jwt", 2, 2 + len(token))]
+    assert kinds("www.some-long-name.example.com/a.b.c") == set()
+
+
+def test_pem_bodies_of_any_length_and_line_break():
+    def pems(text):
+        return [text[a:b] for k, a, b in secrets_scan.scan(text) if k == "pem"]
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    lines = [b64(PKCS1)[k:k + 64] for k in range(0, len(b64(PKCS1)), 64)]
+    for cut in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\\u000a"):
+        block = cut.join([begin, *lines, end, ""])
+        assert pems(json.dumps({"k": 1})[:-1] + f', "private_key": "{block}"}}') == [block[:-len(cut)]]
+        assert secrets_scan.redacted(f"x {block}") == f"x [secret]{cut}"
+    escaped = begin + "\\n" + b64(PKCS1).replace("/", "\\/") + "\\n" + end
+    assert pems(escaped) == [escaped]
+    pkcs8 = b"\x02\x01\x00" + der(0x30, der(6, b"\x2b")) + b"\x04\x83" + (100_000).to_bytes(3, "big") + bytes(100_000)
+    large = f"{begin}\n{b64(b'\x30\x83' + len(pkcs8).to_bytes(3, 'big') + pkcs8)}\n{end}"
+    assert len(large) > 1 << 17 and pems(large) == [large]
+    assert pems(f"{begin}\ncut off\n{large}\n{end}") == [large]
+    assert pems((begin + "\n") * 20_000 + end) == [] == pems(end + begin)
+
+
 def test_secret_spans_point_at_the_text():
     text = f"é {JWT}!"
     (kind, a, b), = [s for s in secrets_scan.scan(text) if s[0] == "jwt"]
