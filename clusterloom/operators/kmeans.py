@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from clusterloom.session import cut_lineage, table_path
 
 MAX_BROADCAST_VALUES = 64_000_000  # doubles shipped at once, 512 MB
+# Mini-batches that one task goes through hold so many numbers at most.
+CHUNK_VALUES = 1 << 19
 CANDIDATES_PER_CENTRE = 50
 
 
@@ -272,15 +274,58 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
     return assigned, new
 
 
+def _step(centers: np.ndarray, counts: np.ndarray, stats: list[tuple], reassignment_ratio: float) -> None:
+    """Move ``centers`` by one batch, in place. ``stats``: (label, rows, sum, farthest row, its distance)."""
+    for j, n, s, _, _ in stats:
+        counts[j] += n
+        centers[j] = centers[j] + (s - n * centers[j]) / counts[j]
+    if reassignment_ratio > 0 and counts.max() > 0:
+        low = np.where(counts < reassignment_ratio * counts.max())[0]
+        for j, r in zip(low, sorted(stats, key=lambda r: -r[4])):
+            centers[j] = r[3]
+            counts[j] = 0
+
+
+def _chunk_steps(chunk: DataFrame, centers: np.ndarray, counts: np.ndarray, reassignment_ratio: float,
+                 vec: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The centres and counts after all batches of a chunk of bounded size, in the order of ``_batch``."""
+    bc = chunk.sparkSession.sparkContext.broadcast((centers, counts))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [p for p in parts if len(p)]
+        c, n = (a.copy() for a in bc.value)
+        for _, pdf in pd.concat(parts).groupby("_batch") if parts else ():
+            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            idx, best = nearest(x, c)
+            stats = []
+            for j in np.unique(idx):
+                rows = np.flatnonzero(idx == j)
+                far = rows[best[rows].argmax()]
+                stats.append((j, len(rows), x[rows].sum(axis=0), x[far], best[far]))
+            _step(c, n, stats, reassignment_ratio)
+        yield pd.DataFrame({"label": np.arange(len(c), dtype=np.int32), "n": n, "center": list(c)})
+
+    rows = (chunk.select("_batch", id_col, vec).coalesce(1).sortWithinPartitions("_batch", id_col).drop(id_col)
+            .mapInPandas(run, "label int, n double, center array<double>").collect())
+    bc.unpersist()
+    if not rows:  # no row was dealt to these batches
+        return centers, counts
+    rows.sort(key=lambda r: r["label"])
+    return np.asarray([r["center"] for r in rows], dtype=np.float64), np.asarray([r["n"] for r in rows])
+
+
 def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_iter: int = 100,
                      seed: int = 42, reassignment_ratio: float = 0.01, vec: str = "embedding",
                      id_col: str = "item_id", tol: float = 0.0) -> tuple[DataFrame, dict]:
     """Mini-batch K-Means (Sculley 2010) on hash-selected batches.
 
+    ``max_iter`` counts passes over all rows, as in scikit-learn, so every row moves the centres in each;
+    a pass that moves no centre by ``tol`` or more is the last (with 0, all passes run).
     Each step takes the next batch (rows are dealt to batches by a seeded hash of the
-    id; after the last batch the first comes again), assigns it to the broadcast centres, aggregate per-label sums and
-    counts in Spark, and apply the per-centre learning-rate update
-    c <- c + (sum - n c) / N_c on the driver (k x D values). Centres whose total
+    id), assigns it to the broadcast centres, aggregates per-label sums and
+    counts, and applies the per-centre learning-rate update
+    c <- c + (sum - n c) / N_c. Consecutive small batches, up to ``CHUNK_VALUES`` numbers, are one task
+    that takes the centres and returns them (k x D values); a larger batch is aggregated in Spark. Centres whose total
     count stays below ``reassignment_ratio`` x the largest count are moved to
     the farthest batch points. Final labels come from one full assignment.
     """
@@ -298,33 +343,31 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
     centers = np.asarray([r[0] for r in init], dtype=np.float64)
     centers = _top_up(base, centers, k, vec) if len(centers) < k else centers
     counts = np.zeros(k)
-    # batches by a seeded hash, written once by batch: a step reads its own files only
+    # batches by a seeded hash, written once by chunk: a step reads its own files only
     n_batches = max(1, int(np.ceil(n / batch_size)))
+    per_chunk = max(1, CHUNK_VALUES // (int(batch_size) * centers.shape[1]))
+    in_task = batch_size * centers.shape[1] <= CHUNK_VALUES
     root = table_path(df.sparkSession)
     (base.select(id_col, vec, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_batches)).cast("int").alias("_batch"))
-     .where(F.col("_batch") < max_iter).repartition("_batch").write.partitionBy("_batch").parquet(root))
-    batches = df.sparkSession.read.parquet(root)
+     .withColumn("_chunk", F.floor(F.col("_batch") / per_chunk).cast("int"))
+     .repartition("_chunk").write.partitionBy("_chunk").parquet(root))
+    chunks = df.sparkSession.read.parquet(root)
     for it in range(max_iter):
-        batch = batches.where(F.col("_batch") == it % n_batches).drop("_batch")
-        stats = (assign_nearest(batch, centers, vec).groupBy("label")
-                 .agg(F.count("*").alias("n"),
-                      vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"),
-                      F.max_by(F.col(vec), F.col("distance")).alias("far"),
-                      F.max("distance").alias("far_d"))
-                 .collect())
         old = centers.copy()
-        for r in stats:
-            j = int(r["label"])
-            counts[j] += r["n"]
-            s = np.asarray(r["s"], dtype=np.float64)
-            centers[j] = centers[j] + (s - r["n"] * centers[j]) / counts[j]
-        if reassignment_ratio > 0 and counts.max() > 0:
-            low = np.where(counts < reassignment_ratio * counts.max())[0]
-            fars = [np.asarray(r["far"], dtype=np.float64)
-                    for r in sorted(stats, key=lambda r: -r["far_d"])]
-            for j, f in zip(low, fars):
-                centers[j] = f
-                counts[j] = 0
+        for at in range(-(-n_batches // per_chunk)):
+            chunk = chunks.where(F.col("_chunk") == at).drop("_chunk")
+            if in_task:
+                centers, counts = _chunk_steps(chunk, centers, counts, reassignment_ratio, vec, id_col)
+                continue
+            stats = (assign_nearest(chunk, centers, vec).groupBy("label")
+                     .agg(F.count("*").alias("n"),
+                          vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"),
+                          F.max_by(F.col(vec), F.col("distance")).alias("far"),
+                          F.max("distance").alias("far_d"))
+                     .collect())
+            _step(centers, counts, [(int(r["label"]), r["n"], np.asarray(r["s"], dtype=np.float64),
+                                     np.asarray(r["far"], dtype=np.float64), r["far_d"]) for r in stats],
+                  reassignment_ratio)
         if tol > 0 and np.abs(centers - old).max() < tol:
             break
     assigned = cut_lineage(assign_nearest(base, centers, vec))

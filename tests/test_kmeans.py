@@ -38,6 +38,20 @@ def test_kmeans_empty_raises(spark):
         KM.kmeans(to_df(spark, x, y).where(F.lit(False)), k=2)
 
 
+def test_minibatch_kmeans_passes_read_every_row(spark, monkeypatch):
+    x, y = planted(n_per=40, k=3, dim=6)
+    df, about_mean = to_df(spark, x, y), ((x - x.mean(axis=0)) ** 2).sum()
+    found = []
+    for values in (1, 256, 1 << 20):  # batches aggregated in Spark, chunks of two batches, one chunk
+        monkeypatch.setattr(KM, "CHUNK_VALUES", values)
+        # one centre is the running mean of all rows read
+        _, info = KM.minibatch_kmeans(df, k=1, batch_size=16, max_iter=1)
+        assert info["iterations"] == 1 and info["inertia"] == pytest.approx(about_mean)
+        found.append(KM.minibatch_kmeans(df, k=3, batch_size=16, max_iter=3)[1]["inertia"])
+    assert found == pytest.approx([found[0]] * 3)
+    assert KM.minibatch_kmeans(df, k=3, batch_size=16, max_iter=5, tol=100.0)[1]["iterations"] == 1
+
+
 def test_minibatch_kmeans(spark):
     x, y = planted(n_per=40, k=3, dim=6)
     asg, info = KM.minibatch_kmeans(to_df(spark, x, y), k=3, batch_size=32, max_iter=20)
