@@ -11,8 +11,8 @@ Work grows with the square of the number of different vectors, divided among the
 of blocks; a block has a bounded number of rows and of values, so the memory of a task is
 constant, and a vector is sent to as many tasks as there are blocks.
 
-Defined results: vectors that are null, empty, zero, of another length than most
-or with null or non-finite components link with nothing; rows that repeat a vec_id
+Defined results: vectors that are null, empty, zero or with null or non-finite
+components link with nothing; vectors of each length are compared among themselves; rows that repeat a vec_id
 share their links and component; a row without id links with nothing, has no
 component and isn't kept.
 """
@@ -108,15 +108,20 @@ def _pairs(threshold: float):
     return run
 
 
-def all_links(vectors: DataFrame, threshold: float, blocks: int) -> DataFrame:
+def all_links(vectors: DataFrame, threshold: float) -> DataFrame:
     """``src, dst, _n``: with a null dst, ``_n`` copies (its own included) linked to src; else an edge of a forest.
 
     Input: ``_rep, _vec, _copies``.
     """
-    dealt = (vectors.withColumn("_sub", F.pmod(F.xxhash64("_rep"), F.lit(blocks)).cast("int"))
-             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sized = vectors.withColumn("_dim", F.size("_vec"))
+    counts = sized.groupBy("_dim").count().collect()  # a number per length
+    blocks = vectors.sparkSession.createDataFrame([(d, blocks_of(n, d)) for d, n in counts], "_dim int, _blocks int")
+    dealt = (sized.join(F.broadcast(blocks), "_dim")
+             .withColumn("_sub", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
              .withColumn("_low", F.least("_sub", "_other")).withColumn("_high", F.greatest("_sub", "_other")))
-    return dealt.select("_low", "_high", "_sub", "_rep", "_vec", "_copies").groupBy("_low", "_high").applyInPandas(
+    pairs = dealt.select("_dim", "_low", "_high", "_sub", "_rep", "_vec", "_copies")
+    return pairs.groupBy("_dim", "_low", "_high").applyInPandas(
         _pairs(threshold), "src long, dst long, _n long")
 
 
@@ -134,12 +139,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
              & F.forall("_vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
              & F.exists("_vec", lambda v: v != 0))
     good = vectors.where(F.coalesce(sound, F.lit(False)) & F.col("_id").isNotNull())
-    usual = good.groupBy(F.size("_vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        usual = (0, 0)
-    good = good.where(F.size("_vec") == usual[0])
     classes = cut_lineage(good.groupBy("_vec").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")))
-    links = cut_lineage(all_links(classes, threshold, blocks_of(classes.count(), usual[0])))
+    links = cut_lineage(all_links(classes, threshold))
     edges = cut_lineage(links.where("dst is not null").select("src", "dst").distinct())
     linked = edges.select(F.col("src").alias("_rep")).union(edges.select("dst")).distinct()
     component = cut_lineage(connected_components(linked, edges, "_rep").withColumnRenamed("component", "_component"))
@@ -149,7 +150,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
              .select("_vec", F.coalesce("_component", "_rep").alias("_component"),
                      (F.coalesce("_links", "_copies") - 1).alias("_links")))
     found = good.join(known, "_vec").select("_id", "_links", "_component")
-    others = vectors.where(~F.coalesce(sound & (F.size("_vec") == usual[0]), F.lit(False)) | F.col("_id").isNull())
+    others = vectors.where(~F.coalesce(sound, F.lit(False)) | F.col("_id").isNull())
     others = others.select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_component"))
     return found.unionByName(others).select(
         F.col("_id").alias(id_col), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"),

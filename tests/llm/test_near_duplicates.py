@@ -247,6 +247,18 @@ def test_every_link_of_a_crowded_neighbourhood(spark):
     assert got == want and sum(n > 0 for n, _, _ in want.values()) >= 600
 
 
+def test_vectors_of_a_minority_length_link(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(0, 50, 10)] + [(100 + k, [3.0, 4.0, 0.0]) for k in range(3)] + [
+        (200, [3.0, 4.0, 0.1]), (201, [0.0, 0.0, 1.0]), (300, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sp.near_duplicates(df).collect()}
+    want = {}
+    for dim in (1, 2, 3):
+        mine = [(i, v) for i, v in rows if len(v) == dim]
+        want |= plain_links([i for i, _ in mine], np.array([v for _, v in mine]), 0.9)
+    assert got == want and got[102] == (3, 100)
+
+
 def test_blocks_are_bounded():
     assert sp.blocks_of(0, 64) == 1 and sp.blocks_of(5000, 64) == sp.SPREAD
     for n, dim in ((10 ** 6, 64), (10 ** 6, 4096)):
