@@ -5,7 +5,7 @@ import pytest
 
 from clusterloom.operators import agglomerative as A
 from clusterloom.operators.blocks import pair_matrix
-from conftest import planted, to_df
+from helpers import planted, to_df
 
 
 def naive(x, linkage, k):

@@ -6,7 +6,7 @@ import pytest
 from clusterloom.operators import metrics as M
 from clusterloom.operators import neighbors as N
 from clusterloom.operators.blocks import pair_matrix
-from conftest import planted, to_df
+from helpers import planted, to_df
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ import numpy as np
 
 from clusterloom.operators import graph as G
 from clusterloom.operators.blocks import pair_matrix
-from conftest import planted, to_df
+from helpers import planted, to_df
 
 
 def prim_weight(d):

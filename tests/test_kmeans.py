@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.operators import kmeans as KM
-from conftest import planted, to_df
+from helpers import planted, to_df
 
 
 def test_kmeans_planted(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from clusterloom.operators import rules as R
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def _events(spark, payloads):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clusterloom.operators import rules as R
 from clusterloom.sources import testdata as TD
 from clusterloom.streaming import events as SE
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def _rows(df, cols):
