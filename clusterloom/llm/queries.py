@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clusterloom.llm import licenses
+from clusterloom.llm import fim_frames, hard_negatives, licenses
+
+TOKEN_LIMIT = 1024
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +116,28 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every whole text by Dice coefficient over word bigrams; built-in functions only."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op11_hard_negatives", hard_negatives.ORACLE)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors, from lists that anchor clusters share."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_fill_in_middle", fim_frames.ORACLE)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in fill-in-middle form over seekable compressed frames, and restored from it."""
+    return fim_frames.digests(fim_frames.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@register("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, the last of the counts of all its prefixes."""
+    import public_tokenizers
+
+    from clusterloom.llm import prefix_counts as P
+
+    stored = P.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    n_tokens = P.tokens_in(F.size("counts") - 1)
+    return stored.select("doc_id", "n_bytes", n_tokens.cast("long").alias("n_tokens"),
+                         (n_tokens > TOKEN_LIMIT).alias("over_limit"))
