@@ -1,7 +1,7 @@
 """Hard-negative mining over shared candidate lists of anchor clusters, after MAXIMUS (Abuzaid et al., 2019).
 
-Anchors are clustered by direction, and a cluster is cut into rings by the members' angle
-to the centroid. For a ring with angles from ``low`` to ``high``, a row i at angle t from the
+Anchors are clustered by direction (``LIST_MEMBERS`` or more to a cluster on average), and a
+cluster is cut into rings by the members' angle to the centroid, where they are many. For a ring with angles from ``low`` to ``high``, a row i at angle t from the
 centroid scores at most ``|u| * |i| * cos(gap)`` with any member u, where ``gap`` is how far t
 lies outside ``[low, high]`` (triangle inequality on the sphere). ``|i| * cos(gap)`` orders one
 list of all rows for the ring. Every member walks its ring's list from the top and stops
@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from clusterloom.session import cut_lineage, number_rows
 
 CLUSTERS, SAMPLE = 16, 4096
+LIST_MEMBERS = 512  # a list costs a copy of the rows walked, so it has this many members if there are so many
 RING = 0.15  # radians
 BINS = 1024
 FIRST_WINDOW, GROWTH = 16384, 8
@@ -80,8 +81,12 @@ def _stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0))
 
 
-def _unpack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+def _pack(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([row.tobytes() for row in x.astype(kind)], pa.binary())
+
+
+def _unpack(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,6 +161,10 @@ class Plan(NamedTuple):
     longest: dict[int, float]
     n_bins: int
 
+    def kind(self, dim: int) -> str:
+        """The smallest type that holds the whole numbers of all rows with ``dim`` values."""
+        return next((k for k in ("<i2", "<i4") if self.longest[dim] < np.iinfo(k).max), "<f8")
+
     def bins(self, bound: np.ndarray, dim: int) -> np.ndarray:
         """Bins from the highest bound (0) down."""
         top = self.longest[dim] * (1 + 1e-8) or 1.0
@@ -182,9 +191,13 @@ def plan_lists(base: DataFrame, anchors: DataFrame, clusters: int, seed: int) ->
     by_dim: dict[int, list] = {}
     for x in sample:
         by_dim.setdefault(len(x), []).append(np.asarray(x, np.float64))
-    dims = [r[0] for r in anchors.select(F.size("_x")).distinct().collect()]
-    centres = {d: centroids(np.array(by_dim[d]).reshape(len(by_dim[d]), d), clusters, seed) if d in by_dim else np.eye(1, d)
-               for d in dims}
+    found = dict(anchors.groupBy(F.size("_x")).count().collect())  # a number per vector length
+    centres = {d: centroids(np.array(by_dim[d]).reshape(len(by_dim[d]), d),
+                            max(1, min(clusters, n // LIST_MEMBERS)), seed) if d in by_dim else np.eye(1, d)
+               for d, n in found.items()}
+    longest = {r[0]: r[1] for r in base.groupBy(F.size("_x")).agg(F.sqrt(F.max(F.aggregate(
+        "_x", F.lit(0.0), lambda a, v: a + v * v)))).collect()}
+    plan = Plan(centres, [], longest, BINS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +207,9 @@ def plan_lists(base: DataFrame, anchors: DataFrame, clusters: int, seed: int) ->
                 own = t[np.arange(len(t)), near]
                 rows = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in range(3)), pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array(norm), pa.array(own), pa.array(np.full(len(at), dim, np.int32)),
-                     pa.array(near.astype(np.int32)), pa.array((own / RING).astype(np.int32))],
+                    [*(rows.column(c) for c in range(3)), _pack(x, plan.kind(dim)), pa.array(norm), pa.array(own),
+                     pa.array(np.full(len(at), dim, np.int32)), pa.array(near.astype(np.int32)),
+                     pa.array((own / RING).astype(np.int32))],
                     ["_row", "_id", "_label", "_x", "_norm", "_angle", "_dim", "_centre", "_ring"])
 
     placed = cut_lineage(anchors.select("_row", "_id", "_label", "_x").mapInArrow(
@@ -204,13 +217,18 @@ def plan_lists(base: DataFrame, anchors: DataFrame, clusters: int, seed: int) ->
                "_ring int"))
     keys = ["_dim", "_centre", "_ring"]
     rings = placed.groupBy(*keys).agg(F.min("_angle"), F.max("_angle"), F.count("*")).orderBy(*keys).collect()
-    lists = [List(r[0], r[1], r[3], r[4], r[5]) for r in rings]
-    longest = {r[0]: r[1] for r in base.groupBy(F.size("_x")).agg(F.sqrt(F.max(F.aggregate(
-        "_x", F.lit(0.0), lambda a, v: a + v * v)))).collect()}
-    names = base.sparkSession.createDataFrame([(*r[:3], k) for k, r in enumerate(rings)],
-                                              "_dim int, _centre int, _ring int, _list int")
-    members = placed.join(F.broadcast(names), keys).drop("_angle", *keys)
-    return Plan(centres, lists, longest, BINS), cut_lineage(members)
+    lists: list[List] = []
+    names = []
+    for dim, centre, ring, low, high, n in rings:
+        last = lists[-1] if lists else None
+        if last and (last.dim, last.centre) == (dim, centre) and last.members < LIST_MEMBERS:
+            lists[-1] = last._replace(high=high, members=last.members + n)  # with the ring inside it
+        else:
+            lists.append(List(dim, centre, low, high, n))
+        names.append((dim, centre, ring, len(lists) - 1))
+    members = placed.join(F.broadcast(base.sparkSession.createDataFrame(
+        names, "_dim int, _centre int, _ring int, _list int")), keys).drop("_angle", *keys)
+    return plan._replace(lists=lists), cut_lineage(members)
 
 
 def count_bins(base: DataFrame, plan: Plan) -> np.ndarray:
@@ -238,7 +256,7 @@ def count_bins(base: DataFrame, plan: Plan) -> np.ndarray:
 
 # ------------------------------------------------------------------ walking
 
-def _walk(same_label: bool, top: int, step: int):
+def _walk(plan: Plan, same_label: bool, top: int, step: int):
     """One piece of a list, walked by some of its members: their best ``top`` rows in it."""
     out = ["_walker", "_other", "_score"]
 
@@ -246,12 +264,13 @@ def _walk(same_label: bool, top: int, step: int):
         if len(members) == 0 or len(rows) == 0:
             return pd.DataFrame({c: pd.Series([], dtype="int64") for c in out})
         rows = rows.sort_values("_bound", ascending=False, kind="stable")
-        y, bound = _unpack(rows["r_x"]), rows["_bound"].to_numpy()
+        kind = plan.kind(plan.lists[int(members["_list"].iloc[0])].dim)
+        y, bound = _unpack(rows["r_x"], kind), rows["_bound"].to_numpy()
         ids, labels, numbers = (rows[c].to_numpy(np.int64) for c in ("r_id", "r_label", "r_row"))
         # walkers of one anchor share its scores
         anchors, anchor = np.unique(members["_row"].to_numpy(), return_index=True)
         of = np.searchsorted(anchors, members["_row"].to_numpy())
-        x = _unpack(members["_x"].iloc[anchor])
+        x = _unpack(members["_x"].iloc[anchor], kind)
         own = members["_label"].to_numpy(np.int64)[anchor]
         low, high, walker = (members[c].to_numpy(np.int64) for c in ("_low", "_high", "_walker"))
         least, norm = members["_least"].to_numpy(np.int64).copy(), members["_norm"].to_numpy()
@@ -306,12 +325,12 @@ def _rows_of_window(base: DataFrame, plan: Plan, window: dict[int, tuple[int, in
                     kept = rows.take(pa.array(here))
                     numbers = kept.column(0).to_numpy()
                     piece = (numbers * 0x9E3779B1 >> 7) % pieces[k]
-                    x_here = [v.tobytes() for v in x[here]]
+                    packed = _pack(x[here], plan.kind(dim))
                     for block in range(blocks[k]):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(here), k, np.int32)), pa.array(piece.astype(np.int32)),
                              pa.array(np.full(len(here), block, np.int32)), pa.array(bound[here]), kept.column(0),
-                             kept.column(1), kept.column(2), pa.array(x_here, pa.binary())],
+                             kept.column(1), kept.column(2), packed],
                             ["_list", "_piece", "_block", "_bound", "r_row", "r_id", "r_label", "r_x"])
 
     return base.select("_row", "_id", "_label", "_x").mapInArrow(
@@ -355,7 +374,7 @@ def walk_lists(base: DataFrame, plan: Plan, counts: np.ndarray, walkers: DataFra
                  .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces[F.col("_list")] - 1))).drop("_rest"))
         keys = ["_list", "_piece", "_block"]
         found = dealt.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(
-            _walk(same_label, top, STEP), kinds)
+            _walk(plan, same_label, top, STEP), kinds)
         order = Window.partitionBy("_walker").orderBy(F.desc("_score"), "_other")
         best = cut_lineage((found if best is None else found.unionByName(best.drop("_rank")))
                            .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top))

@@ -51,10 +51,11 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("spread,scale", [(0.3, 1.0), (3.0, 1.0), (0.3, 3e5)])
+@pytest.mark.parametrize("spread,scale", [(0.3, 1.0), (3.0, 100.0), (0.3, 3e5)])
 def test_hard_negatives_match_brute_force(spark, monkeypatch, spread, scale):
     """Small windows, pieces and steps, so that walks go through several rounds and stop early; large whole numbers."""
-    for name, value in (("FIRST_WINDOW", 100), ("GROWTH", 2), ("PIECE", 32), ("MEMBERS", 3), ("STEP", 8), ("BINS", 64)):
+    for name, value in (("FIRST_WINDOW", 100), ("GROWTH", 2), ("PIECE", 32), ("MEMBERS", 3), ("STEP", 8), ("BINS", 64),
+                        ("LIST_MEMBERS", 2)):
         monkeypatch.setattr(hn, name, value)
     rows = vectors(700, 8, 3, spread, scale=scale)
     df = spark.createDataFrame(rows, VECTORS)
