@@ -13,9 +13,9 @@ chunk and the longest document, and a recomputed task gives the same pieces for
 the same rows. Sequences that stay below the token limit (those that another limit
 closed, and each task's last) are cut into powers of two, which need no padding.
 
-Token ids: the library's own encoding of each distinct run between ASCII white
-space, kept per worker. The vocabularies this is meant for split at white space
-(their pre-tokenizer drops it), so a text's ids are those of its runs in turn.
+Token ids: the library's own encoding of each distinct word (plain texts) or run between
+ASCII white space, kept per worker. The vocabularies this is meant for split at white
+space (their pre-tokenizer drops it), so a text's ids are those of its parts in turn.
 
 Defined results: a null or empty text has the end id alone; rows that repeat an id
 are packed each; an id of null stays null; empty tables give no pieces.
@@ -23,7 +23,9 @@ are packed each; an id of null stays null; empty tables give no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.llm.bpe_automaton import byte_symbols
 from clusterloom.llm.texts import Kept
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 128, 4096
@@ -43,28 +46,79 @@ CHUNK_TOKENS = 1 << 20
 
 # ------------------------------------------------------------------ token ids
 
-@lru_cache(maxsize=2)
-def run_ids(path: str) -> Kept:
-    """Ids, as little-endian 32-bit bytes, of runs without ASCII white space."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+# Fixed value: the pre-tokenizer's pattern of the lower-casing vocabulary.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: the words it makes of plain texts, in lower case.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+#: Plain texts: ASCII and the letters of Latin-1, which normalisation leaves alone and which have one lower case.
+_PLAIN = re.compile("[\0-\x7fÀ-ÖØ-öø-ÿ]*")
+_RUNS = re.compile("[^\t-\r ]+")
+#: ASCII marks after an ASCII letter or digit, at the end of a run.
+_END_MARKS = re.compile("(?<=[A-Za-z0-9])[!-/:-@\\[-`{-~]+$")
+
+
+class WordIds:
+    """Ids, as little-endian 32-bit bytes, of texts for a vocabulary that splits at white space.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
+    ``words`` keeps the ids of the pre-tokenizer's words in plain texts, ``runs`` those of whole
+    runs without ASCII white space, where other characters or a special token stand in them (then
+    normalisation looks across words). Vocabularies with another pre-tokenizer use runs only.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_words = {"type": "Lowercase"} in steps and splits[0].get("pattern") == {"Regex": _PATTERN}
+        special = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile("(?!)")
+        self.shown = {b: c for c, b in byte_symbols().items()}
+        self.words, self.runs = Kept(self._word, 400_000), Kept(self._run, 200_000)
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case word: only the model has to see it, its bytes as the characters that stand for them."""
+        symbols = word if word.isascii() and word.isprintable() else "".join(map(self.shown.get, word.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes | None:
+        """The ids of a plain text, None for others."""
+        if self.by_words and _PLAIN.fullmatch(text):
+            text = text.lower()
+            if not self.special.search(text):
+                return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+        return None
+
+    def _run(self, run: str) -> bytes:
+        found = self._plain(run)
+        if found is None and self.by_words and (marks := _END_MARKS.search(run)) and not self.special.search(run.lower()):
+            found = self.runs[run[:marks.start()]] + self._plain(marks.group())
+        if found is None:
+            found = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def ids(self, text: str) -> bytes:
+        found = self._plain(text)
+        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text))) if found is None else found
 
-    def ids(run: bytes) -> bytes:
-        return np.array(tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    return Kept(ids)
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def encode_texts(column: pa.Array, path: str, end_id: int | None) -> Iterator[np.ndarray]:
     """Ids of each text in turn, with ``end_id`` after them."""
-    kept = run_ids(path)
+    coder = word_ids(path)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     for value in column.cast(pa.large_binary()):
-        yield np.frombuffer(b"".join(map(kept.__getitem__, (value.as_py() or b"").split())) + tail, "<u4")
+        yield np.frombuffer(coder.ids((value.as_py() or b"").decode("utf-8", "replace")) + tail, "<u4")
 
 
 # ------------------------------------------------------------------ packing

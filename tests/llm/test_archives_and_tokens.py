@@ -276,3 +276,21 @@ def test_pipeline_awkward(spark, awkward, no_docs, tmp_path):
             if k < 3:
                 assert at.columns == docs.columns
         at.collect()
+
+
+def test_word_ids_are_the_librarys():
+    """Plain texts go word by word, other characters and special tokens run by run."""
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    rng = np.random.default_rng(8)
+    symbols = [*"abzSTREV'.,!\"()-_<|>0129 \n\t\x0b\x1f\0\x7f\x85éÄß×÷漢Σςẞ\u0301À\xa0İ…", "'re", "'LL", "<|endoftext|>",
+               "<|ENDOFTEXT|>", "don't", "ΟΔΟΣ"]
+    texts = ["".join(rng.choice(symbols, rng.integers(0, 30))) for _ in range(4000)]
+    coder = packing.WordIds(WORD_BPE)
+    for text in texts:
+        ids = np.frombuffer(coder.ids(text), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_go_by_runs():
+    coder = packing.WordIds(BYTE_BPE)
+    assert not coder.by_words and coder.ids("one two") == coder.runs["one"] + coder.runs["two"]
