@@ -20,7 +20,8 @@ components; a hot key's rows are one side of an ordinary join, which Spark split
 
 Defined results: a null text is the empty text, whose fingerprint is zero; a row
 without id takes the component of its fingerprint's class (null if no row of the
-class has an id); rows with the same id are one vertex for each fingerprint.
+class has an id); rows with the same id are one vertex for each fingerprint. ``keep_one``
+tells rows apart by their place and so keeps one row of every component, whatever the ids.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.graph import connected_components
-from clusterloom.session import cut_lineage
+from clusterloom.session import cut_lineage, number_rows
 
 MAX_BITS = 3
 SEED = 42
@@ -78,16 +79,19 @@ def fingerprint(text: bytes, size: int = 3, block: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _fp`` (the fingerprint as a signed long) per row; no shuffle."""
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 place_col: str | None = None) -> DataFrame:
+    """``_id, _fp`` (the fingerprint as a signed long) per row, and ``_place`` if a column for it is named; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             fp = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]],
+                                             ["_id", "_fp", "_place"][:batch.num_columns])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, _fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                       *([F.col(place_col).cast("long").alias("_place")] if place_col else []))
+    return rows.mapInArrow(run, "_id long, _fp long" + (", _place long" if place_col else ""))
 
 
 # ------------------------------------------------------------------ Golay keys
@@ -178,6 +182,22 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return stored.join(probes, near).select("_a", "_b").distinct()
 
 
+def components(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``_fp, _component, component_id`` of each distinct fingerprint.
+
+    ``classes``: ``_fp`` and ``_rep``, the smallest id with it (null: none has one). The vertices are
+    fingerprints: _component is the smallest one reachable, component_id the smallest id of its component.
+    """
+    near = cut_lineage(links(classes, max_bits))
+    linked = near.select(F.col("_a").alias("_fp")).union(near.select("_b")).distinct()
+    joined = connected_components(linked, near, "_fp", "_a", "_b")  # only fingerprints with links
+    joined = cut_lineage(classes.join(joined, "_fp").select("_fp", "_rep", F.col("component").alias("_component")))
+    least = joined.groupBy("_component").agg(F.min("_rep").alias("_least"))
+    named = joined.join(least, "_component").select("_fp", "_component", "_least")
+    return classes.join(named, "_fp", "left").select(
+        "_fp", F.coalesce("_component", "_fp").alias("_component"), F.coalesce("_least", "_rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint`` (16 hex digits), ``component_id`` per row of ``docs``.
@@ -186,26 +206,24 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, id
     """
     rows = cut_lineage(fingerprints(docs, size, id_col, text_col))
     classes = cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep")))
-    near = cut_lineage(links(classes, max_bits))
-    ends = classes.select(F.col("_fp"), F.col("_rep"))
-    edges = (near.join(ends.withColumnsRenamed({"_fp": "_a", "_rep": "src"}), "_a")
-             .join(ends.withColumnsRenamed({"_fp": "_b", "_rep": "dst"}), "_b").select("src", "dst")
-             .where(F.col("src").isNotNull() & F.col("dst").isNotNull()))
-    linked = edges.select(F.col("src").alias("_rep")).union(edges.select("dst")).distinct()
-    joined = connected_components(linked, edges, "_rep")  # only classes with links
-    component = (classes.join(joined, "_rep", "left")
-                 .select("_fp", F.coalesce("component", "_rep").alias("component_id")))
-    return rows.join(component, "_fp").select(
+    return rows.join(components(classes, max_bits), "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose id isn't the smallest of their component.
+    """One row of ``docs`` for each component, all columns: the one with the smallest id, the first of several.
 
-    Rows without id stay. Rows that repeat an id stay or go together.
+    Rows are told apart by their place, not by id: of rows that repeat an id, each stays or goes by its own
+    text. Rows without id come after those with one.
     """
-    found = near_duplicates(docs, size, max_bits, id_col, text_col)
-    gone = (found.where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    # written once, so that a row's place is the same in every later job
+    at = number_rows(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "_place")
+    rows = cut_lineage(fingerprints(at, size, f"row.`{id_col}`", f"row.`{text_col}`", "_place"))
+    found = components(cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep"))), max_bits)
+    placed = rows.join(found, "_fp").select("_component", "_place", F.struct(
+        F.col("_id").isNull().alias("none"), "_id", "_place").alias("_order"))
+    first = placed.groupBy("_component").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    gone = cut_lineage(placed.join(first, "_component").where(F.col("_place") != F.col("_first._place"))
+                       .select("_place"))
+    return at.join(gone, "_place", "left_anti").select("row.*")

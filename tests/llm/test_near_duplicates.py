@@ -102,10 +102,21 @@ def test_simhash_awkward(awkward, no_docs):
     assert gs.near_duplicates(no_docs).count() == 0 and gs.keep_one(no_docs).count() == 0
     kept = gs.keep_one(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id is null").count() == 1
+    assert kept.where("doc_id = 5").count() == 1  # of two equal rows one stays
     with pytest.raises(ValueError):
         gs.near_duplicates(awkward, max_bits=4)
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Each row goes by its own text: a near copy doesn't take another text with the same id along."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    docs = spark.createDataFrame(
+        [(1, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "x"), (None, a, "n"), (None, c, "first"), (None, c, "second"),
+         (9, "own", "x"), (9, "own", "x"), (3, None, "x"), (2, "", "x")], "doc_id long, text string, _place string")
+    kept = sorted(map(tuple, gs.keep_one(docs.coalesce(1)).collect()), key=repr)
+    assert kept == sorted([(1, a, "x"), (5, b, "z"), (None, c, "first"), (9, "own", "x"), (2, "", "x")], key=repr)
+
+
 # ------------------------------------------------------------------ MinHash
 
 def shingles(text):
