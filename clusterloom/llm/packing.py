@@ -80,7 +80,7 @@ class WordIds:
         special = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile("(?!)")
         self.shown = {b: c for c, b in byte_symbols().items()}
-        self.words, self.runs = Kept(self._word, 400_000), Kept(self._run, 200_000)
+        self.words, self.runs = Kept(self._word, 200_000), Kept(self._run, 60_000)
 
     def _word(self, word: str) -> bytes:
         """A lower-case word: only the model has to see it, its bytes as the characters that stand for them."""
