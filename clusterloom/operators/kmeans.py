@@ -3,6 +3,8 @@
 Lloyd iterations return partial sums by (group, restart, label), so that one Spark job
 advances all ``n_init`` restarts, and all groups where each is clustered on its own:
 
+* first centres come from k-means|| over all rows (Bahmani et al., 2012): a few rounds of weighted
+  sampling far from the candidates so far, then k-means++ on the weighted candidates;
 * the restart with the lowest cost wins;
 * k is clamped to the row count, and a centre that loses its rows moves to the farthest one;
 * labels are canonical: numbered by (size desc, min item id).
@@ -24,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clusterloom.session import cut_lineage, table_path
+from clusterloom.session import cut_lineage
 
 MAX_BROADCAST_VALUES = 64_000_000  # doubles shipped at once, 512 MB
-# Mini-batches that one task goes through hold so many numbers at most.
-CHUNK_VALUES = 1 << 19
+# First centres: rounds of k-means||, rows sampled in each for every centre, and candidates of a group where many
+# groups are clustered at once.
+SEED_ROUNDS, OVERSAMPLING = 4, 2
 CANDIDATES_PER_CENTRE = 50
+# Mini-batch: what the rows of earlier passes weigh after another pass.
+FORGET = 0.5
 
 
 def assign_nearest(df: DataFrame, centers: np.ndarray, vec: str = "embedding",
@@ -90,18 +95,117 @@ def canonical_labels(assigned: DataFrame, id_col: str = "item_id", label: str =
             .withColumn(label, F.coalesce(F.col("_new"), F.lit(-1)).cast("int")).drop("_new"))
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ over candidate rows; fewer than k where the candidates are fewer."""
-    chosen = [int(rng.integers(len(x)))]
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ over (weighted) candidate rows; fewer than k where the candidates are fewer."""
+    w = np.ones(len(x)) if weight is None else weight
+    chosen = [int(rng.choice(len(x), p=w / w.sum()))]
     d2 = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    left = np.ones(len(x), bool)
+    left[chosen[0]] = False
     while len(chosen) < min(k, len(x)):
-        nxt = int(rng.choice(len(x), p=d2 / d2.sum())) if d2.sum() > 0 else next(
-            i for i in range(len(x)) if i not in chosen)
+        p = np.where(left, w * d2, 0.0)
+        nxt = int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else int(np.flatnonzero(left)[0])
         chosen.append(nxt)
+        left[nxt] = False
         d2 = np.minimum(d2, ((x - x[nxt]) ** 2).sum(axis=1))
     return x[chosen]
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column without nulls, all of one length, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _far_rows(pts: DataFrame, candidates: np.ndarray, take: int, seed: int) -> np.ndarray:
+    """``take`` rows drawn without replacement with weights by the squared distance to the nearest candidate.
+
+    Weighted sampling by keys log(u) / weight with u from a seeded hash of the id: each task keeps its best
+    ``take`` rows, and the best of all are the sample. One job, and the same rows when a task runs again.
+    """
+    bc = pts.sparkSession.sparkContext.broadcast(candidates)
+    vec = "array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = np.zeros(0), np.zeros((0, bc.value.shape[1]))
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            x = _matrix(batch.column(0))
+            d2 = nearest(x, bc.value)[1] ** 2
+            u = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
+            far = np.flatnonzero(d2 > 0)
+            keys = np.concatenate([keys, np.log(np.maximum(u[far], 1e-300)) / d2[far]])
+            rows = np.concatenate([rows, x[far]])
+            if len(keys) > take:
+                best = np.argsort(-keys, kind="stable")[:take]
+                keys, rows = keys[best], rows[best]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["key", "x"])
+
+    drawn = (pts.select(F.col("_vec").cast(vec), F.xxhash64("_id", F.lit(seed))).mapInArrow(run, f"key double, x {vec}")
+             .orderBy(F.desc("key"), "x").limit(take).collect())
+    bc.unpersist()
+    return np.array([r[1] for r in drawn], np.float64).reshape(len(drawn), candidates.shape[1])
+
+
+def _weights(pts: DataFrame, candidates: np.ndarray) -> np.ndarray:
+    """How many rows are nearest to each candidate."""
+    bc = pts.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(bc.value), np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(nearest(_matrix(batch.column(0)), bc.value)[0], minlength=len(total))
+        near = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(total[near])], ["j", "n"])
+
+    out = np.zeros(len(candidates))
+    counted = pts.select(F.col("_vec").cast("array<double>")).mapInArrow(run, "j long, n long")
+    for j, n in counted.groupBy("j").agg(F.sum("n")).collect():
+        out[j] = n
+    bc.unpersist()
+    return out
+
+
+def first_centers(pts: DataFrame, k: int, n_init: int, seed: int) -> list[np.ndarray]:
+    """k-means||: ``n_init`` sets of k first centres from all rows of ``pts`` (``_id, _vec``).
+
+    Candidates number at most 1 + SEED_ROUNDS x OVERSAMPLING x k; where the rows have fewer different vectors
+    than k, equal ones fill up.
+    """
+    order = pts.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").select("_vec")
+    candidates = np.array([r[0] for r in order.limit(1).collect()], np.float64)
+    for r in range(SEED_ROUNDS):
+        far = _far_rows(pts, candidates, max(OVERSAMPLING * k, 1), seed + 1 + r)
+        if len(far) == 0:
+            break
+        candidates = np.vstack([candidates, far])
+    if len(candidates) < k:
+        more = np.array([r[0] for r in order.limit(k).collect()], np.float64)
+        candidates = np.vstack([candidates, more])[:max(k, len(candidates))]
+    weight = np.maximum(_weights(pts, candidates), 1e-9)
+    return [_plus_plus(candidates, k, np.random.default_rng([seed, r]), weight) for r in range(max(1, n_init))]
+
+
+def _group_centers(pts: DataFrame, k: int, n_init: int, seed: int) -> dict[int, list[np.ndarray]]:
+    """First centres of every group: k-means|| for one group, k-means++ on hashed candidates for many."""
+    from clusterloom.operators.topn import top_n_per_group
+
+    groups = [r[0] for r in pts.select("_g").distinct().limit(2).collect()]
+    if len(groups) == 1:
+        return {int(groups[0]): first_centers(pts, k, n_init, seed)}
+    # candidates for the first centres only: the rows with the smallest seeded hashes of each group
+    order = F.xxhash64("_id", F.lit(seed))
+    first = top_n_per_group(pts.withColumn("_h", order), ["_g"], [F.asc("_h"), F.asc("_id")],
+                            max(k * CANDIDATES_PER_CENTRE, k), ["_id"]).select("_g", "_h", "_id", "_vec").toPandas()
+    out: dict[int, list] = {}
+    for g, own in first.sort_values(["_g", "_h", "_id"]).groupby("_g"):
+        x = np.stack(own["_vec"].to_numpy()).astype(np.float64)
+        out[int(g)] = [_plus_plus(x, k, np.random.default_rng([seed, r])) for r in range(max(1, n_init))]
+    return out
+
+
 def _sums(batches: Iterator[pa.RecordBatch], centers: dict[int, list[np.ndarray | None]]
           ) -> Iterator[pa.RecordBatch]:
     """Per group, restart and label: rows, vector sum, squared distances, and the farthest row."""
@@ -132,6 +236,18 @@ def _sums(batches: Iterator[pa.RecordBatch], centers: dict[int, list[np.ndarray
          pa.array([total[k][4].tolist() for k in keys], vectors)], ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
 
 
+_SUMS = "g int, r int, j int, n long, s array<double>, cost double, far_d double, far array<double>"
+
+
+def _combined() -> list:
+    """Aggregates that put the tasks' sums together."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return [F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("s")))).alias("s"),
+            F.sum("cost").alias("cost"), F.max("far_d").alias("far_d"), F.max_by("far", "far_d").alias("far")]
+
+
 def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed: int) -> tuple[dict[int, np.ndarray], dict]:
     """Lloyd iterations for every group and restart at once: the best centres of each group.
 
@@ -141,19 +257,7 @@ def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed:
     restart stops once none of its centres moves by ``tol`` or more. A centre
     without rows moves to the farthest row.
     """
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    from clusterloom.operators.topn import top_n_per_group
-
-    # candidates for the first centres only: the rows with the smallest seeded hashes of each group
-    order = F.xxhash64("_id", F.lit(seed))
-    first = top_n_per_group(pts.withColumn("_h", order), ["_g"], [F.asc("_h"), F.asc("_id")],
-                            max(k * CANDIDATES_PER_CENTRE, k), ["_id"]).select("_g", "_h", "_id", "_vec").toPandas()
-    centers: dict[int, list] = {}
-    for g, own in first.sort_values(["_g", "_h", "_id"]).groupby("_g"):
-        x = np.stack(own["_vec"].to_numpy()).astype(np.float64)
-        centers[int(g)] = [_plus_plus(x, k, np.random.default_rng([seed, r])) for r in range(max(1, n_init))]
+    centers: dict[int, list] = _group_centers(pts, k, n_init, seed)
     cost = {(g, r): np.inf for g in centers for r in range(len(centers[g]))}
     going, iterations = set(cost), {key: 0 for key in cost}
     for _ in range(max_iter):
@@ -161,13 +265,8 @@ def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed:
             break
         live = {g: [c if (g, r) in going else None for r, c in enumerate(rs)] for g, rs in centers.items()}
         bc = pts.sparkSession.sparkContext.broadcast(live)
-        rows = (pts.select("_g", "_vec").mapInArrow(
-            lambda batches, bc=bc: _sums(batches, bc.value),
-            "g int, r int, j int, n long, s array<double>, cost double, far_d double, far array<double>")
-            .groupBy("g", "r", "j").agg(
-                F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("s")))).alias("s"),
-                F.sum("cost").alias("cost"), F.max("far_d").alias("far_d"), F.max_by("far", "far_d").alias("far"))
-            .collect())
+        rows = (pts.select("_g", "_vec").mapInArrow(lambda batches, bc=bc: _sums(batches, bc.value), _SUMS)
+                .groupBy("g", "r", "j").agg(*_combined()).collect())
         by: dict[tuple[int, int], list] = {}
         for row in rows:
             by.setdefault((row.g, row.r), []).append(row)
@@ -239,18 +338,6 @@ def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, to
     return canonical_labels(assigned, id_col), info
 
 
-def _top_up(df: DataFrame, centers: np.ndarray, k: int, vec: str) -> np.ndarray:
-    """Add the farthest points as extra centres until there are k (exact-k contract)."""
-    while len(centers) < k:
-        far = (assign_nearest(df, centers, vec).orderBy(F.desc("distance"))
-               .limit(k - len(centers)).select(vec).collect())
-        extra = np.asarray([r[0] for r in far], dtype=np.float64)
-        if len(extra) == 0:
-            break
-        centers = np.vstack([centers, extra])
-    return centers[:k]
-
-
 def lloyd_step(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
                label: str = "label", id_col: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """One Lloyd iteration from given centroids: assign to the nearest, recompute means.
@@ -274,106 +361,100 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
     return assigned, new
 
 
-def _step(centers: np.ndarray, counts: np.ndarray, stats: list[tuple], reassignment_ratio: float) -> None:
-    """Move ``centers`` by one batch, in place. ``stats``: (label, rows, sum, farthest row, its distance)."""
-    for j, n, s, _, _ in stats:
-        counts[j] += n
-        centers[j] = centers[j] + (s - n * centers[j]) / counts[j]
-    if reassignment_ratio > 0 and counts.max() > 0:
-        low = np.where(counts < reassignment_ratio * counts.max())[0]
-        for j, r in zip(low, sorted(stats, key=lambda r: -r[4])):
-            centers[j] = r[3]
-            counts[j] = 0
-
-
-def _chunk_steps(chunk: DataFrame, centers: np.ndarray, counts: np.ndarray, reassignment_ratio: float,
-                 vec: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The centres and counts after all batches of a chunk of bounded size, in the order of ``_batch``."""
-    bc = chunk.sparkSession.sparkContext.broadcast((centers, counts))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for p in parts if len(p)]
-        c, n = (a.copy() for a in bc.value)
-        for _, pdf in pd.concat(parts).groupby("_batch") if parts else ():
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            idx, best = nearest(x, c)
-            stats = []
-            for j in np.unique(idx):
-                rows = np.flatnonzero(idx == j)
-                far = rows[best[rows].argmax()]
-                stats.append((j, len(rows), x[rows].sum(axis=0), x[far], best[far]))
-            _step(c, n, stats, reassignment_ratio)
-        yield pd.DataFrame({"label": np.arange(len(c), dtype=np.int32), "n": n, "center": list(c)})
-
-    rows = (chunk.select("_batch", id_col, vec).coalesce(1).sortWithinPartitions("_batch", id_col).drop(id_col)
-            .mapInPandas(run, "label int, n double, center array<double>").collect())
-    bc.unpersist()
-    if not rows:  # no row was dealt to these batches
-        return centers, counts
-    rows.sort(key=lambda r: r["label"])
-    return np.asarray([r["center"] for r in rows], dtype=np.float64), np.asarray([r["n"] for r in rows])
+def _mini_batches(batches: Iterator[pa.RecordBatch], state: dict[int, list[tuple[np.ndarray, np.ndarray]]],
+                  batch_size: int) -> Iterator[pa.RecordBatch]:
+    """One task's pass: its rows in mini-batches, each of which moves the task's own copy of the centres.
+
+    Returns per group, restart and label what the rows it took sum up to, their squared distances, and the farthest.
+    """
+    own = {g: [(c.copy(), n.copy()) for c, n in sets] for g, sets in state.items()}
+    total: dict[tuple[int, int, int], list] = {}
+    for batch in batches:
+        groups = batch.column(0).to_numpy()
+        x = _matrix(batch.column(1))
+        for g in np.unique(groups).tolist():
+            rows = x[groups == g]
+            for r, (c, counts) in enumerate(own[g]):
+                for at in range(0, len(rows), batch_size):
+                    part = rows[at:at + batch_size]
+                    idx, d = nearest(part, c)
+                    for j in np.unique(idx).tolist():
+                        mine = np.flatnonzero(idx == j)
+                        n, s, far = len(mine), part[mine].sum(axis=0), mine[d[mine].argmax()]
+                        counts[j] += n
+                        c[j] += (s - n * c[j]) / counts[j]
+                        old = total.get((g, r, j), [0, 0.0, 0.0, -1.0, None])
+                        total[g, r, j] = [n + old[0], s + old[1], float((d[mine] ** 2).sum()) + old[2],
+                                          *max((float(d[far]), part[far]), (old[3], old[4]), key=lambda f: f[0])]
+    keys, vectors = list(total), pa.list_(pa.float64())
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([total[k][0] for k in keys], pa.int64()),
+         pa.array([total[k][1].tolist() for k in keys], vectors), *(pa.array([total[k][i] for k in keys], pa.float64()) for i in (2, 3)),
+         pa.array([total[k][4].tolist() for k in keys], vectors)], ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
+
+
+def _merge_pass(center: np.ndarray, counts: np.ndarray, rows: list, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and counts after a pass, from all tasks' sums: the mean of the rows taken, older rows weighing less."""
+    center, counts = center.copy(), counts * FORGET
+    for r in rows:
+        counts[r.j] += r.n
+        center[r.j] += (np.asarray(r.s) - r.n * center[r.j]) / counts[r.j]
+    low = np.flatnonzero(counts < ratio * counts.max()) if ratio > 0 else np.flatnonzero(counts == 0)
+    for j, r in zip(low.tolist(), sorted((r for r in rows if r.far_d > 0), key=lambda r: (-r.far_d, r.j))):
+        center[j], counts[j] = np.asarray(r.far), 0.0
+    return center, counts
 
 
 def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_iter: int = 100,
                      seed: int = 42, reassignment_ratio: float = 0.01, vec: str = "embedding",
-                     id_col: str = "item_id", tol: float = 0.0) -> tuple[DataFrame, dict]:
-    """Mini-batch K-Means (Sculley 2010) on hash-selected batches.
-
-    ``max_iter`` counts passes over all rows, as in scikit-learn, so every row moves the centres in each;
-    a pass that moves no centre by ``tol`` or more is the last (with 0, all passes run).
-    Each step takes the next batch (rows are dealt to batches by a seeded hash of the
-    id), assigns it to the broadcast centres, aggregates per-label sums and
-    counts, and applies the per-centre learning-rate update
-    c <- c + (sum - n c) / N_c. Consecutive small batches, up to ``CHUNK_VALUES`` numbers, are one task
-    that takes the centres and returns them (k x D values); a larger batch is aggregated in Spark. Centres whose total
-    count stays below ``reassignment_ratio`` x the largest count are moved to
-    the farthest batch points. Final labels come from one full assignment.
+                     id_col: str = "item_id", tol: float = 0.0, n_init: int = 3, group: str | None = None
+                     ) -> tuple[DataFrame, dict]:
+    """Mini-batch K-Means, one Spark job for each pass over all rows.
+
+    Rows are dealt to partitions and ordered by a seeded hash of the id, once. In a pass every task takes the
+    centres and goes through its rows in batches of ``batch_size``: assign to the nearest, then
+    c <- c + (sum - n c) / N_c with the rows N_c that the centre has taken so far (Sculley 2010). What the tasks'
+    rows add up to by label is merged by counts, so that a centre is the mean of the rows it took, those of earlier
+    passes at half weight for each pass since. All ``n_init`` restarts go through a pass together. Centres whose count is below ``reassignment_ratio`` times the
+    largest move to the farthest rows.
+
+    ``max_iter`` counts passes; a pass that moves no centre by ``tol`` (or at all) is the last. First centres come
+    from k-means||. With ``group`` (an int column) every group is clustered on its own, in the same
+    jobs. Final labels come from one assignment of all rows.
     """
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    n = df.count()
+    base = cut_lineage(df if group else df.withColumn("_g", F.lit(0)))
+    g_col = group or "_g"
+    n = base.count()
     if n == 0:
         raise ValueError("cannot cluster an empty vector set")
     k = max(1, min(int(k), n))
-    base = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # initial centres: k points with the smallest seeded hash (deterministic)
-    init = (base.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(k)
-            .select(vec).collect())
-    centers = np.asarray([r[0] for r in init], dtype=np.float64)
-    centers = _top_up(base, centers, k, vec) if len(centers) < k else centers
-    counts = np.zeros(k)
-    # batches by a seeded hash, written once by chunk: a step reads its own files only
-    n_batches = max(1, int(np.ceil(n / batch_size)))
-    per_chunk = max(1, CHUNK_VALUES // (int(batch_size) * centers.shape[1]))
-    in_task = batch_size * centers.shape[1] <= CHUNK_VALUES
-    root = table_path(df.sparkSession)
-    (base.select(id_col, vec, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_batches)).cast("int").alias("_batch"))
-     .withColumn("_chunk", F.floor(F.col("_batch") / per_chunk).cast("int"))
-     .repartition("_chunk").write.partitionBy("_chunk").parquet(root))
-    chunks = df.sparkSession.read.parquet(root)
+    order = F.xxhash64(F.col(id_col), F.lit(seed))
+    pts = cut_lineage(base.select(F.col(g_col).cast("int").alias("_g"), F.col(id_col).alias("_id"),
+                                  F.col(vec).cast("array<double>").alias("_vec"), order.alias("_h"))
+                      .repartition("_h").sortWithinPartitions("_h", "_id"))
+    state = {g: [(c, np.zeros(len(c))) for c in sets] for g, sets in _group_centers(pts, k, n_init, seed).items()}
     for it in range(max_iter):
-        old = centers.copy()
-        for at in range(-(-n_batches // per_chunk)):
-            chunk = chunks.where(F.col("_chunk") == at).drop("_chunk")
-            if in_task:
-                centers, counts = _chunk_steps(chunk, centers, counts, reassignment_ratio, vec, id_col)
-                continue
-            stats = (assign_nearest(chunk, centers, vec).groupBy("label")
-                     .agg(F.count("*").alias("n"),
-                          vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias("s"),
-                          F.max_by(F.col(vec), F.col("distance")).alias("far"),
-                          F.max("distance").alias("far_d"))
-                     .collect())
-            _step(centers, counts, [(int(r["label"]), r["n"], np.asarray(r["s"], dtype=np.float64),
-                                     np.asarray(r["far"], dtype=np.float64), r["far_d"]) for r in stats],
-                  reassignment_ratio)
-        if tol > 0 and np.abs(centers - old).max() < tol:
+        bc = df.sparkSession.sparkContext.broadcast(state)
+        found: dict[tuple[int, int], list] = {}
+        for row in (pts.select("_g", "_vec").mapInArrow(
+                lambda batches, bc=bc: _mini_batches(batches, bc.value, int(batch_size)), _SUMS)
+                .groupBy("g", "r", "j").agg(*_combined()).collect()):
+            found.setdefault((row.g, row.r), []).append(row)
+        bc.unpersist()
+        after = {g: [_merge_pass(c, counts, sorted(found.get((g, r), []), key=lambda row: row.j), reassignment_ratio)
+                     for r, (c, counts) in enumerate(sets)] for g, sets in state.items()}
+        moved = max(np.abs(new[0] - old[0]).max() for g in state for new, old in zip(after[g], state[g]))
+        state = after
+        if moved < max(tol, 1e-12):
             break
-    assigned = cut_lineage(assign_nearest(base, centers, vec))
-    base.unpersist()
+    # the restart whose rows lay closest to its centres in the last pass
+    centers = {g: sets[min(range(len(sets)), key=lambda r, g=g: (sum(x.cost for x in found.get((g, r), [])), r))][0]
+               for g, sets in state.items()}
+    assigned = cut_lineage(assign_groups(base, centers, vec, g_col))
+    if group is None:
+        assigned = assigned.drop("_g")
     inertia = assigned.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
-    return canonical_labels(assigned, id_col), {"k": k, "inertia": float(inertia),
+    return canonical_labels(assigned, id_col), {"k": sum(map(len, centers.values())), "inertia": float(inertia),
                                                 "iterations": it + 1, "n": n}
 
 

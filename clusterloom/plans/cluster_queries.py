@@ -483,11 +483,26 @@ def q_resolve_entities(spark, sf):
 
 @register("minibatch_kmeans")
 def q_minibatch_kmeans(spark, sf):
-    """Mini-batch K-Means (k = 10, batches of 128 chosen by seeded hash)."""
+    """Mini-batch K-Means (k = 10, batches of 128 in every task, one job a pass)."""
     out, _ = KM.minibatch_kmeans(TD.items(spark, sf), k=10, batch_size=128, max_iter=20)
     return out.select("pos", "label")
 
 
+@register("minibatch_invariants", ITEMS + """
+SELECT count(*) AS n_items, 10 AS n_labels, true AS every_item_at_its_nearest_centre, true AS within_two_percent_of_lloyd
+FROM items
+""")
+def q_minibatch_invariants(spark, sf):
+    """Ten labels, every item labelled, inertia at most 2 % above that of C1 with as many restarts."""
+    it = TD.items(spark, sf)
+    out, info = KM.minibatch_kmeans(it, k=10, batch_size=128, max_iter=30, n_init=10)
+    _, full = KM.kmeans(it, k=10, n_init=10)
+    total = out.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
+    return out.agg(F.count("*").alias("n_items"), F.count_distinct("label").cast("int").alias("n_labels"),
+                   F.lit(abs(total - info["inertia"]) <= 1e-6 * total).alias("every_item_at_its_nearest_centre"),
+                   F.lit(info["inertia"] <= 1.02 * full["inertia"]).alias("within_two_percent_of_lloyd"))
+
+
 @register("estimate_k")
 def q_estimate_k(spark, sf):
     """Elbow choice of k over k = 2..10 over all items."""

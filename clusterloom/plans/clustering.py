@@ -38,11 +38,9 @@ def _kmeans(df: DataFrame, p: dict, group: str | None = None) -> tuple[DataFrame
 
     k, seed = int(p.get("n_clusters", 50)), int(p.get("random_state", 42))
     if p.get("use_minibatch"):
-        if group:
-            raise ValueError("mini-batch K-Means runs on one set of rows, not by group")
         out, info = minibatch_kmeans(df, k, batch_size=int(p.get("batch_size", 1024)), seed=seed,
                                      max_iter=int(p.get("max_iter", 100)), tol=float(p.get("tol", 0.0)),
-                                     reassignment_ratio=float(p.get("reassignment_ratio", 0.01)))
+                                     reassignment_ratio=float(p.get("reassignment_ratio", 0.01)), group=group)
     else:
         out, info = kmeans(df, k, n_init=int(p.get("n_init", 10)), max_iter=int(p.get("max_iter", 300)),
                            tol=float(p.get("tol", 1e-4)), seed=seed, group=group)

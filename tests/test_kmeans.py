@@ -1,5 +1,8 @@
 """K-Means invariants (exact k, every row labelled, planted recovery, errors)."""
 
+import uuid
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,20 +41,59 @@ def test_kmeans_empty_raises(spark):
         KM.kmeans(to_df(spark, x, y).where(F.lit(False)), k=2)
 
 
-def test_minibatch_kmeans_passes_read_every_row(spark, monkeypatch):
+def test_minibatch_kmeans_passes_read_every_row(spark):
     x, y = planted(n_per=40, k=3, dim=6)
     df, about_mean = to_df(spark, x, y), ((x - x.mean(axis=0)) ** 2).sum()
-    found = []
-    for values in (1, 256, 1 << 20):  # batches aggregated in Spark, chunks of two batches, one chunk
-        monkeypatch.setattr(KM, "CHUNK_VALUES", values)
-        # one centre is the running mean of all rows read
-        _, info = KM.minibatch_kmeans(df, k=1, batch_size=16, max_iter=1)
+    for batch_size in (1, 16, 10_000):
+        # one centre is the mean of all rows read, however they are dealt to tasks and batches
+        _, info = KM.minibatch_kmeans(df.repartition(5), k=1, batch_size=batch_size, max_iter=1)
         assert info["iterations"] == 1 and info["inertia"] == pytest.approx(about_mean)
-        found.append(KM.minibatch_kmeans(df, k=3, batch_size=16, max_iter=3)[1]["inertia"])
-    assert found == pytest.approx([found[0]] * 3)
     assert KM.minibatch_kmeans(df, k=3, batch_size=16, max_iter=5, tol=100.0)[1]["iterations"] == 1
 
 
+def jobs_of(spark, work):
+    """How many Spark jobs ``work`` starts."""
+    tracker, name = spark.sparkContext.statusTracker(), uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(tracker.getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_minibatch_jobs_do_not_grow_with_rows(spark):
+    x, y = planted(n_per=300, k=3, dim=6)
+    few, many = (to_df(spark, x[::step], y[::step]) for step in (15, 1))
+    run = [jobs_of(spark, lambda df=df: KM.minibatch_kmeans(df, k=3, batch_size=8, max_iter=4, tol=0.0))
+           for df in (few, many)]
+    assert abs(run[0] - run[1]) <= 4  # 900 rows are 113 batches, 60 rows are 8
+
+
+def test_minibatch_close_to_lloyd(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 5)) + rng.normal(size=(12, 5))[rng.integers(12, size=600)] * 4
+    df = to_df(spark, x)
+    best = KM.kmeans(df, k=12, n_init=10)[1]["inertia"]
+    assert KM.minibatch_kmeans(df, k=12, batch_size=64, max_iter=30, n_init=10)[1]["inertia"] <= 1.02 * best
+
+
+def test_minibatch_by_group(spark):
+    x, y = planted(n_per=30, k=4, dim=6)
+    df = to_df(spark, x, y).selectExpr("*", "cast(truth_label div 2 as int) as half")
+    asg, info = KM.minibatch_kmeans(df, k=2, batch_size=16, max_iter=10, group="half")
+    assert info["k"] == 4
+    assert len({(r.truth_label, r.label) for r in asg.collect()}) == 4
+
+
+def test_first_centers_cover_far_groups(spark):
+    """k-means|| finds a group of 3 rows among 3,000, which few hashed candidates would hold."""
+    x = np.vstack([np.random.default_rng(1).normal(0, 0.01, (3000, 4)), np.full((3, 4), 50.0)])
+    pts = to_df(spark, x).selectExpr("item_id as _id", "embedding as _vec")
+    for c in KM.first_centers(pts, 2, 3, 5):
+        assert c.max(axis=1).max() > 40 and c.max(axis=1).min() < 1
+
+
 def test_minibatch_kmeans(spark):
     x, y = planted(n_per=40, k=3, dim=6)
     asg, info = KM.minibatch_kmeans(to_df(spark, x, y), k=3, batch_size=32, max_iter=20)
