@@ -9,14 +9,20 @@ one pair at a time (Murtagh 1983), provided ties break the same way (here by
   round finds every cluster's nearest cluster under the ward distance
   sqrt(2 n_a n_b / (n_a + n_b)) * |c_a - c_b| with the blocked pair primitive,
   merges reciprocal pairs (weighted centroid, summed size) and repeats.
-* average / complete: a cluster-pair table (c1 < c2, sum of distances, max
-  distance) built once by the blocked primitive; after each round the ids are
-  remapped to the merged ids and rows are re-aggregated with ``sum`` / ``max``
-  (the Lance-Williams update for these linkages, as partial aggregates).
-  The table has O(k^2) rows for k clusters: exact average / complete linkage
-  needs every cluster pair, as in the reference (which warns above 5,000 rows).
+* average / complete: no pair table either. Clusters are (id, mean, size, spread, radius) rows, and the
+  link of two clusters follows from them or is bounded by them (``_link``): the average cosine or squared
+  Euclidean distance is exact algebra on means, sizes and variances; the average Euclidean distance lies
+  between the distance of the means and the root of the average square (Jensen), the average L1 distance
+  within the mean deviations, and a complete link between the average and the distance plus both radii.
+  A round finds for every cluster the pairs that the bounds leave open, in blocks, and only those are
+  computed from their points (chunks of bounded size meet chunks); mostly there are few. A merged row
+  follows from its two parts by join, without the points.
 * single: the minimum spanning tree (operators/graph.py).
 
+The last ``TAIL`` clusters, a constant number whatever the rows behind them, have their links computed in
+blocks and are merged one pair at a time in a matrix (Lance-Williams), which saves the many late rounds
+with few merges.
+
 Merged clusters take the smaller id, so a merge (a, b, height) is also an edge
 between two real items. Cutting the dendrogram at k clusters drops the k - 1
 highest merges (heights are monotone for these linkages); a threshold keeps the
@@ -31,11 +37,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, n_blocks_for, pair_matrix, self_block_cogroup,
-                                          within_reducer)
+from clusterloom.operators.blocks import DEFAULT_BLOCK_ROWS, _stack, n_blocks_for, pair_matrix, self_block_cogroup
 from clusterloom.session import cut_lineage
 
 LINKAGES = ("ward", "average", "complete", "single")
+#: So many clusters (of a group) or fewer are finished in one task, from their links: a matrix of this size squared.
+TAIL = 256
 NN_SCHEMA = "c long, nn long, d double"
 
 
@@ -78,12 +85,80 @@ def _reciprocal(nn: DataFrame) -> DataFrame:
             .select(F.col("c").alias("a"), F.col("nn").alias("b"), F.col("d").alias("height")))
 
 
+# ----------------------------------------------------------------- the last clusters
+
+def _most(cl: DataFrame, k: int, group: str | None) -> int:
+    """Clusters of the group that has most."""
+    return (cl.groupBy("_grp").count().agg(F.max("count")).first()[0] or 0) if group else k
+
+
+def _link_schema(cl: DataFrame, group: str | None) -> str:
+    kind = cl.schema["_grp"].dataType.simpleString() if group else "int"
+    return f"_grp {kind}, a long, b long, d double, na double, nb double"
+
+
+def _ward_links(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+    nl, nr = l["_size"].to_numpy(np.float64), r["r__size"].to_numpy(np.float64)
+    return np.sqrt(2.0 * nl[:, None] * nr[None, :] / (nl[:, None] + nr[None, :])) * pair_matrix(
+        _stack(l["_vec"]), _stack(r["r__vec"]))
+
+
+def _link_rows(links, group: str | None):
+    """All pairs of cluster rows of a block pair with their link and sizes."""
+    def red(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
+        if len(l) == 0 or len(r) == 0:
+            return pd.DataFrame({"_grp": [], "a": [], "b": [], "d": [], "na": [], "nb": []})
+        li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
+        d = links(l, r)
+        x, y = np.nonzero(li[:, None] < ri[None, :] if diag else li[:, None] != ri[None, :])
+        nl, nr = l["_size"].to_numpy(np.float64), r["r__size"].to_numpy(np.float64)
+        swap = li[x] > ri[y]
+        return pd.DataFrame({"_grp": l["_grp"].iloc[0] if group else 0, "a": np.where(swap, ri[y], li[x]),
+                             "b": np.where(swap, li[x], ri[y]), "d": d[x, y], "na": np.where(swap, nr[y], nl[x]),
+                             "nb": np.where(swap, nl[x], nr[y])})
+
+    return red
+
+
+def _finish(links: DataFrame, linkage: str) -> DataFrame:
+    """The merges ``a, b, height`` of the last clusters of each group, one pair after the other."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+        i, j = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
+        d, size = np.full((len(ids), len(ids)), np.inf), np.zeros(len(ids))
+        d[i, j] = d[j, i] = pdf["d"].to_numpy()
+        size[i], size[j] = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
+        out = []
+        for _ in range(len(ids) - 1):
+            a, b = sorted(divmod(int(d.argmin()), len(ids)))  # the first of equals: the smallest ids
+            height, na, nb = d[a, b], size[a], size[b]
+            if linkage == "average":
+                row = (na * d[a] + nb * d[b]) / (na + nb)
+            elif linkage == "complete":
+                row = np.maximum(d[a], d[b])
+            else:
+                with np.errstate(invalid="ignore"):
+                    row = np.sqrt(np.maximum(((na + size) * d[a] ** 2 + (nb + size) * d[b] ** 2 - size * height ** 2)
+                                             / (na + nb + size), 0.0))
+            row[[a, b]] = np.inf
+            row[~np.isfinite(d[a]) | ~np.isfinite(d[b])] = np.inf
+            d[a], d[:, a], d[b], d[:, b], size[a] = row, row, np.inf, np.inf, na + nb
+            out.append((ids[a], ids[b], height))
+        return pd.DataFrame(out, columns=["a", "b", "height"])
+
+    return cut_lineage(links.groupBy("_grp").applyInPandas(run, "a long, b long, height double"))
+
+
 def _ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int, group: str | None) -> DataFrame | None:
     extra = [F.col(group).alias("_grp")] if group else []
     cl = cut_lineage(df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"),
                                F.lit(1.0).alias("_size"), *extra))
     k, merges = cl.count(), []
     while True:
+        if _most(cl, k, group) <= TAIL:
+            links = self_block_cogroup(cl, _link_rows(_ward_links, group), _link_schema(cl, group), max(1, -(-k // block_rows)),
+                                       group="_grp" if group else None, block_rows=block_rows)
+            return _union([*merges, _finish(links, "ward")])
         B = max(1, -(-k // block_rows))
         nn = _nearest(self_block_cogroup(cl, _nn_reducer_ward(), NN_SCHEMA, B, group="_grp" if group else None,
                                          block_rows=block_rows))
@@ -114,41 +189,212 @@ def _weighted_mean(vec: str, w: str):
     return Summarizer.mean(array_to_vector(F.col(vec)), F.col(w))
 
 
-def _pair_table(df: DataFrame, id_col: str, vec: str, metric: str, block_rows: int, group: str | None) -> DataFrame:
-    extra = [F.col(group).alias("_grp")] if group else []
-    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"), *extra)
-    B = 0 if group else n_blocks_for(pts, block_rows)
-    p = self_block_cogroup(pts, within_reducer(float("inf"), metric), "id_a long, id_b long, dist double", B,
-                           group="_grp" if group else None, block_rows=block_rows)
-    return p.select(F.col("id_a").alias("c1"), F.col("id_b").alias("c2"), F.col("dist").alias("s"),
-                    F.col("dist").alias("mx"), F.lit(1.0).alias("cnt"))
-
-
-def _table_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: str, block_rows: int,
-                  group: str | None) -> DataFrame | None:
-    table = cut_lineage(_pair_table(df, id_col, vec, metric, block_rows, group))
-    merges = []
+# ----------------------------------------------------------------- average and complete linkage by bounds
+
+OPEN_SCHEMA = "c long, nn long, lo double, hi double, exact boolean"
+
+
+def _link(linkage: str, metric: str, l: tuple, r: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the links between cluster rows; equal where the rows decide the link.
+
+    A side is (means, spreads, radii): spread is the mean squared deviation from the mean (L1: the mean
+    deviation or more), radius the largest deviation or more; cosine clusters hold unit vectors.
+    """
+    (x, vx, rx), (y, vy, ry) = l, r
+    spread, reach = vx[:, None] + vy[None, :], rx[:, None] + ry[None, :]
+    if metric == "cosine":
+        mean = 1.0 - x @ y.T
+        if linkage == "average":
+            return mean, mean
+        nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+        return mean, mean + rx[:, None] * ny[None, :] + nx[:, None] * ry[None, :] + rx[:, None] * ry[None, :]
+    if metric in ("manhattan", "l1", "cityblock"):
+        d = pair_matrix(x, y, "manhattan")
+        return d, d + (spread if linkage == "average" else reach)
+    d = pair_matrix(x, y)
+    mean_square = d * d + spread
+    if metric == "sqeuclidean":
+        return mean_square, (mean_square if linkage == "average" else (d + reach) ** 2)
+    return (d, np.sqrt(mean_square)) if linkage == "average" else (np.sqrt(mean_square), d + reach)
+
+
+def _open_reducer(linkage: str, metric: str):
+    """For each cluster of a block pair: its nearest among the links that are known, and all that may be nearer."""
+    def red(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
+        if len(l) == 0:
+            return pd.DataFrame({"c": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype="int64"),
+                                 "lo": pd.Series([], dtype="float64"), "hi": pd.Series([], dtype="float64"),
+                                 "exact": pd.Series([], dtype="bool")})
+        li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
+        lo, hi = _link(linkage, metric, *((_stack(p[f"{k}_vec"]), p[f"{k}_spread"].to_numpy(np.float64),
+                                           p[f"{k}_rad"].to_numpy(np.float64)) for p, k in ((l, ""), (r, "r_"))))
+        known = hi - lo <= 1e-12 + 1e-9 * np.abs(hi)
+        lo = np.where(known, hi, lo)
+        same = li[:, None] == ri[None, :]
+        lo, hi = np.where(same, np.inf, lo), np.where(same, np.inf, hi)
+        out = []
+        for low, high, sure, ids, other in ((lo, hi, known, li, ri), (lo.T, hi.T, known.T, ri, li)):
+            best = high.min(axis=1)
+            at_best = sure & (high == best[:, None]) & np.isfinite(high)
+            first = np.where(at_best, other[None, :], np.iinfo(np.int64).max).argmin(axis=1)  # the smallest id
+            keep = ~sure & (low <= best[:, None] * (1 + 1e-9) + 1e-12)
+            rows = np.flatnonzero(at_best.any(axis=1))
+            keep[rows, first[rows]] = True
+            a, b = np.nonzero(keep)
+            out.append(pd.DataFrame({"c": ids[a], "nn": other[b], "lo": low[a, b], "hi": high[a, b], "exact": sure[a, b]}))
+            if diag:
+                break
+        return pd.concat(out, ignore_index=True)
+
+    return red
+
+
+def _exact_links(points: DataFrame, pairs: DataFrame, sizes: DataFrame, linkage: str, metric: str, block_rows: int
+                 ) -> DataFrame | None:
+    """``a, b, d``: the links of cluster pairs from their points (``_pid, _vec, _cl``); None if there are no pairs.
+
+    Clusters are cut into chunks of about ``block_rows`` rows; a chunk of one meets a chunk of the other, and
+    pairs of chunks share tasks of bounded size.
+    """
+    chunks = sizes.select(F.col("_id").alias("_cl"), F.ceil(F.col("_size") / block_rows).cast("int").alias("_nc"),
+                          F.col("_size").alias("_n"))
+    named = pairs
+    for side in "ab":
+        named = named.join(chunks.select(F.col("_cl").alias(side), F.col("_nc").alias(f"nc_{side}"),
+                                         F.col("_n").alias(f"n_{side}")), side)
+    rows = named.agg(F.sum(F.col("n_a") * F.col("nc_b") + F.col("n_b") * F.col("nc_a"))).first()[0]
+    if rows is None:
+        return None
+    tasks = max(1, int(rows // (4 * block_rows)))
+    work = (named.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nc_a") - 1)))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nc_b") - 1))))
+    work = work.withColumn("_task", F.pmod(F.xxhash64("a", "b", "i", "j"), F.lit(tasks)).cast("int"))
+    dealt = points.join(chunks, "_cl").withColumn("_chunk", F.pmod(F.xxhash64("_pid"), F.col("_nc")).cast("int"))
+    keys = ["_task", "a", "b", "i", "j"]
+    left = dealt.join(work.select(*keys, F.col("a").alias("_cl"), F.col("i").alias("_chunk")), ["_cl", "_chunk"]
+                      ).select(*keys, "_vec")
+    right = dealt.join(work.select(*keys, F.col("b").alias("_cl"), F.col("j").alias("_chunk")), ["_cl", "_chunk"]
+                       ).select(*(F.col(c).alias(f"r_{c}") for c in [*keys, "_vec"]))
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out, other = [], {k: g for k, g in r.groupby(["r_a", "r_b", "r_i", "r_j"])}
+        for k, g in l.groupby(["a", "b", "i", "j"]):
+            if k in other:
+                d = pair_matrix(_stack(g["_vec"]), _stack(other[k]["r__vec"]), metric)
+                out.append((k[0], k[1], d.sum(), d.max(), d.size))
+        return pd.DataFrame(out, columns=["a", "b", "s", "mx", "n"]).astype(
+            {"a": "int64", "b": "int64", "s": "float64", "mx": "float64", "n": "int64"})
+
+    found = left.groupBy("_task").cogroup(right.groupBy("r__task")).applyInPandas(
+        run, "a long, b long, s double, mx double, n long")
+    d = F.sum("s") / F.sum("n") if linkage == "average" else F.max("mx")
+    return found.groupBy("a", "b").agg(d.alias("d"))
+
+
+def _merged_rows(cl: DataFrame, pairs: DataFrame, metric: str, extra: list[str]) -> DataFrame:
+    """The cluster rows after a round: the mean lies on the line between two means, and spread and radius follow."""
+    def side(name: str) -> DataFrame:
+        return cl.select(F.col("_id").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("_vec", "_size", "_spread", "_rad")),
+                         *(F.col(c) for c in (extra if name == "a" else [])))
+
+    j = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    na, nb = F.col("a_size"), F.col("b_size")
+    n = na + nb
+    l1 = metric in ("manhattan", "l1", "cityblock")
+    gaps = F.zip_with("a_vec", "b_vec", lambda x, y: F.abs(x - y) if l1 else (x - y) * (x - y))
+    gap = F.aggregate(gaps, F.lit(0.0), lambda t, v: t + v)
+    j = j.withColumn("_gap", gap if l1 else F.sqrt(gap))
+    da, db = F.col("_gap") * nb / n, F.col("_gap") * na / n
+    spread = ((na * (F.col("a_spread") + da) + nb * (F.col("b_spread") + db)) if l1 else
+              (na * (F.col("a_spread") + da * da) + nb * (F.col("b_spread") + db * db))) / n
+    merged = j.select(F.col("a").alias("_id"), *extra,
+                      F.zip_with("a_vec", "b_vec", lambda x, y: (x * na + y * nb) / n).alias("_vec"), n.alias("_size"),
+                      spread.alias("_spread"), F.greatest(F.col("a_rad") + da, F.col("b_rad") + db).alias("_rad"))
+    gone = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
+    return cl.join(gone, "_id", "left_anti").select(*merged.columns).unionByName(merged)
+
+
+def _last_links(cl: DataFrame, points: DataFrame, linkage: str, metric: str, by_points: bool, k: int, block_rows: int,
+                group: str | None) -> DataFrame:
+    """All links of the last clusters: from the rows, or from the points in blocks, summed by pair of clusters."""
+    grp = "_grp" if group else None
+    if not by_points:
+        def links(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+            return _link(linkage, metric, *((_stack(p[f"{c}_vec"]), p[f"{c}_spread"].to_numpy(np.float64),
+                                             p[f"{c}_rad"].to_numpy(np.float64)) for p, c in ((l, ""), (r, "r_"))))[1]
+
+        return self_block_cogroup(cl, _link_rows(links, group), _link_schema(cl, group), max(1, -(-k // block_rows)),
+                                  group=grp, block_rows=block_rows)
+
+    def sums(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
+        if len(l) == 0 or len(r) == 0:
+            return pd.DataFrame({"_grp": [], "a": [], "b": [], "s": [], "mx": []})
+        d = pair_matrix(_stack(l["_vec"]), _stack(r["r__vec"]), metric)
+        (cl_l, at_l), (cl_r, at_r) = (np.unique(c.to_numpy(np.int64), return_inverse=True) for c in (l["_cl"], r["r__cl"]))
+        order = np.argsort(at_l, kind="stable")
+        first = np.searchsorted(at_l[order], np.arange(len(cl_l)))
+        total, most = np.add.reduceat(d[order], first, axis=0), np.maximum.reduceat(d[order], first, axis=0)
+        order = np.argsort(at_r, kind="stable")
+        first = np.searchsorted(at_r[order], np.arange(len(cl_r)))
+        total, most = np.add.reduceat(total[:, order], first, axis=1), np.maximum.reduceat(most[:, order], first, axis=1)
+        # a pair of clusters meets in both orders of a diagonal block
+        x, y = np.nonzero(cl_l[:, None] < cl_r[None, :] if diag else cl_l[:, None] != cl_r[None, :])
+        return pd.DataFrame({"_grp": l["_grp"].iloc[0] if group else 0, "a": np.minimum(cl_l[x], cl_r[y]),
+                             "b": np.maximum(cl_l[x], cl_r[y]), "s": total[x, y], "mx": most[x, y]})
+
+    if group:
+        points = points.join(cl.select(F.col("_id").alias("_cl"), "_grp"), "_cl")
+    rows = points.withColumnRenamed("_pid", "_id")
+    kind = _link_schema(cl, group).split(",")[0]
+    found = self_block_cogroup(rows, sums, f"{kind}, a long, b long, s double, mx double",
+                               0 if group else n_blocks_for(rows, block_rows), group=grp, block_rows=block_rows)
+    sizes = [cl.select(F.col("_id").alias(x), F.col("_size").alias(f"n{x}")) for x in "ab"]
+    d = F.col("s") / (F.col("na") * F.col("nb")) if linkage == "average" else F.col("mx")
+    return (found.groupBy("_grp", "a", "b").agg(F.sum("s").alias("s"), F.max("mx").alias("mx"))
+            .join(sizes[0], "a").join(sizes[1], "b").select("_grp", "a", "b", d.alias("d"), "na", "nb"))
+
+
+def _bounded_merges(df: DataFrame, linkage: str, id_col: str, vec: str, metric: str, block_rows: int,
+                    group: str | None) -> DataFrame | None:
+    extra = ["_grp"] if group else []
+    value = F.col(vec).cast("array<double>")
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate(value, F.lit(0.0), lambda t, v: t + v * v))
+        value = F.when(norm > 0, F.transform(value, lambda v: v / norm)).otherwise(value)
+    cl = cut_lineage(df.select(F.col(id_col).cast("long").alias("_id"), *([F.col(group).alias("_grp")] if group else []),
+                               value.alias("_vec"), F.lit(1.0).alias("_size"), F.lit(0.0).alias("_spread"),
+                               F.lit(0.0).alias("_rad")))
+    vectors = cl.select(F.col("_id").alias("_pid"), "_vec")
+    members = cl.select(F.col("_id").alias("_pid"), F.col("_id").alias("_cl"))
+    by_points = not (linkage == "average" and metric in ("cosine", "sqeuclidean"))
+    merges, k = [], cl.count()
     while True:
-        # cnt = n1 * n2 point pairs behind a cluster pair, so average = s / cnt
-        link = (F.col("s") / F.col("cnt")) if linkage == "average" else F.col("mx")
-        both = table.select(F.col("c1").alias("c"), F.col("c2").alias("nn"), link.alias("d")).unionByName(
-            table.select(F.col("c2").alias("c"), F.col("c1").alias("nn"), link.alias("d")))
-        pairs = cut_lineage(_reciprocal(_nearest(both)))
-        if pairs.isEmpty():
+        if _most(cl, k, group) <= TAIL:
+            return _union([*merges, _finish(_last_links(cl, vectors.join(members, "_pid"), linkage, metric, by_points, k,
+                                                        block_rows, group), linkage)])
+        near = self_block_cogroup(cl.drop("_size"), _open_reducer(linkage, metric), OPEN_SCHEMA,
+                                  max(1, -(-k // block_rows)), group="_grp" if group else None, block_rows=block_rows)
+        if by_points:
+            near = cut_lineage(near)
+            least = near.groupBy("c").agg(F.min("hi").alias("_hi"))
+            near = near.join(least, "c").where(F.col("lo") <= F.col("_hi") * (1 + 1e-9) + 1e-12)
+            left_open = cut_lineage(near.where(~F.col("exact")).select(
+                F.least("c", "nn").alias("a"), F.greatest("c", "nn").alias("b")).distinct())
+            found = _exact_links(vectors.join(members, "_pid"), left_open, cl.select("_id", "_size"), linkage, metric,
+                                 block_rows)
+            if found is not None:
+                near = near.withColumn("a", F.least("c", "nn")).withColumn("b", F.greatest("c", "nn")).join(
+                    found, ["a", "b"], "left").withColumn("hi", F.when(F.col("exact"), F.col("hi")).otherwise(F.col("d")))
+        pairs = cut_lineage(_reciprocal(_nearest(near.select("c", "nn", F.col("hi").alias("d")))))
+        merged = pairs.count()
+        if not merged:
             return _union(merges)
         merges.append(pairs)
-        remap = pairs.select(F.col("b").alias("old"), F.col("a").alias("new"))
-
-        def mapped(col):
-            return F.coalesce(F.col(f"{col}_new"), F.col(col))
-
-        t = (table.join(remap.select(F.col("old").alias("c1"), F.col("new").alias("c1_new")), "c1", "left")
-             .join(remap.select(F.col("old").alias("c2"), F.col("new").alias("c2_new")), "c2", "left")
-             .select(F.least(mapped("c1"), mapped("c2")).alias("c1"), F.greatest(mapped("c1"), mapped("c2"))
-                     .alias("c2"), "s", "mx", "cnt")
-             .where(F.col("c1") != F.col("c2"))
-             .groupBy("c1", "c2").agg(F.sum("s").alias("s"), F.max("mx").alias("mx"), F.sum("cnt").alias("cnt")))
-        table = cut_lineage(t)
+        k -= merged
+        cl = cut_lineage(_merged_rows(cl, pairs, metric, extra))
+        if by_points:
+            to = pairs.select(F.col("b").alias("_cl"), F.col("a").alias("_new"))
+            members = cut_lineage(members.join(to, "_cl", "left").select("_pid", F.coalesce("_new", "_cl").alias("_cl")))
 
 
 def dendrogram(df: DataFrame, linkage: str = "ward", metric: str = "euclidean", id_col: str = "pos",
@@ -167,7 +413,7 @@ def dendrogram(df: DataFrame, linkage: str = "ward", metric: str = "euclidean",
     if linkage == "ward":
         m = _ward_merges(df, id_col, vec, block_rows, group)
     else:
-        m = _table_merges(df, linkage, id_col, vec, metric, block_rows, group)
+        m = _bounded_merges(df, linkage, id_col, vec, metric, block_rows, group)
     if m is None:
         return df.sparkSession.createDataFrame([], "a long, b long, height double")
     return m

@@ -8,9 +8,9 @@ from clusterloom.operators.blocks import pair_matrix
 from helpers import planted, to_df
 
 
-def naive(x, linkage, k):
+def naive(x, linkage, k, metric="euclidean"):
     clusters = {i: [i] for i in range(len(x))}
-    d = pair_matrix(x, x)
+    d = pair_matrix(x, x, metric)
     heights = []
 
     def link(p, q):
@@ -48,6 +48,60 @@ def test_linkage_matches_naive(spark, linkage, block_rows):
     assert sorted(sorted(v) for v in parts.values()) == want_parts
 
 
+@pytest.mark.parametrize("linkage,metric,block_rows", [
+    ("average", "euclidean", 5), ("average", "cosine", 5), ("complete", "cosine", 2048)])
+def test_rounds_by_bounds_give_the_naive_dendrogram(spark, monkeypatch, linkage, metric, block_rows):
+    """Rounds down to three clusters in blocks and chunks of a few rows; equal rows and a zero vector among them."""
+    monkeypatch.setattr(A, "TAIL", 3)
+    rng = np.random.default_rng(23)
+    x = np.vstack([rng.normal(size=(12, 3)) + rng.normal(size=(4, 3))[rng.integers(4, size=12)] * 2, np.zeros((1, 3))])
+    x = np.vstack([x, x[:2]])
+    labels, merges = A.agglomerative(to_df(spark, x), n_clusters=5, linkage=linkage, metric=metric, block_rows=block_rows)
+    want_h, want_parts = naive(x, linkage, 5, metric)
+    assert np.allclose(sorted(r["height"] for r in merges.collect()), want_h, atol=1e-7)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["label"], []).append(r["pos"])
+    assert sorted(sorted(v) for v in parts.values()) == want_parts
+
+
+@pytest.mark.parametrize("linkage,metric", [("average", "euclidean"), ("average", "cosine"), ("average", "sqeuclidean"),
+                                            ("complete", "manhattan"), ("complete", "cosine")])
+def test_last_clusters_are_merged_like_the_rest(spark, linkage, metric):
+    rng = np.random.default_rng(29)
+    x = np.vstack([rng.normal(size=(40, 3)) + rng.normal(size=(5, 3))[rng.integers(5, size=40)] * 2, np.zeros((1, 3))])
+    x = np.vstack([x, x[:3]])
+    labels, merges = A.agglomerative(to_df(spark, x), n_clusters=5, linkage=linkage, metric=metric, block_rows=9)
+    want_h, want_parts = naive(x, linkage, 5, metric)
+    assert np.allclose(sorted(r["height"] for r in merges.collect()), want_h, atol=1e-7)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["label"], []).append(r["pos"])
+    assert sorted(sorted(v) for v in parts.values()) == want_parts
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "cosine", "manhattan"])
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_link_bounds_hold(linkage, metric):
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = (rng.normal(rng.normal(size=4) * 2, rng.uniform(0, 1.5), (int(rng.integers(1, 9)), 4)) for _ in "ab")
+        if metric == "cosine":
+            a, b = (p / np.linalg.norm(p, axis=1, keepdims=True) for p in (a, b))
+        sides = []
+        for p in (a, b):
+            off = p - p.mean(axis=0)
+            far = np.abs(off).sum(axis=1) if metric == "manhattan" else np.linalg.norm(off, axis=1)
+            sides.append((p.mean(axis=0)[None], np.array([far.mean() if metric == "manhattan" else (far ** 2).mean()]),
+                          np.array([far.max()])))
+        lo, hi = A._link(linkage, metric, *sides)
+        d = pair_matrix(a, b, metric)
+        true = d.mean() if linkage == "average" else d.max()
+        assert lo[0, 0] - 1e-9 <= true <= hi[0, 0] + 1e-9
+        if linkage == "average" and metric in ("cosine", "sqeuclidean"):
+            assert lo[0, 0] == pytest.approx(true)
+
+
 def test_threshold_wins_and_errors(spark):
     x, y = planted(n_per=10, k=3, dim=6, noise=0.02)
     df = to_df(spark, x, y)
