@@ -37,10 +37,15 @@ def n_blocks_for(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
 def pair_matrix(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Dense distance block between row sets x (m x D) and y (n x D)."""
     if metric in ("euclidean", "l2", "sqeuclidean"):
-        d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+        nx, ny = (x * x).sum(1), (y * y).sum(1)
+        d2 = nx[:, None] + ny[None, :]  # the same sum from either side
+        product = x @ y.T
+        product *= 2.0
+        d2 -= product
         # the expansion cancels for near rows: take their differences instead
-        scale = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
-        a, b = np.nonzero(d2 <= 1e-6 * scale)
+        a, b = np.nonzero(d2 <= 1e-6 * (nx.max(initial=0.0) + ny.max(initial=0.0)))
+        near = d2[a, b] <= 1e-6 * (nx[a] + ny[b])
+        a, b = a[near], b[near]
         for at in range(0, len(a), 1 << 16):
             i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
             d2[i, j] = ((x[i] - y[j]) ** 2).sum(1)
@@ -191,6 +196,38 @@ def within_reducer(threshold: float, metric: str = "euclidean"):
     return red
 
 
+def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row reachable from each of ``n`` rows over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for side in (root[a], root[b], a, b):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def component_reducer(threshold: float, metric: str = "euclidean"):
+    """Which rows of a block pair hang together by distances <= threshold: ``id_a, id_b``, fewer rows than the blocks.
+
+    Every row but the first of a component points to that first one, so that a dense block pair returns a
+    forest and not its links.
+    """
+    within = within_reducer(threshold, metric)
+
+    def red(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
+        pairs = within(l, r, diag)
+        ids, at = np.unique(np.concatenate([pairs["id_a"], pairs["id_b"]]).astype(np.int64), return_inverse=True)
+        root = _components(at[:len(pairs)], at[len(pairs):], len(ids))
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"id_a": ids[root[linked]], "id_b": ids[linked]})
+
+    return red
+
+
 def cluster_sum_reducer(metric: str = "euclidean"):
     """Per (row, other row's label): sum of distances and count (self excluded)."""
 

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.blocks import DEFAULT_BLOCK_ROWS, min_edge_reducer, n_blocks_for, self_block_cogroup
+from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, component_reducer, min_edge_reducer, n_blocks_for,
+                                          self_block_cogroup)
 from clusterloom.session import cut_lineage
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -73,10 +74,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
 
 def threshold_components(df: DataFrame, threshold: float, id_col: str = "pos", vec: str = "embedding",
                          metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """C5 on the graph of pairs within ``threshold`` (single-linkage cut / duplicate groups)."""
-    from clusterloom.operators.neighbors import pairs_within
+    """C5 on the graph of pairs within ``threshold`` (single-linkage cut / duplicate groups).
 
-    edges = pairs_within(df, threshold, id_col, vec, metric, block_rows)
+    A block pair returns a forest of what hangs together in it, so at most rows x blocks edges are written,
+    however dense the graph is.
+    """
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"))
+    edges = self_block_cogroup(pts, component_reducer(threshold, metric), "id_a long, id_b long",
+                               n_blocks_for(pts, block_rows))
     return connected_components(df.select(F.col(id_col).alias("id")), edges, "id", "id_a", "id_b")
 
 

@@ -71,3 +71,32 @@ def test_prefix_count_multi_chunk(spark):
     for i, f in rows:
         run += int(f)
         assert got[i] == run
+
+
+def test_component_reducer_returns_a_forest():
+    """Chains, a clique and lone rows: fewer edges than rows, and the same components as all links give."""
+    import pandas as pd
+
+    from clusterloom.operators.blocks import component_reducer, within_reducer
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.arange(40) * 0.9, 200 + rng.uniform(0, 0.5, 60), 500 + np.arange(10) * 7.0])[:, None]
+    ids = rng.permutation(len(x)) + 1000
+    l = pd.DataFrame({"_id": ids, "_vec": list(x)})
+    r = l.rename(columns={"_id": "r__id", "_vec": "r__vec"})
+    edges, links = component_reducer(1.0)(l, r, True), within_reducer(1.0)(l, r, True)
+    assert len(edges) == 39 + 59 and len(links) > 1500
+
+    def groups(pairs):
+        up = {i: i for i in ids.tolist()}
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+        for a, b in zip(pairs["id_a"].tolist(), pairs["id_b"].tolist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        return [root(i) for i in ids.tolist()]
+    assert groups(edges) == groups(links)
+    assert len(component_reducer(1.0)(l.iloc[:0], r.iloc[:0], False)) == 0
