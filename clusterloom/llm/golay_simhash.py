@@ -220,10 +220,10 @@ def keep_one(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, id_col: s
     # written once, so that a row's place is the same in every later job
     at = number_rows(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "_place")
     rows = cut_lineage(fingerprints(at, size, f"row.`{id_col}`", f"row.`{text_col}`", "_place"))
-    found = components(cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep"))), max_bits)
-    placed = rows.join(found, "_fp").select("_component", "_place", F.struct(
-        F.col("_id").isNull().alias("none"), "_id", "_place").alias("_order"))
-    first = placed.groupBy("_component").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    gone = cut_lineage(placed.join(first, "_component").where(F.col("_place") != F.col("_first._place"))
-                       .select("_place"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_place")
+    classes = cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep"), F.min(order).alias("_order")))
+    found = cut_lineage(components(classes.select("_fp", "_rep"), max_bits).select("_fp", "_component"))
+    first = found.join(classes, "_fp").groupBy("_component").agg(F.min("_order").alias("_first"))
+    kept = found.join(first, "_component").select("_fp", F.col("_first._place").alias("_kept"))
+    gone = cut_lineage(rows.join(kept, "_fp").where(F.col("_place") != F.col("_kept")).select("_place"))
     return at.join(gone, "_place", "left_anti").select("row.*")
