@@ -285,3 +285,40 @@ def test_forest_keeps_the_components():
         kept += [(a[k], b[k]) for k in sp._forest(parent, a, b)]
     assert components(300, kept) == components(300, pairs.tolist()) == parent.tolist()
     assert len(kept) == 300 - len(set(parent.tolist()))
+
+
+def test_passes_follow_rows_and_threshold():
+    assert sp.passes_for(0, 64, 0.9) == (0, 1) and sp.passes_for(1000, 64, 0.9) == (0, 1)
+    assert sp.passes_for(10 ** 6, 64, -1.0) == (0, 1) and sp.passes_for(10 ** 6, 64, 1.0)[1] == 1
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (50_000, 10 ** 6, 10 ** 9):
+        bits, passes = sp.passes_for(n, 64, 0.9)
+        assert bits > 0 and (1 - agree ** bits) ** passes <= 1 - sp.TARGET
+
+
+def test_codes_do_not_depend_on_the_rows_beside():
+    x = sp.unit(np.random.default_rng(1).normal(size=(300, 48)))
+    whole = sp.codes_of(x, 6, 9)
+    assert (whole == np.concatenate([sp.codes_of(x[k:k + 7], 6, 9) for k in range(0, 300, 7)])).all()
+
+
+@pytest.mark.parametrize("cell, crowded, window", [(64, 256, 8), (64, 40, 2), (16, 24, 64)])
+def test_passes_find_what_all_pairs_find(spark, monkeypatch, cell, crowded, window):
+    """Several cells and passes, crowded cells in blocks; counts of links are never added twice."""
+    for name, value in (("CELL", cell), ("CROWDED", crowded), ("WINDOW", window), ("COPY", 1)):
+        monkeypatch.setattr(sp, name, value)
+    x = np.concatenate([planted_vectors(n=900, dim=24, seed=2), crowded_vectors(n=300, dim=24)])
+    x[620:640] = x[60]
+    ids = list(range(len(x)))
+    assert sp.passes_for(len(x), 24, 0.9)[0] >= 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    kept = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    want = plain_links(ids, kept, 0.9)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sp.near_duplicates(df).collect()}
+    assert all(got[i][0] <= want[i][0] for i in ids)
+    assert sum(got[i][0] for i in ids) >= 0.995 * sum(n for n, _ in want.values())
+    assert sum(got[i] == want[i] for i in ids) >= 0.95 * len(ids)
+    queries = [i for i in ids if i % 100 == 0]
+    assert sum(got[i][0] for i in queries) >= 0.99 * sum(want[i][0] for i in queries)
+    exact = {r.vec_id: (r.n_links, r.component_id) for r in sp.near_duplicates(df, exact=True).collect()}
+    assert exact == want
