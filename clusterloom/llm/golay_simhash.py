@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             fp = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]],
                                              ["_id", "_fp", "_place"][:batch.num_columns])
+        pa.default_memory_pool().release_unused()  # the worker may be kept for other stages
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        *([F.col(place_col).cast("long").alias("_place")] if place_col else []))

@@ -80,7 +80,7 @@ class WordIds:
         special = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile("(?!)")
         self.shown = {b: c for c, b in byte_symbols().items()}
-        self.words, self.runs = Kept(self._word, 200_000), Kept(self._run, 60_000)
+        self.words, self.runs = Kept(self._word, 120_000), Kept(self._run, 60_000)
 
     def _word(self, word: str) -> bytes:
         """A lower-case word: only the model has to see it, its bytes as the characters that stand for them."""
@@ -113,6 +113,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def release(path: str) -> None:
+    """Give back, at the end of a task, what the worker's next task can do without: older words, free buffers."""
+    coder = word_ids(path)
+    coder.words.older, coder.runs.older = {}, {}
+    pa.default_memory_pool().release_unused()
+
+
 def encode_texts(column: pa.Array, path: str, end_id: int | None) -> Iterator[np.ndarray]:
     """Ids of each text in turn, with ``end_id`` after them."""
     coder = word_ids(path)
@@ -295,6 +302,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = EN
                     yield from rows(False)
         if left:
             yield from rows(True)
+        release(tokenizer_path)
 
     rows_in = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
                           (F.col(prompt_col).cast("int") if prompt_col else F.lit(0)).alias("_prompt"))
