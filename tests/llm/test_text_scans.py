@@ -367,20 +367,33 @@ def test_secrets_query(spark, awkward, no_docs, documents):
 # ------------------------------------------------------------------ licences
 
 def plain_license(text, templates, threshold):
-    def grams(t):
-        w = [x.lower() for x in re.findall("[a-zA-Z0-9]+", t)]
+    def words(t):
+        return [x.lower() for x in re.findall("[a-zA-Z0-9]+", t)]
+
+    def grams(w):
         return {f"{a} {b}" for a, b in zip(w, w[1:])} or set(w)
-    sets = {n: grams(t) for n, t in templates.items()}
-    lines = (text or "").split("\n")
-    best, n = None, 0
+
+    def dice(g, s):
+        return 2 * len(g & s) / (len(g) + len(s))
+
+    sets = {n: grams(words(t)) for n, t in templates.items()}
+    lines, found, n = (text or "").split("\n"), [], 0
     for passage in lines + ([text] if len(lines) > 1 else []):
-        g = grams(passage or "")
-        scores = [(-2 * len(g & s) / (len(g) + len(s)), name) for name, s in sets.items() if g & s]
+        g = grams(words(passage or ""))
+        scores = [(-dice(g, s), -len(s), name) for name, s in sets.items() if g & s]
         scores = [s for s in scores if -s[0] >= threshold]
-        if scores:
-            n += 1
-            best = min([*scores, *([best] if best else [])])
-    return (best[1] if best else None, round(-best[0], 6) if best else None, n)
+        n, found = n + bool(scores), found + scores
+    w, starts = words(text or ""), set()
+    places = {}
+    for name, gram, k in licenses.anchor_places(templates, threshold):
+        places.setdefault(gram, []).append((name, k))
+    for i, (a, b) in enumerate(zip(w, w[1:])):
+        starts |= {(name, i - k) for name, k in places.get(f"{a} {b}", [])}
+    windows = [(-dice(grams(w[max(at, 0):at + len(words(templates[name]))]), sets[name]), -len(sets[name]), name)
+               for name, at in starts]
+    windows = [s for s in windows if -s[0] >= threshold]
+    best = min(found + windows, default=None)
+    return (best[2].split("#")[0] if best else None, round(-best[0], 6) if best else None, n, len(windows))
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
@@ -388,15 +401,48 @@ def test_licenses_match_brute_force(spark, documents, threshold):
     extra = ["Licensed under the Apache License, Version 2.0.", "licensed under the apache license version 2.0 today",
              "x\nReleased under the MIT License.\ny", "Released\nunder the MIT license", "the MIT License", None, "",
              "Licensed under CC-BY-NC-4.0.", "license license license", "GNU General Public License, version 3",
-             "Released under the MIT License. " * 400]
+             "Released under the MIT License. " * 400, "word " * 30 + licenses.TEMPLATES["MIT#body"].replace(" ", "\n * "),
+             "free of charge, to any person obtaining", *licenses.TEMPLATES.values()]
     docs = documents.select("doc_id", "text").unionByName(
         spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
-    out = {r.doc_id: (r.license, r.score, r.n_passages)
+    out = {r.doc_id: (r.license, r.score, r.n_passages, r.n_windows)
            for r in licenses.scan(docs, threshold=threshold).toLocalIterator()}
     for r in docs.toLocalIterator():
         assert out[r.doc_id] == plain_license(r.text, licenses.TEMPLATES, threshold), r.text[:200]
 
 
+def edited(text, every):
+    return " ".join("other" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+
+def test_licenses_wrapped_embedded_and_edited(spark):
+    cases = []
+    for name, text in licenses.TEMPLATES.items():
+        wrapped = re.sub(r"(.{40,60}?) ", r"\1\n# ", text)
+        cases += [(name, "before it " * 50 + text + " and after it" * 50, 1.0), (name, f"# {wrapped}\nimport this", 1.0)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, (name, text, least) in enumerate(cases):
+        assert got[i].license == name.split("#")[0] and got[i].score == least, (name, text)
+    long = {n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) >= 40}
+    docs = spark.createDataFrame([(i, f"Some words first. {edited(t, 25)} And some at the end.")
+                                  for i, t in enumerate(long.values())], "doc_id long, text string")
+    for name, text in long.items():  # one template at a time: a short notice inside scores 1
+        scores = [r.score for r in licenses.scan(docs, templates={name: text}).collect()]
+        assert 0.8 <= scores[list(long).index(name)] < 1, name
+    clean = spark.createDataFrame([(0, "the above copyright notice is short, and permission to use it is not granted"),
+                                   (1, "a license to deal in spices; redistribution of wealth in any form")],
+                                  "doc_id long, text string")
+    assert all(r.license is None and r.n_windows == 0 for r in licenses.scan(clean).collect())
+
+
+def test_anchor_pattern_finds_each_bigram():
+    grams = ["ab cd", "ab ce", "ab", "x y", "xa y"]
+    pattern = re.compile(licenses.anchor_pattern(grams))
+    assert all(pattern.search(f"1 {g.upper().replace(' ', ' * ')} 2") for g in grams)
+    assert not pattern.search("zab x, uy") and pattern.search("x\ny")
+
+
 def test_licenses_awkward(spark, awkward, no_docs):
     assert licenses.scan(awkward).count() == awkward.count()
     assert licenses.scan(no_docs).count() == 0
