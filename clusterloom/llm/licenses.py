@@ -148,6 +148,11 @@ def anchor_pattern(found: list[str]) -> str:
     return "(?i)(?<![a-zA-Z0-9])" + written(trie)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), "[^a-z0-9]+"), lambda x: x != "")
 
@@ -164,8 +169,7 @@ def word_bigrams(ws: Column) -> Column:
 
 def passage_bigrams(passage: Column) -> Column:
     """The distinct bigrams of a passage."""
-    # as a one-element array, so that the words are computed once
-    return F.flatten(F.transform(F.array(words_of(passage)), word_bigrams))
+    return bound(words_of(passage), word_bigrams)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
@@ -211,9 +215,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         t = F.floor(code / SPAN).cast("int") + 1
         first = (code % SPAN - SPAN // 2).cast("int")
         begin = F.greatest(first, F.lit(1))
-        mine, whole = word_bigrams(F.slice(ws, begin, F.element_at(lengths, t) - (begin - first))), F.element_at(grams_of, t)
-        return F.struct((-2.0 * F.size(F.array_intersect(mine, whole)) / (F.size(mine) + F.size(whole))).alias("minus"),
-                        (-F.size(whole)).alias("size"), F.element_at(F.lit(names), t).alias("name"))
+        part = F.slice(ws, begin, F.element_at(lengths, t) - (begin - first))
+        whole = F.element_at(grams_of, t)
+        return bound(bound(part, word_bigrams), lambda mine: F.struct(
+            (-2.0 * F.size(F.array_intersect(mine, whole)) / (F.size(mine) + F.size(whole))).alias("minus"),
+            (-F.size(whole)).alias("size"), F.element_at(F.lit(names), t).alias("name")))
 
     def windows(ws: Column) -> Column:
         if not places:
@@ -228,10 +234,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     lines = F.split("_text", "\n")
     passages = F.when(F.size(lines) > 1, F.concat(lines, F.array("_text"))).otherwise(lines)
-    near = F.transform(F.filter(passages, anchored), lambda p: best(passage_bigrams(p)))
+    near = F.transform(F.filter(passages, anchored), lambda p: bound(passage_bigrams(p), best))
     has = anchored(F.col("_text"))
     found = rows.select("_id", F.when(has, F.filter(near, lambda s: s.isNotNull())).alias("_found"),
-                        F.when(has, F.flatten(F.transform(F.array(words_of(F.col("_text"))), windows))).alias("_windows"))
+                        F.when(has, bound(words_of(F.col("_text")), windows)).alias("_windows"))
     top = F.array_min(F.concat("_found", "_windows"))
     return found.select(F.col("_id").alias(id_col), F.split_part(top["name"], F.lit("#"), F.lit(1)).alias("license"),
                         F.round(-top["minus"], 6).alias("score"),
