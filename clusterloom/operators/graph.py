@@ -79,9 +79,10 @@ def threshold_components(df: DataFrame, threshold: float, id_col: str = "pos", v
     A block pair returns a forest of what hangs together in it, so at most rows x blocks edges are written,
     however dense the graph is.
     """
+    from clusterloom.operators.neighbors import reduce_within
+
     pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"))
-    edges = self_block_cogroup(pts, component_reducer(threshold, metric), "id_a long, id_b long",
-                               n_blocks_for(pts, block_rows))
+    edges = reduce_within(pts, threshold, component_reducer(threshold, metric), "id_a long, id_b long", metric, block_rows)
     return connected_components(df.select(F.col(id_col).alias("id")), edges, "id", "id_a", "id_b")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, _topk_rows, cross_block_cogroup, knn_reducer,
                                           n_blocks_for, pair_matrix, self_block_cogroup, within_reducer)
+from clusterloom.operators.cells import METRICS, cell_cogroup, make_cells, pairs_for_neighbours, pairs_within_reach
 from clusterloom.operators.filters import search_predicate
 
 KNN_SCHEMA = "id long, nbr_id long, dist double"
@@ -33,12 +34,18 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "pos", vec: str = "embedding"
     """Q6: the k nearest other items of every item (of its group): ``id, nbr_id, dist, rank``.
 
     Each block pair returns at most k candidates per row; the final top-k per
-    id ranks at most (B + 1) k candidates, a bounded group per id.
+    id ranks at most (B + 1) k candidates, a bounded group per id. Beyond one block, and
+    under a metric with the triangle inequality, blocks are rings of pivot cells and
+    only pairs that can hold a neighbour are computed (groups: all pairs of a group's blocks).
     """
     pts = _points(df, id_col, vec, **({group: "grp"} if group else {}))
     B = 0 if group else n_blocks_for(pts, block_rows)
-    cand = self_block_cogroup(pts, knn_reducer(k, metric), KNN_SCHEMA, B, group="_grp" if group else None,
-                              block_rows=block_rows)
+    if B > 1 and metric in METRICS:
+        cells = make_cells(pts, metric, block_rows, B)
+        cand = cell_cogroup(cells, pairs_for_neighbours(cells, k), knn_reducer(k, metric), KNN_SCHEMA)
+    else:
+        cand = self_block_cogroup(pts, knn_reducer(k, metric), KNN_SCHEMA, B, group="_grp" if group else None,
+                                  block_rows=block_rows)
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -138,9 +145,17 @@ def knn_search_prefilter(base: DataFrame, queries: DataFrame, k: int, filters: d
 def pairs_within(df: DataFrame, threshold: float, id_col: str = "pos", vec: str = "embedding",
                  metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """J5 (and J4 with threshold=inf): unordered pairs id_a < id_b with distance <= threshold."""
-    pts = _points(df, id_col, vec)
+    return reduce_within(_points(df, id_col, vec), threshold, within_reducer(threshold, metric),
+                         "id_a long, id_b long, dist double", metric, block_rows)
+
+
+def reduce_within(pts: DataFrame, threshold: float, reducer, schema: str, metric: str, block_rows: int) -> DataFrame:
+    """``reducer`` on every block pair that may hold a distance of at most ``threshold``."""
     B = n_blocks_for(pts, block_rows)
-    return self_block_cogroup(pts, within_reducer(threshold, metric), "id_a long, id_b long, dist double", B)
+    if B > 1 and metric in METRICS and np.isfinite(threshold):
+        cells = make_cells(pts, metric, block_rows, B)
+        return cell_cogroup(cells, pairs_within_reach(cells, threshold), reducer, schema)
+    return self_block_cogroup(pts, reducer, schema, B)
 
 
 def pair_distances(df: DataFrame, id_col: str = "pos", vec: str = "embedding",
