@@ -183,13 +183,14 @@ def pairs_for_neighbours(cells: Cells, k: int) -> DataFrame:
     return pairs_in_reach(cells, cut_lineage(reach.drop("_inside", "_around")))
 
 
-def cell_cogroup(cells: Cells, pairs: DataFrame, reducer: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
-                 schema: str) -> DataFrame:
-    """``reducer(left, right, is_diagonal)`` on the given block pairs, as ``self_block_cogroup`` runs it on all."""
+def pairs_cogroup(points: DataFrame, pairs: DataFrame, reducer: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
+                  schema: str) -> DataFrame:
+    """``reducer(left, right, is_diagonal)`` on the given pairs ``_gl <= _gh`` of the blocks ``_blk`` of ``points``,
+    as ``self_block_cogroup`` runs it on all."""
     to_right = pairs.groupBy(F.col("_gl").alias("_blk")).agg(F.collect_list("_gh").alias("_p"))
     to_left = pairs.groupBy(F.col("_gh").alias("_blk")).agg(F.collect_list("_gl").alias("_p"))
-    left = cells.points.join(to_right, "_blk").withColumn("_gh", F.explode("_p")).drop("_p").withColumnRenamed("_blk", "_gl")
-    right = cells.points.join(to_left, "_blk").withColumn("_gl", F.explode("_p")).drop("_p").withColumnRenamed("_blk", "_gh")
+    left = points.join(to_right, "_blk").withColumn("_gh", F.explode("_p")).drop("_p").withColumnRenamed("_blk", "_gl")
+    right = points.join(to_left, "_blk").withColumn("_gl", F.explode("_p")).drop("_p").withColumnRenamed("_blk", "_gh")
     keys = ["_gl", "_gh"]
     right = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns])
 

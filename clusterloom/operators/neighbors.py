@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from clusterloom.operators.blocks import (DEFAULT_BLOCK_ROWS, _stack, _topk_rows, cross_block_cogroup, knn_reducer,
                                           n_blocks_for, pair_matrix, self_block_cogroup, within_reducer)
-from clusterloom.operators.cells import METRICS, cell_cogroup, make_cells, pairs_for_neighbours, pairs_within_reach
+from clusterloom.operators.cells import METRICS, make_cells, pairs_cogroup, pairs_for_neighbours, pairs_within_reach
 from clusterloom.operators.filters import search_predicate
+from clusterloom.operators.jobs import global_rank
+from clusterloom.operators.profiles import prefix_count
+from clusterloom.session import cut_lineage
 
 KNN_SCHEMA = "id long, nbr_id long, dist double"
 MAX_SHIPPED_VALUES = 8_000_000  # numbers in the query vectors that go to every task, 64 MB
@@ -42,7 +45,7 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "pos", vec: str = "embedding"
     B = 0 if group else n_blocks_for(pts, block_rows)
     if B > 1 and metric in METRICS:
         cells = make_cells(pts, metric, block_rows, B)
-        cand = cell_cogroup(cells, pairs_for_neighbours(cells, k), knn_reducer(k, metric), KNN_SCHEMA)
+        cand = pairs_cogroup(cells.points, pairs_for_neighbours(cells, k), knn_reducer(k, metric), KNN_SCHEMA)
     else:
         cand = self_block_cogroup(pts, knn_reducer(k, metric), KNN_SCHEMA, B, group="_grp" if group else None,
                                   block_rows=block_rows)
@@ -154,7 +157,7 @@ def reduce_within(pts: DataFrame, threshold: float, reducer, schema: str, metric
     B = n_blocks_for(pts, block_rows)
     if B > 1 and metric in METRICS and np.isfinite(threshold):
         cells = make_cells(pts, metric, block_rows, B)
-        return cell_cogroup(cells, pairs_within_reach(cells, threshold), reducer, schema)
+        return pairs_cogroup(cells.points, pairs_within_reach(cells, threshold), reducer, schema)
     return self_block_cogroup(pts, reducer, schema, B)
 
 
@@ -170,54 +173,28 @@ def pairs_within_days(df: DataFrame, window_days: float, threshold: float | None
     """Interval join, pairs whose dates differ by at most ``window_days`` (and optionally
     whose distance is at most ``threshold``): ``id_a < id_b, gap_days, dist[, temporal_similarity]``.
 
-    Rows are bucketed by floor(day / w), so a pair can only join its own or the
-    next bucket. A bucket is further split into hash sub-blocks of at most
-    ``block_rows`` rows (a hot day holding a third of all rows becomes many
-    bounded groups). Each group (bucket, sub-block) x (same or next bucket,
-    sub-block) is one cogroup task: a numpy distance block masked by the date
-    gap. With ``decay_days`` the pair also gets the decayed cosine similarity (V8).
+    One distributed sort by date cuts the rows into blocks of ``block_rows``; a block meets
+    the blocks up to the last one that begins within the window after its own end, a run of
+    neighbours. A hot day (a third of all rows) is many blocks. Each block pair is one cogroup
+    task: a numpy distance block masked by the date gap. Undated rows take no part. With
+    ``decay_days`` the pair also gets the decayed cosine similarity (V8).
     """
     w = float(window_days)
     base = df.where(F.col(days).isNotNull()).select(
-        F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"), F.col(days).alias("_day"),
-        F.floor(F.col(days) / F.lit(w)).cast("long").alias("_bucket"))
-    subs = base.groupBy("_bucket").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_rows))).cast("int").alias("_nsub"))
-    base = base.join(subs, "_bucket").withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_nsub")).cast("int"))
-    nxt = subs.select((F.col("_bucket") - 1).alias("_bucket"), F.col("_nsub").alias("_nsub_next"))
-    prv = subs.select((F.col("_bucket") + 1).alias("_bucket"), F.col("_nsub").alias("_nsub_prev"))
-    base = base.join(nxt, "_bucket", "left").join(prv, "_bucket", "left")
-    # left copy -> (own bucket, own sub) x (own bucket, sub >= own) and (next bucket, every sub)
-    same_l = F.transform(F.sequence(F.col("_sub"), F.col("_nsub") - 1),
-                         lambda j: F.struct(F.col("_bucket").alias("rb"), j.alias("rs")))
-    next_l = F.when(F.col("_nsub_next").isNotNull(), F.transform(
-        F.sequence(F.lit(0), F.col("_nsub_next") - 1),
-        lambda j: F.struct((F.col("_bucket") + 1).alias("rb"), j.alias("rs")))).otherwise(F.array())
-    left = (base.withColumn("_t", F.explode(F.concat(same_l, next_l)))
-            .select(F.col("_bucket").alias("_lb"), F.col("_sub").alias("_ls"), F.col("_t.rb").alias("_rb"),
-                    F.col("_t.rs").alias("_rs"), "_id", "_vec", "_day"))
-    # right copy -> (own bucket, sub <= own) and (previous bucket, every sub)
-    same_r = F.transform(F.sequence(F.lit(0), F.col("_sub")),
-                         lambda i: F.struct(F.col("_bucket").alias("lb"), i.alias("ls")))
-    prev_r = F.when(F.col("_nsub_prev").isNotNull(), F.transform(
-        F.sequence(F.lit(0), F.col("_nsub_prev") - 1),
-        lambda i: F.struct((F.col("_bucket") - 1).alias("lb"), i.alias("ls")))).otherwise(F.array())
-    right = (base.withColumn("_t", F.explode(F.concat(same_r, prev_r)))
-             .select(F.col("_t.lb").alias("_lb"), F.col("_t.ls").alias("_ls"), F.col("_bucket").alias("_rb"),
-                     F.col("_sub").alias("_rs"), F.col("_id").alias("r__id"), F.col("_vec").alias("r__vec"),
-                     F.col("_day").alias("r__day")))
-    keys = ["_lb", "_ls", "_rb", "_rs"]
+        F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_vec"), F.col(days).cast("double").alias("_day"))
+    points = global_rank(base, [F.asc("_day"), F.asc("_id")], "_g").withColumn(
+        "_blk", F.floor((F.col("_g") - 1) / F.lit(block_rows))).drop("_g")
+    pairs = _overlapping_blocks(points, w)
     thr = float("inf") if threshold is None else float(threshold)
     decay = None if decay_days is None else float(decay_days)
     cols = ["id_a", "id_b", "gap_days", "dist"] + (["temporal_similarity"] if decay else [])
     schema = "id_a long, id_b long, gap_days double, dist double" + (
         ", temporal_similarity double" if decay else "")
 
-    def red(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def red(l: pd.DataFrame, r: pd.DataFrame, diag: bool) -> pd.DataFrame:
         if len(l) == 0 or len(r) == 0:
             return pd.DataFrame({c: pd.Series([], dtype="int64" if c.startswith("id") else "float64")
                                  for c in cols})
-        diag = (l["_lb"].iloc[0] == l["_rb"].iloc[0]) and (l["_ls"].iloc[0] == l["_rs"].iloc[0])
         li, ri = l["_id"].to_numpy(np.int64), r["r__id"].to_numpy(np.int64)
         xl, xr = _stack(l["_vec"]), _stack(r["r__vec"])
         d = pair_matrix(xl, xr)
@@ -233,7 +210,22 @@ def pairs_within_days(df: DataFrame, window_days: float, threshold: float | None
             out["temporal_similarity"] = cos[a, b] * np.exp(-gap[a, b] / decay)
         return pd.DataFrame(out)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(red, schema)
+    return pairs_cogroup(points, pairs, red, schema)
+
+
+def _overlapping_blocks(points: DataFrame, window: float) -> DataFrame:
+    """Pairs ``_gl <= _gh`` of date-ordered blocks (numbered from 0) with rows at most ``window`` days apart.
+
+    How many blocks begin by the end of a block's window is a running count over the block table's sorted bounds.
+    """
+    table = cut_lineage(points.groupBy("_blk").agg(F.min("_day").alias("_lo"), F.max("_day").alias("_hi")))
+    reach = F.col("_hi") + F.lit(window + 1e-6 * (1.0 + abs(window)))  # rounding must not lose a pair
+    bounds = table.select(F.col("_lo").alias("_v"), F.lit(1).alias("_begins"), "_blk").unionByName(
+        table.select(reach.alias("_v"), F.lit(0).alias("_begins"), "_blk"))
+    ranked = global_rank(bounds, [F.asc("_v"), F.desc("_begins"), F.asc("_blk")], "_place")
+    last = prefix_count(ranked, "_place", "_begins", "_n").where(F.col("_begins") == 0)
+    return cut_lineage(last.select(F.col("_blk").alias("_gl"), F.explode(F.sequence(
+        F.col("_blk"), F.greatest(F.col("_n") - 1, F.col("_blk")))).alias("_gh")))
 
 
 def search_clusters(profiles: DataFrame, query_vector: Column | None = None, filters: dict | None = None,

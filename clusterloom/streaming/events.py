@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from clusterloom.operators.rules import job_requests, trigger_decision, validate_events
 
@@ -210,41 +211,81 @@ def _throttle(rows: pd.DataFrame, last_us: int | None, every_us: int) -> tuple[l
     return keep, last_us
 
 
-def throttle_batch(rows: DataFrame, keys: list[str], carry: list[str], every_seconds: float) -> DataFrame:
+def _starts(after: list[int]) -> list[bool]:
+    """Rows of a chunk that are kept whatever was kept before them: ``after`` is each row's successor, from 0."""
+    start = [False] * len(after)
+    for p, t in enumerate(after[:-1]):
+        start[p + 1] = t == p + 1
+    return start
+
+
+def throttle_batch(rows: DataFrame, keys: list[str], carry: list[str], every_seconds: float,
+                   chunk: int = LOG_CHUNK) -> DataFrame:
     """Of each key's rows, in time order, those at least ``every_seconds`` after the last one kept.
 
-    Output: keys, ts, carry, and ``n_events`` (rows a kept one stands for). A row that far
-    after its predecessor is always kept, so logs are cut there into stretches
-    that are throttled on their own; a key's whole log is never one group.
+    Output: keys, ts, carry, and ``n_events`` (rows a kept one stands for). Rows without a time come before all
+    others, at one moment.
+
+    A row's successor (its key's first row at least the interval later, or the next key's first row) is a running
+    count over rows and row ends in one sorted order. The kept rows are those that the successors lead to from
+    each key's first. Sorted rows are cut into chunks: a chunk gives where its rows leave it, the rows that are
+    entered from other chunks are marked by pointer doubling (logarithmically many rounds in the chunks of a dense
+    stretch), and each chunk follows its own marked rows. So a key's whole log, however dense, is never one group.
     """
     from clusterloom.operators.jobs import global_rank
     from clusterloom.operators.profiles import prefix_count
+    from clusterloom.session import cut_lineage
 
     every = int(every_seconds * 1e6)
     order = [*keys, "ts", *carry]
-    ranked = global_rank(rows.select(*order), [F.asc(c) for c in order], "_g")
-    before = ranked.select((F.col("_g") + 1).alias("_g"), *[F.col(c).alias(f"_b_{c}") for c in (*keys, "ts")])
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    gap = F.unix_micros("ts") - F.unix_micros("_b_ts")
-    cut = (ranked.join(before, "_g", "left")
-           .withColumn("_cut", F.col("_b_ts").isNull() | ~same | (gap >= every)).select(*order, "_g", "_cut"))
-    stretches = prefix_count(cut, "_g", "_cut", "_stretch").select(*order, "_g", "_stretch")
-    schema = stretches.select(*order).schema.add("n_events", "long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    ranked = global_rank(rows.select(*order), [F.asc(c) for c in order], "_g").withColumn(
+        "_us", F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))))
+    ends = ranked.select(*keys, (F.col("_us") + F.lit(every)).alias("_us"), "_g", F.lit(0).alias("_row"))
+    both = global_rank(ranked.select(*keys, "_us", "_g", F.lit(1).alias("_row")).unionByName(ends),
+                       [*[F.asc(c) for c in keys], F.asc("_us"), F.asc("_row"), F.asc("_g")], "_place")
+    after = prefix_count(both, "_place", "_row", "_before").where(F.col("_row") == 0).select(
+        "_g", F.greatest(F.col("_before") + 1, F.col("_g") + 1).alias("_next"))
+    linked = cut_lineage(ranked.drop("_us").join(after, "_g").withColumn(
+        "_chunk", F.floor((F.col("_g") - 1) / F.lit(chunk))))
+
+    def leave(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = key[0] * chunk + 1
+        after = (pdf.sort_values("_g")["_next"] - first).tolist()
+        start, out = _starts(after), [-1] * len(after)
+        for p in range(len(after) - 1, -1, -1):  # a chain that meets a start ends there: that row is kept anyway
+            t = after[p]
+            out[p] = t if t >= len(after) else -1 if start[t] else out[t]
+        start[0] |= first == 1
+        found = [p for p, t in enumerate(out) if t >= 0]
+        return pd.DataFrame({"_g": [first + p for p in found], "_to": [first + out[p] for p in found],
+                             "_start": [start[p] for p in found]})
+
+    hops = cut_lineage(linked.select("_g", "_next", "_chunk").groupBy("_chunk").applyInPandas(
+        leave, "_g long, _to long, _start boolean"))
+    over = linked.where((F.col("_g") % chunk == 0) & (F.col("_next") == F.col("_g") + 1)).select("_next")
+    marked = cut_lineage(hops.where("_start").select(F.col("_to").alias("_g")).union(over).distinct())
+    jump = cut_lineage(hops.select("_g", "_to").join(hops.select(F.col("_to").alias("_g")).distinct(), "_g", "left_semi"))
+    while not jump.isEmpty():
+        marked = cut_lineage(marked.union(jump.join(marked, "_g", "left_semi").select("_to")).distinct())
+        jump = cut_lineage(jump.join(jump.select(F.col("_g").alias("_to"), F.col("_to").alias("_on")), "_to")
+                           .select("_g", F.col("_on").alias("_to")))
+
+    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = key[0] * chunk + 1
         pdf = pdf.sort_values("_g")
-        times, last, kept, counts = pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), None, [], []
-        for i, t in enumerate(times):
-            if last is None or t - last >= every:
-                kept.append(i)
-                counts.append(0)
-                last = t
-            counts[-1] += 1
-        return pdf.iloc[kept][order].assign(n_events=counts)
-
-    return stretches.groupBy("_stretch").applyInPandas(run, schema)
+        after = (pdf["_next"] - first).tolist()
+        keep = [a or b for a, b in zip(_starts(after), pdf["_marked"].tolist())]
+        keep[0] |= first == 1
+        for p, t in enumerate(after):
+            if keep[p] and t < len(after):
+                keep[t] = True
+        kept = pdf[keep]
+        return kept[order].assign(n_events=kept["_next"] - kept["_g"])
+
+    schema = StructType(list(ranked.select(*order).schema.fields)).add("n_events", "long")
+    return (linked.join(marked.withColumn("_hit", F.lit(True)), "_g", "left")
+            .withColumn("_marked", F.coalesce("_hit", F.lit(False))).drop("_hit")
+            .groupBy("_chunk").applyInPandas(follow, schema))
 
 
 def throttle_progress_batch(progress: DataFrame, every_seconds: float = 5.0) -> DataFrame:

@@ -107,3 +107,20 @@ def test_search_ships_small_queries_and_blocks_large_ones(spark, monkeypatch):
         monkeypatch.setattr(N, "MAX_SHIPPED_VALUES", limit)
         got = {(r["query_id"], r["rank"]): r["id"] for r in N.knn_search(base, queries, 5, block_rows=32).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("window", [2.5, 0.0])
+def test_pairs_within_days_of_a_hot_day(spark, window):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(130, 4))
+    day = [4.0] * 45 + [None if i % 9 == 0 else float(i % 40) / 2 for i in range(85)]
+    rows = [(i, [float(v) for v in x[i]], day[i]) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "pos long, embedding array<double>, date_days double")
+    d = pair_matrix(x, x)
+    got = {(r["id_a"], r["id_b"]): (r["gap_days"], r["dist"])
+           for r in N.pairs_within_days(df, window, threshold=2.5, block_rows=16).collect()}
+    want = {(i, j): abs(day[i] - day[j]) for i in range(len(x)) for j in range(i + 1, len(x))
+            if day[i] is not None and day[j] is not None and abs(day[i] - day[j]) <= window and d[i, j] <= 2.5}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(abs(v[1] - d[k]) < 1e-9 for k, v in got.items())
+    assert N.pairs_within_days(df.limit(0), window, block_rows=16).count() == 0

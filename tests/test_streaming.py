@@ -2,6 +2,8 @@
 
 import tempfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.operators import rules as R
@@ -141,3 +143,33 @@ def test_long_logs_are_split(spark):
             status = want[r[2]][1]
     got = {r["seq"]: (r["from_status"], r["to_status"], r["legal"]) for r in SE.job_lifecycle_batch(cmds, chunk=2).collect()}
     assert got == want
+
+
+def sequential_throttle(log, every):
+    """(key, second, n) of the rows kept, n events each, in the order of (key, second)."""
+    kept, last = [], {}
+    for key, t in sorted(log, key=lambda r: (r[0] or "", r[1])):
+        if key not in last or t - last[key] >= every:
+            kept.append([key, t, 0])
+            last[key] = t
+        kept[-1][2] += 1
+    return sorted(map(tuple, kept), key=str)
+
+
+@pytest.mark.parametrize("every", [7, 0])
+def test_throttle_of_dense_logs_in_many_chunks(spark, every):
+    rng = np.random.default_rng(8)
+    log = [("hot", int(t)) for t in np.cumsum(rng.integers(0, 4, 300))]  # one stretch without a gap, with ties
+    log += [(f"k{i % 5}", int(t)) for i, t in enumerate(rng.integers(0, 200, 80))] + [(None, 3), (None, 4), ("lone", 9)]
+    df = spark.createDataFrame(log, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"), "s").repartition(3)
+    for chunk in (16, 10_000):
+        got = SE.throttle_batch(df, ["k"], ["s"], every, chunk).collect()
+        assert sorted(((r["k"], r["s"], r["n_events"]) for r in got), key=str) == sequential_throttle(log, every)
+
+
+def test_throttle_of_an_empty_log_and_of_rows_without_time(spark):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", None)], "k string, s long").select(
+        "k", F.timestamp_seconds("s").alias("ts"))
+    got = SE.throttle_batch(df, ["k"], [], 3, 16).collect()
+    assert sorted((r["ts"] is None, r["n_events"]) for r in got) == [(False, 1), (True, 2)]
+    assert SE.throttle_batch(df.limit(0), ["k"], [], 3, 16).count() == 0
