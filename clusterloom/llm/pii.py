@@ -12,8 +12,10 @@ zero. Dynamic programming over the units chooses boundaries and types together.
 
 Training maximises the conditional likelihood on a bounded sample of regions
 (``MAX_DOCUMENTS`` documents, ``MAX_REGIONS`` regions by a hash of their text), labelled
-by the base spans that coincide with units. Decoding leaves units under base spans as
-they are and runs over the units between them; it adds the segments it finds there.
+by the base spans that coincide with units; regions of more than ``MAX_UNITS`` units or
+4,096 characters aren't learned from. Decoding leaves units under base spans as they are
+and runs over the units between them, however many; it adds the segments it finds there.
+A segment has at most ``LONGEST_CHARS`` characters.
 
 Defined results: a null text is the empty text; a text without digits and ``@`` has no
 spans; rows that repeat an id are scanned each; without regions to learn from nothing
@@ -248,6 +250,42 @@ def decode(at: Lattice, model: Model, before: int = OUT) -> list[tuple[int, int,
     return found[::-1]
 
 
+def decode_text(text: str, units: list[tuple[int, int]], model: Model, before: int = OUT) -> list[tuple[int, int, int]]:
+    """``decode`` of a region of any length: segments are scored as they are met.
+
+    Kept are the best scores before the last ``LONGEST`` units and two bytes a unit and state to walk back.
+    """
+    n, states = len(units), OUT + 1
+    length, via = np.zeros((n + 1, states), np.int8), np.zeros((n + 1, states), np.int8)
+    columns = np.arange(states)
+    first = np.full(states, -np.inf)
+    first[before] = 0.0
+    enter: list = [None] * LONGEST  # by unit modulo LONGEST: the best way into each state from there
+    best = first
+    for j in range(1, n + 1):
+        moved = best[:, None] + model.moves
+        k = moved.argmax(axis=0)
+        enter[(j - 1) % LONGEST] = moved[k, columns], k
+        best = np.full(states, -np.inf)
+        best[OUT], length[j, OUT], via[j, OUT] = moved[k[OUT], OUT], 1, k[OUT]
+        end = units[j - 1][1]
+        for i in range(max(0, j - LONGEST), j):
+            start = units[i][0]
+            if end - start > LONGEST_CHARS:
+                continue
+            value, k = enter[i % LONGEST]
+            value = value[:OUT] + model.weights[segment_features(text, start, end, j - i)].sum(axis=0)
+            better = np.flatnonzero(value > best[:OUT])
+            best[better], length[j, better], via[j, better] = value[better], j - i, k[better]
+    found, j, state = [], n, int(best.argmax())
+    while j:
+        i, k = j - int(length[j, state]), int(via[j, state])
+        if state != OUT:
+            found.append((i, j, state))
+        j, state = i, k
+    return found[::-1]
+
+
 def _gradient(at: Lattice, gold: list[tuple[int, int, int]], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Of the log likelihood of ``gold`` (entities by first unit, end unit, type)."""
     scores = at.features @ model.weights
@@ -381,7 +419,7 @@ def added_spans(text: str, base: list[Span], model: Model) -> Iterator[Span]:
                     free.append(unit)
                     continue
             if free:
-                for i, j, t in decode(lattice(text, free), model, before):
+                for i, j, t in decode_text(text, free, model, before):
                     yield KINDS[t], free[i][0], free[j - 1][1]
             free, before = [], hit[2] if unit is not None else OUT
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -212,6 +213,26 @@ def test_crf_decoding_and_gradient_are_exact():
         assert (up - down) / 2e-5 == pytest.approx(grad[place], abs=1e-4)
 
 
+def test_decoding_of_texts_equals_the_lattice_and_keeps_little_of_long_ones():
+    rng = np.random.default_rng(6)
+    words = ["+49", "(30)", "1234", "10.0.0.300", "a@b.co", "x1", "4111-1111", "7" * 90, "@", "12/2024"]
+    for n in (1, 2, 7, 9, 40):
+        for _ in range(4):
+            text = " ".join(rng.choice(words, n))
+            model = pii.Model(rng.normal(size=(len(pii._NAMES), pii.OUT)), rng.normal(size=(pii.OUT + 1, pii.OUT + 1)))
+            for units in pii.regions(text):
+                for before in (pii.OUT, 1):
+                    assert pii.decode_text(text, units, model, before) == pii.decode(pii.lattice(text, units), model, before)
+    text = " ".join(str(v) for v in rng.integers(0, 10 ** 6, 20_000))
+    units = next(pii.regions(text))
+    tracemalloc.start()
+    found = pii.decode_text(text, units, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(units) == 20_000 and peak < 8_000_000
+    assert all(a < b <= c for (a, b, _), (c, _, _) in zip(found, found[1:]))
+
+
 def test_crf_learns_the_base_spans():
     rng = np.random.default_rng(1)
     examples = []
