@@ -1,6 +1,7 @@
 """Blocked pair primitive against numpy brute force, with several blocks forced."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from clusterloom.operators import metrics as M
@@ -124,3 +125,41 @@ def test_pairs_within_days_of_a_hot_day(spark, window):
     assert {k: v[0] for k, v in got.items()} == want
     assert all(abs(v[1] - d[k]) < 1e-9 for k, v in got.items())
     assert N.pairs_within_days(df.limit(0), window, block_rows=16).count() == 0
+
+
+def test_a_row_goes_to_ranges_of_blocks_not_to_every_block(spark, data, monkeypatch):
+    """Thirty blocks in at most three ranges: the same pairs and neighbours, and rows copied three times instead of 31."""
+    from pyspark.sql import functions as F
+
+    from clusterloom.operators import blocks, cells
+
+    x, _, df = data
+    for module in (blocks, cells):
+        monkeypatch.setattr(module, "MAX_RANGES", 3)
+
+    def rows(l, r, diag):
+        return pd.DataFrame({"n": [len(l) * len(r)], "same": [diag]})
+
+    pts = df.select(F.col("pos").alias("_id"), F.col("embedding").alias("_vec"))
+    met = blocks.self_block_cogroup(pts, rows, "n long, same boolean", 30, block_rows=4)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rng" in plan  # the copies of a row are counted by ranges
+    got = {(r["same"]): r["n"] for r in met.groupBy("same").agg(F.sum("n").alias("n")).collect()}
+    assert got[True] + 2 * got[False] == len(x) ** 2
+    ref = brute_force_knn(x, 4)
+    for metric in ("euclidean", "sqeuclidean"):  # by cells and by a hash
+        for r in N.knn_graph(df, 4, block_rows=4, metric=metric).collect():
+            assert ref[r["id"]][r["rank"] - 1][0] == r["nbr_id"]
+    d = pair_matrix(x, x)
+    pairs = {(r["id_a"], r["id_b"]) for r in N.pairs_within(df, 2.0, block_rows=4).collect()}
+    assert pairs == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 2.0}
+
+
+def test_largest_distance_of_every_two_values(spark, data):
+    x, y, df = data
+    d = pair_matrix(x, x)
+    np.fill_diagonal(d, -1.0)
+    for block_rows in (16, 2048):  # values in pieces, and whole
+        got = {(r["x"], r["y"]): r["dist"] for r in N.pair_distances(df, block_rows=block_rows, by="truth_label").collect()}
+        assert set(got) == {(a, b) for a in range(4) for b in range(a, 4)}
+        assert all(abs(v - d[np.ix_(y == a, y == b)].max()) < 1e-9 for (a, b), v in got.items())

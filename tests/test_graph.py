@@ -100,3 +100,17 @@ def test_component_reducer_returns_a_forest():
         return [root(i) for i in ids.tolist()]
     assert groups(edges) == groups(links)
     assert len(component_reducer(1.0)(l.iloc[:0], r.iloc[:0], False)) == 0
+
+
+def test_few_passes_and_equal_rows(spark, monkeypatch):
+    """Lists of cheapest edges take several rounds from one pass; forty copies of a row need no pass of their own."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 6))
+    x[100:140] = x[0]
+    passes, one = [], G._cheapest_outside
+    monkeypatch.setattr(G, "_cheapest_outside", lambda *a: passes.append(1) or one(*a))
+    mst = G.minimum_spanning_forest(to_df(spark, x), block_rows=16).collect()
+    assert len(mst) == 149 and len({(r["lo"], r["hi"]) for r in mst}) == 149
+    assert abs(sum(r["w"] for r in mst) - prim_weight(pair_matrix(x, x))) < 1e-9
+    assert {(r["lo"], r["hi"]) for r in mst if r["w"] == 0} == {(0, i) for i in range(100, 140)}
+    assert len(passes) <= 4
