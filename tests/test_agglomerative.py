@@ -125,3 +125,37 @@ def test_groups_are_clustered_on_their_own(spark):
             parts.setdefault(r["label"], []).append(r["pos"])
         want = [[int(i) * 2 + h for i in p] for h in (0, 1) for p in naive(x[h::2], linkage, 3)[1]]
         assert sorted(map(sorted, parts.values())) == sorted(want)
+
+
+def test_equal_rows_merge_at_once_and_open_links_in_blocks(spark, monkeypatch):
+    """Ninety equal rows take no round each, and links that the bounds leave open come from all points in blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    x = np.vstack([x, np.repeat(x[:3], 30, axis=0)])
+    df = to_df(spark, x)
+    monkeypatch.setattr(A, "TAIL", 8)
+    monkeypatch.setattr(A, "OPEN_ROWS", 0)
+    rounds, one = [], A._nearest_by
+    monkeypatch.setattr(A, "_nearest_by", lambda *a: rounds.append(1) or one(*a))
+    for linkage, metric, rows in (("complete", "manhattan", 16), ("average", "euclidean", 512), ("ward", "euclidean", 512)):
+        rounds.clear()
+        heights = sorted(r["height"] for r in A.dendrogram(df, linkage, metric, block_rows=rows).collect())
+        assert len(heights) == len(x) - 1 and heights[:90] == [0.0] * 90
+        assert len(rounds) < 20
+        d = pair_matrix(x, x, metric)
+        groups = [[i] for i in range(len(x))]
+
+        def link(a, b):
+            if linkage == "ward":
+                return np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+            m = d[np.ix_(a, b)]
+            return m.max() if linkage == "complete" else m.mean()
+        for i in range(3):  # the copies first
+            groups[i] += list(range(60 + 30 * i, 90 + 30 * i))
+        groups = groups[:60]
+        want = [0.0] * 90
+        while len(groups) > 1:
+            h, i, j = min((link(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+            want.append(h)
+            groups[j] += groups.pop(i)
+        assert np.allclose(heights, sorted(want), atol=1e-9)
