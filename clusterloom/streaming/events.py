@@ -143,35 +143,51 @@ def _fold_lifecycle(job_id: str, rows: pd.DataFrame, status: str) -> tuple[pd.Da
 def job_lifecycle_batch(commands: DataFrame, chunk: int = LOG_CHUNK) -> DataFrame:
     """T4 batch twin: commands of each job applied in (ts, seq) order from ``queued``.
 
-    A log of any length is split: logs are ordered by one distributed sort and cut
-    into chunks; a chunk is summarised as the map from each state to the state
-    after it, the maps are composed per job (a row for each chunk), and every
-    chunk is folded from its own first state.
+    All logs are ordered by one distributed sort and cut into chunks of rows, whatever jobs
+    they belong to: a group is a chunk, not a job. Only the last job of a chunk can go on in
+    the next one; its part is summarised as the map from each state to the state after it,
+    the maps are composed per job (a row for each chunk), and every chunk is folded with the
+    state in which its first job comes.
     """
     from clusterloom.operators.jobs import global_rank
 
     cols = ["job_id", "ts", "seq", "command"]
     ranked = global_rank(commands.select(*cols), [F.asc("job_id"), F.asc("ts"), F.asc("seq")], "_g").withColumn(
-        "_chunk", F.floor((F.col("_g") - 1) / F.lit(chunk)).cast("long"))
+        "_chunk", F.floor((F.col("_g") - 1) / F.lit(chunk)).cast("long")).drop("_g").where(F.col("job_id").isNotNull())
 
     def summary(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        after = [_fold_lifecycle(key[0], pdf, s)[1] for s in STATES]
-        return pd.DataFrame({"job_id": [key[0]], "_chunk": [key[1]], "_after": [after]})
+        after = [_fold_lifecycle(key[1], pdf, s)[1] for s in STATES]
+        return pd.DataFrame({"job_id": [key[1]], "_chunk": [key[0]], "_after": [after]})
 
     def first_states(key, pdf: pd.DataFrame) -> pd.DataFrame:
         status, first = "queued", []
         for row in pdf.sort_values("_chunk").itertuples(index=False):
-            first.append((key[0], row[1], status))
             status = row[2][STATES.index(status)]
-        return pd.DataFrame(first, columns=["job_id", "_chunk", "_first"])
+            first.append((row[1] + 1, key[0], status))
+        return pd.DataFrame(first, columns=["_chunk", "_job", "_first"])
 
-    maps = ranked.groupBy("job_id", "_chunk").applyInPandas(summary, "job_id string, _chunk long, _after array<string>")
-    starts = maps.groupBy("job_id").applyInPandas(first_states, "job_id string, _chunk long, _first string")
+    ends = ranked.groupBy("_chunk").agg(F.min("job_id").alias("_opens"), F.max("job_id").alias("job_id"))
+    on = ends.select((F.col("_chunk") - 1).alias("_chunk"), F.col("_opens").alias("job_id"))  # goes on in the next
+    last = ends.select("_chunk", "job_id").join(on, ["_chunk", "job_id"], "left_semi")
+    maps = ranked.join(last, ["_chunk", "job_id"]).groupBy("_chunk", "job_id").applyInPandas(
+        summary, "job_id string, _chunk long, _after array<string>")
+    starts = maps.groupBy("job_id").applyInPandas(first_states, "_chunk long, _job string, _first string")
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold_lifecycle(key[0], pdf, pdf["_first"].iloc[0])[0]
-
-    return ranked.join(starts, ["job_id", "_chunk"]).groupBy("job_id", "_chunk").applyInPandas(fold, LIFECYCLE_OUT)
+        pdf = pdf.sort_values(["job_id", "ts", "seq"])
+        begins = dict(zip(pdf["_job"].iloc[:1], pdf["_first"].iloc[:1]))
+        out, job, status = [], None, None
+        for name, seq, command in zip(pdf["job_id"], pdf["seq"], pdf["command"]):
+            if name != job:
+                job, status = name, begins.get(name, "queued")
+            allowed, nxt = TRANSITIONS.get(command, ((), None))
+            legal = status in allowed
+            new = nxt if legal else status
+            out.append((job, int(seq), command, status, new, legal))
+            status = new
+        return pd.DataFrame(out, columns=["job_id", "seq", "command", "from_status", "to_status", "legal"])
+
+    return ranked.join(starts, "_chunk", "left").groupBy("_chunk").applyInPandas(fold, LIFECYCLE_OUT)
 
 
 def job_lifecycle_stream(commands: DataFrame, timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:

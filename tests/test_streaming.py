@@ -173,3 +173,20 @@ def test_throttle_of_an_empty_log_and_of_rows_without_time(spark):
     got = SE.throttle_batch(df, ["k"], [], 3, 16).collect()
     assert sorted((r["ts"] is None, r["n_events"]) for r in got) == [(False, 1), (True, 2)]
     assert SE.throttle_batch(df.limit(0), ["k"], [], 3, 16).count() == 0
+
+
+def test_lifecycle_groups_are_chunks_of_many_jobs(spark):
+    """Jobs of a few commands share a chunk, long ones go on over chunks; a task per job isn't planned."""
+    rng = np.random.default_rng(6)
+    names = list(SE.TRANSITIONS)
+    rows = [(f"j{int(j):02d}", i, i, names[int(c)]) for i, (j, c) in enumerate(zip(
+        rng.choice([0, 0, 0, 0, *range(1, 30)], 200), rng.integers(0, len(names), 200)))]
+    out = SE.job_lifecycle_batch(spark.createDataFrame(rows, "job_id string, ts long, seq long, command string"), chunk=9)
+    assert "FlatMapGroupsInPandas [_chunk" in out._jdf.queryExecution().toString()
+    want, status = {}, {}
+    for job, _, seq, command in rows:
+        allowed, nxt = SE.TRANSITIONS[command]
+        old = status.get(job, "queued")
+        status[job] = nxt if old in allowed else old
+        want[seq] = (old, status[job], old in allowed)
+    assert {r["seq"]: (r["from_status"], r["to_status"], r["legal"]) for r in out.collect()} == want
