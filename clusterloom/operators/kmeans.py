@@ -9,6 +9,9 @@ advances all ``n_init`` restarts, and all groups where each is clustered on its
 * k is clamped to the row count, and a centre that loses its rows moves to the farthest one;
 * labels are canonical: numbered by (size desc, min item id).
 
+Rows are dealt to the tasks of all cores once, as matrices (``_packed``); an iteration reads these and
+not a list for each row.
+
 Centroids are k x D for each group and restart, and k is a parameter; they are shipped
 to the tasks, and nothing else is broadcast.
 """
@@ -16,13 +19,14 @@ to the tasks, and nothing else is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +37,11 @@ MAX_BROADCAST_VALUES = 64_000_000  # doubles shipped at once, 512 MB
 # groups are clustered at once.
 SEED_ROUNDS, OVERSAMPLING = 4, 2
 CANDIDATES_PER_CENTRE = 50
+# Numbers of the vectors that one task holds: at most TASK_VALUES, and not so few that a task is mostly start-up.
+TASK_VALUES, LEAST_TASK_VALUES = 4_000_000, 1 << 18
+# Rows compared with the centres at a time, and numbers of their distances.
+PIECE_ROWS, PIECE_VALUES = 2048, 1 << 22
+MAX_RETURNED_VALUES = 1 << 21  # numbers that the driver adds up after a pass, 16 MB
 # Mini-batch: what the rows of earlier passes weigh after another pass.
 FORGET = 0.5
 
@@ -117,84 +126,146 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _far_rows(pts: DataFrame, candidates: np.ndarray, take: int, seed: int) -> np.ndarray:
-    """``take`` rows drawn without replacement with weights by the squared distance to the nearest candidate.
+def _packed(pts: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """``_g, _id, _vec`` as matrices ``g, u, x`` (bytes): one row for each Arrow batch, its vectors sorted by group.
 
-    Weighted sampling by keys log(u) / weight with u from a seeded hash of the id: each task keeps its best
-    ``take`` rows, and the best of all are the sample. One job, and the same rows when a task runs again.
+    Rows are dealt to tasks, and ordered, by a seeded hash of the id, so that every core has its share whatever
+    the files of ``pts`` are. ``u`` holds a hash of the id for each round of ``_far_rows``. Also returns how many tasks.
     """
-    bc = pts.sparkSession.sparkContext.broadcast(candidates)
-    vec = "array<double>"
+    n, width = pts.count(), pts.select(F.size("_vec")).first()
+    values = n * max(1, width[0]) if width else 0
+    tasks = max(1, min(-(-values // LEAST_TASK_VALUES),
+                       max(pts.sparkSession.sparkContext.defaultParallelism, -(-values // TASK_VALUES))))
+    rows = (pts.select(F.col("_g").cast("int").alias("_g"), "_id", F.col("_vec").cast("array<double>").alias("_vec"),
+                       F.xxhash64("_id", F.lit(seed)).alias("_h"))
+            .repartition(tasks, "_h").sortWithinPartitions("_h", "_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = np.zeros(0), np.zeros((0, bc.value.shape[1]))
         for batch in batches:
             if len(batch) == 0:
                 continue
-            x = _matrix(batch.column(0))
-            d2 = nearest(x, bc.value)[1] ** 2
-            u = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
-            far = np.flatnonzero(d2 > 0)
-            keys = np.concatenate([keys, np.log(np.maximum(u[far], 1e-300)) / d2[far]])
-            rows = np.concatenate([rows, x[far]])
-            if len(keys) > take:
-                best = np.argsort(-keys, kind="stable")[:take]
-                keys, rows = keys[best], rows[best]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["key", "x"])
-
-    drawn = (pts.select(F.col("_vec").cast(vec), F.xxhash64("_id", F.lit(seed))).mapInArrow(run, f"key double, x {vec}")
-             .orderBy(F.desc("key"), "x").limit(take).collect())
+            length = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            if batch.column(1).null_count or (length != length[0]).any():
+                raise ValueError("vectors are null or not all of one length")
+            g, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            u = batch.column(2).flatten().to_numpy().reshape(len(g), SEED_ROUNDS)
+            order = np.argsort(g, kind="stable")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m[order].tobytes()], pa.binary()) for m in (g, u, x)], ["g", "u", "x"])
+
+    hashes = F.array(*(F.xxhash64("_id", F.lit(seed + 1 + r)) for r in range(SEED_ROUNDS)))
+    return rows.select("_g", "_vec", hashes).mapInArrow(run, "g binary, u binary, x binary"), tasks
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], first: str = "g", kind: type = np.int32
+            ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups (or hashes) and vectors of every row of ``_packed``."""
+    for batch in batches:
+        for f, x in zip(batch.column(first), batch.column("x")):
+            f = np.frombuffer(f.as_buffer(), kind)
+            n = len(f) if first == "g" else len(f) // SEED_ROUNDS
+            yield f if first == "g" else f.reshape(n, SEED_ROUNDS), np.frombuffer(x.as_buffer(), np.float64).reshape(n, -1)
+
+
+def _pieces(g: np.ndarray, rows: int) -> Iterator[tuple[int, slice]]:
+    """Runs of at most ``rows`` rows of one group; ``g`` is sorted."""
+    groups, first = np.unique(g, return_index=True)
+    for one, at, end in zip(groups.tolist(), first.tolist(), [*first[1:].tolist(), len(g)]):
+        for start in range(at, end, rows):
+            yield one, slice(start, min(start + rows, end))
+
+
+def _far_rows(blocks: DataFrame, candidates: list[np.ndarray], take: list[int], r: int) -> list[np.ndarray]:
+    """For each set of candidates ``take`` rows drawn without replacement with weights by the squared distance to the nearest.
+
+    Weighted sampling by keys log(u) / weight with u from a seeded hash of the id: each task keeps its best
+    ``take`` rows, and the best of all are the sample. One job, and the same rows when a task runs again.
+    """
+    bc = blocks.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [(np.zeros(0), np.zeros((0, c.shape[1]))) for c in bc.value]
+        for hashes, x in _blocks(batches, "u", np.uint64):
+            log_u = np.log(np.maximum((hashes[:, r] >> np.uint64(11)).astype(np.float64) / 2.0 ** 53, 1e-300))
+            for at in range(0, len(x), PIECE_ROWS):
+                piece, log_piece = x[at:at + PIECE_ROWS], log_u[at:at + PIECE_ROWS]
+                for s, c in enumerate(bc.value):
+                    d2 = nearest(piece, c)[1] ** 2
+                    far = np.flatnonzero(d2 > 0)
+                    keys = np.concatenate([kept[s][0], log_piece[far] / d2[far]])
+                    rows = np.concatenate([kept[s][1], piece[far]])
+                    best = np.argsort(-keys, kind="stable")[:take[s]]
+                    kept[s] = keys[best], rows[best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k, _ in kept])),
+             pa.array(np.concatenate([k for k, _ in kept])),
+             pa.array([row for _, rows in kept for row in rows.tolist()], pa.list_(pa.float64()))], ["s", "key", "x"])
+
+    best_first = Window.partitionBy("s").orderBy(F.desc("key"), "x")
+    drawn = (blocks.select("u", "x").mapInArrow(run, "s int, key double, x array<double>").withColumn("at", F.row_number().over(best_first))
+             .where(F.col("at") <= F.element_at(F.array(*map(F.lit, take)), F.col("s") + 1)).collect())
     bc.unpersist()
-    return np.array([r[1] for r in drawn], np.float64).reshape(len(drawn), candidates.shape[1])
+    found: list[list] = [[] for _ in candidates]
+    for row in sorted(drawn, key=lambda row: (row.s, row.at)):
+        found[row.s].append(row.x)
+    return [np.array(rows, np.float64).reshape(len(rows), c.shape[1]) for rows, c in zip(found, candidates)]
 
 
-def _weights(pts: DataFrame, candidates: np.ndarray) -> np.ndarray:
-    """How many rows are nearest to each candidate."""
-    bc = pts.sparkSession.sparkContext.broadcast(candidates)
+def _weights(blocks: DataFrame, candidates: list[np.ndarray]) -> list[np.ndarray]:
+    """How many rows are nearest to each candidate of each set."""
+    bc = blocks.sparkSession.sparkContext.broadcast(candidates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(bc.value), np.int64)
-        for batch in batches:
-            if len(batch):
-                total += np.bincount(nearest(_matrix(batch.column(0)), bc.value)[0], minlength=len(total))
-        near = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(total[near])], ["j", "n"])
-
-    out = np.zeros(len(candidates))
-    counted = pts.select(F.col("_vec").cast("array<double>")).mapInArrow(run, "j long, n long")
-    for j, n in counted.groupBy("j").agg(F.sum("n")).collect():
-        out[j] = n
+        total = [np.zeros(len(c), np.int64) for c in bc.value]
+        for _, x in _blocks(batches):
+            for at in range(0, len(x), PIECE_ROWS):
+                for n, c in zip(total, bc.value):
+                    n += np.bincount(nearest(x[at:at + PIECE_ROWS], c)[0], minlength=len(n))
+        for s, n in enumerate(total):
+            near = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), s, np.int32)), pa.array(near), pa.array(n[near])],
+                                             ["s", "j", "n"])
+
+    out = [np.zeros(len(c)) for c in candidates]
+    for s, j, n in blocks.select("g", "x").mapInArrow(run, "s int, j long, n long").groupBy("s", "j").agg(F.sum("n")).collect():
+        out[s][j] = n
     bc.unpersist()
     return out
 
 
+def _seeded(pts: DataFrame, blocks: DataFrame, ks: list[int], n_init: int, seed: int) -> list[list[np.ndarray]]:
+    """k-means|| for each of ``ks``, all in the same jobs; ``blocks`` are the rows of ``pts`` packed."""
+    order = pts.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").select("_vec")
+    first = np.array([r[0] for r in order.limit(1).collect()], np.float64)
+    candidates = [first] * len(ks)
+    for r in range(SEED_ROUNDS):
+        far = _far_rows(blocks, candidates, [max(OVERSAMPLING * k, 1) for k in ks], r)
+        if not any(map(len, far)):
+            break
+        candidates = [np.vstack(both) for both in zip(candidates, far)]
+    if any(len(c) < k for c, k in zip(candidates, ks)):
+        more = np.array([r[0] for r in order.limit(max(ks)).collect()], np.float64)
+        candidates = [np.vstack([c, more[:k]])[:k] if len(c) < k else c for c, k in zip(candidates, ks)]
+    return [[_plus_plus(c, k, np.random.default_rng([seed, r]), np.maximum(w, 1e-9)) for r in range(max(1, n_init))]
+            for c, k, w in zip(candidates, ks, _weights(blocks, candidates))]
+
+
 def first_centers(pts: DataFrame, k: int, n_init: int, seed: int) -> list[np.ndarray]:
     """k-means||: ``n_init`` sets of k first centres from all rows of ``pts`` (``_id, _vec``).
 
     Candidates number at most 1 + SEED_ROUNDS x OVERSAMPLING x k; where the rows have fewer different vectors
     than k, equal ones fill up.
     """
-    order = pts.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").select("_vec")
-    candidates = np.array([r[0] for r in order.limit(1).collect()], np.float64)
-    for r in range(SEED_ROUNDS):
-        far = _far_rows(pts, candidates, max(OVERSAMPLING * k, 1), seed + 1 + r)
-        if len(far) == 0:
-            break
-        candidates = np.vstack([candidates, far])
-    if len(candidates) < k:
-        more = np.array([r[0] for r in order.limit(k).collect()], np.float64)
-        candidates = np.vstack([candidates, more])[:max(k, len(candidates))]
-    weight = np.maximum(_weights(pts, candidates), 1e-9)
-    return [_plus_plus(candidates, k, np.random.default_rng([seed, r]), weight) for r in range(max(1, n_init))]
+    return _seeded(pts, _packed(pts.withColumn("_g", F.lit(0)), seed)[0], [k], n_init, seed)[0]
 
 
-def _group_centers(pts: DataFrame, k: int, n_init: int, seed: int) -> dict[int, list[np.ndarray]]:
+def _group_centers(pts: DataFrame, blocks: DataFrame, k: int, n_init: int, seed: int) -> dict[int, list[np.ndarray]]:
     """First centres of every group: k-means|| for one group, k-means++ on hashed candidates for many."""
     from clusterloom.operators.topn import top_n_per_group
 
     groups = [r[0] for r in pts.select("_g").distinct().limit(2).collect()]
     if len(groups) == 1:
-        return {int(groups[0]): first_centers(pts, k, n_init, seed)}
+        return {int(groups[0]): _seeded(pts, blocks, [k], n_init, seed)[0]}
     # candidates for the first centres only: the rows with the smallest seeded hashes of each group
     order = F.xxhash64("_id", F.lit(seed))
     first = top_n_per_group(pts.withColumn("_h", order), ["_g"], [F.asc("_h"), F.asc("_id")],
@@ -206,34 +277,76 @@ def _group_centers(pts: DataFrame, k: int, n_init: int, seed: int) -> dict[int,
     return out
 
 
+def _stacks(sets: list[np.ndarray | None]) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """Sets of centres with as many centres as one array (sets, k, numbers), with their places in ``sets``; None is left out."""
+    by: dict[int, list[int]] = {}
+    for r, c in enumerate(sets):
+        if c is not None:
+            by.setdefault(len(c), []).append(r)
+    return [(tuple(rs), np.stack([sets[r] for r in rs])) for rs in by.values()]
+
+
+def _tally(total: dict, key: tuple, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Add rows to their nearest centres in each set of ``c`` (sets, k, numbers): rows, vector sum, squared
+    distances, and the farthest row. Returns how many rows each centre took and their sum.
+    """
+    sets, k, width = c.shape
+    flat = c.reshape(sets * k, width)
+    near = (flat @ x.T).reshape(sets, k, len(x))  # |c|^2 - 2 c x: the squared distance without |x|^2
+    near *= -2.0
+    near += (c * c).sum(axis=2)[:, :, None]
+    least, idx = near[:, 0].copy(), np.zeros((sets, len(x)), np.intp)
+    for j in range(1, k):
+        np.copyto(idx, j, where=near[:, j] < least)
+        np.minimum(least, near[:, j], out=least)
+    idx += np.arange(sets)[:, None] * k
+    d2 = np.maximum(least + (x * x).sum(axis=1), 0.0).ravel()
+    idx = idx.ravel()
+    row = np.tile(np.arange(len(x)), sets)
+    took = near.reshape(sets * k, len(x))
+    took.fill(0.0)
+    took[idx, row] = 1.0
+    n, s = np.bincount(idx, minlength=sets * k), took @ x
+    if key not in total:
+        total[key] = [np.zeros(sets * k, np.int64), np.zeros(flat.shape), np.zeros(sets * k), np.full(sets * k, -1.0), np.zeros(flat.shape)]
+    all_n, all_s, cost, far_d, far = total[key]
+    all_n += n
+    all_s += s
+    cost += np.bincount(idx, d2, minlength=sets * k)
+    most = np.full(sets * k, -1.0)
+    np.maximum.at(most, idx, d2)
+    at = np.flatnonzero(d2 == most[idx])[::-1]
+    top = np.zeros(sets * k, np.intp)
+    top[idx[at]] = row[at]
+    d = np.where(n > 0, np.sqrt(((x[top] - flat) ** 2).sum(axis=1)), -1.0)
+    farther = np.flatnonzero(d > far_d)
+    far_d[farther], far[farther] = d[farther], x[top[farther]]
+    return n.reshape(sets, k), s.reshape(c.shape)
+
+
+def _tallied(total: dict) -> pa.RecordBatch:
+    """What ``_tally`` added up, one row for each group, set and label that took rows."""
+    rows = [(g, rs[at // (len(n) // len(rs))], at % (len(n) // len(rs)), n[at], s[at].tolist(), cost[at], far_d[at], far[at].tolist())
+            for (g, rs), (n, s, cost, far_d, far) in total.items() for at in np.flatnonzero(n).tolist()]
+    types = [pa.int32()] * 3 + [pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], t) for i, t in enumerate(types)],
+                                      ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
+
+
 def _sums(batches: Iterator[pa.RecordBatch], centers: dict[int, list[np.ndarray | None]]
           ) -> Iterator[pa.RecordBatch]:
     """Per group, restart and label: rows, vector sum, squared distances, and the farthest row."""
-    total: dict[tuple[int, int, int], list] = {}
-    for batch in batches:
-        groups = batch.column(0).to_numpy()
-        x = np.stack(batch.column(1).to_pandas().to_numpy()).astype(np.float64) if len(batch) else None
-        for g in np.unique(groups).tolist():
-            own = x[groups == g]
-            for r, c in enumerate(centers[g]):
-                if c is None:
-                    continue
-                idx, d = nearest(own, c)
-                for j in np.unique(idx).tolist():
-                    at = idx == j
-                    far = int(np.argmax(np.where(at, d, -1.0)))
-                    row = [int(at.sum()), own[at].sum(axis=0), float((d[at] ** 2).sum()), float(d[far]), own[far]]
-                    old = total.get((g, r, j))
-                    if old:
-                        far_of = row if row[3] > old[3] else old
-                        row = [row[0] + old[0], row[1] + old[1], row[2] + old[2], far_of[3], far_of[4]]
-                    total[g, r, j] = row
-    keys = list(total)
-    vectors = pa.list_(pa.float64())
-    yield pa.RecordBatch.from_arrays(
-        [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([total[k][0] for k in keys], pa.int64()),
-         pa.array([total[k][1].tolist() for k in keys], vectors), *(pa.array([total[k][i] for k in keys], pa.float64()) for i in (2, 3)),
-         pa.array([total[k][4].tolist() for k in keys], vectors)], ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
+    total: dict = {}
+    stacks: dict[int, list] = {}
+    for g, x in _blocks(batches):
+        for one, at in _pieces(g, PIECE_ROWS):
+            if one not in stacks:
+                stacks[one] = _stacks(centers[one])
+            for rs, c in stacks[one]:
+                step = max(1, PIECE_VALUES // (c.shape[0] * c.shape[1]))
+                for start in range(at.start, at.stop, step):
+                    _tally(total, (one, rs), x[start:min(start + step, at.stop)], c)
+    yield _tallied(total)
 
 
 _SUMS = "g int, r int, j int, n long, s array<double>, cost double, far_d double, far array<double>"
@@ -248,33 +361,56 @@ def _combined() -> list:
             F.sum("cost").alias("cost"), F.max("far_d").alias("far_d"), F.max_by("far", "far_d").alias("far")]
 
 
-def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed: int) -> tuple[dict[int, np.ndarray], dict]:
-    """Lloyd iterations for every group and restart at once: the best centres of each group.
+class _Sum(NamedTuple):
+    g: int
+    r: int
+    j: int
+    n: int
+    s: np.ndarray
+    cost: float
+    far_d: float
+    far: np.ndarray
 
-    ``pts``: ``_g int, _id, _vec``. One job per iteration, whatever the number of
-    groups and restarts: tasks return partial sums by (group, restart, label), which
-    are combined in Spark and come to the driver (groups x restarts x k rows). A
-    restart stops once none of its centres moves by ``tol`` or more. A centre
-    without rows moves to the farthest row.
+
+def _pass(blocks: DataFrame, tasks: int, state: dict, work, *more) -> dict[tuple[int, int], list]:
+    """One job over all rows: what ``work`` adds up by group, restart and label, put together and listed by (group, restart).
+
+    What the tasks return is added up here while it is at most MAX_RETURNED_VALUES numbers, otherwise in Spark.
     """
-    centers: dict[int, list] = _group_centers(pts, k, n_init, seed)
+    bc = blocks.sparkSession.sparkContext.broadcast(state)
+    sums = blocks.select("g", "x").mapInArrow(lambda batches: work(batches, bc.value, *more), _SUMS)
+    arrays = [a for sets in state.values() for c in sets if c is not None for a in (c if isinstance(c, tuple) else (c,))]
+    if 2 * tasks * sum(a.size for a in arrays) > MAX_RETURNED_VALUES:
+        sums = sums.groupBy("g", "r", "j").agg(*_combined())
+    found: dict[tuple[int, int, int], _Sum] = {}
+    for row in sums.collect():
+        new = _Sum(row.g, row.r, row.j, row.n, np.asarray(row.s), row.cost, row.far_d, np.asarray(row.far))
+        old = found.get(new[:3])
+        if old:
+            far = max(old, new, key=lambda x: x.far_d)
+            new = _Sum(*new[:3], old.n + new.n, old.s + new.s, old.cost + new.cost, far.far_d, far.far)
+        found[new[:3]] = new
+    bc.unpersist()
+    by: dict[tuple[int, int], list] = {}
+    for key in sorted(found):
+        by.setdefault(key[:2], []).append(found[key])
+    return by
+
+
+def _advance(blocks: DataFrame, tasks: int, centers: dict[int, list[np.ndarray]], max_iter: int, tol: float
+             ) -> tuple[dict, dict]:
+    """Lloyd iterations on every set of centres in ``centers`` (changed in place); costs and iterations by (group, set)."""
     cost = {(g, r): np.inf for g in centers for r in range(len(centers[g]))}
     going, iterations = set(cost), {key: 0 for key in cost}
     for _ in range(max_iter):
         if not going:
             break
         live = {g: [c if (g, r) in going else None for r, c in enumerate(rs)] for g, rs in centers.items()}
-        bc = pts.sparkSession.sparkContext.broadcast(live)
-        rows = (pts.select("_g", "_vec").mapInArrow(lambda batches, bc=bc: _sums(batches, bc.value), _SUMS)
-                .groupBy("g", "r", "j").agg(*_combined()).collect())
-        by: dict[tuple[int, int], list] = {}
-        for row in rows:
-            by.setdefault((row.g, row.r), []).append(row)
-        for (g, r), found in by.items():
+        for (g, r), found in _pass(blocks, tasks, live, _sums).items():
             old = centers[g][r]
             new = old.copy()
             for row in found:
-                new[row.j] = np.asarray(row.s) / row.n
+                new[row.j] = row.s / row.n
             empty = sorted(set(range(len(old))) - {row.j for row in found})
             for j, row in zip(empty, sorted(found, key=lambda x: -x.far_d)):
                 new[j] = row.far
@@ -282,7 +418,23 @@ def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed:
             iterations[g, r] += 1
             if np.sqrt(((new - old) ** 2).sum(axis=1)).max() < max(tol, 1e-12):
                 going.discard((g, r))
-        bc.unpersist()
+    return cost, iterations
+
+
+def lloyd(pts: DataFrame, k: int, n_init: int, max_iter: int, tol: float, seed: int) -> tuple[dict[int, np.ndarray], dict]:
+    """Lloyd iterations for every group and restart at once: the best centres of each group.
+
+    ``pts``: ``_g int, _id, _vec``. One job per iteration, whatever the number of
+    groups and restarts: tasks return partial sums by (group, restart, label), which
+    are combined in Spark and come to the driver (groups x restarts x k rows). A
+    restart stops once none of its centres moves by ``tol`` or more. A centre
+    without rows moves to the farthest row.
+    """
+    blocks, tasks = _packed(pts, seed)
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    centers: dict[int, list] = _group_centers(pts, blocks, k, n_init, seed)
+    cost, iterations = _advance(blocks, tasks, centers, max_iter, tol)
+    blocks.unpersist()
     best = {g: min(range(len(rs)), key=lambda r, g=g: (cost[g, r], r)) for g, rs in centers.items()}
     return ({g: centers[g][best[g]] for g in centers},
             {g: {"iterations": iterations[g, best[g]], "cost": cost[g, best[g]]} for g in centers})
@@ -297,18 +449,19 @@ def assign_groups(df: DataFrame, centers: dict[int, np.ndarray], vec: str = "emb
     schema = T.StructType(df.schema.fields + [T.StructField("label", T.IntegerType()),
                                                T.StructField("distance", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_centers, first = bc.value
-        for pdf in batches:
-            label, distance = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
-            for g in pdf[group].unique().tolist():
-                at = (pdf[group] == g).to_numpy()
-                x = np.stack(pdf[vec][at].to_numpy()).astype(np.float64)
-                idx, distance[at] = nearest(x, all_centers[g])
+        for batch in batches:
+            label, distance = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            x, groups = _matrix(batch.column(vec)), batch.column(group).to_numpy()
+            order = np.argsort(groups, kind="stable")
+            for g, piece in _pieces(groups[order], PIECE_ROWS):
+                at = order[piece]
+                idx, distance[at] = nearest(x[at], all_centers[g])
                 label[at] = idx + first[g]
-            yield pdf.assign(label=label, distance=distance)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(distance)], schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
@@ -326,9 +479,7 @@ def kmeans(df: DataFrame, k: int = 50, n_init: int = 10, max_iter: int = 300, to
     if n == 0:
         raise ValueError("cannot cluster an empty vector set")
     pts = base.select(F.col(g).alias("_g"), F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
-    pts.persist(StorageLevel.MEMORY_AND_DISK)
     centers, runs = lloyd(pts, max(1, min(int(k), n)), n_init, max_iter, tol, seed)
-    pts.unpersist()
     assigned = cut_lineage(assign_groups(base, centers, vec, g))
     if group is None:
         assigned = assigned.drop("_g")
@@ -367,30 +518,17 @@ def _mini_batches(batches: Iterator[pa.RecordBatch], state: dict[int, list[tuple
 
     Returns per group, restart and label what the rows it took sum up to, their squared distances, and the farthest.
     """
-    own = {g: [(c.copy(), n.copy()) for c, n in sets] for g, sets in state.items()}
-    total: dict[tuple[int, int, int], list] = {}
-    for batch in batches:
-        groups = batch.column(0).to_numpy()
-        x = _matrix(batch.column(1))
-        for g in np.unique(groups).tolist():
-            rows = x[groups == g]
-            for r, (c, counts) in enumerate(own[g]):
-                for at in range(0, len(rows), batch_size):
-                    part = rows[at:at + batch_size]
-                    idx, d = nearest(part, c)
-                    for j in np.unique(idx).tolist():
-                        mine = np.flatnonzero(idx == j)
-                        n, s, far = len(mine), part[mine].sum(axis=0), mine[d[mine].argmax()]
-                        counts[j] += n
-                        c[j] += (s - n * c[j]) / counts[j]
-                        old = total.get((g, r, j), [0, 0.0, 0.0, -1.0, None])
-                        total[g, r, j] = [n + old[0], s + old[1], float((d[mine] ** 2).sum()) + old[2],
-                                          *max((float(d[far]), part[far]), (old[3], old[4]), key=lambda f: f[0])]
-    keys, vectors = list(total), pa.list_(pa.float64())
-    yield pa.RecordBatch.from_arrays(
-        [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([total[k][0] for k in keys], pa.int64()),
-         pa.array([total[k][1].tolist() for k in keys], vectors), *(pa.array([total[k][i] for k in keys], pa.float64()) for i in (2, 3)),
-         pa.array([total[k][4].tolist() for k in keys], vectors)], ["g", "r", "j", "n", "s", "cost", "far_d", "far"])
+    own: dict[int, list] = {}
+    total: dict = {}
+    for groups, x in _blocks(batches):
+        for g, at in _pieces(groups, batch_size):
+            if g not in own:
+                own[g] = [(rs, c, np.stack([state[g][r][1] for r in rs])) for rs, c in _stacks([c for c, _ in state[g]])]
+            for rs, c, counts in own[g]:
+                n, s = _tally(total, (g, rs), x[at], c)
+                counts += n
+                c += (s - n[:, :, None] * c) / np.maximum(counts, 1)[:, :, None]
+    yield _tallied(total)
 
 
 def _merge_pass(center: np.ndarray, counts: np.ndarray, rows: list, ratio: float) -> tuple[np.ndarray, np.ndarray]:
@@ -398,10 +536,10 @@ def _merge_pass(center: np.ndarray, counts: np.ndarray, rows: list, ratio: float
     center, counts = center.copy(), counts * FORGET
     for r in rows:
         counts[r.j] += r.n
-        center[r.j] += (np.asarray(r.s) - r.n * center[r.j]) / counts[r.j]
+        center[r.j] += (r.s - r.n * center[r.j]) / counts[r.j]
     low = np.flatnonzero(counts < ratio * counts.max()) if ratio > 0 else np.flatnonzero(counts == 0)
     for j, r in zip(low.tolist(), sorted((r for r in rows if r.far_d > 0), key=lambda r: (-r.far_d, r.j))):
-        center[j], counts[j] = np.asarray(r.far), 0.0
+        center[j], counts[j] = r.far, 0.0
     return center, counts
 
 
@@ -428,25 +566,19 @@ def minibatch_kmeans(df: DataFrame, k: int = 50, batch_size: int = 1024, max_ite
     if n == 0:
         raise ValueError("cannot cluster an empty vector set")
     k = max(1, min(int(k), n))
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    pts = cut_lineage(base.select(F.col(g_col).cast("int").alias("_g"), F.col(id_col).alias("_id"),
-                                  F.col(vec).cast("array<double>").alias("_vec"), order.alias("_h"))
-                      .repartition("_h").sortWithinPartitions("_h", "_id"))
-    state = {g: [(c, np.zeros(len(c))) for c in sets] for g, sets in _group_centers(pts, k, n_init, seed).items()}
+    pts = base.select(F.col(g_col).alias("_g"), F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
+    blocks, tasks = _packed(pts, seed)
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    state = {g: [(c, np.zeros(len(c))) for c in sets] for g, sets in _group_centers(pts, blocks, k, n_init, seed).items()}
     for it in range(max_iter):
-        bc = df.sparkSession.sparkContext.broadcast(state)
-        found: dict[tuple[int, int], list] = {}
-        for row in (pts.select("_g", "_vec").mapInArrow(
-                lambda batches, bc=bc: _mini_batches(batches, bc.value, int(batch_size)), _SUMS)
-                .groupBy("g", "r", "j").agg(*_combined()).collect()):
-            found.setdefault((row.g, row.r), []).append(row)
-        bc.unpersist()
-        after = {g: [_merge_pass(c, counts, sorted(found.get((g, r), []), key=lambda row: row.j), reassignment_ratio)
+        found = _pass(blocks, tasks, state, _mini_batches, int(batch_size))
+        after = {g: [_merge_pass(c, counts, found.get((g, r), []), reassignment_ratio)
                      for r, (c, counts) in enumerate(sets)] for g, sets in state.items()}
         moved = max(np.abs(new[0] - old[0]).max() for g in state for new, old in zip(after[g], state[g]))
         state = after
         if moved < max(tol, 1e-12):
             break
+    blocks.unpersist()
     # the restart whose rows lay closest to its centres in the last pass
     centers = {g: sets[min(range(len(sets)), key=lambda r, g=g: (sum(x.cost for x in found.get((g, r), [])), r))][0]
                for g, sets in state.items()}

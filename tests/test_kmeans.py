@@ -98,3 +98,35 @@ def test_minibatch_kmeans(spark):
     x, y = planted(n_per=40, k=3, dim=6)
     asg, info = KM.minibatch_kmeans(to_df(spark, x, y), k=3, batch_size=32, max_iter=20)
     assert asg.count() == 120 and info["k"] == 3
+
+
+def test_rows_of_one_file_go_to_all_tasks_as_matrices(spark, monkeypatch):
+    monkeypatch.setattr(KM, "LEAST_TASK_VALUES", 100)
+    x = np.random.default_rng(3).normal(size=(300, 5))
+    pts = to_df(spark, x).coalesce(1).selectExpr("cast(pos % 3 as int) as _g", "item_id as _id", "embedding as _vec")
+    blocks, tasks = KM._packed(pts, 7)
+    assert tasks == blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = [(g, v) for r in blocks.collect() for g, v in zip(np.frombuffer(r.g, np.int32).tolist(),
+                                                              np.frombuffer(r.x).reshape(-1, 5).tolist())]
+    assert sorted(rows) == sorted((i % 3, v) for i, v in enumerate(x.tolist()))
+
+
+def test_pass_equals_brute_force(spark, monkeypatch):
+    """Sets with different numbers of centres, one of them done, rows in small pieces, added up here and in Spark."""
+    monkeypatch.setattr(KM, "LEAST_TASK_VALUES", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 4))
+    pts = to_df(spark, x).selectExpr("cast(pos % 2 as int) as _g", "item_id as _id", "embedding as _vec")
+    blocks, tasks = KM._packed(pts, 7)
+    sets = {g: [rng.normal(size=(3, 4)), None, rng.normal(size=(3, 4)), rng.normal(size=(2, 4))] for g in (0, 1)}
+    for limit in (KM.MAX_RETURNED_VALUES, 0):
+        monkeypatch.setattr(KM, "MAX_RETURNED_VALUES", limit)
+        found = KM._pass(blocks, tasks, sets, KM._sums)
+        assert sorted(found) == [(g, r) for g in (0, 1) for r in (0, 2, 3)]
+        for (g, r), rows in found.items():
+            d = np.linalg.norm(x[g::2][:, None] - sets[g][r][None], axis=2)
+            for row in rows:
+                own = d.argmin(axis=1) == row.j
+                assert row.n == own.sum() and np.allclose(row.s, x[g::2][own].sum(axis=0))
+                assert row.cost == pytest.approx((d[own, row.j] ** 2).sum()) and row.far_d == pytest.approx(d[own, row.j].max())
+                assert np.allclose(row.far, x[g::2][own][d[own, row.j].argmax()])
