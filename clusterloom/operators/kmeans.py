@@ -603,11 +603,17 @@ def estimate_k(df: DataFrame, min_k: int = 2, max_k: int = 100, sample_size: int
         return max(1, min(min_k, n)), []
     step = max(1, (max_k - min_k) // 10)
     grid = list(range(min_k, max_k + 1, step))
-    costs = []
-    for kk in grid:
-        _, info = kmeans(sample, k=kk, n_init=3, max_iter=100, seed=seed, vec=vec, id_col=id_col)
-        costs.append((kk, info["inertia"]))
+    pts = cut_lineage(sample.select(F.lit(0).alias("_g"), F.col(id_col).alias("_id"), F.col(vec).alias("_vec")))
     sample.unpersist()
+    # every k and restart is a set of centres that goes through the same jobs
+    blocks, tasks = _packed(pts, seed)
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    sets = {0: [c for starts in _seeded(pts, blocks, grid, 3, seed) for c in starts]}
+    cost, _ = _advance(blocks, tasks, sets, 100, 1e-4)
+    best = [min(range(3 * i, 3 * i + 3), key=lambda r: (cost[0, r], r)) for i in range(len(grid))]
+    last = _pass(blocks, tasks, {0: [sets[0][r] for r in best]}, _sums)
+    blocks.unpersist()
+    costs = [(kk, float(sum(row.cost for row in last[0, i]))) for i, kk in enumerate(grid)]
     if len(costs) <= 2:
         return costs[len(costs) // 2][0], costs
     c = np.asarray([x[1] for x in costs])

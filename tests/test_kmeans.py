@@ -130,3 +130,14 @@ def test_pass_equals_brute_force(spark, monkeypatch):
                 assert row.n == own.sum() and np.allclose(row.s, x[g::2][own].sum(axis=0))
                 assert row.cost == pytest.approx((d[own, row.j] ** 2).sum()) and row.far_d == pytest.approx(d[own, row.j].max())
                 assert np.allclose(row.far, x[g::2][own][d[own, row.j].argmax()])
+
+
+def test_estimate_k_jobs_do_not_grow_with_the_grid(spark):
+    """All k and restarts go through the same jobs, and each k costs what K-Means with that k does."""
+    x, y = planted(n_per=30, k=4, dim=6)
+    df = to_df(spark, x, y)
+    few, many = (jobs_of(spark, lambda top=top: KM.estimate_k(df, 2, top)) for top in (3, 10))
+    assert many < 2 * few
+    k, costs = KM.estimate_k(df, 2, 6)
+    assert k == 4 and [kk for kk, _ in costs] == [2, 3, 4, 5, 6]
+    assert costs[1][1] == pytest.approx(KM.kmeans(df, 3, n_init=3, max_iter=100)[1]["inertia"])
