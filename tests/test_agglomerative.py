@@ -159,3 +159,27 @@ def test_equal_rows_merge_at_once_and_open_links_in_blocks(spark, monkeypatch):
             want.append(h)
             groups[j] += groups.pop(i)
         assert np.allclose(heights, sorted(want), atol=1e-9)
+
+
+def test_ward_rounds_look_only_where_something_changed(spark, monkeypatch):
+    """Rounds down to four clusters, several blocks: the naive dendrogram, though most clusters keep their nearest."""
+    rng = np.random.default_rng(31)
+    x = np.vstack([rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(1, 4)), 3, axis=0)])
+    monkeypatch.setattr(A, "TAIL", 2)
+    monkeypatch.setattr(A, "WARD_TAILS", 2)
+    looks, one = [], A._nearest_by
+
+    def watched(cl, links, k, *rest):
+        looks.append((cl.where("_need").count(), k))
+        return one(cl, links, k, *rest)
+
+    monkeypatch.setattr(A, "_nearest_by", watched)
+    labels, merges = A.agglomerative(to_df(spark, x), n_clusters=6, block_rows=16)
+    want_h, want_parts = naive(x, "ward", 6)
+    assert np.allclose(sorted(r["height"] for r in merges.collect()), want_h)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["label"], []).append(r["pos"])
+    assert sorted(sorted(v) for v in parts.values()) == want_parts
+    assert looks[0] == (61, 61) and len(looks) > 3
+    assert sum(n for n, _ in looks[1:]) < 0.8 * sum(k for _, k in looks[1:])

@@ -6,7 +6,8 @@ import pytest
 
 from clusterloom.operators import metrics as M
 from clusterloom.operators import neighbors as N
-from clusterloom.operators.blocks import pair_matrix
+from clusterloom.operators.agglomerative import _ward_links
+from clusterloom.operators.blocks import NearestReducer, Screen, as_right, knn_reducer, outside_reducer, pair_matrix
 from helpers import planted, to_df
 
 
@@ -163,3 +164,33 @@ def test_largest_distance_of_every_two_values(spark, data):
         got = {(r["x"], r["y"]): r["dist"] for r in N.pair_distances(df, block_rows=block_rows, by="truth_label").collect()}
         assert set(got) == {(a, b) for a in range(4) for b in range(a, 4)}
         assert all(abs(v - d[np.ix_(y == a, y == b)].max()) < 1e-9 for (a, b), v in got.items())
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e3])
+def test_screened_neighbours_are_those_of_the_matrix(scale):
+    """Single precision only leaves links out; a block's rows may come in another order as the right side."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 24)) * scale
+    x[:40] = x[100:140] + 1e-4 * scale * rng.normal(size=(40, 24))
+    d = pair_matrix(x, x)
+    rows = pd.DataFrame({"_id": np.arange(900), "_vec": list(x), "_comp": rng.integers(0, 300, 900),
+                         "_core": np.sort(d, axis=1)[:, 3], "_need": rng.uniform(size=900) < 0.4,
+                         "_size": rng.integers(1, 30, 900).astype(float)})
+    lefts = [p.sample(frac=1, random_state=1) for _, p in rows.groupby(rows["_id"] % 3)]
+    rights = [as_right(p.sample(frac=1, random_state=2)) for p in lefts]
+    ids = np.arange(900)
+    core, size, comp = (rows[c].to_numpy() for c in ("_core", "_size", "_comp"))
+    mutual = np.maximum(np.maximum(d / 1.5, core[:, None]), core[None, :])
+    ward = np.sqrt(2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])) * d
+    for red, want, apart, need in (
+            (knn_reducer(3), d, ids, np.ones(900, bool)), (outside_reducer(8, 1.5), mutual, comp, rows["_need"].to_numpy()),
+            (NearestReducer(1, _ward_links, need="_need", screen=Screen(size="_size")), ward, ids, rows["_need"].to_numpy())):
+        matrices = []
+        red.links = lambda l, r, links=red.links: matrices.append(1) or links(l, r)
+        got = red.over((a, lefts[a], b, rights[b]) for a in range(3) for b in range(a, 3))
+        assert not matrices
+        want = np.where(apart[:, None] == apart[None, :], np.inf, want)
+        for i, mine in got.groupby("id"):
+            assert need[i] and np.allclose(mine["dist"], np.sort(want[i])[:red.k], rtol=1e-9)
+            assert np.allclose(want[i, mine["nbr_id"]], mine["dist"], rtol=1e-9)
+        assert got["id"].nunique() == need.sum()

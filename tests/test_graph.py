@@ -114,3 +114,22 @@ def test_few_passes_and_equal_rows(spark, monkeypatch):
     assert abs(sum(r["w"] for r in mst) - prim_weight(pair_matrix(x, x))) < 1e-9
     assert {(r["lo"], r["hi"]) for r in mst if r["w"] == 0} == {(0, i) for i in range(100, 140)}
     assert len(passes) <= 4
+
+
+def test_listed_rounds_are_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    """Ties (a lattice), equal rows and several blocks; one component left needs no further pass."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.integers(0, 4, size=(60, 3)).astype(float), rng.normal(size=(40, 3)) + 9.0])
+    df = to_df(spark, x)
+    passes, one = [], G._cheapest_outside
+    monkeypatch.setattr(G, "_cheapest_outside", lambda *a: passes.append(1) or one(*a))
+    found = []
+    for rows in (0, 1 << 19):
+        monkeypatch.setattr(G, "LIST_ROWS", rows)
+        passes.clear()
+        found.append(sorted((r["lo"], r["hi"], round(r["w"], 9)) for r in G.minimum_spanning_forest(df, block_rows=16).collect()))
+    assert found[0] == found[1] and len(found[0]) == 99
+    assert abs(sum(w for _, _, w in found[0]) - prim_weight(pair_matrix(x, x))) < 1e-6
+    passes.clear()
+    G.minimum_spanning_forest(to_df(spark, rng.normal(size=(5, 2))), block_rows=16)
+    assert len(passes) == 1
