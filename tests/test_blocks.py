@@ -180,10 +180,10 @@ def test_screened_neighbours_are_those_of_the_matrix(scale):
     rights = [as_right(p.sample(frac=1, random_state=2)) for p in lefts]
     ids = np.arange(900)
     core, size, comp = (rows[c].to_numpy() for c in ("_core", "_size", "_comp"))
-    mutual = np.maximum(np.maximum(d / 1.5, core[:, None]), core[None, :])
+    mutual = np.maximum(np.maximum(d / 0.9, core[:, None]), core[None, :])
     ward = np.sqrt(2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])) * d
     for red, want, apart, need in (
-            (knn_reducer(3), d, ids, np.ones(900, bool)), (outside_reducer(8, 1.5), mutual, comp, rows["_need"].to_numpy()),
+            (knn_reducer(3), d, ids, np.ones(900, bool)), (outside_reducer(8, 0.9), mutual, comp, rows["_need"].to_numpy()),
             (NearestReducer(1, _ward_links, need="_need", screen=Screen(size="_size")), ward, ids, rows["_need"].to_numpy())):
         matrices = []
         red.links = lambda l, r, links=red.links: matrices.append(1) or links(l, r)
