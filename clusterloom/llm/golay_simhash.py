@@ -180,7 +180,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = fps.mapInArrow(_keyed(probe_keys, "_b"), "_key int, _b long")
     near = (stored["_key"] == probes["_key"]) & (F.col("_a") < F.col("_b")) & (
         F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= max_bits)
-    return stored.join(probes, near).select("_a", "_b").distinct()
+    # Spark sizes keys like the fingerprints they come from, up to 108 times too low: it must not broadcast them
+    return stored.join(probes.hint("merge"), near).select("_a", "_b").distinct()
 
 
 def components(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -88,6 +88,13 @@ def test_simhash_matches_brute_force(spark, documents):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_keys_are_not_broadcast(spark):
+    """A table of fingerprints looks small, the keys made of it are many more: neither side may go to the driver."""
+    classes = spark.range(300).select(F.xxhash64("id").alias("_fp"))
+    plan = gs.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_of_shingles_add_up():
     text = b" ".join(b"w%d" % (i * i % 1009) for i in range(1500))
     assert gs.fingerprint(text, block=64) == gs.fingerprint(text) == plain_fingerprint(text.decode())
