@@ -128,6 +128,55 @@ def test_pairs_within_days_of_a_hot_day(spark, window):
     assert N.pairs_within_days(df.limit(0), window, block_rows=16).count() == 0
 
 
+def test_pairs_within_days_hold_one_block_pair_at_a_time(spark, monkeypatch):
+    """Twenty blocks of one day, more than there are ranges: a task group returns the pairs of two blocks, not of ranges."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(160, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 1.0) for i in range(len(x))],
+                               "pos long, embedding array<double>, date_days double")
+    one = N.pairs_cogroup
+
+    def watched(points, pairs, reducer, schema, *rest, **more):
+        def red(l, r, diag):
+            out = reducer(l, r, diag)
+            for name, rows, c in (("rl", l, "_rl"), ("rh", l, "_rh"), ("bl", l, "_blk"), ("bh", r, "r__blk")):
+                out[name] = int(rows[c].iloc[0]) if len(out) else 0
+            return out
+
+        return one(points, pairs, red, schema + ", rl long, rh long, bl long, bh long", *rest, **more)
+
+    monkeypatch.setattr(N, "pairs_cogroup", watched)
+    got = N.pairs_within_days(df, 0.5, block_rows=8).toPandas()
+    assert len(got) == 160 * 159 // 2
+    assert got.groupby(["rl", "rh"])[["bl", "bh"]].nunique().max().max() == 1
+    assert got.groupby(["rl", "rh"]).size().max() <= 64
+
+
+def test_screened_products_find_the_nearest():
+    """Average cosine links screened in single precision: the nearest of the whole matrix, whoever looks."""
+    from clusterloom.operators import blocks as B
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(360, 16)) * rng.uniform(0.2, 1.0, size=(360, 1)) / 4
+    need = rng.random(360) < 0.5
+    rows = [pd.DataFrame({"_id": np.arange(a, a + 120), "_vec": list(x[a:a + 120]), "_need": need[a:a + 120]})
+            for a in (0, 120, 240)]
+
+    def links(l, r):
+        return 1.0 - np.stack(l["_vec"]) @ np.stack(r["r__vec"]).T
+
+    def run(**more):
+        reducer = B.NearestReducer(1, links, **more)
+        pairs = [(a, rows[a], b, B.as_right(rows[b])) for a in range(3) for b in range(a, 3)]
+        return reducer.over(iter(pairs)).sort_values("id").reset_index(drop=True)
+
+    for flag in (None, "_need"):
+        plain, screened = run(need=flag), run(need=flag, screen=B.ProductScreen())
+        assert len(plain) == (360 if flag is None else need.sum())
+        assert (plain[["id", "nbr_id"]] == screened[["id", "nbr_id"]]).all().all()
+        assert np.allclose(plain["dist"], screened["dist"], atol=1e-12)
+
+
 def test_a_row_goes_to_ranges_of_blocks_not_to_every_block(spark, data, monkeypatch):
     """Thirty blocks in at most three ranges: the same pairs and neighbours, and rows copied three times instead of 31."""
     from pyspark.sql import functions as F
