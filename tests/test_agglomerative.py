@@ -183,3 +183,44 @@ def test_ward_rounds_look_only_where_something_changed(spark, monkeypatch):
     assert sorted(sorted(v) for v in parts.values()) == want_parts
     assert looks[0] == (61, 61) and len(looks) > 3
     assert sum(n for n, _ in looks[1:]) < 0.8 * sum(k for _, k in looks[1:])
+
+
+@pytest.mark.parametrize("linkage,metric,open_rows", [
+    ("average", "cosine", 32), ("average", "euclidean", 1000), ("complete", "manhattan", 0)])
+def test_bounded_rounds_look_only_where_something_changed(spark, monkeypatch, linkage, metric, open_rows):
+    """Rounds down to eight clusters, several blocks, links by the points or by bounds: the naive dendrogram."""
+    rng = np.random.default_rng(37)
+    x = np.vstack([rng.normal(size=(27, 4)), np.repeat(rng.normal(size=(1, 4)), 5, axis=0)])
+    monkeypatch.setattr(A, "TAIL", 4)
+    monkeypatch.setattr(A, "WARD_TAILS", 2)
+    monkeypatch.setattr(A, "OPEN_ROWS", open_rows)
+    looks, mark = [], A._marked
+
+    def watched(cl, kept):
+        out = mark(cl, kept)
+        looks.append((out.where("_need").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(A, "_marked", watched)
+    labels, merges = A.agglomerative(to_df(spark, x), n_clusters=6, linkage=linkage, metric=metric, block_rows=16)
+    want_h, want_parts = naive(x, linkage, 6, metric)
+    assert np.allclose(sorted(r["height"] for r in merges.collect()), want_h, atol=1e-7)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["label"], []).append(r["pos"])
+    assert sorted(sorted(v) for v in parts.values()) == want_parts
+    assert looks[0] == (28, 28) and len(looks) > 2
+    assert sum(n for n, _ in looks[1:]) < sum(k for _, k in looks[1:])
+
+
+@pytest.mark.parametrize("linkage,metric", [("average", "cosine"), ("average", "euclidean"), ("complete", "manhattan")])
+def test_more_clusters_are_finished_in_one_task(spark, monkeypatch, linkage, metric):
+    """Sixty clusters are above ``TAIL`` and below the size of the last matrix: no round, the same dendrogram."""
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(60, 4))
+    monkeypatch.setattr(A, "TAIL", 8)
+    rounds, one = [], A._nearest_by
+    monkeypatch.setattr(A, "_nearest_by", lambda *a: rounds.append(1) or one(*a))
+    heights = sorted(r["height"] for r in A.dendrogram(to_df(spark, x), linkage, metric, block_rows=16).collect())
+    assert np.allclose(heights, naive(x, linkage, 6, metric)[0], atol=1e-7)
+    assert not rounds
