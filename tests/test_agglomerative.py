@@ -224,3 +224,11 @@ def test_more_clusters_are_finished_in_one_task(spark, monkeypatch, linkage, met
     heights = sorted(r["height"] for r in A.dendrogram(to_df(spark, x), linkage, metric, block_rows=16).collect())
     assert np.allclose(heights, naive(x, linkage, 6, metric)[0], atol=1e-7)
     assert not rounds
+
+
+def test_rows_that_repeat_an_id_are_one_cluster(spark):
+    rng = np.random.default_rng(43)
+    x = rng.normal(size=(12, 3))
+    df = to_df(spark, x)
+    heights = sorted(r["height"] for r in A.dendrogram(df.union(df.limit(3)), "complete", "manhattan", block_rows=8).collect())
+    assert np.allclose(heights, naive(x, "complete", 3, "manhattan")[0])
